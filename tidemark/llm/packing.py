@@ -121,8 +121,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
 
         for b in small_slices(batches):
             losses = b.column(2).to_pylist() if loss_column else [None] * b.num_rows
-            for doc, text, loss in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), losses, strict=True):
-                ids = memoryview(encode(text or "") + tail)
+            for doc, got, loss in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), losses, strict=True):
+                ids = memoryview(got + tail)
                 n = len(ids) // 4
                 packer.add(doc, ids, n if loss is None else max(0, min(int(loss), n)))
                 while len(packer.docs) > WAITING or packer.docs and packer.need[-1, 0] > limit:

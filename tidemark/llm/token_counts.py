@@ -20,17 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import tokens
 from tidemark.llm.common import small_slices, table
 
+#: Prefixes and pairs of tokens that a worker process stores; then it starts anew.
+STORED = 1_000_000
 # Fixed values of the vocabulary: the pattern that splits a text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _bytes_of_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in a byte-level vocabulary file."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class PrefixTable:
     """Exact counts of byte-level tokens at every prefix of a text."""
 
@@ -39,7 +34,7 @@ class PrefixTable:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _bytes_of_letters()
+        letters = {c: b for b, c in tokens.letters_of_bytes().items()}
         raw = lambda s: bytes(letters[c] for c in s)
         self.ids = {raw(k): v for k, v in spec["model"]["vocab"].items()}
         self.token = {v: k for k, v in self.ids.items()}
@@ -49,6 +44,7 @@ class PrefixTable:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.marks, self.split, self.space = set(special), regex.compile(SPLIT), regex.compile(r"\s")
+        self.states: dict[bytes, tuple[int, int]] = {b"": (-1, 0)}
         self.fits: dict[tuple, bool] = {}
         self.alone: dict[int, bool] = {}
 
@@ -72,7 +68,7 @@ class PrefixTable:
 
     def _fit(self, a: int, b: int) -> bool:
         if (a, b) not in self.fits:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > STORED:
                 self.fits.clear()
             x, y = self.token[a], self.token[b]
             self.fits[a, b] = self.merged(x + y) == [x, y]
@@ -83,17 +79,39 @@ class PrefixTable:
             self.alone[a] = len(self.merged(self.token[a])) == 1
         return self.alone[a]
 
+    def state(self, data: bytes) -> tuple[int, int]:
+        """(last token, count) of data that is merged as one; those of its prefixes are stored with it."""
+        states = self.states
+        got = states.get(data)
+        if got is not None:
+            return got
+        if len(states) > STORED:
+            states.clear()
+            states[b""] = (-1, 0)
+        known = len(data) - 1
+        while data[:known] not in states:
+            known -= 1
+        ids, fits, longest = self.ids, self.fits, self.longest
+        for end in range(known + 1, len(data) + 1):
+            for start in range(max(0, end - longest), end):
+                t = ids.get(data[start:end])
+                if t is None:
+                    continue
+                if start == 0:
+                    if self._alone(t):
+                        states[data[:end]] = (t, 1)
+                        break
+                    continue
+                last, count = states[data[:start]]
+                fit = fits.get((last, t))
+                if self._fit(last, t) if fit is None else fit:
+                    states[data[:end]] = (t, count + 1)
+                    break
+        return states[data]
+
     def bytes_prefixes(self, data: bytes) -> list[int]:
         """counts[i]: tokens of data[:i], for a piece that is merged as one."""
-        n = len(data)
-        last, counts = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = self.ids.get(data[start:end])
-                if t is not None and (self._alone(t) if start == 0 else self._fit(last[start], t)):
-                    last[end], counts[end] = t, counts[start] + 1
-                    break
-        return counts
+        return [0] + [self.state(data[:i])[1] for i in range(1, len(data) + 1)]
 
     def units(self, text: str) -> list[str]:
         """What is merged as one: special tokens, and the matches of SPLIT between them."""
@@ -103,20 +121,27 @@ class PrefixTable:
         return out
 
     def count(self, text: str) -> int:
-        return sum(1 if u in self.marks else self.bytes_prefixes(u.encode())[-1] for u in self.units(text))
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # one unit
+            return self.state(text.encode())[1]
+        return sum(1 if u in self.marks else self.state(u.encode())[1] for u in self.units(text))
+
+    def count_pieces(self, pieces: list[str]) -> list[int]:
+        return [self.count(w if w[0] == "\n" else " " + w) for w in pieces]
 
     def prefixes(self, text: str) -> list[int]:
         """counts[i]: tokens of text[:i], for every i from 0 to its length."""
         counts, before = [0], 0
         for unit in self.units(text):
-            whole = 1 if unit in self.marks else self.bytes_prefixes(unit.encode())[-1]
+            whole = 1 if unit in self.marks else self.state(unit.encode())[1]
             if unit.isalpha() or unit[1:].isalpha() and unit[0] == " ":
                 at = self.bytes_prefixes(unit.encode())
                 size = 0
                 for c in unit[:-1]:
                     size += len(c.encode())
                     counts.append(before + at[size])
-            else:  # a cut blank, contraction or special token is split in another way
+            elif unit in self.marks:  # a cut special token is ordinary text, merged with what stands before it
+                counts.extend(self.count(text[: len(counts)]) for _ in unit[:-1])
+            else:  # a cut blank or contraction is split in another way
                 counts.extend(before + self.count(unit[:i]) for i in range(1, len(unit)))
             before += whole
             counts.append(before)
@@ -136,7 +161,7 @@ def prefix_table(path: str) -> tuple[PrefixTable, tokens.Pieces]:
     """The table and the remembered counts of pieces, one for each worker process."""
     if path not in _tables:
         made = PrefixTable(path)
-        _tables[path] = made, tokens.Pieces(made.count)
+        _tables[path] = made, tokens.Pieces(made.count, made.count_pieces)
     return _tables[path]
 
 
@@ -148,7 +173,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
         _, pieces = prefix_table(path)
         for b in small_slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            n = [sum(pieces.of(t)) if t else 0 for t in texts]
+            n = list(map(sum, pieces.of(texts)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],

@@ -116,9 +116,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         for b in small_slices(batches):
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                got = encode(text or "") + tail
-                ids.append(got)
+            for doc, got in zip(b.column("doc_id").to_pylist(), encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
+                ids.append(got := got + tail)
                 names.append(doc)
                 sizes.append(len(got) // 4)
                 if sum(sizes[-1:]) >= SEGMENT_IDS or len(sizes) % 64 == 0 and sum(sizes) >= SEGMENT_IDS:

@@ -12,9 +12,10 @@ import re
 
 import numpy as np
 
-#: Pieces that a task remembers; then it starts anew.
-REMEMBERED = 300_000
+#: Pieces that a worker process remembers; then it starts anew.
+REMEMBERED = 600_000
 _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_ODD = re.compile(r"[^\S \n]")
 _loaded: dict[tuple, object] = {}
 
 
@@ -34,60 +35,153 @@ def load(path: str):
     return _loaded["library", path]
 
 
-class Remembered(dict):
-    """piece -> make(before + piece), remembered."""
+def _irregular(text: str) -> bool:
+    """Whether it has white space other than single blanks and single line breaks between words."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+        return True
+    return _other_space(text)
 
-    def __init__(self, make, before: str = ""):
-        self.make, self.before = make, before
 
-    def __missing__(self, piece: str):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = self[piece] = self.make(self.before + piece)
-        return got
+def _other_space(text: str) -> bool:
+    return (not text.isascii() or any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")) and _ODD.search(text) is not None
 
 
 class Pieces:
-    """The pieces of a text, each as make(piece): blanks belong to the piece that follows them."""
+    """Values of the pieces of texts. A piece starts with the blank or line break before it.
 
-    def __init__(self, make):
-        self.first, self.inner, self.runs = Remembered(make), Remembered(make, " "), Remembered(make)
-        self.line_break = make("\n")
-
-    def of(self, text: str) -> list:
-        out: list = []
-        # A cut inside other white space (tabs, no-break blanks) would change how it is split.
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or _other_space(text):
-            return [self.runs.make(text)] if _other_space(text) else list(map(self.runs.__getitem__, _RUNS.findall(text)))
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self.line_break)
-            first, *rest = line.split(" ")
-            out.append(self.first[first])
-            out.extend(map(self.inner.__getitem__, rest))
-        return out
+    one(text) gives the value of any text; many(pieces) those of distinct regular pieces, of which
+    a leading blank is left out and a leading line break is not.
+    """
 
+    def __init__(self, one, many):
+        self.one, self.many = one, many
+        self.known: dict = {}
 
-_ODD = re.compile(r"[^\S \n]")
-
-
-def _other_space(text: str) -> bool:
-    return (not text.isascii() or any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")) and _ODD.search(text) is not None
+    def _runs(self, text: str) -> list:
+        # A cut inside other white space (tabs, no-break blanks) would change how it is split.
+        return [self.one(text)] if _other_space(text) else list(map(self.one, _RUNS.findall(text)))
+
+    def of(self, texts: list[str]) -> list[list]:
+        """For each text the values of its pieces."""
+        cut = [None if not t or _irregular(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        need = set()
+        for p in cut:
+            if p:
+                need.update(p[1:])
+        new = need.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = need
+        order = list(new)
+        for at in range(0, len(order), 20_000):
+            self.known.update(zip(order[at : at + 20_000], self.many(order[at : at + 20_000]), strict=True))
+        get = self.known.__getitem__
+        return [[] if not t else self._runs(t) if p is None else [self.one(p[0]), *map(get, p[1:])] for t, p in zip(texts, cut, strict=True)]
+
+
+def _split_at(ids: list[int], mark: int, n: int) -> list[bytes]:
+    """The ids after each of the n marks."""
+    if not n:
+        return []
+    ids = np.asarray(ids, "<u4")
+    at = np.flatnonzero(ids == mark)
+    if len(at) != n:
+        raise ValueError("a separator was merged")
+    data = ids.tobytes()
+    ends = (np.append(at[1:], len(ids)) * 4).tolist()
+    return [data[a:b] for a, b in zip((at * 4 + 4).tolist(), ends, strict=True)]
+
+
+def letters_of_bytes() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def _merge(library, letters: dict[int, str]):
+    """Ids of text that the library merges as one, by its model alone: no splitting, no offsets."""
+    tokenize = library.model.tokenize
+
+    def ids(text: str) -> bytes:
+        shown = text.encode().decode("latin-1").translate(letters)
+        return np.array([t.id for t in tokenize(shown)], "<u4").tobytes()
+
+    return ids
 
 
 def byte_level_ids(path: str):
-    """text -> little-endian uint32 ids as bytes, by the byte-level vocabulary."""
-    if ("byte", path) not in _loaded:
-        library = load(path)
-        pieces = Pieces(lambda s: np.asarray(library.encode(s, add_special_tokens=False).ids, "<u4").tobytes())
-        _loaded["byte", path] = lambda text: b"".join(pieces.of(text)) if text else b""
+    """texts -> little-endian uint32 ids of each as bytes, by the byte-level vocabulary."""
+    if ("byte", path) in _loaded:
+        return _loaded["byte", path]
+    library = load(path)
+    one = lambda s: np.asarray(library.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+    line_break = one("\n")
+    mark = int(np.frombuffer(line_break, "<u4")[0])
+
+    merge = _merge(library, letters_of_bytes())
+    signs = {c: one(c) for c in ".,"}
+
+    def many(pieces: list[str]) -> list[bytes]:
+        got: dict[str, bytes] = {}
+        rest = []
+        for w in pieces:
+            if w.isalpha():  # one unit, with its blank
+                got[w] = merge(" " + w)
+            elif w[-1] in ".," and w[:-1].isalpha():
+                got[w] = (pieces_.known.get(w[:-1]) or merge(" " + w[:-1])) + signs[w[-1]]
+            elif "<|" in w:
+                got[w] = one(w if w[0] == "\n" else " " + w)
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 200):
+            some = rest[at : at + 200]
+            text = "".join("\n" + w[1:] if w[0] == "\n" else "\n " + w for w in some)
+            for w, ids in zip(some, _split_at(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, mark, len(some)), strict=True):
+                got[w] = line_break + ids if w[0] == "\n" else ids
+        return [got[w] for w in pieces]
+
+    pieces_ = pieces = Pieces(one, many)
+    _loaded["byte", path] = lambda texts: [b"".join(v) for v in pieces.of(texts)]
     return _loaded["byte", path]
 
 
 def word_level_ids(path: str):
     """The same by the vocabulary with word ends, which drops white space: any cut at blanks is exact."""
-    if ("word", path) not in _loaded:
-        library = load(path)
-        known = Remembered(lambda s: np.asarray(library.encode(s, add_special_tokens=False).ids, "<u4").tobytes() if s else b"")
-        _loaded["word", path] = lambda text: b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
-    return _loaded["word", path]
+    if ("word", path) in _loaded:
+        return _loaded["word", path]
+    library = load(path)
+    one = lambda s: np.asarray(library.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+    sign = next(c for c in "\u00a7\u00b6\u00a4\u2603|" if len(one(c)) == 4)
+    mark = int(np.frombuffer(one(sign), "<u4")[0])
+    known: dict[str, bytes] = {"": b""}
+    merge, signs = _merge(library, letters_of_bytes()), {c: one(c) for c in ".,"}
+
+    def encode(texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        need = set().union(*cut)
+        new = need.difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            known[""] = b""
+            new = need - {""}
+        plain = []
+        for w in new:
+            base = w[:-1] if w[-1] in ".," else w
+            if base.isalpha():
+                low = base.lower() if base.isascii() else library.normalizer.normalize_str(base)
+                if low.isalpha():  # one unit
+                    known[w] = (known.get(base) or merge(low)) + (signs[w[-1]] if base is not w else b"")
+                    continue
+            if "<|" in w or sign in w:
+                known[w] = one(w)
+            else:
+                plain.append(w)
+        for at in range(0, len(plain), 200):
+            some = plain[at : at + 200]
+            text = "".join(f" {sign} {w}" for w in some)
+            known.update(zip(some, _split_at(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, mark, len(some)), strict=True))
+        return [b"".join(map(known.__getitem__, p)) for p in cut]
+
+    _loaded["word", path] = encode
+    return encode
