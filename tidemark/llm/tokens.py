@@ -50,7 +50,7 @@ class Pieces:
     """Values of the pieces of texts. A piece starts with the blank or line break before it.
 
     one(text) gives the value of any text; many(pieces) those of distinct regular pieces, of which
-    a leading blank is left out and a leading line break is not.
+    a leading blank is left out and a leading line break is not. No value is None.
     """
 
     def __init__(self, one, many):
@@ -64,19 +64,17 @@ class Pieces:
     def of(self, texts: list[str]) -> list[list]:
         """For each text the values of its pieces."""
         cut = [None if not t or _irregular(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        need = set()
-        for p in cut:
-            if p:
-                need.update(p[1:])
-        new = need.difference(self.known)
+        get = self.known.get
+        found = [None if p is None else [self.one(p[0]), *map(get, p[1:])] for p in cut]
+        absent = [() if v is None else [i for i, x in enumerate(v) if x is None] for v in found]
+        new = list({p[i] for p, at in zip(cut, absent, strict=True) for i in at})
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = need
-        order = list(new)
-        for at in range(0, len(order), 20_000):
-            self.known.update(zip(order[at : at + 20_000], self.many(order[at : at + 20_000]), strict=True))
-        get = self.known.__getitem__
-        return [[] if not t else self._runs(t) if p is None else [self.one(p[0]), *map(get, p[1:])] for t, p in zip(texts, cut, strict=True)]
+        self.known.update(zip(new, self.many(new), strict=True))
+        for p, v, at in zip(cut, found, absent, strict=True):
+            for i in at:
+                v[i] = self.known[p[i]]
+        return [[] if not t else self._runs(t) if v is None else v for t, v in zip(texts, found, strict=True)]
 
 
 def _split_at(ids: list[int], mark: int, n: int) -> list[bytes]:
@@ -159,12 +157,12 @@ def word_level_ids(path: str):
 
     def encode(texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*cut)
-        new = need.difference(known)
+        found = [list(map(known.get, p)) for p in cut]
+        absent = [[i for i, x in enumerate(v) if x is None] for v in found]
+        new = {p[i] for p, at in zip(cut, absent, strict=True) for i in at}
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             known[""] = b""
-            new = need - {""}
         plain = []
         for w in new:
             base = w[:-1] if w[-1] in ".," else w
@@ -181,7 +179,10 @@ def word_level_ids(path: str):
             some = plain[at : at + 200]
             text = "".join(f" {sign} {w}" for w in some)
             known.update(zip(some, _split_at(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, mark, len(some)), strict=True))
-        return [b"".join(map(known.__getitem__, p)) for p in cut]
+        for p, v, at in zip(cut, found, absent, strict=True):
+            for i in at:
+                v[i] = known[p[i]]
+        return list(map(b"".join, found))
 
     _loaded["word", path] = encode
     return encode
