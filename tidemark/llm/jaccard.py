@@ -81,7 +81,8 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
         seen = np.zeros(COUNTERS, np.uint32)
         for b in small_slices(batches):
             grams = [gram_set(t, n) for t in b.column(0).to_pylist()]
-            seen += np.bincount((np.concatenate(grams) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            place, often = np.unique((np.concatenate(grams) & np.uint64(COUNTERS - 1)).astype(np.uint32), return_counts=True)
+            seen[place] += often.astype(np.uint32)
         if seen.any():
             short = np.minimum(seen, 65535).astype("<u2").reshape(_PARTS, size)
             yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([r.tobytes() for r in short], pa.binary())], names=["part", "counts"])
