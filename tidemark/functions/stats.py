@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def _wilson(k: Column, n: Column, z: float) -> tuple[Column, Column]:
@@ -63,12 +64,12 @@ def verdict(lift_value: Column, lo: Column) -> Column:
     return F.when(strong & (lo > 1), "ACTIVE").when(strong, "REJECT").when(weak, "OBSERVE").otherwise("REJECT")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else 0.5 * (1 + math.erf(v / math.sqrt(2))))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def binomial_p(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Exact two-sided p: the probability of all counts no likelier than k; normal beyond n = 2000."""
 

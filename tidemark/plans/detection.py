@@ -20,7 +20,7 @@ SELECT series, cycle_ts, side, bar_ts, round(level, 6) AS level, (side = 'high'
 )
 def break_events(spark, d):
     """DP1, DP5, DP27, WF3, WF22: the first break of a prior level in each cycle and side, and whether it failed."""
-    p = W.rowsBetween(-24, -1)
+    p = W().rowsBetween(-24, -1)
     x = src.bars(spark, d).withColumns({"hi": F.max("c").over(p), "lo": F.min("c").over(p), "k": F.count("*").over(p)}).filter("k = 24")
     sides = F.array(
         F.struct(F.lit("high").alias("side"), F.col("hi").alias("level"), (F.col("h") > F.col("hi") * 1.0005).alias("broke"), (F.col("c") < F.col("hi")).alias("fake")),
@@ -40,7 +40,7 @@ SELECT series, bar_ts AS window_start, version, CASE WHEN nts - bar_ts = 3600000
 )
 def shadow_signals(spark, d):
     """DP2, DP3, EV3, TS12: UP windows that end low bet DOWN on the next window; settled, pending or expired."""
-    x = src.bars(spark, d).withColumns({"pc": F.lag("c").over(W), "pts": F.lag("bar_ts").over(W), "nts": F.lead("bar_ts").over(W), "no": F.lead("outcome").over(W), "nq": F.lead("o").over(W), "last": F.max("bar_ts").over(Window.partitionBy("series"))})
+    x = src.bars(spark, d).withColumns({"pc": F.lag("c").over(W()), "pts": F.lag("bar_ts").over(W()), "nts": F.lead("bar_ts").over(W()), "no": F.lead("outcome").over(W()), "nq": F.lead("o").over(W()), "last": F.max("bar_ts").over(Window.partitionBy("series"))})
     t = x.filter((F.col("outcome") == "UP") & (F.col("c") <= 0.4))
     calm = F.coalesce((F.col("pts") == F.col("bar_ts") - HOUR_MS) & (F.abs(F.col("c") / F.col("pc") - 1) < 0.5), F.lit(False))
     settled = F.coalesce(F.col("nts") - F.col("bar_ts") == HOUR_MS, F.lit(False))
@@ -77,9 +77,9 @@ SELECT series, bar_ts, round(cp, 6) AS close_pos, round(vr, 6) AS vol_ratio, CAS
 )
 def candle_patterns(spark, d):
     """AF28, AF29, AF30, DP6: close position, volume ratio and pattern precedence."""
-    m = W.rowsBetween(-20, -1)
+    m = W().rowsBetween(-20, -1)
     sgn = F.signum(F.col("c") - F.col("o"))
-    x = src.bars(spark, d).withColumns({"ma": F.avg("v").over(m), "k": F.count("*").over(m), "d0": sgn, "d1": F.lag(sgn).over(W), "d2": F.lag(sgn, 2).over(W)})
+    x = src.bars(spark, d).withColumns({"ma": F.avg("v").over(m), "k": F.count("*").over(m), "d0": sgn, "d1": F.lag(sgn).over(W()), "d2": F.lag(sgn, 2).over(W())})
     cp = F.when(F.col("h") > F.col("l"), (F.col("c") - F.col("l")) / (F.col("h") - F.col("l")))
     vr = F.when((F.col("k") >= 10) & (F.col("ma") > 0), F.col("v") / F.col("ma"))
     x = x.withColumns({"cp": cp, "vr": vr, "up3": (F.col("d0") > 0) & (F.col("d1") > 0) & (F.col("d2") > 0)})

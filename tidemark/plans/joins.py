@@ -70,19 +70,19 @@ def adjacent_windows(spark, d):
     """JN8, JN9, JN10, DP26: next and second-next window with exact adjacency."""
     b = src.bars(spark, d)
     for k in (1, 2):
-        b = b.withColumn(f"o{k}", F.when(F.lead("bar_ts", k).over(W) - F.col("bar_ts") == k * HOUR_MS, F.lead("outcome", k).over(W)))
+        b = b.withColumn(f"o{k}", F.when(F.lead("bar_ts", k).over(W()) - F.col("bar_ts") == k * HOUR_MS, F.lead("outcome", k).over(W())))
     return b.groupBy("outcome", F.col("o1").alias("next_outcome"), F.col("o2").alias("second_outcome")).agg(F.count("*").alias("n"))
 
 
 @query(
     """WITH o AS (SELECT o_custkey AS version, o_orderkey AS id, o_orderdate AS day, o_totalprice AS amount FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY day DESC, id DESC) AS rn FROM o),
-top AS (SELECT version, count(*) AS n_recent, round(avg(amount), 4) AS recent_mean FROM r WHERE rn <= 10 GROUP BY 1)
+top AS (SELECT version, count(*) AS n_recent, round(avg(amount), 7) AS recent_mean FROM r WHERE rn <= 10 GROUP BY 1)
 SELECT c.c_custkey AS version, r.id AS latest_id, coalesce(t.n_recent, 0) AS n_recent, t.recent_mean FROM customer c LEFT JOIN r ON r.version = c.c_custkey AND r.rn = 1 LEFT JOIN top t ON t.version = c.c_custkey"""
 )
 def latest_runs(spark, d):
     """JN2, JN13, JN18, WF26, WF27: latest row and the ten most recent of each key, left joined with a default."""
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     r = src.table(spark, d, "orders").withColumn("rn", F.row_number().over(w)).filter("rn <= 10")
-    g = r.groupBy(F.col("o_custkey").alias("version")).agg(F.max(F.when(F.col("rn") == 1, F.col("o_orderkey"))).alias("latest_id"), F.count("*").alias("n_recent"), F.round(F.avg("o_totalprice"), 4).alias("recent_mean"))
+    g = r.groupBy(F.col("o_custkey").alias("version")).agg(F.max(F.when(F.col("rn") == 1, F.col("o_orderkey"))).alias("latest_id"), F.count("*").alias("n_recent"), F.round(F.avg("o_totalprice"), 7).alias("recent_mean"))
     c = src.table(spark, d, "customer").select(F.col("c_custkey").alias("version"))
     return c.join(g, "version", "left").select("version", "latest_id", F.coalesce("n_recent", F.lit(0)).alias("n_recent"), "recent_mean")

@@ -10,7 +10,7 @@ from tidemark.plans.registry import query
 from tidemark.sources import events as src
 from tidemark.sources.events import BARS_SQL, CYCLES_SQL, SAMPLES_SQL
 
-W = src.by_time()
+W = src.by_time  # a call gives the window of a series in time order
 
 
 def r6(c):
@@ -47,7 +47,7 @@ SELECT hour_utc, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, round({_WILSON}
 )
 def hourly_direction_report(spark, d):
     """Flagship (SC, TB2, PF1, WF11, ST2): how often the next adjacent bar repeats the direction, by hour."""
-    b = src.bars(spark, d).withColumn("next_outcome", F.lead("outcome").over(W)).withColumn("next_ts", F.lead("bar_ts").over(W))
+    b = src.bars(spark, d).withColumn("next_outcome", F.lead("outcome").over(W())).withColumn("next_ts", F.lead("bar_ts").over(W()))
     b = b.filter((F.col("next_ts") - F.col("bar_ts") == src.HOUR_MS) & (F.col("outcome") != "NOISE") & (F.col("next_outcome") != "NOISE"))
     g = b.groupBy((F.floor(F.col("bar_ts") / src.HOUR_MS) % 24).cast("int").alias("hour_utc")).agg(F.count("*").alias("n"), F.sum((F.col("outcome") == F.col("next_outcome")).cast("long")).alias("k"))
     return g.select("hour_utc", "n", "k", r6(stats.wilson_lower(F.col("k"), F.col("n"))).alias("wilson_lo"))
@@ -59,7 +59,7 @@ SELECT series, count(*) AS n_bars, count(*) FILTER (gap = 3600000) AS n_adjacent
 )
 def bar_continuity(spark, d):
     """TB3, WF31, AG30: adjacent bars and missing ones, half-even rounding of the gap."""
-    b = src.bars(spark, d).withColumn("gap", F.col("bar_ts") - F.lag("bar_ts").over(W))
+    b = src.bars(spark, d).withColumn("gap", F.col("bar_ts") - F.lag("bar_ts").over(W()))
     gap = F.col("gap")
     lost = F.when(gap > 1.5 * src.HOUR_MS, F.bround(gap / src.HOUR_MS) - 1)
     return b.groupBy("series").agg(F.count("*").alias("n_bars"), F.count_if(gap == src.HOUR_MS).alias("n_adjacent"), F.coalesce(F.sum(lost), F.lit(0)).cast("long").alias("n_missing"), F.max("gap").alias("largest_gap"))
@@ -76,7 +76,7 @@ SELECT series, bar_ts, CASE WHEN n16 = 16 THEN round(hi, 6) END AS roll_max, CAS
 )
 def rolling_levels(spark, d):
     """WF1, WF3, WF4, WF5, WF6: rolling extremes and mean, prior levels, volume ratio, position in range."""
-    f, p, m = W.rowsBetween(-15, 0), W.rowsBetween(-48, -1), W.rowsBetween(-20, -1)
+    f, p, m = W().rowsBetween(-15, 0), W().rowsBetween(-48, -1), W().rowsBetween(-20, -1)
     b = src.bars(spark, d).withColumns({"n16": F.count("*").over(f), "hi": F.max("h").over(f), "lo": F.min("l").over(f), "ma": F.avg("c").over(f)})
     b = b.withColumns({"prior_hi": F.max("c").over(p), "prior_lo": F.min("c").over(p), "n_prior": F.count("*").over(p), "vol_ma": F.avg("v").over(m), "n_vol": F.count("*").over(m)})
     full, level = F.col("n16") == 16, F.col("n_prior") == 48
@@ -91,7 +91,7 @@ def rolling_levels(spark, d):
 
 def streaks(b, breaks):
     """Length of the run of equal outcomes up to each bar; a run ends where `breaks` holds."""
-    b = b.withColumn("run", F.sum(breaks.cast("int")).over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.withColumn("run", F.sum(breaks.cast("int")).over(W().rowsBetween(Window.unboundedPreceding, 0)))
     return b.withColumn("streak", F.row_number().over(Window.partitionBy("series", "run").orderBy("bar_ts")))
 
 
@@ -103,7 +103,7 @@ SELECT series, bar_ts, outcome, CAST(row_number() OVER (PARTITION BY series, run
 def outcome_streaks(spark, d):
     """WF7, WF8, WF9: streak of equal outcomes that a time gap resets (gaps and islands)."""
     b = src.bars(spark, d)
-    same = F.col("outcome").eqNullSafe(F.lag("outcome").over(W)) & (F.col("bar_ts") - F.lag("bar_ts").over(W)).eqNullSafe(F.lit(src.HOUR_MS))
+    same = F.col("outcome").eqNullSafe(F.lag("outcome").over(W())) & (F.col("bar_ts") - F.lag("bar_ts").over(W())).eqNullSafe(F.lit(src.HOUR_MS))
     return streaks(b.withColumn("brk", ~same), F.col("brk")).select("series", "bar_ts", "outcome", "streak")
 
 
@@ -115,7 +115,7 @@ SELECT series, bar_ts, CAST(dir AS INTEGER) AS dir, round(po, 6) AS prev_o, roun
 def neighbouring_bars(spark, d):
     """WF10, WF11, WF12, WF23: previous and next bar, inside, engulfing and failed-sweep flags."""
     b = src.bars(spark, d).withColumn("dir", F.signum(F.col("c") - F.col("o")).cast("int"))
-    b = b.withColumns({f"p{x}": F.lag(x).over(W) for x in "ohlc"} | {"next_dir": F.lead("dir").over(W), "next_ts": F.lead("bar_ts").over(W)})
+    b = b.withColumns({f"p{x}": F.lag(x).over(W()) for x in "ohlc"} | {"next_dir": F.lead("dir").over(W()), "next_ts": F.lead("bar_ts").over(W())})
     c, body, before = F.col, F.col("c") - F.col("o"), F.col("pc") - F.col("po")
     flag = lambda x, n: F.coalesce(x, F.lit(False)).alias(n)
     return b.select(
@@ -135,9 +135,9 @@ SELECT series, bar_ts, CASE WHEN n >= 24 THEN round(med, 6) END AS median_abs_re
 )
 def rolling_statistics(spark, d):
     """WF17, WF18: rolling median of absolute returns and lag-1 autocorrelation of changes."""
-    b = src.bars(spark, d).select("series", "bar_ts", F.abs("ret").alias("a"), (F.col("c") - F.lag("c").over(W)).alias("de"))
-    b = b.withColumn("lag_de", F.lag("de").over(W))
-    p, r = W.rowsBetween(-48, -1), W.rowsBetween(-23, 0)
+    b = src.bars(spark, d).select("series", "bar_ts", F.abs("ret").alias("a"), (F.col("c") - F.lag("c").over(W())).alias("de"))
+    b = b.withColumn("lag_de", F.lag("de").over(W()))
+    p, r = W().rowsBetween(-48, -1), W().rowsBetween(-23, 0)
     both = F.col("lag_de").isNotNull() & F.col("de").isNotNull()
     b = b.withColumns({"med": F.percentile("a", 0.5).over(p), "n": F.count("a").over(p), "ac": F.corr("lag_de", "de").over(r), "pairs": F.count(F.when(both, 1)).over(r)})
     enough = F.col("n") >= 24
@@ -153,8 +153,8 @@ SELECT series, bar_ts, CASE WHEN c24 IS NULL THEN NULL WHEN c / c24 - 1 > 0.01 T
 def trend_regimes(spark, d):
     """TB20, TB21, WF20, WF21, WF24: trailing trend, move in the 4-hour bucket, efficiency ratio."""
     four = Window.partitionBy("series", F.floor(F.col("bar_ts") / 14_400_000)).orderBy("bar_ts")
-    b = src.bars(spark, d).withColumns({"c24": F.lag("c", 24).over(W), "open4h": F.first("o").over(four), "step": F.abs(F.col("c") - F.lag("c").over(W))})
-    r = W.rowsBetween(-23, 0)
+    b = src.bars(spark, d).withColumns({"c24": F.lag("c", 24).over(W()), "open4h": F.first("o").over(four), "step": F.abs(F.col("c") - F.lag("c").over(W()))})
+    r = W().rowsBetween(-23, 0)
     b = b.withColumns({"way": F.sum("step").over(r), "steps": F.count("step").over(r)})
     move = F.col("c") / F.col("c24") - 1
     return b.select(
