@@ -12,7 +12,7 @@ from tidemark.llm.common import shared_dir, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality.score(docs, quality.train(docs)).filter("keep").select(*docs.columns)
+    return quality.keep_good(docs, quality.train(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, shared_table, small_slices, table
+from tidemark.llm.common import connected_components, free_name, shared_table, small_slices, table
 
 #: Counters of n-gram frequency, slices of the hash range in the suffix filter.
 COUNTERS, SLICES = 1 << 22, 128
@@ -283,9 +283,10 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows with equal doc_id and text one stays; a null doc_id always stays.
     """
-    groups = linked_groups(docs, n, percent).filter("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(groups, F.col("doc_id") == F.col("gone"), "left_anti")
-    once = kept.filter("doc_id IS NOT NULL").withColumn("once", F.xxhash64("text")).dropDuplicates(["doc_id", "once"]).drop("once")
+    gone, same = free_name(docs, "gone"), free_name(docs, "same_text")
+    groups = linked_groups(docs, n, percent).filter("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(groups, F.col("doc_id") == F.col(gone), "left_anti")
+    once = kept.filter("doc_id IS NOT NULL").withColumn(same, F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc_id", same]).drop(same)
     return once.unionByName(docs.filter("doc_id IS NULL"))
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import free_name, table
 
 #: Sources whose rates may be sent to all tasks; more of them are joined by a salted shuffle.
 MOST_SOURCES, SALTS = 10_000, 64
@@ -59,17 +59,18 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, source: str
 def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7, source: str = "source", key: str = "doc_id") -> DataFrame:
     """Every column of docs with mix_copy (from 1) and mix_key, in the order of mix_key within partitions."""
     docs = docs.drop("mix_copy", "mix_key")
-    rates = source_rates(docs, weights, source)
+    of, steps, salt, times = (free_name(docs, x) for x in ("mix_source", "mix_steps", "mix_salt", "mix_times"))
+    rates = source_rates(docs, weights, source).select(F.col("mix_source").alias(of), F.col("steps").alias(steps))
     if rates.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
-        joined = docs.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("mix_source")))
+        joined = docs.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col(of)))
     else:  # many sources: each is split over SALTS partitions, so a hot one does not meet in one task
-        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = docs.withColumn("mix_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        joined = left.join(salted, F.col(source).eqNullSafe(F.col("mix_source")) & (left["mix_salt"] == salted["mix_salt"])).drop(salted["mix_salt"]).drop("mix_salt")
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left = docs.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        joined = left.join(salted, F.col(source).eqNullSafe(F.col(of)) & (left[salt] == salted[salt])).drop(salted[salt]).drop(salt)
     u = uniform(seed, F.col(key))
-    count = F.size(F.filter("steps", lambda s: s <= u))
-    copies = joined.withColumn("mix_copies", count).drop("steps", "rate", "mix_source").filter("mix_copies > 0")
-    copies = copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).drop("mix_copies")
+    count = F.size(F.filter(steps, lambda s: s <= u))
+    copies = joined.withColumn(times, count).drop(steps, of).filter(F.col(times) > 0)
+    copies = copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times)
     place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("mix_copy").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
     return copies.withColumn("mix_key", place).repartition("mix_key").sortWithinPartitions("mix_key")
 

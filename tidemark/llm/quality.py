@@ -6,7 +6,8 @@ any labelled row, and gives every pattern the probability that its texts are goo
 labels train a logistic regression over hashed words and hashed word shapes, whose score decides.
 
 A null text, or one without words, gets no vote, the score 0, and is rejected. Repeated rows are scored each; ties at the
-threshold are kept; other columns stay as they are; with no rows at all nothing is learned or kept.
+threshold are kept; other columns stay as they are, but for quality_score, weak_label and keep, which
+`score` replaces and `keep_good` leaves alone; with no rows at all nothing is learned or kept.
 """
 
 from __future__ import annotations
@@ -188,6 +189,7 @@ def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", sample:
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
     """docs with quality_score, weak_label (posterior of the votes) and keep (score >= threshold)."""
+    docs = docs.drop("quality_score", "weak_label", "keep")
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     schema = docs.select("*", F.lit(0.0).alias("quality_score"), F.lit(0.0).alias("weak_label"), F.lit(True).alias("keep")).schema
     place = docs.columns.index("text")
@@ -204,6 +206,20 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose text reaches the threshold, with the columns that they have."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, words = shared.value, Words()
+        for b in small_slices(batches):
+            got = [s.score(words, t)[1] for t in b.column(place).to_pylist()]
+            yield b.filter(pa.array([x >= threshold and x > 0 for x in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs.select("doc_id", "text"), train(docs)).drop("text")

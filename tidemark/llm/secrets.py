@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import free_name, table
 
 # Names that go with secrets, words that go with look-alikes, words of a dictionary.
 SECRET_NAMES = "pass|pwd|secret|token|apikey|api_key|api-key|access|auth|bearer|credential|private"
@@ -124,13 +124,14 @@ def redact(docs: DataFrame, model, mark: str = "[SECRET]", threshold: float = TH
     """
     has = _has_candidate(F.col("text"))
     # SHA-256 names a text
-    suspects = docs.filter(has).withColumn("secret_key", F.sha2(F.col("text").cast("binary"), 256))
-    values = scan(suspects.dropDuplicates(["secret_key"]), model, "secret_key", threshold=threshold).filter("is_secret")
-    values = values.groupBy("secret_key").agg(F.collect_set("value").alias("secret_values"))
-    found = F.reverse(F.array_sort(F.transform("secret_values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
+    key, of = free_name(docs, "secret_key"), free_name(docs, "secret_values")
+    suspects = docs.filter(has).withColumn(key, F.sha2(F.col("text").cast("binary"), 256))
+    values = scan(suspects.dropDuplicates([key]), model, key, threshold=threshold).filter("is_secret")
+    values = values.groupBy(key).agg(F.collect_set("value").alias(of))
+    found = F.reverse(F.array_sort(F.transform(of, lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
     clean = F.coalesce(F.aggregate(found, F.col("text"), lambda t, v: F.replace(t, v["v"], F.lit(mark))), F.col("text"))
-    hit = F.col("secret_values").isNotNull()
-    done = suspects.join(values, "secret_key", "left").withColumn("text", clean)
+    hit = F.col(of).isNotNull()
+    done = suspects.join(values, key, "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return docs.filter(~has).unionByName(done.select(*docs.columns))
