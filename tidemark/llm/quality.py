@@ -38,29 +38,39 @@ def _shape(word: str) -> str:
 
 
 class Words(dict):
-    """word -> row of what is known about it; starts anew when it is full."""
+    """word -> row of what is known about it; starts anew when it is full.
 
-    def __init__(self):
-        self.flags = np.zeros((REMEMBERED, 4), bool)
-        self.buckets = np.zeros((REMEMBERED, 2), np.int32)
+    hashed: the scorer's buckets of words are kept too, and with weights their worth to the scorer.
+    """
+
+    def __init__(self, hashed: bool = True, weights: np.ndarray | None = None):
+        self.hashed, self.weights = hashed, weights
+        self._make_room(REMEMBERED)
+
+    def _make_room(self, n: int) -> None:
+        self.flags, self.buckets, self.worth = np.zeros((n, 4), bool), np.zeros((n, 2), np.int32), np.zeros(n)
 
     def __missing__(self, w: str) -> int:
         k = self[w] = len(self)
         self.flags[k] = (len(w) > 1 and w.isupper(), _TAIL.search(w) is not None, w == "|", w[-1] in ".!?")
-        self.buckets[k] = (2 + zlib.crc32(w.lower().encode()) % (BUCKETS - 1026), BUCKETS - 1024 + zlib.crc32(_shape(w).encode()) % 1024)
+        if self.hashed:
+            one, two = 2 + zlib.crc32(w.lower().encode()) % (BUCKETS - 1026), BUCKETS - 1024 + zlib.crc32(_shape(w).encode()) % 1024
+            self.buckets[k] = one, two
+            if self.weights is not None:
+                self.worth[k] = self.weights[one] + self.weights[two]
         return k
 
-    def read(self, text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
-        """The labellers' votes, and the buckets and values of the scorer's features (buckets can repeat)."""
+    def _look(self, text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray, float]:
+        """The labellers' votes, the rows and shares of the distinct words, and how much repeats."""
         words = text.split() if text else []
         n = len(words)
         if not n:
-            return (PASS,) * len(LABELLERS), np.zeros(1, np.int32), np.ones(1)
+            return (PASS,) * len(LABELLERS), np.zeros(0, np.int64), np.zeros(0), 0.0
         counts = Counter(words)
         if len(self) + len(counts) > REMEMBERED:
             self.clear()
             if len(counts) > len(self.flags):
-                self.flags, self.buckets = np.zeros((len(counts), 4), bool), np.zeros((len(counts), 2), np.int32)
+                self._make_room(len(counts))
         rows = np.fromiter(map(self.__getitem__, counts), np.int64, len(counts))
         share = np.fromiter(counts.values(), np.float64, len(counts)) / n
         upper, odd, bars, ends = (share @ self.flags[rows]).tolist()
@@ -74,9 +84,25 @@ class Words(dict):
             BAD if n >= 30 and few <= 0.25 else PASS,
             BAD if n >= 80 and ends < 0.003 else GOOD if n >= 20 and 0.015 <= ends <= 0.3 else PASS,
         )
-        buckets = np.concatenate(([0, 1], self.buckets[rows].ravel())).astype(np.int32)
-        values = np.concatenate(([1.0, same + max(0.0, 0.5 - few)], np.repeat(share, 2)))
-        return votes, buckets, values
+        return votes, rows, share, same + max(0.0, 0.5 - few)
+
+    def votes(self, text: str | None) -> tuple[int, ...]:
+        return self._look(text)[0]
+
+    def read(self, text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
+        """The labellers' votes, and the buckets and values of the scorer's features (buckets can repeat)."""
+        votes, rows, share, repeats = self._look(text)
+        if not len(rows):
+            return votes, np.zeros(1, np.int32), np.ones(1)
+        return votes, np.concatenate(([0, 1], self.buckets[rows].ravel())).astype(np.int32), np.concatenate(([1.0, repeats], np.repeat(share, 2)))
+
+    def score(self, text: str | None) -> tuple[tuple[int, ...], float]:
+        """The votes and the scorer's probability that the text is good; 0 without words."""
+        votes, rows, share, repeats = self._look(text)
+        if not len(rows):
+            return votes, 0.0
+        x = self.weights[0] + self.weights[1] * repeats + share @ self.worth[rows]
+        return votes, float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
 class WeakLabels:
@@ -137,11 +163,6 @@ class Scorer:
     def __init__(self, labels: WeakLabels, weights: np.ndarray):
         self.labels, self.weights = labels, weights
 
-    def score(self, words: Words, text: str | None) -> tuple[tuple[int, ...], float]:
-        """The votes and the scorer's probability that the text is good; 0 without words."""
-        votes, b, x = words.read(text)
-        return votes, float(1 / (1 + np.exp(-np.clip(self.weights[b] @ x, -30, 30)))) if text and text.strip() else 0.0
-
 
 def _once(buckets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     b, at = np.unique(buckets, return_inverse=True)
@@ -156,9 +177,9 @@ def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", sample:
     """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, words = Counter(), Words()
+        counts, words = Counter(), Words(hashed=False)
         for b in small_slices(batches):
-            counts.update(words.read(t)[0] for t in b.column(0).to_pylist())
+            counts.update(words.votes(t) for t in b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in counts], pa.list_(pa.int32())), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
 
     found = docs.select(text_col).mapInArrow(vote, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
@@ -195,9 +216,9 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, words = shared.value, Words()
+        s, words = shared.value, Words(weights=shared.value.weights)
         for b in small_slices(batches):
-            read = [s.score(words, t) for t in b.column(place).to_pylist()]
+            read = [words.score(t) for t in b.column(place).to_pylist()]
             weak = s.labels.posterior([r[0] for r in read])
             got = [r[1] for r in read]
             cols = [*b.columns, pa.array(got, pa.float64()), pa.array(weak), pa.array([x >= threshold and x > 0 for x in got], pa.bool_())]
@@ -212,9 +233,9 @@ def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFr
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, words = shared.value, Words()
+        words = Words(weights=shared.value.weights)
         for b in small_slices(batches):
-            got = [s.score(words, t)[1] for t in b.column(place).to_pylist()]
+            got = [words.score(t)[1] for t in b.column(place).to_pylist()]
             yield b.filter(pa.array([x >= threshold and x > 0 for x in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
