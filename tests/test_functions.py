@@ -82,3 +82,28 @@ def test_stream_agrees_with_batch(spark):
     batch = {(r.series, r.bar_ts): (r.n, r.c) for r in hourly_bars(spark, sf).collect()}
     stream = {(r.series, r.bar_ts): (r.n, r.c) for r in streamed_windows(spark, sf).collect()}
     assert stream and all(batch[k] == v for k, v in stream.items())
+
+
+def test_cool_down_keeps_what_a_plain_loop_keeps(spark):
+    from tidemark.plans.audits import COOL_DOWN_MS, cooled
+
+    times = [0, 1, COOL_DOWN_MS - 1, COOL_DOWN_MS, COOL_DOWN_MS + 5, 2 * COOL_DOWN_MS, 9 * COOL_DOWN_MS, 9 * COOL_DOWN_MS]
+    df = spark.createDataFrame([(times,), ([],)], "ts array<long>").select(cooled("ts").alias("x"))
+    want = []
+    for t in times:
+        if not want or t - want[-1] >= COOL_DOWN_MS:
+            want.append(t)
+    assert [r.x for r in df.collect()] == [want, []]
+
+
+def test_trigger_is_given_once_over_many_batches(spark, tmp_path):
+    from tidemark.streaming import windows
+
+    events = spark.createDataFrame([(i, i % 3) for i in range(60)], "event_id long, user_id long").selectExpr("event_id", "user_id", "timestamp_seconds(1704067200 + event_id * 240) AS ts", "50D AS value")
+    for k in range(4):  # ascending in time, so that no row is late
+        events.filter(f"event_id DIV 15 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = windows.trigger_at(windows.read_stream(spark, str(tmp_path / "in")), k=4)
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.series, r.start) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(s, (1704067200 + 3600 * h) * 1000) for s in range(3) for h in range(4)]

@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _name in ("market", "windows", "joins", "accounting", "discovery", "detection", "lifecycle", "hypotheses", "momentum", "streams"):
+for _name in ("market", "windows", "joins", "accounting", "discovery", "detection", "lifecycle", "hypotheses", "momentum", "audits", "streams"):
     importlib.import_module(f"tidemark.plans.{_name}")

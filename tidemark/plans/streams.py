@@ -8,16 +8,29 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
+from tidemark.sources.events import SAMPLES_SQL
 from tidemark.streaming import windows
 
 
-@query()
-def streamed_windows(spark, d):
-    """TS1, TS4, SC12: the hourly windows that the watermark has closed, from a file stream."""
+def run_to_end(spark, d, change, schema: str):
+    """The rows that a file stream of the events gives through change, once it has read all."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
     run = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    q = windows.archive(stream).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").outputMode("append").trigger(availableNow=True).start()
+    events = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(d)
+    q = change(stream).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("series long, bar_ts long, n long, o double, h double, l double, c double").parquet(f"{run}/out").select("series", "bar_ts", "n", F.round("c", 6).alias("c"))
+    return spark.read.schema(schema).parquet(f"{run}/out")
+
+
+@query()
+def streamed_windows(spark, d):
+    """TS1, TS4, SC12: the hourly windows that the watermark has closed, from a file stream."""
+    out = run_to_end(spark, d, windows.archive, "series long, bar_ts long, n long, o double, h double, l double, c double")
+    return out.select("series", "bar_ts", "n", F.round("c", 6).alias("c"))
+
+
+@query(f"WITH {SAMPLES_SQL} SELECT series, CAST(floor(t / 3600000) * 3600000 AS BIGINT) AS start FROM samples GROUP BY 1, 2 HAVING count(*) >= 10")
+def streamed_triggers(spark, d):
+    """TS2, TS3: the windows that a stateful stream announced at their tenth sample."""
+    return run_to_end(spark, d, windows.trigger_at, "series long, start long")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def quotes(events: DataFrame) -> DataFrame:
@@ -32,6 +34,28 @@ def fire_once(stream: DataFrame, low: float, high: float, grace: str = "1 hour")
     return hit.withWatermark("ts", grace).dropDuplicatesWithinWatermark(["series", "start"])
 
 
+def trigger_at(stream: DataFrame, k: int = 10, grace: str = "1 hour") -> DataFrame:
+    """TS2, TS3: a series' window, once, as soon as it has k samples.
+
+    The state is one count a window, and goes when the watermark passes the window's end.
+    """
+    hour = F.window("ts", "1 hour")
+    rows = quotes(stream).withWatermark("ts", grace).select("series", F.unix_millis(hour.start).alias("start"), F.unix_millis(hour.end).alias("end"), "ts")
+
+    def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get[0] if state.exists else 0
+        after = before + sum(len(p) for p in parts)
+        state.update((after,))
+        state.setTimeoutTimestamp(max(int(key[2]), state.getCurrentWatermarkMs() + 1))
+        if before < k <= after:
+            yield pd.DataFrame({"series": [key[0]], "start": [key[1]]})
+
+    return rows.groupBy("series", "start", "end").applyInPandasWithState(count, "series long, start long", "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def append_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """SC9, SC13, TS7, TS14: a foreachBatch sink that appends only keys the table does not hold yet."""
 
