@@ -78,9 +78,10 @@ def test_token_files(spark, tmp_path):
 def test_packing_keeps_every_id_once_within_all_limits(spark, limits):
     word = library("word_bpe_49k.json")
     rows = packing.pack(docs(spark), **limits).collect()
+    encoded = [[*word(t), 2] for t in ODD]
     by_doc, by_seq = {}, {}
     for r in rows:
-        ids = [*word(ODD[r.doc_id]), 2]
+        ids = encoded[r.doc_id]
         assert r.doc_tokens == len(ids) and crc(ids[r.start : r.start + r.length]) == r.ids_crc32
         by_doc.setdefault(r.doc_id, []).append((r.start, r.length))
         by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length, r.loss_tokens))
