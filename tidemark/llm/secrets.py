@@ -1,13 +1,19 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a word with a digit that holds a run of at least 12 key-like characters. The forest sees its length, its character transitions, how much of it words
-of a dictionary cover, whether it stands in a path, and its neighbouring words. It is trained from
-labelled findings (`word`, `before`, `after`, `label`); `rule_findings` makes such a table from
-public key shapes and look-alikes (checksums, ids, versions, dates, words) where none is at hand.
-Everything runs as column expressions and the DataFrame API of pyspark.ml.
-
-Null and empty texts have no candidate; every occurrence is one finding, by its word number;
-repeated rows are scanned each; other columns are kept by `redact`; empty tables stay empty.
+A candidate is a run of key-like characters (letters, digits, + / _ - and closing = signs): any run
+of at least 12 with a digit, and any of at least 4, digits or not, that a secret's name is assigned
+to (`password: Tr0ub4dor`). Each run of a word is a finding of its own, so minified JSON, CSV, query
+strings and JWTs are scored piece by piece. The forest sees its length, its character transitions,
+how much of it words of a dictionary cover, whether it stands in a path, the name that it is
+assigned to and its neighbouring words. It is trained from labelled findings (`word`, `before`,
+`after`, `label`); `rule_findings` makes such a table from public key shapes and look-alikes
+(checksums, ids, versions, dates, words) where none is at hand. Everything runs as column
+expressions and the DataFrame API of pyspark.ml. A value with other signs inside (`ab&cd`) is
+several runs, each scored alone.
+
+Null and empty texts have no candidate; every occurrence is one finding, by its word number and its
+place among the pieces of the word; repeated rows are scanned each; other columns are kept by
+`redact`, which replaces findings where they stand; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -20,21 +26,103 @@ from tidemark.llm.common import free_name, table
 # Names that go with secrets, words that go with look-alikes, words of a dictionary.
 SECRET_NAMES = "pass|pwd|secret|token|apikey|api_key|api-key|access|auth|bearer|credential|private"
 PLAIN_NAMES = "sha|md5|checksum|digest|commit|revision|uuid|guid|version|build|isbn|serial|order|invoice|phone|page|item|date|id$"
-DICTIONARY = "example|sample|change|dummy|test|place|holder|default|password|secret|token|value|name|user|file|image|index|report|version|release|document|number|model|page|data|lorem|ipsum|http|www|the|and|ing|tion|ment"
-RUN = r"[A-Za-z0-9+/_=-]{12,}"
-#: A word is looked at if it has such a run and a digit.
-CANDIDATE = r"^(?=\S*[0-9])\S*?" + RUN
-FEATURES = ("length", "digits", "upper", "lower", "signs", "turns", "distinct", "hexlike", "covered", "named", "plain", "assigned", "path", "keyshape")
+#: Common words of English and of technical texts, of three letters or more, and a few endings.
+WORDS = """
+able about above accept access account across action active actual add address admin after again against age ago agree air alert alias all allow
+almost alone along already also always among amount and animal another answer any api app appear application apply area argument army around array
+arrive art article ask asset async attempt attribute audio auth author auto available average away baby back backup bad bank bar base basic batch
+battery bearer beat beautiful because become been before began begin behind being believe below best better between beyond big binary bit black block
+blog blue board body book boolean border both bottom box boy branch bread break bring broken brother browser buffer bug build building business but
+button buy byte cache call came can cancel car card care carry case catch category cause cell center central certain change changed changeme channel
+char character charge chart check checksum child children choice choose city class clean clear click client clock close cloud code cold collection
+color column come command comment commit common community company compare complete component computer condition config configuration connect
+connection consider console constant consumer contact container content context continue control cookie copy core correct cost could count country
+course cover create created credential cross cup current customer daily dark data database date day days dead dead deal debug december decide deep
+default define delete demo depend deploy depth describe description design desk detail develop device did different digest digit direct directory
+disable disk display doc docs document does dog domain done door double down download draft drive driver drop dry dummy during each early earth east
+easy edge edit editor effect egg eight either element else email empty enable encode end engine english enough enter entry environment equal error
+even evening event ever every exact example except execute exist expect expired export expression extra eye face fact factory fail failed fall false
+family far farm fast father feature february feel feet fetch few field figure file fill filter final find fine finish fire first fish five fix flag
+flat float floor flow folder follow food foot footer for force forest form format forward found four frame free friday friend from front full function
+future game garden gate gateway gave general generate get girl give given global gold gone good goods graph gray great green ground group grow guest
+guide had hair half hand happen happy hard has hash have head header health hear heart heavy height held hello help her here hidden high hill him his
+history hold holder home hope horse host hot hour hours house how however http https human hundred husband icon idea image import inch include increase
+index info information initial inner input insert inside install instance integer interest interface internal into invalid invoice island issue item
+items its january job join json just keep key keys kind king knew know label land language large last late later latest law layer layout learn least
+leave left length less let letter level library license life light like limit line link linux list listen listing little live load local location lock
+log logger login logo long look loop lorem lost lot love low lower machine made mail main make man manager many map mark market master match material
+matter max may maybe mean measure media meet member memory men menu merge message metadata meter method middle might mind minute missing mobile mode
+model modern module moment monday money monitor month more morning most mother mount mountain move movement much multi music must mutable name names
+nation native near need network never new news next night nine node none normal north not note nothing notice november now null number numbers object
+october off offer office offset often old once one online only open operation operator option optional orange order organization origin other our out
+output outside over own owner package page pages paint pair panel paper paragraph parameter parent parse part party pass passage password past patch path pattern
+pay payload payment people per perhaps period person phone phrase picture piece pipe place placeholder plain plan plane plant platform play player please plugin
+point policy poor port position possible post pound power prefix prepare present press pretty preview previous price primary print private problem
+process produce product production profile program project promise property protocol provide proxy public publish pull purchase push put python quality
+query question queue quick quiet quite random range rate rather raw reach read reader ready real reason receive recent record red redirect reduce
+reference region register regular reject release remain remember remote remove render repeat replace report repository request require required reset resource
+response rest result return reverse review rich right river road rock role roll room root rose round route router row rule run runtime safe said sale
+same sample saturday save schedule schema scheme school science scope score screen script sea search season second secret section secure security see
+seem segment select self sell send sense sent sentence separate september sequence serial series serve server service session set setting settings
+seven several shadow shape share she shell ship shop short should show side sign signal signature simple since single sister site six size skill skip sky sleep
+slot slow small snow social socket soft software some son song soon sort sound source south space special speed spring square stack staff stage stand
+standard star start state statement static station status stay step still stock stone stop storage store story stream street string strong structure
+student style subject submit success such suffix summary summer sun sunday supply support sure surface switch symbol sync system table tag take talk
+target task teach team tell template temporary ten term test text than thank that the their them theme then there these they thing think third this
+those thousand thread three through thursday time times timestamp title today together token tool top total touch toward town trace track trade train
+tree trigger true try tuesday turn two type unable under undefined union unique unit unknown until update upload upper url usage use user username usual
+utility valid validate value values variable vector vendor verify version very video view virtual visit voice volume wait walk wall want war warm
+warning was watch water way weather web website wednesday week weight well went were west what wheel when where whether which while white who whole why wide width
+wife wild will wind window windows winter wish with within without woman women wood word words work worker world worth would wrapper write writer
+written wrong year years yellow yes yesterday yet you young your yourself zero zone ing tion ment ness ipsum www sha guid uuid
+"""
+#: Key-like characters; a run can close with = signs that nothing is assigned by.
+K = "A-Za-z0-9+/_-"
+#: Where blanks begin and end, and where runs begin and end: splitting there loses no character.
+BLANKS = r"(?<=\s)(?=\S)|(?<=\S)(?=\s)"
+RUNS = rf"(?<![{K}])(?=[{K}])|(?<=[{K}])(?![{K}])(?!={{1,2}}(?![={K}]))|(?<=[{K}]={{1,2}})(?![={K}])"
+#: A run is looked at if it has 12 characters and a digit, or if it follows a secret's name and =, : or =>.
+LONG = rf"(?<![{K}])(?=[A-Za-z+/_-]*[0-9])[{K}]{{12,}}"
+ASSIGN = r"""["'\\\])]{0,3}\s{0,3}(?:=>|:=|[:=])\s{0,3}["'\\\[(]{0,3}"""
+SECRET_ASSIGN = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)[0-9_-]{0,3}" + ASSIGN
+NAMED = rf"{SECRET_ASSIGN}[{K}]{{4,}}"
+#: Characters of context on each side of a run.
+AROUND = 80
+FEATURES = ("length", "digits", "upper", "lower", "signs", "turns", "distinct", "hexlike", "covered", "named", "named_key", "plain", "assigned", "path", "keyshape", "named_after", "plain_after")
 TREES, DEPTH, EXAMPLES, THRESHOLD = 20, 6, 3000, 0.5
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of the longest of the words: alternatives share their first letters, so it is walked and not tried word by word."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        more = [c + pattern(at[c]) for c in sorted(at) if c]
+        if not more:
+            return ""
+        return f"(?:{'|'.join(more)})" + ("?" if "" in at else "")
+
+    return pattern(tree)
+
+
+DICTIONARY = _any_of(WORDS.split())
+
+
 def features(df: DataFrame) -> DataFrame:
-    """The forest's features of (word, before, after)."""
-    value = F.regexp_replace(F.regexp_extract("word", r"([A-Za-z0-9+/_=-]{12,}).*$", 1), r"^[A-Za-z_-]{2,40}=(?=.)", "")
-    df = df.withColumn("value", value)
+    """The forest's features of (value, left, right)."""
     n = F.greatest(F.length("value"), F.lit(1)).cast("double")
+    df = df.withColumns({
+        "before": F.regexp_extract("left", r"((?:\S+\s+){0,2})\S*\z", 1), "after": F.lower(F.regexp_extract("right", r"^\S*\s+(\S+)", 1)),
+        "name": F.regexp_extract("left", r"([A-Za-z0-9_.-]{2,40})" + ASSIGN + r"\z", 1),
+        "word": F.concat(F.regexp_extract("left", r"(\S*)\z", 1), F.col("value"), F.regexp_extract("right", r"^(\S*)", 1)),
+    })
     kept = lambda pattern: F.length(F.regexp_replace("value", pattern, "")) / n
-    name = F.lower(F.concat_ws(" ", F.col("before"), F.regexp_extract("word", r"^\W*([A-Za-z_.-]{2,40})[=:]", 1)))
+    name = F.lower(F.concat_ws(" ", F.trim("before"), F.col("name")))
     flag = lambda c: c.cast("double")
     cols = {
         "length": n,
@@ -47,10 +135,13 @@ def features(df: DataFrame) -> DataFrame:
         "hexlike": flag(F.col("value").rlike("^[0-9a-f]+$")),
         "covered": 1 - F.length(F.regexp_replace(F.lower("value"), DICTIONARY, "")) / n,
         "named": flag(name.rlike(SECRET_NAMES)),
+        "named_key": flag(F.lower("name").rlike(SECRET_NAMES)),
         "plain": flag(name.rlike(PLAIN_NAMES)),
-        "assigned": flag(F.col("word").rlike(r"[=:]['\"]?[A-Za-z0-9]") | F.col("before").rlike(r"[=:]\s*$")),
+        "assigned": flag(F.col("left").rlike(ASSIGN + r"\z")),
         "path": flag(F.col("word").rlike(r"://|\.[a-z]{2,4}\b|/[A-Za-z0-9_.-]+/|@")),
         "keyshape": flag(F.col("value").rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^sk[-_][A-Za-z0-9_-]{16,}$|^xox[abp]-|^AIza[A-Za-z0-9_-]{30,}$|^eyJ[A-Za-z0-9_-]{10,}")),
+        "named_after": flag(F.col("after").rlike(SECRET_NAMES)),
+        "plain_after": flag(F.col("after").rlike(PLAIN_NAMES)),
     }
     return df.withColumns(cols)
 
@@ -61,6 +152,11 @@ def rule_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFrame:
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "[=]", "")
     pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (F.pmod(F.xxhash64(i, F.lit(n)), F.lit(len(v))) + 1).cast("int"))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    joined = lambda *v: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in v))
+    url64, size = F.translate(b64, "+/", "-_"), (F.pmod(F.xxhash64(i, F.lit(30)), F.lit(6)) + 6).cast("int")
+    mixed = F.translate(F.substring(b64, F.lit(1), size), "+/", "x7")
+    letters = F.translate(mixed, "0123456789", "qzkvjxwpgb")
+    word = lambda n: pick(n, "required", "please", "example", "changed", "never", "reset", "policy", "value", "string", "default", "document", "service", "optional", "expired")
     kinds = [
         (1, F.concat(F.lit("AKIA"), F.translate(F.upper(F.substring(b64, 1, 16)), "+/", "XY")), pick(1, "key is", "of the", "an and", "use")),
         (1, F.concat(pick(2, "password=", "passwd=", "pwd=", "secret="), F.substring(h, 1, 18)), pick(3, "and with", "the", "thing", "or")),
@@ -76,6 +172,16 @@ def rule_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFrame:
         (0, F.conv(F.substring(h, 1, 13), 16, 10), pick(16, "number", "the", "call", "item")),
         (0, F.concat(pick(17, "version-", "release_", "model-number-", "document-"), F.conv(F.substring(h, 1, 6), 16, 10), F.lit("-final")), pick(18, "the", "file", "of")),
         (0, F.concat(F.lit("+1-555-"), F.conv(F.substring(h, 1, 6), 16, 10), F.lit("-000")), pick(19, "call", "phone", "the")),
+        (1, joined('{"user":"bob","', pick(20, "access_token", "password", "api_key", "client_secret"), '":"', F.substring(url64, 1, 32), '","n":1}'), pick(21, "got", "the", "body")),
+        (1, joined("eyJhbGciOiJIUzI1NiJ9.eyJ", F.substring(url64, 1, 36), ".", F.substring(F.reverse(url64), 1, 42)), pick(22, "Bearer", "token:", "the", "jwt")),
+        (1, joined("https://api.test.org/cb?n=1&", pick(23, "access_token=", "token=", "api_key="), F.substring(h, 1, 32), "&lang=en"), pick(24, "open", "the", "at")),
+        (1, joined("AKIA", F.translate(F.upper(F.substring(b64, 1, 16)), "+/", "XY"), ",", F.substring(F.reverse(b64), 1, 40)), pick(25, "row", "keys", "the")),
+        (1, mixed, pick(26, "password:", "passwd =", "secret:", "db_password:", "pwd =")),
+        (1, F.when(size % 2 == 0, F.lower(letters)).otherwise(letters), pick(27, "password:", "token =", "secret:", "pwd:")),
+        (0, word(28), pick(29, "password:", "token:", "secret =", "api_key:", "auth:")),
+        (0, joined(pick(31, '{"token":"', '{"password":"', '{"secret":"'), word(32), word(33), '","id":7}'), pick(34, "got", "the", "body")),
+        (0, joined('{"order_id":"', F.conv(F.substring(h, 1, 13), 16, 10), '","sha":"', F.substring(h, 14, 40), '"}'), pick(35, "got", "the", "body")),
+        (0, joined(word(36), word(37), "-", F.conv(F.substring(h, 1, 3), 16, 10)), pick(38, "the", "file", "and", "of")),
     ]
     of = F.pmod(i, F.lit(len(kinds)))
     word, before, label = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0)
@@ -89,21 +195,40 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="secret_features").transform(features(findings)).select("secret_features", F.col("label").cast("double").alias("label"))
+    texts = findings.select(F.concat_ws(" ", "before", "word", "after").alias("text"), F.col("label").alias("found_label"))
+    rows = features(candidates(texts, "found_label")).withColumn("label", F.col("found_label"))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="secret_features").transform(rows).select("secret_features", F.col("label").cast("double").alias("label"))
     return RandomForestClassifier(featuresCol="secret_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=17).fit(rows)
 
 
 def _has_candidate(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"(?<!\S)(?=\S*[0-9])\S*?" + RUN), F.lit(False))
+    return F.coalesce(text.rlike(LONG) | text.rlike(NAMED), F.lit(False))
 
 
 def candidates(docs: DataFrame, *keys: str) -> DataFrame:
-    """keys, word_no, word, before (two words) and after of every candidate in whole texts."""
-    words = docs.filter(_has_candidate(F.col("text"))).select(*keys, F.split("text", r"\s+").alias("w"))
-    at = F.filter(F.transform("w", lambda x, i: F.when(x.rlike(CANDIDATE), i)), lambda i: i.isNotNull())
-    get = lambda d: F.coalesce(F.get("w", F.col("word_no") + d), F.lit(""))
-    found = words.withColumn("at", at).filter(F.size("at") > 0).withColumn("word_no", F.explode("at"))
-    return found.select(*keys, "word_no", get(0).alias("word"), F.concat_ws(" ", get(-2), get(-1)).alias("before"), get(1).alias("after"))
+    """keys, word_no, run_no, value, left and right (what stands around it) of every candidate in whole texts.
+
+    run_no is the place among the pieces of the word that RUNS splits. Texts are first split into
+    words, candidate words into runs, and each step is linear in its length.
+    """
+    get = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+    near = lambda i: F.concat_ws(" ", *(F.right(get("t", i - d), F.lit(AROUND // 2)) for d in (6, 4, 2)))
+    texts = docs.filter(_has_candidate(F.col("text"))).select(*keys, F.split("text", BLANKS).alias("t"))
+    at = F.filter(F.transform("t", lambda x, i: F.when(x.rlike(LONG) | F.concat(near(i), F.lit(" "), x).rlike(NAMED), i)), lambda i: i.isNotNull())
+    # blanks and words alternate; either can come first
+    word = F.transform(at, lambda i: F.struct(((i + 1) / 2).cast("int").alias("word_no"), get("t", i).alias("x"), near(i).alias("near"), F.left(get("t", i + 2), F.lit(AROUND)).alias("next")))
+    words = texts.select(*keys, F.explode(word).alias("w")).select(*keys, "w.*").withColumn("q", F.split("x", RUNS))
+
+    def left(j: Column) -> Column:
+        return F.right(F.concat("near", F.lit(" "), *(get("q", j - d) for d in range(6, 0, -1))), F.lit(AROUND))
+
+    def run(y: Column, j: Column) -> Column:
+        right = F.left(F.concat(*(get("q", j + d) for d in range(1, 5)), F.lit(" "), F.col("next")), F.lit(AROUND))
+        taken = y.rlike("^" + LONG) | (y.rlike(rf"^[{K}]{{4,}}") & left(j).rlike(SECRET_ASSIGN + r"\z"))
+        return F.when(taken, F.struct(j.alias("run_no"), y.alias("value"), left(j).alias("left"), right.alias("right")))
+
+    runs = F.filter(F.transform("q", run), lambda r: r.isNotNull())
+    return words.select(*keys, "word_no", F.explode(runs).alias("r")).select(*keys, "word_no", "r.*")
 
 
 def scan(docs: DataFrame, model, *keys: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -113,25 +238,37 @@ def scan(docs: DataFrame, model, *keys: str, threshold: float = THRESHOLD) -> Da
 
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="secret_features").transform(features(candidates(docs, *keys)))
     scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
-    return scored.select(*keys, "word_no", "word", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
+    return scored.select(*keys, "word_no", "run_no", "word", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
+
+
+def _replaced(pieces: Column, hits: Column, at, new) -> Column:
+    """The pieces joined, with new(hit) in the place at(hit) of each hit; hits are in the order of their places."""
+    past = lambda j: F.when(j == 0, F.lit(0)).otherwise(at(F.get(hits, j - 1)) + 1)
+    parts = F.flatten(F.transform(hits, lambda x, j: F.concat(F.slice(pieces, past(j) + 1, at(x) - past(j)), F.array(new(x)))))
+    end = F.slice(pieces, past(F.size(hits)) + 1, F.size(pieces))
+    return F.array_join(F.concat(parts, end), "")
 
 
 def redact(docs: DataFrame, model, mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with every confirmed secret in text replaced by mark and n_chars counted anew.
+    """docs with every confirmed secret in text replaced by mark where it stands, and n_chars counted anew.
 
     Texts without a candidate are passed on as they are; only the others meet their findings in a
     join by a hash of the whole text, so equal texts share their findings.
     """
     has = _has_candidate(F.col("text"))
     # SHA-256 names a text
-    key, of = free_name(docs, "secret_key"), free_name(docs, "secret_values")
+    key, of, cut = free_name(docs, "secret_key"), free_name(docs, "secret_places"), free_name(docs, "secret_pieces")
     suspects = docs.filter(has).withColumn(key, F.sha2(F.col("text").cast("binary"), 256))
-    values = scan(suspects.dropDuplicates([key]), model, key, threshold=threshold).filter("is_secret")
-    values = values.groupBy(key).agg(F.collect_set("value").alias(of))
-    found = F.reverse(F.array_sort(F.transform(of, lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
-    clean = F.coalesce(F.aggregate(found, F.col("text"), lambda t, v: F.replace(t, v["v"], F.lit(mark))), F.col("text"))
+    found = scan(suspects.dropDuplicates([key]), model, key, threshold=threshold).filter("is_secret")
+    found = found.groupBy(key, "word_no").agg(F.array_sort(F.collect_list("run_no")).alias("runs"))
+    found = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("word_no", "runs"))).alias(of))
+    done = suspects.join(found, key, "left")
     hit = F.col(of).isNotNull()
-    done = suspects.join(values, key, "left").withColumn("text", clean)
+    done = done.withColumn(cut, F.when(hit, F.split("text", BLANKS)))
+    place = lambda x: x["word_no"] * 2 - F.when(F.col("text").rlike(r"^\s"), F.lit(1)).otherwise(F.lit(0))
+    # transform over one array names the word's pieces, which would be split anew for each use
+    clear = lambda x: F.get(F.transform(F.array(F.split(F.get(F.col(cut), place(x)), RUNS)), lambda q: _replaced(q, x["runs"], lambda r: r, lambda r: F.lit(mark))), F.lit(0))
+    done = done.withColumn("text", F.when(hit, _replaced(F.col(cut), F.col(of), place, clear)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return docs.filter(~has).unionByName(done.select(*docs.columns))
@@ -139,4 +276,4 @@ def redact(docs: DataFrame, model, mark: str = "[SECRET]", threshold: float = TH
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"), train(rule_findings(spark)), "doc_id")
-    return found.select("doc_id", "word_no", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").alias("value_chars"), "score", "is_secret")
+    return found.select("doc_id", "word_no", "run_no", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").alias("value_chars"), "score", "is_secret")
