@@ -117,6 +117,33 @@ def test_mixing_reaches_its_targets(spark):
     assert {r["mix_source"]: round(r["rate"], 6) for r in mixing.source_rates(df, w).collect()} == {"hot": round(20_000 / 18_000 * 0.25, 6), "rare": 7.5}
 
 
+def plain_count(rate, u):
+    first = max(0, int(rate - 14 * math.sqrt(rate)))
+    total, n = 0.0, first
+    for k in range(first, int(rate + 14 * math.sqrt(rate)) + 20):
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        if total > u:
+            break
+        n += 1
+    return n
+
+
+def test_counts_of_rare_sources_have_no_cap(spark):
+    cases = [(rate, u) for rate in (64.5, 100.0, 1000.25, 3e6, 4e7) for u in (0.0001, 0.3, 0.77, 0.9999)]
+    df = spark.createDataFrame(cases, "rate double, u double")
+    got = df.select("rate", "u", mixing.poisson_count(F.col("rate"), F.col("u")).alias("n")).collect()
+    assert {(r.rate, r.u): r.n for r in got} == {c: plain_count(*c) for c in cases}
+
+
+def test_rare_source_reaches_its_share(spark, monkeypatch):
+    df = spark.range(20_000).select("id", F.when(F.col("id") == 5, "rare").otherwise("hot").alias("source"), F.col("id").alias("doc_id"))
+    rates = {r["mix_source"]: r["steps"] for r in mixing.source_rates(df).collect()}
+    assert rates["rare"] is None and len(rates["hot"]) < 50
+    got = mixing.mix(df).filter("source = 'rare'").agg(F.count("*"), F.min("mix_copy"), F.max("mix_copy"), F.count_distinct("mix_copy")).first()
+    u = spark.range(1).select(mixing.uniform(7, F.lit(5))).first()[0]
+    assert tuple(got) == (plain_count(10_000, u), 1, plain_count(10_000, u), plain_count(10_000, u))
+
+
 def test_mixing_of_odd_rows(odd, monkeypatch):
     once = sorted(map(repr, mixing.mix(odd.withColumn("mix_copy", F.lit(0))).select(*odd.columns, "mix_copy", "mix_key").collect()))
     monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
