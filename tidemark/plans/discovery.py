@@ -95,7 +95,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 6) DESC,
 SELECT id, any_value(label) AS label, CASE WHEN count(*) FILTER (rk = 1) = 1 THEN max(other) FILTER (rk = 1) END AS voted, CAST(max(votes) AS BIGINT) AS votes FROM t GROUP BY id"""
 )
 def neighbour_votes(spark, d):
-    """JN14, JN15, AF19, EV17: cosine neighbours vote, with abstention on a tie.
+    """JN15, AF19: cosine neighbours vote, with abstention on a tie.
 
     Queries meet the table in blocks of rows: each task gets its rows once and all query blocks.
     """
