@@ -1,9 +1,11 @@
 """Both vector searches against brute force; the Jaccard join against its definition."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, vectors
+from tidemark.llm.common import connected_components
 
 V = "vec_id long, embedding array<float>, score double"
 
@@ -105,6 +107,37 @@ def test_jaccard_groups_in_small_blocks(spark, monkeypatch):
     assert got == plain_groups(texts, 3, 90)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 7])
+def test_repeated_ids_with_different_near_texts(spark, parts):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a), (5, b), (7, b + " end"), (9, a + " end"), (4, b + " more"), (5, a.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked_groups(df).collect())
+    assert got == [(4, 59, 4), (5, 58, 4), (5, 58, 5), (5, 58, 5), (7, 59, 4), (9, 59, 5)]
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    links = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1090)] + [(7, 7)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(400)} | {k: 1000 for k in range(1000, 1091)}
+
+
+def test_suffix_filter_counts_what_follows(spark):
+    sig = np.array([[2, 255] + [0] * 126], np.uint8)
+    assert jaccard._suffixes(sig, [bytes([0, 1, 1])]).tolist() == [[1, 255] + [0] * 126]
+
+
+def test_blocks_test_each_pair_once():
+    side, seen = np.array([0, 0, 1, 1]), []
+
+    def linked(i, left):
+        seen.extend((int(i), int(j)) for j in left)
+        return np.zeros(len(left), bool)
+
+    assert jaccard._walk(side, 4, linked) == []
+    assert sorted(tuple(sorted(p)) for p in set(map(tuple, map(sorted, seen)))) == [(0, 2), (0, 3), (1, 2), (1, 3)] and len(seen) == 4
+
+
 def test_jaccard_repeated_null_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (1, "q r s t u"), (None, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
     got = sorted(map(tuple, jaccard.linked_groups(df).collect()), key=repr)

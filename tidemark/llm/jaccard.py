@@ -1,22 +1,29 @@
 """N-gram Jaccard join: rare-first prefix filtering, verified once, down to linked groups.
 
-The set of a text is its distinct hashed n-grams. Two texts link when their Jaccard similarity
-reaches `percent` / 100. Equal sets are one class from the start. For the others:
+The set of a text is its distinct hashed n-grams, and a 128-bit hash names it. Two texts link when
+their Jaccard similarity reaches `percent` / 100. Equal sets are one class from the start, and the
+name is the node of all links. For sets of different names:
 
 1. how often n-grams occur is counted over all texts, in a table of fixed size (2^22 counters);
 2. the n-grams of a set are ordered rarest first, and as two linked sets must share one of the
    first |x| - ceil(t|x|) + 1, only these are joined;
 3. rows that share a prefix n-gram meet in one partition, where pairs must pass the length,
-   positional and suffix filters. The suffix filter bounds the overlap by how many n-grams two
-   sets have in each of 128 slices of the hash range. Of each meeting only links that connect
-   something new are passed on, so a group of m copies gives m - 1 rows, not all pairs;
-4. the sets of each group so connected are brought together once and verified exactly, again
-   skipping pairs that are already connected; components of the verified links are the result.
-
-Meetings and groups over a bounded number of rows are cut in blocks, and each two blocks meet, so
-no task holds an unbounded group and no link is lost. A null or empty text has an empty set and is
-linked with nothing. Rows with equal doc_id are each reported, under the smallest doc_id of their
-component; a null doc_id is reported with its own null component and takes no part in links.
+   positional and suffix filters. The suffix filter bounds what two sets share after that n-gram
+   by how many n-grams their suffixes have in each of 128 slices of the hash range; the first
+   n-gram that two sets share is the one at which the bound must hold. Of each meeting only links
+   that connect something new are passed on, so a group of m copies gives m - 1 rows, not all pairs;
+4. the sets of each group so connected are brought together and each pair is verified exactly at
+   most once, again skipping pairs that are already connected; components of the verified links
+   are the result.
+
+Meetings and groups over a bounded number of rows are cut in blocks, and each two blocks meet
+(pairs of one block are tested where it meets itself), so no task holds an unbounded group and no
+link is lost. Copies of one set, links of one node and members of one group are dealt by a salt.
+
+A null or empty text has an empty set and is linked with nothing. A row is a node: rows with equal
+doc_id and different texts can lie in different components, each under the smallest doc_id of its
+own; the result is the same for any partitioning. A null doc_id is reported with its own null
+component and takes no part in links.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, free_name, shared_table, small_slices, table
+from tidemark.llm.common import connected_components, free_name, shared_table, small_slices, table, with_totals
 
 #: Counters of n-gram frequency, slices of the hash range in the suffix filter.
 COUNTERS, SLICES = 1 << 22, 128
@@ -102,28 +109,34 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-SUMMARY = "doc_id long, n long, key binary, prefix array<long>, sig binary"
+SUMMARY = "doc_id long, text_hash long, n long, key binary, prefix array<long>, slices binary, sig binary"
+
+
+def _slice(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(57)).astype(np.uint8)
 
 
 def summaries(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Size, 128-bit name, rare-first prefix and slice counts of the set of every text."""
+    """Size, 128-bit name, rare-first prefix with its slices, and slice counts of the set of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for b in small_slices(batches):
-            sizes, keys, prefixes, sigs = [], [], [], []
-            for t in b.column(1).to_pylist():
+            sizes, keys, prefixes, slices, sigs = [], [], [], [], []
+            for t in b.column(2).to_pylist():
                 g = gram_set(t, n)
                 m = len(g)
                 first = g[np.lexsort((g, often[(g & np.uint64(COUNTERS - 1)).astype(np.int64)]))][: m + (-percent * m // 100) + 1] if m else g
                 sizes.append(m)
                 keys.append(xxhash.xxh3_128_digest(g.tobytes()))
                 prefixes.append(first.view(np.int64))
-                sigs.append(np.minimum(255, np.bincount((g >> np.uint64(57)).astype(np.int64), minlength=SLICES)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "n", "key", "prefix", "sig"])
+                slices.append(_slice(first).tobytes())
+                sigs.append(np.minimum(255, np.bincount(_slice(g), minlength=SLICES)).astype(np.uint8).tobytes())
+            cols = [*b.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(slices, pa.binary()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n", "key", "prefix", "slices", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SUMMARY)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SUMMARY)
 
 
 def in_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -159,87 +172,122 @@ def _run_bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(new), [t.num_rows]))
 
 
-def _walk(m: int, linked) -> list[tuple[int, int]]:
-    """Links of a forest over m rows; linked(i, others) says which of the others row i links to."""
-    left, out = np.arange(m), []
-    while len(left):
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            i = todo.pop()
-            hit = linked(i, left)
-            out += [(int(i), int(j)) for j in left[hit]]
-            todo += left[hit].tolist()
-            left = left[~hit]
+def _walk(side: np.ndarray | None, m: int, linked) -> list[tuple[int, int]]:
+    """Links of a forest over m rows; linked(i, others) says which of the others row i links to.
+
+    side: block of each row where two blocks meet; then only pairs of different blocks are tested.
+    """
+    if side is None:
+        left, out = [np.arange(m)], []
+        other = lambda i: 0
+    else:
+        left, out = [np.flatnonzero(side == 0), np.flatnonzero(side == 1)], []
+        other = lambda i: 1 - int(side[i])
+    for own in range(len(left)):
+        while len(left[own]):
+            todo, left[own] = [left[own][0]], left[own][1:]
+            while todo:
+                i = todo.pop()
+                k = other(i)
+                if not len(left[k]):
+                    continue
+                hit = linked(i, left[k])
+                out += [(int(i), int(j)) for j in left[k][hit]]
+                todo += left[k][hit].tolist()
+                left[k] = left[k][~hit]
     return out
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     pairs = sorted({(min(p), max(p)) for p in found if p[0] != p[1]})
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
 
 def _blocks(df: DataFrame, total, most: int) -> DataFrame:
-    """bi, bj: every two blocks of a run of `total` rows meet, each row in all meetings of its block."""
+    """bi, bj, side: every two blocks of a run of `total` rows meet, each row in all meetings of its block."""
     nb = F.ceil(F.col(total) / F.lit(float(most))).cast("int")
-    df = df.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("nb")).cast("int"))
+    df = df.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "key"), F.col("nb")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    df = df.withColumn("side", F.when(F.col("block") <= F.col("other"), 0).otherwise(1))
     return df.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("nb", "block", "other")
 
 
+def _side(t: pa.Table, a: int, b: int) -> np.ndarray | None:
+    """The blocks of the rows of one meeting, or None where a block meets itself."""
+    if t.column("bi")[a].as_py() == t.column("bj")[a].as_py():
+        return None
+    return t.column("side").slice(a, b - a).to_numpy()
+
+
+def _suffixes(sig: np.ndarray, seen: list[bytes]) -> np.ndarray:
+    """Slice counts of each set's suffix: those of the set less the slices of its n-grams up to here; 255 stays."""
+    out = sig.copy()
+    row = np.repeat(np.arange(len(seen)), [len(x) for x in seen])
+    at = row * SLICES + np.frombuffer(b"".join(seen), np.uint8)
+    used = np.bincount(at, minlength=out.size).astype(np.uint8).reshape(out.shape)
+    full = sig == 255
+    out -= np.where(full, 0, used).astype(np.uint8)
+    return out
+
+
 def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
     """Links that connect all pairs which share a prefix n-gram and pass the filters."""
-    rows = reps.filter("n > 0").select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "gram"))
+    rows = reps.select("key", "n", F.posexplode("prefix").alias("pos", "gram"))
     often = rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     met = shared_table(rows.join(often, "gram"), "met")
-    met = met.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id")
+    met = met.join(reps.select("key", "sig", "slices"), "key").withColumn("seen", F.substring("slices", F.lit(1), F.col("pos") + 1)).drop("slices")
     keys = ["gram", "bi", "bj"]
     met = _blocks(met, "df", MEETING).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_runs(batches, keys):
-            ids, n, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "pos"))
+            names = t.column("key").to_pylist()
+            n, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "pos"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SLICES)
+            seen = t.column("seen").to_pylist()
+            sig = np.concatenate([_suffixes(sig[at : at + 8192], seen[at : at + 8192]) for at in range(0, len(seen), 8192)])
             bounds = _run_bounds(t, keys)
             sizes = np.diff(bounds)
 
             def near(i, j, n=n, pos=pos, sig=sig):
                 """Length, positional and suffix filters for row numbers i (one or many) and j."""
                 a, b = n[i], n[j]
+                need = percent * (a + b)
                 ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-                ok &= (100 + percent) * (1 + np.minimum(a - pos[i], b - pos[j]) - 1) >= percent * (a + b)
+                ok &= (100 + percent) * (1 + np.minimum(a - pos[i], b - pos[j]) - 1) >= need
                 x, y = sig[i], sig[j]
-                most = np.minimum(x, y).sum(axis=-1, dtype=np.int64)
-                return ok & (((100 + percent) * most >= percent * (a + b)) | ((x == 255) & (y == 255)).any(axis=-1))
+                most = 1 + np.minimum(x, y).sum(axis=-1, dtype=np.int64)
+                return ok & (((100 + percent) * most >= need) | ((x == 255) & (y == 255)).any(axis=-1))
 
-            found: list[tuple[int, int]] = []
+            found: list[tuple[bytes, bytes]] = []
             two = bounds[:-1][sizes == 2]
             for at in range(0, len(two), 20_000):
                 i = two[at : at + 20_000]
-                hit = i[near(i, i + 1)]
-                found += zip(ids[hit].tolist(), ids[hit + 1].tolist(), strict=True)
+                found += [(names[k], names[k + 1]) for k in i[near(i, i + 1)].tolist()]
             for a, b in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist(), strict=True):
-                found += [(int(ids[a + i]), int(ids[a + j])) for i, j in _walk(b - a, lambda i, left, a=a: near(a + i, a + left))]
+                found += [(names[a + i], names[a + j]) for i, j in _walk(_side(t, a, b), b - a, lambda i, left, a=a: near(a + i, a + left))]
             if found:
                 yield _edges(found)
 
-    return met.select("id", "n", "pos", "sig", *keys).mapInArrow(run, "a long, b long").distinct()
+    return met.select("key", "n", "pos", "sig", "seen", "side", *keys).mapInArrow(run, "a binary, b binary").distinct()
 
 
-def verified_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
+def verified_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """Exact links that connect what is linked within each group. groups: (node, component)."""
-    members = groups.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(sizes.select(F.col("doc_id").alias("id"), "n"), "id")
-    totals = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
-    totals = totals.select("grp", F.greatest("m", F.ceil(F.col("grams") * F.lit(GROUP / GROUP_GRAMS))).alias("weight"))
-    members = shared_table(members.join(totals, "grp").select("id", "grp", "weight"), "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").dropDuplicates(["id"])
+    members = groups.select(F.col("node").alias("key"), F.col("component").alias("grp")).join(reps.select("key", "n", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "key")
+    members = with_totals(members, "grp", F.col("key"), {"m": F.count("*"), "grams": F.sum("n")}, {"m": F.sum("m"), "grams": F.sum("grams")})
+    weight = F.greatest("m", F.ceil(F.col("grams") * F.lit(GROUP / GROUP_GRAMS)))
+    members = shared_table(members.select("key", "id", "hash", F.xxhash64("grp").alias("grp"), weight.alias("weight")), "members")
+    # the text of a set: any row of its doc_id and text hash
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text").join(members, ["id", "hash"]).dropDuplicates(["key"])
     keys = ["grp", "bi", "bj"]
     met = _blocks(texts, "weight", GROUP).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_runs(batches, keys):
             bounds = _run_bounds(t, keys)
-            ids, texts = t.column("id").to_numpy(), t.column("text")
-            found: list[tuple[int, int]] = []
+            names, texts = t.column("key"), t.column("text")
+            found: list[tuple[bytes, bytes]] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 sets = [gram_set(texts[k].as_py(), n) for k in range(a, b)]
                 size = np.array([len(s) for s in sets], np.int64)
@@ -255,27 +303,27 @@ def verified_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int,
                     common = np.bincount(holders[at], minlength=m)[left]
                     return (100 * common >= percent * (size[i] + size[left] - common)) & (common > 0)
 
-                found += [(int(ids[a + i]), int(ids[a + j])) for i, j in _walk(b - a, linked)]
+                found += [(names[a + i].as_py(), names[a + j].as_py()) for i, j in _walk(_side(t, a, b), b - a, linked)]
             if found:
                 yield _edges(found)
 
-    return met.select("id", "text", *keys).mapInArrow(run, "a long, b long").distinct()
+    return met.select("key", "text", "side", *keys).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def linked_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     known = shared_table(summaries(docs, n, percent, gram_counts(docs, n)), "sets")
-    classes = known.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    classes = shared_table(classes, "classes")
-    reps = known.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"])
-    reps = shared_table(reps.drop("key"), "representatives")
+    named = known.filter("n > 0 AND doc_id IS NOT NULL")
+    reps = named.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), *(F.first(c).alias(c) for c in ("n", "prefix", "slices", "sig")))
+    reps = shared_table(reps.select("key", "row.*", "n", "prefix", "slices", "sig"), "representatives")
     near = connected_components(candidate_links(reps, percent))
-    links = verified_links(docs, near, reps, n, percent)
-    components = connected_components(links)
-    labelled = classes.join(components, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = known.select("doc_id", "n", "key").join(labelled, "key", "left")
-    mine = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), mine).alias("component_id"))
+    linked = connected_components(verified_links(docs, near, reps, n, percent)).withColumnRenamed("node", "key")
+    linked = linked.join(reps.select("key", "doc_id"), "key")
+    linked = with_totals(linked, "component", F.col("key"), {"least_id": F.min("doc_id")}, {"least_id": F.min("least_id")})
+    linked = shared_table(linked.select("key", "least_id"), "labels")
+    rows = with_totals(named.select("key", "doc_id", "n"), "key", F.col("doc_id"), {"low": F.min("doc_id")}, {"low": F.min("low")}, lambda classes: classes.join(linked, "key", "left"))
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least_id", "low").alias("component_id"))
+    return rows.unionByName(known.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
