@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, language_id, mixing, packing, quality, secrets, token_counts
 
-OWN = ("keep", "quality_score", "secret_key", "secret_values", "steps", "rate", "weight", "n", "mix_source", "MIX_STEPS", "mix_salt", "gone", "same_text", "key", "value", "label", "held_out", "score", "length", "id")
+OWN = ("keep", "quality_score", "secret_key", "secret_values", "steps", "rate", "weight", "n", "mix_source", "MIX_STEPS", "mix_salt", "gone", "same_text", "key", "value", "label", "held_out", "score", "length", "id", "salt", "mix_copy", "hash", "neighbours", "codes", "ids")
 ROWS = [
     (1, "set password=b7db7aa4a5fcc78305 now and the rest of a short text follows here.", "en", "a", 1), (2, None, None, None, None), (3, "", "en", "a", 0), (3, "", "en", "a", 0),
     (4, "The same words stand here twice, and nobody minds that they do.", "en", "b", 1), (5, "The same words stand here twice, and nobody minds that they do.", "en", "b", 1),
@@ -36,7 +36,7 @@ def test_keep_one(docs):
 
 
 def test_redact(spark, docs):
-    out = secrets.redact(docs, secrets.train(secrets.rule_findings(spark, 1400)))
+    out = secrets.redact(docs, secrets.train(secrets.rule_findings(spark, 1400), secrets.learn_words(docs)))
     assert out.columns == docs.columns and out.count() == docs.count() and extras(out) == {(7,) * len(OWN)}
     assert "b7db7aa4a5fcc78305" not in out.filter("doc_id = 1").first().text
 
@@ -45,7 +45,7 @@ def test_redact(spark, docs):
 def test_mix(docs, monkeypatch, most):
     monkeypatch.setattr(mixing, "MOST_SOURCES", most)
     out = mixing.mix(docs)
-    assert out.columns == [*docs.columns, "mix_copy", "mix_key"] and extras(out) <= {(7,) * len(OWN)}
+    assert out.columns == [*docs.columns, "mix_copy_", "mix_key"] and extras(out) <= {(7,) * len(OWN)}
 
 
 def test_reports(docs):

@@ -1,6 +1,8 @@
 """Both vector searches against brute force; the Jaccard join against its definition."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,22 +33,62 @@ def test_exact_top_k(spark):
     assert got == sorted(want)
 
 
-def test_multi_index(spark):
-    df, x = table(spark)
-    rows = vectors.multi_index_search(df, F.col("id") % 100 == 0, least=300, probe=0.6).collect()
+def recall(spark, x, got, ids, k=10):
+    """Share of the k nearest that were found, with every row checked for its rank, distance and id."""
     hit = 0
-    for q in range(0, 600, 100):
-        mine = sorted((r for r in rows if r.query_id == q), key=lambda r: r["rank"])
-        assert len(mine) == 10 and all(r.vec_id not in (q, 900) for r in mine)
+    for q in ids:
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
         d = np.sqrt(((x[q].astype(np.float64) - x.astype(np.float64)) ** 2).sum(axis=1))
-        assert all(abs(r.score - d[r.vec_id]) < 1e-12 for r in mine)
-        o = np.lexsort((np.arange(600), d))
-        hit += len({int(k) for k in o[o != q][:10]} & {r.vec_id for r in mine})
-    assert hit >= 0.9 * 60
+        assert [r["rank"] for r in mine] == list(range(1, k + 1)) and all(r.vec_id != q and abs(r.score - d[r.vec_id]) < 1e-12 for r in mine)
+        assert [(r.score, r.vec_id) for r in mine] == sorted((r.score, r.vec_id) for r in mine)
+        o = np.lexsort((np.arange(len(x)), d))
+        hit += len({int(k) for k in o[o != q][:k]} & {r.vec_id for r in mine})
+    return hit / (k * len(ids))
+
+
+def test_multi_index(spark):
+    df, x = table(spark)
+    rows = vectors.multi_index_search(df, F.col("id") % 100 == 0, least=100, probe=0.3).collect()
+    assert all(r.vec_id < 600 for r in rows) and recall(spark, x, rows, range(0, 600, 100)) >= 0.8
     every = vectors.multi_index_search(df, F.col("id") == 300, probe=1.0).orderBy("rank").collect()
     assert [r.vec_id for r in every] == list(range(301, 311))  # ties to the smaller id
 
 
+@pytest.mark.parametrize("n", [10_000, 50_000])
+def test_recall_as_registered(spark, n, tmp_path):
+    """Directions without structure, the hardest case: at least 0.9, with a fifth of all entries ranked."""
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(x)}), tmp_path / "embeddings.parquet")
+    rows = vectors.op5_multi_index(spark, str(tmp_path)).collect()
+    assert len(rows) == 10 * (n // 100)
+    assert recall(spark, x, rows, range(0, n, 100)) >= 0.9
+
+
+def test_pairs_come_in_the_order_of_their_distance():
+    rng = np.random.default_rng(1)
+    a, b, sizes = rng.random(7), rng.random(5), rng.integers(0, 3, (7, 5))
+    flat = sorted((a[i] + b[j], i, sizes[i, j]) for i in range(7) for j in range(5))
+    for enough in (1, 5, 12, 1000):
+        total, stop, firsts = 0, -np.inf, set()
+        for s, i, m in flat:
+            if total >= enough:
+                break
+            stop, total = s, total + m
+            firsts |= {i} if m else set()
+        got = vectors.reach_by_distance(a, b, sizes, enough)
+        assert got[0] == stop and set(got[1]) == firsts
+
+
+def test_repeated_ids_unequal_lengths_and_few_candidates(spark):
+    rows = [(0, [1.0, 0.0], 0.0), (0, [0.0, 1.0, 9.0], 0.0), (1, [1.0], 0.0), (1, [1.0], 0.0), (2, [0.0, 2.0], 0.0), (None, [1.0, 1.0], 0.0)]
+    df = spark.createDataFrame(rows, V)
+    got = sorted(map(tuple, vectors.exact_top_k(df, F.col("id") == 0).collect()))
+    assert got == [(0, 1, 2, 131072), (0, 2, 1, 0), (0, 3, 1, 0)]  # [0, 1, 9] asks: it is smaller than [1, 0]
+    near = [(r[0], r[1], r[2]) for r in sorted(vectors.multi_index_search(df, F.col("id") == 0).collect())]
+    assert near == [(0, 1, 2), (0, 2, 1), (0, 3, 1)]
+
+
 def test_empty_vector_tables(spark):
     none = spark.createDataFrame([], V)
     assert vectors.exact_top_k(none, F.col("id") % 50 == 0).count() == 0

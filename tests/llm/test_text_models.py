@@ -1,13 +1,15 @@
-"""Language ID, quality, secrets, mixing and the pipeline."""
+"""Language ID, quality, secrets and mixing."""
 
 import math
+import random
+import string
+import uuid
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tidemark.llm import language_id, mixing, packing, quality, secrets
+from tidemark.llm import language_id, mixing, quality, secrets
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,6 +32,35 @@ def test_language_on_held_out_texts(spark, corpus):
     assert n > 20 and right >= 0.95 * n
 
 
+def test_language_against_plain_bayes(spark, corpus, monkeypatch):
+    """The same model by plain counting: every run of one to three characters, its bucket, and Laplace's rule."""
+    rows = [(r.doc_id, r.text, r.lang) for r in corpus.limit(60).collect()]
+    train, runs = rows[:40], lambda t: [int(b) for part in language_id.hashed_runs([language_id._letters(t)]) for b in part[0]]
+    counts, docs = {}, Counter(lang for _, t, lang in train if lang and t is not None)
+    for _, t, lang in train:
+        if lang and t is not None:
+            counts.setdefault(lang, Counter()).update(runs(t))
+    monkeypatch.setattr(language_id, "CELLS", 500)  # many small products
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df.filter(F.col("doc_id").isin([r[0] for r in train])))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(df, model).collect()}
+    for k, t, _ in rows:
+        if not language_id._letters(t).strip():
+            continue
+        log = {x: math.log(docs[x] / sum(docs.values())) + sum(math.log((counts[x][b] + 0.5) / (sum(counts[x].values()) + 0.5 * language_id.BUCKETS)) for b in runs(t)) for x in docs}
+        best = min(log, key=lambda x: (-log[x], x))
+        assert got[k][0] == best and abs(got[k][1] - 1 / sum(math.exp(v - log[best]) for v in log.values())) < 1e-6
+
+
+def test_languages_that_are_copies_ties_and_too_many(spark, monkeypatch):
+    df = spark.createDataFrame([(None, "same text", "b"), (None, "same text", "a"), (1, "x" * 3_000_000, "a"), (1, "x" * 3_000_000, "b")], "doc_id long, text string, lang string")
+    got = language_id.identify(df, language_id.train(df)).collect()
+    assert {r.lang_pred for r in got} == {"a"} and all(abs(r.score - 0.5) < 1e-9 for r in got)  # a tie goes to the first by name
+    monkeypatch.setattr(language_id, "MOST_LANGS", 1)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(df)
+
+
 def test_language_of_odd_texts(spark, odd, corpus):
     model = language_id.train(corpus)
     got = [(r.doc_id, r.lang_pred, r.score) for r in language_id.identify(odd, model).collect()]
@@ -53,6 +84,14 @@ def test_quality_of_odd_texts(odd, corpus):
     assert quality.score(odd.limit(0), quality.train(odd.limit(0))).count() == 0
 
 
+def test_quality_with_equal_keys_and_a_small_sample(spark, corpus):
+    docs = corpus.withColumn("doc_id", F.lit(None).cast("long"))
+    scorer = quality.train(docs, sample=50)
+    assert scorer.weights.any()
+    same = spark.range(300).select(F.lit(1).alias("doc_id"), F.lit("The cat sat on the mat. " * 20).alias("text"))
+    assert quality.train(same, sample=1).weights.any()  # all rows are one: none or all are drawn
+
+
 def test_labellers_overlap_is_estimated():
     w = quality.WeakLabels([(0, 0, -1, -1, -1, -1), (-1, -1, -1, -1, -1, 1), (-1, -1, -1, -1, -1, -1)], [50, 800, 150])
     assert w.posterior([(0, 0, -1, -1, -1, -1)])[0] < 0.1 < 0.9 < w.posterior([(-1, -1, -1, -1, -1, 1)])[0]
@@ -60,8 +99,8 @@ def test_labellers_overlap_is_estimated():
 
 
 @pytest.fixture(scope="module")
-def forest(spark):
-    return secrets.train(secrets.rule_findings(spark, 1400))
+def forest(spark, corpus):
+    return secrets.train(secrets.rule_findings(spark), secrets.learn_words(corpus))
 
 
 def test_secrets_are_told_from_look_alikes(spark, forest):
@@ -76,6 +115,62 @@ def test_secrets_are_told_from_look_alikes(spark, forest):
     assert clean[0] == "here [SECRET] is" and clean[1] == "set password=[SECRET] now" and clean[3] == texts[3][0] and len(clean) == 6
 
 
+def planted():
+    """Findings that rule_findings does not make: other names, shapes and neighbours. Each is a text, its value and whether it is a secret."""
+    rng = random.Random(11)
+    some = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    hexa, b62 = "0123456789abcdef", string.ascii_letters + string.digits
+    names = ("client-secret", "DB_PASSWORD", "stripe_api_key", "jwt_token", "ftp_passwd", "smtp_password", "aws_secret_access_key", "admin_pwd", "refresh_token", "encryption_private_key")
+    plain = ("blob_hash", "parent_commit", "request_guid", "trace_identifier", "file_checksum", "asset_revision", "build_number", "order_reference")
+    fill = ("we saw that the config holds", "somebody pasted", "in the log stands", "line twelve says", "later on the page reads")
+    rows = []
+    for k in range(40):
+        say, end = rng.choice(fill), rng.choice(("and nobody noticed", "since last week", "which is odd"))
+        name, other = names[k % len(names)], plain[k % len(plain)]
+        secret = rng.choice((some(hexa, 40), some(b62, 32), some(b62, 24), some(string.ascii_letters, 9) + "7" + some(b62, 4)))
+        rows.append((f'{say} {name} = "{secret}" {end}', secret, True))
+        rows.append((f"{say} {name}: {secret} {end}", secret, True))
+        no = rng.choice((some(hexa, 40), some(hexa, 64), str(uuid.UUID(int=rng.getrandbits(128))), some("0123456789", 16)))
+        rows.append((f"{say} {other}: {no} {end}", no, False))
+        rows.append((f"{say} https://static.example.com/{some(hexa, 16)}/theme-{k}.css {end}", None, False))
+        rows.append((f"{say} the password: {rng.choice(('required', 'reminder', 'changed', 'strength'))} {end}", None, False))
+        rows.append((f"{say} the identifier customerAccountBalance{k} {end}", None, False))
+    return rows
+
+
+def test_precision_and_recall_on_planted_secrets(spark, forest):
+    rows = planted()
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "doc_id long, text string")
+    hits = {}
+    for r in secrets.scan(df, forest, "doc_id").filter("is_secret").collect():
+        hits.setdefault(r.doc_id, set()).add(r.value)
+    right = sum(bool(secret) and value in hits.get(k, ()) for k, (_, value, secret) in enumerate(rows))
+    wrong = sum(not secret and k in hits for k, (_, _, secret) in enumerate(rows))
+    of = sum(r[2] for r in rows)
+    print("recall", right / of, "precision", right / max(1, right + wrong))
+    assert right >= 0.9 * of and right >= 0.9 * (right + wrong)
+
+
+def test_scan_of_a_very_long_word_and_of_keys_named_like_its_columns(spark, forest):
+    word = "".join(random.Random(3).choices(string.ascii_letters + string.digits, k=400_000))
+    df = spark.createDataFrame([(1, 7, f"the blob {word} ends"), (2, 8, "set password=b7db7aa4a5fcc78305 now"), (2, 8, "set password=b7db7aa4a5fcc78305 now")], "value long, length long, text string")
+    got = secrets.scan(df, forest, "value", "length")
+    assert got.columns == ["value", "length", "word_no", "run_no", "word", "value_", "score", "is_secret"]
+    rows = got.collect()
+    assert sorted((r["value"], r["length"], len(r["value_"])) for r in rows) == [(1, 7, 400_000), (2, 8, 18), (2, 8, 18)]
+    assert len({r.score for r in rows if r["value"] == 2}) == 1  # equal findings, equal scores
+
+
+def test_words_are_learned_from_the_corpus(spark, corpus):
+    w = secrets.learn_words(corpus)
+    often = corpus.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter(F.col("w").rlike("^[a-z]{3,24}$")).groupBy("w").count().orderBy(F.desc("count")).first().w
+    is_known = F.call_function("shiftright", F.get(w.bit_table(), (secrets._bit(F.lit(often)) / 64).cast("int")), secrets._bit(F.lit(often)) % 64).bitwiseAND(1)
+    assert spark.range(1).select(is_known).first()[0] == 1
+    assert all(abs(sum(math.exp(w.pairs[a * 27 + b]) for b in range(1, 27)) - 1) < 1e-9 for a in range(1, 27))
+    none = secrets.learn_words(corpus.limit(0))
+    assert not any(none.bits) and len(none.pairs) == 729
+
+
 def test_every_run_of_a_word_is_a_finding(spark, forest):
     b64, h = "wJalrXUtnFEMIxK7MDENGxbPxRfiCYzEK3yLpQ1aB", "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
     texts = [
@@ -144,24 +239,22 @@ def test_rare_source_reaches_its_share(spark, monkeypatch):
     assert tuple(got) == (plain_count(10_000, u), 1, plain_count(10_000, u), plain_count(10_000, u))
 
 
+@pytest.mark.parametrize("rate", [0.7, 30.0, 30_000.0, 3_000_000.0])
+def test_counts_follow_the_poisson_law(spark, rate):
+    n = 4000 if rate < 100 else 200
+    u = mixing.uniform(7, F.col("id"))
+    count = F.size(F.filter(mixing.poisson_steps(F.lit(rate)), lambda s: s <= u)) if rate <= mixing.SHORT else mixing.poisson_count(F.lit(rate), u)
+    mean, var = spark.range(n).select(count.alias("n")).agg(F.avg("n"), F.var_samp("n")).first()
+    assert abs(mean - rate) < 4 * math.sqrt(rate / n) and abs(var / rate - 1) < 4 * math.sqrt(2 / n + 1 / (n * rate))
+
+
+def test_mixing_keeps_columns_of_its_own_names(odd):
+    out = mixing.mix(odd.withColumn("mix_copy", F.lit(9)).withColumn("MIX_KEY", F.lit(8)))
+    assert out.columns == [*odd.columns, "mix_copy", "MIX_KEY", "mix_copy_", "mix_key_"] and {(r["mix_copy"], r["MIX_KEY"]) for r in out.collect()} == {(9, 8)}
+
+
 def test_mixing_of_odd_rows(odd, monkeypatch):
-    once = sorted(map(repr, mixing.mix(odd.withColumn("mix_copy", F.lit(0))).select(*odd.columns, "mix_copy", "mix_key").collect()))
+    once = sorted(map(repr, mixing.mix(odd).select(*odd.columns, "mix_copy", "mix_key").collect()))
     monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
     assert sorted(map(repr, mixing.mix(odd).select(*odd.columns, "mix_copy", "mix_key").collect())) == once
     assert mixing.mix(odd.limit(0)).count() == 0
-
-
-def test_pipeline(spark, corpus):
-    docs = corpus
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs
-        docs = stage(spark, docs, SF)
-        assert docs.columns == before.columns, name
-        docs = spark.createDataFrame(docs.collect(), before.schema)
-        if name in ("quality classifier", "n-gram jaccard join"):
-            assert 0 < docs.count() < before.count()
-        if name == "secret scans":
-            assert docs.count() == before.count() and docs.filter(F.col("text").rlike("AKIA[0-9A-Z]{16}")).count() == 0
-    pieces = corpus_pipeline.run(spark, SF)
-    assert pieces.columns == [f.split()[0] for f in packing.PIECES.split(", ")]
-    assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()

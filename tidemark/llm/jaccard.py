@@ -1,8 +1,8 @@
 """N-gram Jaccard join: rare-first prefix filtering, verified once, down to linked groups.
 
 The set of a text is its distinct hashed n-grams, and a 128-bit hash names it. Two texts link when
-their Jaccard similarity reaches `percent` / 100. Equal sets are one class from the start, and the
-name is the node of all links. For sets of different names:
+their Jaccard similarity reaches `percent` / 100. Equal sets are one class from the start, with a number
+that is the node of all links. For sets of different names:
 
 1. how often n-grams occur is counted over all texts, in a table of fixed size (2^22 counters);
 2. the n-grams of a set are ordered rarest first, and as two linked sets must share one of the
@@ -42,6 +42,8 @@ from tidemark.llm.common import connected_components, free_name, shared_table, s
 COUNTERS, SLICES = 1 << 22, 128
 #: Rows that share an n-gram and texts of a group that meet at once, and the n-grams of such texts.
 MEETING, GROUP, GROUP_GRAMS = 1024, 1024, 4_000_000
+#: Members of groups that are sent to all tasks (of 40 bytes each); more are joined by a shuffle.
+FEW = 1_000_000
 _PARTS = 64  # of the counter table
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -198,15 +200,15 @@ def _walk(side: np.ndarray | None, m: int, linked) -> list[tuple[int, int]]:
     return out
 
 
-def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     pairs = sorted({(min(p), max(p)) for p in found if p[0] != p[1]})
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
 def _blocks(df: DataFrame, total, most: int) -> DataFrame:
     """bi, bj, side: every two blocks of a run of `total` rows meet, each row in all meetings of its block."""
     nb = F.ceil(F.col(total) / F.lit(float(most))).cast("int")
-    df = df.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "key"), F.col("nb")).cast("int"))
+    df = df.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("nb")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     df = df.withColumn("side", F.when(F.col("block") <= F.col("other"), 0).otherwise(1))
     return df.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("nb", "block", "other")
@@ -232,17 +234,16 @@ def _suffixes(sig: np.ndarray, seen: list[bytes]) -> np.ndarray:
 
 def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
     """Links that connect all pairs which share a prefix n-gram and pass the filters."""
-    rows = reps.select("key", "n", F.posexplode("prefix").alias("pos", "gram"))
+    rows = reps.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
     often = rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     met = shared_table(rows.join(often, "gram"), "met")
-    met = met.join(reps.select("key", "sig", "slices"), "key").withColumn("seen", F.substring("slices", F.lit(1), F.col("pos") + 1)).drop("slices")
+    met = met.join(reps.select("id", "sig", "slices"), "id").withColumn("seen", F.substring("slices", F.lit(1), F.col("pos") + 1)).drop("slices")
     keys = ["gram", "bi", "bj"]
     met = _blocks(met, "df", MEETING).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_runs(batches, keys):
-            names = t.column("key").to_pylist()
-            n, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "pos"))
+            ids, n, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "pos"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SLICES)
             seen = t.column("seen").to_pylist()
             sig = np.concatenate([_suffixes(sig[at : at + 8192], seen[at : at + 8192]) for at in range(0, len(seen), 8192)])
@@ -259,35 +260,37 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
                 most = 1 + np.minimum(x, y).sum(axis=-1, dtype=np.int64)
                 return ok & (((100 + percent) * most >= need) | ((x == 255) & (y == 255)).any(axis=-1))
 
-            found: list[tuple[bytes, bytes]] = []
+            found: list[tuple[int, int]] = []
             two = bounds[:-1][sizes == 2]
             for at in range(0, len(two), 20_000):
                 i = two[at : at + 20_000]
-                found += [(names[k], names[k + 1]) for k in i[near(i, i + 1)].tolist()]
+                hit = i[near(i, i + 1)]
+                found += zip(ids[hit].tolist(), ids[hit + 1].tolist(), strict=True)
             for a, b in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist(), strict=True):
-                found += [(names[a + i], names[a + j]) for i, j in _walk(_side(t, a, b), b - a, lambda i, left, a=a: near(a + i, a + left))]
+                found += [(int(ids[a + i]), int(ids[a + j])) for i, j in _walk(_side(t, a, b), b - a, lambda i, left, a=a: near(a + i, a + left))]
             if found:
                 yield _edges(found)
 
-    return met.select("key", "n", "pos", "sig", "seen", "side", *keys).mapInArrow(run, "a binary, b binary").distinct()
+    return met.select("id", "n", "pos", "sig", "seen", "side", *keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def verified_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """Exact links that connect what is linked within each group. groups: (node, component)."""
-    members = groups.select(F.col("node").alias("key"), F.col("component").alias("grp")).join(reps.select("key", "n", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "key")
-    members = with_totals(members, "grp", F.col("key"), {"m": F.count("*"), "grams": F.sum("n")}, {"m": F.sum("m"), "grams": F.sum("grams")})
+    members = groups.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(reps.select("id", "n", "doc_id", "text_hash"), "id")
+    members = with_totals(members, "grp", F.col("id"), {"m": F.count("*"), "grams": F.sum("n")}, {"m": F.sum("m"), "grams": F.sum("grams")})
     weight = F.greatest("m", F.ceil(F.col("grams") * F.lit(GROUP / GROUP_GRAMS)))
-    members = shared_table(members.select("key", "id", "hash", F.xxhash64("grp").alias("grp"), weight.alias("weight")), "members")
+    members = shared_table(members.select("id", "doc_id", "text_hash", "grp", weight.alias("weight")), "members")
+    few = F.broadcast(members) if members.count() <= FEW else members  # rows of five longs
     # the text of a set: any row of its doc_id and text hash
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text").join(members, ["id", "hash"]).dropDuplicates(["key"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(few, ["doc_id", "text_hash"]).dropDuplicates(["id"])
     keys = ["grp", "bi", "bj"]
     met = _blocks(texts, "weight", GROUP).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_runs(batches, keys):
             bounds = _run_bounds(t, keys)
-            names, texts = t.column("key"), t.column("text")
-            found: list[tuple[bytes, bytes]] = []
+            ids, texts = t.column("id").to_numpy(), t.column("text")
+            found: list[tuple[int, int]] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 sets = [gram_set(texts[k].as_py(), n) for k in range(a, b)]
                 size = np.array([len(s) for s in sets], np.int64)
@@ -303,11 +306,11 @@ def verified_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, n: int,
                     common = np.bincount(holders[at], minlength=m)[left]
                     return (100 * common >= percent * (size[i] + size[left] - common)) & (common > 0)
 
-                found += [(names[a + i].as_py(), names[a + j].as_py()) for i, j in _walk(_side(t, a, b), b - a, linked)]
+                found += [(int(ids[a + i]), int(ids[a + j])) for i, j in _walk(_side(t, a, b), b - a, linked)]
             if found:
                 yield _edges(found)
 
-    return met.select("key", "text", "side", *keys).mapInArrow(run, "a binary, b binary").distinct()
+    return met.select("id", "text", "side", *keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def linked_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -315,10 +318,10 @@ def linked_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     known = shared_table(summaries(docs, n, percent, gram_counts(docs, n)), "sets")
     named = known.filter("n > 0 AND doc_id IS NOT NULL")
     reps = named.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), *(F.first(c).alias(c) for c in ("n", "prefix", "slices", "sig")))
-    reps = shared_table(reps.select("key", "row.*", "n", "prefix", "slices", "sig"), "representatives")
+    reps = shared_table(reps.select(F.monotonically_increasing_id().alias("id"), "key", "row.*", "n", "prefix", "slices", "sig"), "representatives")
     near = connected_components(candidate_links(reps, percent))
-    linked = connected_components(verified_links(docs, near, reps, n, percent)).withColumnRenamed("node", "key")
-    linked = linked.join(reps.select("key", "doc_id"), "key")
+    linked = connected_components(verified_links(docs, near, reps, n, percent)).withColumnRenamed("node", "id")
+    linked = linked.join(reps.select("id", "key", "doc_id"), "id")
     linked = with_totals(linked, "component", F.col("key"), {"least_id": F.min("doc_id")}, {"least_id": F.min("least_id")})
     linked = shared_table(linked.select("key", "least_id"), "labels")
     rows = with_totals(named.select("key", "doc_id", "n"), "key", F.col("doc_id"), {"low": F.min("doc_id")}, {"low": F.min("low")}, lambda classes: classes.join(linked, "key", "left"))

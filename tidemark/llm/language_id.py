@@ -3,10 +3,13 @@
 A text is lower-cased, everything but letters becomes one blank, and its runs of one to three
 characters are hashed into buckets. Training counts buckets by language on a bounded sample of
 labelled texts; the matrix of log probabilities goes to the tasks, which score a batch of texts as
-one sparse product (gather the rows of the buckets, add them up by text).
+sparse products (gather the rows of the buckets, add them up by text) of at most CELLS numbers, so
+a very long text or a great many languages need no more memory.
 
 `und` with score 0 where the text is null or has no letter, or where nothing was learned. Ties go
-to the first language by name. Repeated rows are scored each; other columns are ignored.
+to the first language by name. Repeated rows are scored each; in training, a language of more than
+`sample` rows that are all copies of one row is learned from all or none of them. More than
+MOST_LANGS languages are an error. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from tidemark.llm.common import table
 BUCKETS, LONGEST = 1 << 15, 3
 #: Labelled texts for each language that are expected in the training sample, and its partitions.
 SAMPLE, PARTS = 10_000, 32
-#: Characters of a batch that are hashed at once.
-CHARS_AT_ONCE = 4_000_000
+#: Characters of a batch that are hashed at once, numbers that are gathered at once, and languages.
+CHARS_AT_ONCE, CELLS, MOST_LANGS = 4_000_000, 8_000_000, 4096
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 # Fixed odd multipliers that mix the characters of a run.
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -67,11 +70,12 @@ class Model:
         clean = [_letters(t) for t in texts]
         score = np.tile(self.log_prior, (len(texts), 1))
         for a, b in _spans(clean):
-            for bucket, owner in hashed_runs(clean[a:b]):
-                first = np.searchsorted(owner, np.arange(b - a + 1))
-                has = np.flatnonzero(np.diff(first))
-                if len(has):
-                    score[a + has] += np.add.reduceat(self.log_prob[bucket], first[has], axis=0, dtype=np.float64)
+            for buckets, owners in hashed_runs(clean[a:b]):
+                step = max(1, CELLS // max(1, len(self.langs)))
+                for at in range(0, len(buckets), step):
+                    bucket, owner = buckets[at : at + step], owners[at : at + step]
+                    new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                    score[a + owner[new]] += np.add.reduceat(self.log_prob[bucket], new, axis=0, dtype=np.float64)
         best = score.argmax(axis=1) if self.langs else np.zeros(len(texts), int)
         none = [not self.langs or not c.strip() for c in clean]
         share = 1.0 / np.exp(np.minimum(score - score.max(axis=1, keepdims=True), 0)).sum(axis=1) if self.langs else np.zeros(len(texts))
@@ -85,14 +89,14 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     language and training partition, both bounded: PARTS * languages * BUCKETS numbers at most.
     """
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    totals = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    totals = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(MOST_LANGS + 1).collect()}
     langs = sorted(totals)
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"{len(langs)} languages in {lang_col}, more than {MOST_LANGS}")
     if not langs:
         return Model([], np.zeros(0), np.zeros((BUCKETS, 0)))
-    share = F.lit(0.0)
-    for name, n in totals.items():
-        share = F.when(F.col(lang_col) == name, min(1.0, sample / n)).otherwise(share)
-    chance = F.pmod(F.xxhash64(F.lit(77), key), F.lit(1_000_003)) / 1_000_003.0
+    shares = F.broadcast(labelled.sparkSession.createDataFrame([(name, min(1.0, sample / n)) for name, n in totals.items()], "sampled_lang string, share double"))
+    chance = F.pmod(F.xxhash64(F.lit(77), "key", "text"), F.lit(1_000_003)) / 1_000_003.0
     place = {name: k for k, name in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +108,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
                     count += np.bincount(bucket.astype(np.int64) * len(langs) + of[first:last][owner], minlength=len(count))
         yield pa.RecordBatch.from_arrays([pa.array([count.astype("<i8").tobytes()], pa.binary())], names=["counts"])
 
-    parts = known.filter(chance < share).select(lang_col, text_col).repartition(PARTS).mapInArrow(run, "counts binary").toLocalIterator()
+    parts = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(key).alias("key")).join(shares, F.col("lang") == F.col("sampled_lang")).filter(chance < F.col("share")).select("lang", "text").repartition(PARTS).mapInArrow(run, "counts binary").toLocalIterator()
     count = sum((np.frombuffer(r[0], "<i8").astype(np.float64) for r in parts), np.zeros(BUCKETS * len(langs))).reshape(BUCKETS, len(langs))
     n = np.array([totals[x] for x in langs], np.float64)
     return Model(langs, np.log(n / n.sum()), np.log((count + smoothing) / (count.sum(axis=0) + smoothing * BUCKETS)))

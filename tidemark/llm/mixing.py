@@ -12,8 +12,8 @@ blocks, which are dealt out before they become copies.
 
 A null source is a source of its own. Sources without a weight are left out when weights are
 given; without weights all sources get equal shares. Rows with equal keys draw equal counts and
-are each replicated. Other columns are kept, but for `mix_copy` and `mix_key`, which are replaced.
-An empty table stays empty.
+are each replicated. Other columns are kept; if one is named like `mix_copy` or `mix_key`, those get
+underscores added. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import free_name, table
 
-#: Sources whose rates may be sent to all tasks; more of them are joined by a salted shuffle.
+#: Sources whose rates may be sent to all tasks, with at most 180 steps each (14 MB); more of them are joined by a salted shuffle.
 MOST_SOURCES, SALTS = 10_000, 64
 #: The largest rate whose steps are kept in an array, and the most copies that a row is exploded into at once.
 SHORT, BLOCK = 64, 4096
@@ -94,7 +94,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, source: str
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7, source: str = "source", key: str = "doc_id") -> DataFrame:
     """Every column of docs with mix_copy (from 1) and mix_key, in the order of mix_key within partitions."""
-    docs = docs.drop("mix_copy", "mix_key")
+    copy, order = free_name(docs, "mix_copy"), free_name(docs, "mix_key")
     of, steps, salt, times, rate, block = (free_name(docs, x) for x in ("mix_source", "mix_steps", "mix_salt", "mix_times", "mix_rate", "mix_block"))
     rates = source_rates(docs, weights, source).select(F.col("mix_source").alias(of), F.col("steps").alias(steps), F.col("rate").alias(rate))
     sources, top = rates.agg(F.count("*"), F.max(rate)).first()
@@ -115,11 +115,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7, source
         blocks = blocks.repartition(F.xxhash64(F.col(key), F.col(block)))
         first, last = F.col(block) * BLOCK + 1, F.least(F.col(times), (F.col(block) + 1) * BLOCK)
         copies = copies.filter(~many).withColumn(block, F.lit(0).cast("long")).unionByName(blocks)
-        copies = copies.withColumn("mix_copy", F.explode(F.sequence(first.cast("int"), last.cast("int")))).drop(times, block)
+        copies = copies.withColumn(copy, F.explode(F.sequence(first.cast("int"), last.cast("int")))).drop(times, block)
     else:
-        copies = copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(times)
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("mix_copy").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
-    return copies.withColumn("mix_key", place).repartition("mix_key").sortWithinPartitions("mix_key")
+        copies = copies.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(times)
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col(copy).cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
+    return copies.withColumn(order, place).repartition(order).sortWithinPartitions(order)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

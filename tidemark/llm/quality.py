@@ -7,7 +7,8 @@ labels train a logistic regression over hashed words and hashed word shapes, who
 
 A null text, or one without words, gets no vote, the score 0, and is rejected. Repeated rows are scored each; ties at the
 threshold are kept; other columns stay as they are, but for quality_score, weak_label and keep, which
-`score` replaces and `keep_good` leaves alone; with no rows at all nothing is learned or kept.
+`score` replaces and `keep_good` leaves alone; null or equal keys change nothing but which rows are
+in the sample; a very long text is one list of words; with no rows at all nothing is learned or kept.
 """
 
 from __future__ import annotations
@@ -172,8 +173,8 @@ def _once(buckets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
     """Vote patterns are counted over all rows; the scorer is fitted on about `sample` of them.
 
-    A row is in the sample by the hash of its key. Partitions are fitted apart and their weights
-    averaged. The driver gets the pattern counts (at most 3^6) and PARTS weight vectors.
+    A row is in the sample by the hash of its key and text, and copies of a row count once there.
+    Partitions are fitted apart and their weights averaged. The driver gets the pattern counts (at most 3^6) and PARTS weight vectors.
     """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,7 @@ def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", sample:
     total = sum(f[1] for f in found)
     if not total:
         return Scorer(labels, np.zeros(BUCKETS))
-    chance = F.pmod(F.xxhash64(F.lit(4), key), F.lit(1_000_003)) / 1_000_003.0
+    chance = F.pmod(F.xxhash64(F.lit(4), key, text_col), F.lit(1_000_003)) / 1_000_003.0
     share = min(1.0, sample / total)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +203,12 @@ def train(docs: DataFrame, key: str = "doc_id", text_col: str = "text", sample:
             w = _fit([r[1:] for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([w.astype("<f8").tobytes()], pa.binary())], names=["n", "w"])
 
-    rows = docs.filter(chance < share).select(F.xxhash64(F.lit(5), key, text_col).alias("h"), text_col)
-    fitted = rows.repartition(PARTS, "h").mapInArrow(fit, "n long, w binary").collect()
+    def fitted_on(rows: DataFrame) -> list:
+        once = rows.select(F.xxhash64(F.lit(5), key, text_col).alias("h"), text_col).dropDuplicates(["h"])
+        return once.repartition(PARTS, "h").mapInArrow(fit, "n long, w binary").collect()
+
+    # no row at all is drawn only where nearly all rows are copies of a few
+    fitted = fitted_on(docs.filter(chance < share)) or fitted_on(docs)
     n = sum(r[0] for r in fitted)
     return Scorer(labels, sum((np.frombuffer(r[1], "<f8") * (r[0] / n) for r in sorted(fitted)), np.zeros(BUCKETS)))
 

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_token_files": token_files.op9_token_files,
     "op10_packing": packing.op10_packing,
+    "packed_conversations": packing.packed_conversations,
 }
 
 ORACLE_SQL = vectors.ORACLE_SQL | jaccard.ORACLE_SQL | mixing.ORACLE_SQL

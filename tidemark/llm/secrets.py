@@ -1,27 +1,39 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a run of key-like characters (letters, digits, + / _ - and closing = signs): any run
-of at least 12 with a digit, and any of at least 4, digits or not, that a secret's name is assigned
-to (`password: Tr0ub4dor`). Each run of a word is a finding of its own, so minified JSON, CSV, query
-strings and JWTs are scored piece by piece. The forest sees its length, its character transitions,
-how much of it words of a dictionary cover, whether it stands in a path, the name that it is
-assigned to and its neighbouring words. It is trained from labelled findings (`word`, `before`,
-`after`, `label`); `rule_findings` makes such a table from public key shapes and look-alikes
-(checksums, ids, versions, dates, words) where none is at hand. Everything runs as column
-expressions and the DataFrame API of pyspark.ml. A value with other signs inside (`ab&cd`) is
-several runs, each scored alone.
-
-Null and empty texts have no candidate; every occurrence is one finding, by its word number and its
-place among the pieces of the word; repeated rows are scanned each; other columns are kept by
-`redact`, which replaces findings where they stand; empty tables stay empty.
+of at least 12 with a digit, any of at least 24, and any of at least 4, digits or not, that a
+secret's name is assigned to (`password: Tr0ub4dor`). Each run of a word is a finding of its own, so
+minified JSON, CSV, query strings and JWTs are scored piece by piece. The forest sees
+
+- its length and what it is made of,
+- its character transitions: the mean log-probability of its letter pairs, learned from all words
+  of the corpus (`learn_words`), and the share of its neighbours that are letter pairs,
+- dictionary coverage: how much of it frequent words of the corpus and of a fixed list cover,
+- the path it stands in, and the name that it is assigned to,
+- its neighbouring words, the name's pieces and the path's, hashed into WORD_BUCKETS features.
+
+It is trained from labelled findings (`word`, `before`, `after`, `label`); `rule_findings` makes
+such a table from public key shapes and look-alikes (checksums, ids, versions, dates, words) where
+none is at hand. No feature tests for such a shape. Everything runs as column expressions and the
+DataFrame API of pyspark.ml. A value with other signs inside (`ab&cd`) is several runs, each scored
+alone.
+
+Null and empty texts have no candidate; a very long text or word is read in steps linear in its
+length; equal findings get equal scores, and a score at the threshold is a secret; every occurrence
+is one finding, by its word number and its place among the pieces of the word; repeated rows are
+scanned each; other columns are kept by `redact`, which replaces findings where they stand; empty
+tables stay empty. `scan` adds an underscore to columns of its own that a key is named like.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, table
+from tidemark.llm.common import free_name, shared_table, table
 
 # Names that go with secrets, words that go with look-alikes, words of a dictionary.
 SECRET_NAMES = "pass|pwd|secret|token|apikey|api_key|api-key|access|auth|bearer|credential|private"
@@ -81,15 +93,61 @@ K = "A-Za-z0-9+/_-"
 #: Where blanks begin and end, and where runs begin and end: splitting there loses no character.
 BLANKS = r"(?<=\s)(?=\S)|(?<=\S)(?=\s)"
 RUNS = rf"(?<![{K}])(?=[{K}])|(?<=[{K}])(?![{K}])(?!={{1,2}}(?![={K}]))|(?<=[{K}]={{1,2}})(?![={K}])"
-#: A run is looked at if it has 12 characters and a digit, or if it follows a secret's name and =, : or =>.
-LONG = rf"(?<![{K}])(?=[A-Za-z+/_-]*[0-9])[{K}]{{12,}}"
+#: A run is looked at if it has 12 characters and a digit, or 24, or if it follows a secret's name and =, : or =>.
+LONG = rf"(?<![{K}])(?:(?=[A-Za-z+/_-]*[0-9])[{K}]{{12,}}|[{K}]{{24,}})"
 ASSIGN = r"""["'\\\])]{0,3}\s{0,3}(?:=>|:=|[:=])\s{0,3}["'\\\[(]{0,3}"""
 SECRET_ASSIGN = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)[0-9_-]{0,3}" + ASSIGN
 NAMED = rf"{SECRET_ASSIGN}[{K}]{{4,}}"
 #: Characters of context on each side of a run.
 AROUND = 80
-FEATURES = ("length", "digits", "upper", "lower", "signs", "turns", "distinct", "hexlike", "covered", "named", "named_key", "plain", "assigned", "path", "keyshape", "named_after", "plain_after")
-TREES, DEPTH, EXAMPLES, THRESHOLD = 20, 6, 3000, 0.5
+FEATURES = ("length", "digits", "upper", "lower", "signs", "turns", "distinct", "hexlike", "pairs", "likely", "known", "covered", "named", "named_key", "plain", "assigned", "path")
+TREES, DEPTH, EXAMPLES, THRESHOLD, WORD_BUCKETS = 40, 8, 6000, 0.5, 64
+#: Bits of the table of known words; a known word occurs so often and makes up such a share of all words, so there are at most 100,000.
+WORD_BITS, LEAST_COUNT, LEAST_SHARE = 1 << 17, 5, 1e-5
+
+
+@dataclass
+class Words:
+    """What the words of a corpus say: log-probabilities of letter pairs (a * 27 + b) and bits of known words."""
+
+    pairs: list[float]
+    bits: list[int]
+
+    def pair_table(self) -> Column:
+        return F.split(F.lit(",".join(f"{x:.6f}" for x in self.pairs)), ",").cast("array<double>")
+
+    def bit_table(self) -> Column:
+        return F.split(F.lit(",".join(map(str, self.bits))), ",").cast("array<bigint>")
+
+
+@dataclass
+class Scanner:
+    words: Words
+    forest: object
+
+
+def learn_words(docs: DataFrame) -> Words:
+    """Letter pairs and frequent words of all texts. The driver gets at most 676 sums and 100,000 words' buckets."""
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter(F.col("w").rlike("^[a-z]{2,24}$"))
+    words = shared_table(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    letters = words.select("w", "n", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i"))
+    at = lambda i: F.ascii(F.substring("w", i, F.lit(1))) - 96
+    sums = {(r[0], r[1]): r[2] for r in letters.groupBy(at(F.col("i")).alias("a"), at(F.col("i") + 1).alias("b")).agg(F.sum("n")).collect()}
+    pairs = [0.0] * 27 * 27
+    for a in range(1, 27):
+        of = sum(sums.get((a, b), 0) for b in range(1, 27))
+        for b in range(1, 27):
+            pairs[a * 27 + b] = math.log((sums.get((a, b), 0) + 0.5) / (of + 13))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    bits = [0] * (WORD_BITS // 64)
+    often = words.filter((F.length("w") >= 3) & (F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * total))
+    for r in often.select(_bit(F.col("w")).alias("bit")).distinct().collect():
+        bits[r[0] // 64] |= 1 << (r[0] % 64)
+    return Words(pairs, [x - (1 << 64) if x >> 63 else x for x in bits])
+
+
+def _bit(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(WORD_BITS)).cast("int")
 
 
 def _any_of(words: list[str]) -> str:
@@ -113,14 +171,22 @@ def _any_of(words: list[str]) -> str:
 DICTIONARY = _any_of(WORDS.split())
 
 
-def features(df: DataFrame) -> DataFrame:
-    """The forest's features of (value, left, right)."""
+def features(df: DataFrame, words: Words) -> DataFrame:
+    """The forest's features of (value, left, right), and neighbours: the words around, each with its place."""
     n = F.greatest(F.length("value"), F.lit(1)).cast("double")
     df = df.withColumns({
         "before": F.regexp_extract("left", r"((?:\S+\s+){0,2})\S*\z", 1), "after": F.lower(F.regexp_extract("right", r"^\S*\s+(\S+)", 1)),
         "name": F.regexp_extract("left", r"([A-Za-z0-9_.-]{2,40})" + ASSIGN + r"\z", 1),
         "word": F.concat(F.regexp_extract("left", r"(\S*)\z", 1), F.col("value"), F.regexp_extract("right", r"^(\S*)", 1)),
+        "codes": F.transform(F.split(F.lower("value"), ""), lambda c: F.when(c.between("a", "z"), F.ascii(c) - 96).otherwise(0)),
+        "runs": F.filter(F.split(F.lower("value"), "[^a-z]+"), lambda w: F.length(w) >= 3),
     })
+    others = F.greatest(F.size("codes") - 1, F.lit(0))
+    pairs = F.filter(F.zip_with(F.slice("codes", F.lit(1), others), F.slice("codes", F.lit(2), others), lambda a, b: F.when((a > 0) & (b > 0), a * 27 + b)), lambda x: x.isNotNull())
+    df = df.withColumn("letter_pairs", pairs)
+    add = lambda a, x: a + x
+    likely = F.aggregate(F.transform("letter_pairs", lambda x: F.get(words.pair_table(), x)), F.lit(0.0), add) / F.size("letter_pairs")
+    is_known = lambda w: F.call_function("shiftright", F.get(words.bit_table(), (_bit(w) / 64).cast("int")), _bit(w) % 64).bitwiseAND(1)
     kept = lambda pattern: F.length(F.regexp_replace("value", pattern, "")) / n
     name = F.lower(F.concat_ws(" ", F.trim("before"), F.col("name")))
     flag = lambda c: c.cast("double")
@@ -133,17 +199,26 @@ def features(df: DataFrame) -> DataFrame:
         "turns": F.length(F.regexp_replace(F.regexp_replace("value", r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])", "\u0001"), "[^\u0001]", "")) / n,
         "distinct": F.size(F.array_distinct(F.split("value", ""))) / n,
         "hexlike": flag(F.col("value").rlike("^[0-9a-f]+$")),
+        "pairs": F.size("letter_pairs") / n,
+        "likely": F.when(F.size("letter_pairs") > 0, likely).otherwise(-6.0),
+        "known": F.aggregate(F.transform("runs", lambda w: F.length(w) * is_known(w)), F.lit(0).cast("bigint"), add) / n,
         "covered": 1 - F.length(F.regexp_replace(F.lower("value"), DICTIONARY, "")) / n,
         "named": flag(name.rlike(SECRET_NAMES)),
         "named_key": flag(F.lower("name").rlike(SECRET_NAMES)),
         "plain": flag(name.rlike(PLAIN_NAMES)),
         "assigned": flag(F.col("left").rlike(ASSIGN + r"\z")),
         "path": flag(F.col("word").rlike(r"://|\.[a-z]{2,4}\b|/[A-Za-z0-9_.-]+/|@")),
-        "keyshape": flag(F.col("value").rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^sk[-_][A-Za-z0-9_-]{16,}$|^xox[abp]-|^AIza[A-Za-z0-9_-]{30,}$|^eyJ[A-Za-z0-9_-]{10,}")),
-        "named_after": flag(F.col("after").rlike(SECRET_NAMES)),
-        "plain_after": flag(F.col("after").rlike(PLAIN_NAMES)),
     }
-    return df.withColumns(cols)
+    placed = lambda c, mark: F.transform(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) >= 2), lambda w: F.concat(F.lit(mark), w))
+    around = F.concat(placed(F.col("before"), "before "), placed(F.col("name"), "name "), placed(F.col("after"), "after "), placed(F.regexp_extract("left", r"(\S*)\z", 1), "path "), placed(F.regexp_extract("right", r"^(\S*)", 1), "path "))
+    return df.withColumns(cols | {"neighbours": around})
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import HashingTF, VectorAssembler
+
+    rows = HashingTF(numFeatures=WORD_BUCKETS, binary=True, inputCol="neighbours", outputCol="hashed").transform(rows)
+    return VectorAssembler(inputCols=[*FEATURES, "hashed"], outputCol="secret_features").transform(rows)
 
 
 def rule_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFrame:
@@ -182,23 +257,34 @@ def rule_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFrame:
         (0, joined(pick(31, '{"token":"', '{"password":"', '{"secret":"'), word(32), word(33), '","id":7}'), pick(34, "got", "the", "body")),
         (0, joined('{"order_id":"', F.conv(F.substring(h, 1, 13), 16, 10), '","sha":"', F.substring(h, 14, 40), '"}'), pick(35, "got", "the", "body")),
         (0, joined(word(36), word(37), "-", F.conv(F.substring(h, 1, 3), 16, 10)), pick(38, "the", "file", "and", "of")),
+        (1, F.substring(h, F.lit(1), F.pmod(F.xxhash64(i, F.lit(39)), F.lit(33)).cast("int") + 24), pick(40, "client_secret:", "api-key:", "authToken =", "SECRET_KEY=", "x-api-key:")),
+        (1, joined(pick(41, "postgres://app:", "mysql://root:", "https://bot:"), mixed, "@db.example.org:5432/main"), pick(42, "url", "dsn =", "connect to", "the")),
+        (1, joined("xoxb-", F.conv(F.substring(h, 1, 8), 16, 10), "-", F.substring(url64, 1, 24)), pick(43, "slack", "bot token", "the", "use")),
+        (1, joined(F.substring(b64, 1, 42), F.lit("==")), pick(44, "private_key:", "Authorization: Basic", "shared_secret =", "credential:")),
+        (0, F.substring(h, 1, 64), pick(45, "sha256:", "digest =", "sha256sum", "integrity")),
+        (0, joined("data:image/png;base64,", b64, F.reverse(b64)), pick(46, "img src=", "background:", "the", "icon")),
+        (0, joined(pick(47, "https://cdn.example.net/assets/", "/var/log/app/", "s3://bucket/data/"), F.substring(h, 1, 20), pick(48, ".js", ".log", ".parquet")), pick(49, "load", "open", "the", "from")),
+        (0, joined(pick(50, "get", "set", "is", "make"), F.initcap(word(51)), F.initcap(word(52)), F.initcap(word(53))), pick(54, "call", "method", "function", "def")),
+        (0, joined(word(55), F.lit("_"), word(56), F.lit("_"), word(57), F.lit("_2")), pick(58, "the", "table", "column", "variable")),
+        (0, joined("2024-", F.lpad(F.pmod(i, F.lit(12)).cast("string"), 2, "0"), "-17T", F.substring(F.conv(F.substring(h, 1, 8), 16, 10), 1, 6), "Z"), pick(59, "at", "date:", "since", "time =")),
+        (0, joined("v", F.pmod(i, F.lit(30)).cast("string"), ".", F.pmod(i, F.lit(7)).cast("string"), "-build", F.conv(F.substring(h, 1, 6), 16, 10)), pick(60, "version", "release", "build:", "tag")),
+        (0, F.substring(h, 1, 24), pick(61, "object id", "trace_id:", "request-id:", "session", "etag =")),
     ]
     of = F.pmod(i, F.lit(len(kinds)))
     word, before, label = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0)
     for k, (y, w, b) in enumerate(kinds):
         word, before, label = F.when(of == k, w).otherwise(word), F.when(of == k, b).otherwise(before), F.when(of == k, y).otherwise(label)
-    return spark.range(examples).select(word.alias("word"), before.alias("before"), F.lit("the").alias("after"), label.alias("label"))
+    return spark.range(examples).select(word.alias("word"), before.alias("before"), pick(62, "the", "and", "was", "in", "then", "for").alias("after"), label.alias("label"))
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH):
-    """The forest's pipeline model, from labelled findings (word, before, after, label)."""
+def train(findings: DataFrame, words: Words, trees: int = TREES, depth: int = DEPTH) -> Scanner:
+    """The forest, from labelled findings (word, before, after, label) and the words of the corpus."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
 
     texts = findings.select(F.concat_ws(" ", "before", "word", "after").alias("text"), F.col("label").alias("found_label"))
-    rows = features(candidates(texts, "found_label")).withColumn("label", F.col("found_label"))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="secret_features").transform(rows).select("secret_features", F.col("label").cast("double").alias("label"))
-    return RandomForestClassifier(featuresCol="secret_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=17).fit(rows)
+    rows = _vectors(features(candidates(texts, "found_label"), words)).select("secret_features", F.col("found_label").cast("double").alias("label"))
+    forest = RandomForestClassifier(featuresCol="secret_features", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="0.4", seed=17)
+    return Scanner(words, forest.fit(rows))
 
 
 def _has_candidate(text: Column) -> Column:
@@ -231,14 +317,15 @@ def candidates(docs: DataFrame, *keys: str) -> DataFrame:
     return words.select(*keys, "word_no", F.explode(runs).alias("r")).select(*keys, "word_no", "r.*")
 
 
-def scan(docs: DataFrame, model, *keys: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Every candidate with its value, the forest's score and whether it is a secret."""
-    from pyspark.ml.feature import VectorAssembler
+def scan(docs: DataFrame, scanner: Scanner, *keys: str, threshold: float = THRESHOLD) -> DataFrame:
+    """keys and every candidate with its place, word, value, the forest's score and whether it is a secret."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="secret_features").transform(features(candidates(docs, *keys)))
-    scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
-    return scored.select(*keys, "word_no", "run_no", "word", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
+    own = {k: f"key {i}" for i, k in enumerate(keys)}
+    rows = _vectors(features(candidates(docs.select(*(F.col(k).alias(c) for k, c in own.items()), "text"), *own.values()), scanner.words))
+    scored = scanner.forest.transform(rows).withColumn("score", vector_to_array("probability")[1]).withColumn("is_secret", F.col("score") >= threshold)
+    taken = {k.lower() for k in keys}
+    return scored.select(*(F.col(c).alias(k) for k, c in own.items()), *(F.col(c).alias(c + "_" if c in taken else c) for c in ("word_no", "run_no", "word", "value", "score", "is_secret")))
 
 
 def _replaced(pieces: Column, hits: Column, at, new) -> Column:
@@ -249,7 +336,7 @@ def _replaced(pieces: Column, hits: Column, at, new) -> Column:
     return F.array_join(F.concat(parts, end), "")
 
 
-def redact(docs: DataFrame, model, mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, scanner: Scanner, mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
     """docs with every confirmed secret in text replaced by mark where it stands, and n_chars counted anew.
 
     Texts without a candidate are passed on as they are; only the others meet their findings in a
@@ -259,7 +346,7 @@ def redact(docs: DataFrame, model, mark: str = "[SECRET]", threshold: float = TH
     # SHA-256 names a text
     key, of, cut = free_name(docs, "secret_key"), free_name(docs, "secret_places"), free_name(docs, "secret_pieces")
     suspects = docs.filter(has).withColumn(key, F.sha2(F.col("text").cast("binary"), 256))
-    found = scan(suspects.dropDuplicates([key]), model, key, threshold=threshold).filter("is_secret")
+    found = scan(suspects.dropDuplicates([key]), scanner, key, threshold=threshold).filter("is_secret")
     found = found.groupBy(key, "word_no").agg(F.array_sort(F.collect_list("run_no")).alias("runs"))
     found = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("word_no", "runs"))).alias(of))
     done = suspects.join(found, key, "left")
@@ -275,5 +362,6 @@ def redact(docs: DataFrame, model, mark: str = "[SECRET]", threshold: float = TH
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"), train(rule_findings(spark)), "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    found = scan(docs, train(rule_findings(spark), learn_words(docs)), "doc_id")
     return found.select("doc_id", "word_no", "run_no", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").alias("value_chars"), "score", "is_secret")

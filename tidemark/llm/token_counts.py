@@ -5,6 +5,10 @@ neighbours are the encoding of their own joined bytes. So the encoding of each p
 token only, the one that fits the last token of the shorter prefix before it, and its count is one
 more than there. The table holds that count for every prefix of a piece of text; pieces add up.
 
+A short piece is looked up among those that the worker process has met. A long one (a blob of
+base64, minified code) is read once from left to right, and only the prefixes that the longest
+token spans are held, so memory does not grow with a word. Long texts are read in fragments.
+
 Nulls count as the empty text (no tokens); repeated rows are counted each; further columns are
 ignored by `token_counts` and kept by `truncate_to_budget`; an empty table gives an empty result.
 """
@@ -12,16 +16,18 @@ ignored by `token_counts` and kept by `truncate_to_budget`; an empty table gives
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import tokens
 from tidemark.llm.common import small_slices, table
 
-#: Prefixes and pairs of tokens that a worker process stores; then it starts anew.
-STORED = 1_000_000
+#: Prefixes and pairs of tokens that a worker process stores, then it starts anew; bytes of a piece whose prefixes are stored.
+STORED, SHORT = 500_000, 48
 # Fixed values of the vocabulary: the pattern that splits a text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -30,6 +36,7 @@ class PrefixTable:
     """Exact counts of byte-level tokens at every prefix of a text."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -43,7 +50,12 @@ class PrefixTable:
         self.longest = max(map(len, self.ids))
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.marks, self.split, self.space = set(special), regex.compile(SPLIT), regex.compile(r"\s")
+        self.marks, self.split, self.space = set(special), regex.compile(SPLIT), regex.compile(r"\s+")
+        self.finder = ahocorasick.Automaton()  # which tokens end at each byte
+        for token, t in self.ids.items():
+            if token.decode("latin-1"):
+                self.finder.add_word(token.decode("latin-1"), (len(token), t))
+        self.finder.make_automaton()
         self.states: dict[bytes, tuple[int, int]] = {b"": (-1, 0)}
         self.fits: dict[tuple, bool] = {}
         self.alone: dict[int, bool] = {}
@@ -80,7 +92,12 @@ class PrefixTable:
         return self.alone[a]
 
     def state(self, data: bytes) -> tuple[int, int]:
-        """(last token, count) of data that is merged as one; those of its prefixes are stored with it."""
+        """(last token, count) of data that is merged as one; those of its prefixes are stored with it if it is short."""
+        if len(data) > SHORT:
+            got = (-1, 0)
+            for got in self.last_tokens(data):
+                pass
+            return got
         states = self.states
         got = states.get(data)
         if got is not None:
@@ -109,16 +126,34 @@ class PrefixTable:
                     break
         return states[data]
 
-    def bytes_prefixes(self, data: bytes) -> list[int]:
-        """counts[i]: tokens of data[:i], for a piece that is merged as one."""
-        return [0] + [self.state(data[:i])[1] for i in range(1, len(data) + 1)]
+    def last_tokens(self, data: bytes) -> Iterator[tuple[int, int]]:
+        """(last token, count) of each prefix of data, which is merged as one, but for the empty one."""
+        size = self.longest + 1  # a prefix needs only the ones that a token reaches back to
+        last, count = [-1] * size, [0] * size
+        fits, done = self.fits, 0
+        for at, (n, t) in self.finder.iter(data.decode("latin-1")):
+            end = at + 1
+            if end == done:
+                continue
+            start = end - n
+            if start:
+                before = last[start % size]
+                fit = fits.get((before, t))
+                if not (self._fit(before, t) if fit is None else fit):
+                    continue
+            elif not self._alone(t):
+                continue
+            last[end % size], count[end % size], done = t, count[start % size] + 1 if start else 1, end
+            yield t, count[end % size]
 
-    def units(self, text: str) -> list[str]:
+    def units(self, text: str) -> Iterator[str]:
         """What is merged as one: special tokens, and the matches of SPLIT between them."""
-        out: list[str] = []
-        for part in self.special.split(text) if self.special else [text]:
-            out.extend([part] if part in self.marks else self.split.findall(part))
-        return out
+        at = 0
+        for m in self.special.finditer(text) if self.special else ():
+            yield from (u.group() for u in self.split.finditer(text[at : m.start()]))
+            yield m.group()
+            at = m.end()
+        yield from (u.group() for u in self.split.finditer(text[at:]))
 
     def count(self, text: str) -> int:
         if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # one unit
@@ -128,30 +163,43 @@ class PrefixTable:
     def count_pieces(self, pieces: list[str]) -> list[int]:
         return [self.count(w if w[0] == "\n" else " " + w) for w in pieces]
 
-    def prefixes(self, text: str) -> list[int]:
-        """counts[i]: tokens of text[:i], for every i from 0 to its length."""
-        counts, before = [0], 0
+    def prefixes(self, text: str) -> np.ndarray:
+        """counts[i]: tokens of text[:i], for every i from 0 to its length; each unit is read once."""
+        counts, before = array("i", [0]), 0
+        begin = base = 0  # the last unit that a cut special token can change, and the tokens before it
         for unit in self.units(text):
-            whole = 1 if unit in self.marks else self.state(unit.encode())[1]
-            if unit.isalpha() or unit[1:].isalpha() and unit[0] == " ":
-                at = self.bytes_prefixes(unit.encode())
-                size = 0
-                for c in unit[:-1]:
-                    size += len(c.encode())
-                    counts.append(before + at[size])
-            elif unit in self.marks:  # a cut special token is ordinary text, merged with what stands before it
-                counts.extend(self.count(text[: len(counts)]) for _ in unit[:-1])
-            else:  # a cut blank or contraction is split in another way
+            at = len(counts) - 1
+            if unit in self.marks:  # a cut special token is ordinary text, split together with that unit
+                counts.extend(base + self.count(text[begin : at + i]) for i in range(1, len(unit)))
+                before += 1
+                begin, base = at + len(unit), before
+                counts.append(before)
+                continue
+            begin, base = at, before
+            data = unit.encode()
+            if unit[0] == "'" and unit[1:].isalpha():  # a cut contraction is split in another way
                 counts.extend(before + self.count(unit[:i]) for i in range(1, len(unit)))
-            before += whole
-            counts.append(before)
-        run = 0
-        for i, c in enumerate(text, 1):  # a cut run of white space is one unit, whatever followed it
-            if not self.space.match(c):
-                run = i
-            elif i < len(text):
-                counts[i] = counts[run] + self.count(text[run:i])
-        return counts
+                before += self.state(data)[1]
+                counts.append(before)
+            else:
+                counts.extend(before + c for c in self._by_character(unit, data))
+                before = counts[-1]
+        for run in self.space.finditer(text):  # a cut run of white space is one unit, whatever followed it
+            start = run.start()
+            for i, c in enumerate(self._by_character(run.group(), run.group().encode()), start + 1):
+                counts[i] = counts[start] + c
+        return np.frombuffer(counts, np.int32)
+
+    def _by_character(self, unit: str, data: bytes) -> Iterator[int]:
+        """Counts of the prefixes of a unit that end with a whole character."""
+        counts = (c for _, c in self.last_tokens(data))
+        if len(unit) == len(data):
+            yield from counts
+            return
+        for c in unit:
+            for _ in c.encode():
+                n = next(counts)
+            yield n
 
 
 _tables: dict[str, tuple] = {}
@@ -161,7 +209,7 @@ def prefix_table(path: str) -> tuple[PrefixTable, tokens.Pieces]:
     """The table and the remembered counts of pieces, one for each worker process."""
     if path not in _tables:
         made = PrefixTable(path)
-        _tables[path] = made, tokens.Pieces(made.count, made.count_pieces)
+        _tables[path] = made, tokens.Pieces(made.count, made.count_pieces, sum)
     return _tables[path]
 
 
@@ -173,7 +221,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
         _, pieces = prefix_table(path)
         for b in small_slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            n = list(map(sum, pieces.of(texts)))
+            n = pieces.of(texts)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
@@ -204,8 +252,7 @@ def truncate_to_budget(docs: DataFrame, budget: int, tokenizer: str = "byte_bpe_
         if text is None:
             return None
         made, _ = prefix_table(path)
-        counts = made.prefixes(text)
-        return text[: max(i for i, n in enumerate(counts) if n <= budget)]
+        return text[: int(np.flatnonzero(made.prefixes(text) <= budget)[-1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_slices(batches, 64):

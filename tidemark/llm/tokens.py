@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Pieces that a worker process remembers; then it starts anew.
-REMEMBERED = 600_000
+#: Pieces that a worker process remembers, then it starts anew; and how long such a piece is at most.
+REMEMBERED, SHORT = 600_000, 64
+#: Characters of a text that are cut into pieces at once.
+CHARS_AT_ONCE = 1 << 20
+_CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
 _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD = re.compile(r"[^\S \n]")
 _loaded: dict[tuple, object] = {}
@@ -46,35 +50,73 @@ def _other_space(text: str) -> bool:
     return (not text.isascii() or any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")) and _ODD.search(text) is not None
 
 
+def fragments(text: str) -> Iterator[str]:
+    """A long text in parts, cut before a blank or line break that stands between other characters."""
+    begin = 0
+    while len(text) - begin > CHARS_AT_ONCE:
+        m = _CUT.search(text, begin + CHARS_AT_ONCE)
+        if not m:
+            break
+        yield text[begin : m.start()]
+        begin = m.start()
+    yield text[begin:]
+
+
 class Pieces:
     """Values of the pieces of texts. A piece starts with the blank or line break before it.
 
     one(text) gives the value of any text; many(pieces) those of distinct regular pieces, of which
-    a leading blank is left out and a leading line break is not. No value is None.
+    a leading blank is left out and a leading line break is not. No value is None. join(values) is
+    the value of a whole, also of joined wholes.
     """
 
-    def __init__(self, one, many):
-        self.one, self.many = one, many
+    def __init__(self, one, many, join):
+        self.one, self.many, self.join = one, many, join
         self.known: dict = {}
+        self.alone: dict = {}
+
+    def _alone(self, text: str):
+        got = self.alone.get(text)
+        if got is None:
+            got = self.one(text)
+            if len(text) <= SHORT:
+                if len(self.alone) >= REMEMBERED:
+                    self.alone.clear()
+                self.alone[text] = got
+        return got
 
     def _runs(self, text: str) -> list:
         # A cut inside other white space (tabs, no-break blanks) would change how it is split.
-        return [self.one(text)] if _other_space(text) else list(map(self.one, _RUNS.findall(text)))
+        return [self.one(text)] if _other_space(text) else [self._alone(m.group()) for m in _RUNS.finditer(text)]
 
-    def of(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pieces."""
-        cut = [None if not t or _irregular(t) else t.replace("\n", " \n").split(" ") for t in texts]
+    def _values(self, texts: list[str], inner: bool = False) -> list:
+        """The values of texts; inner: they begin with a blank or line break after other characters."""
+        cut = [None if not t or _irregular(t[1:] if inner else t) else t.replace("\n", " \n").split(" ") for t in texts]
         get = self.known.get
-        found = [None if p is None else [self.one(p[0]), *map(get, p[1:])] for p in cut]
-        absent = [() if v is None else [i for i, x in enumerate(v) if x is None] for v in found]
-        new = list({p[i] for p, at in zip(cut, absent, strict=True) for i in at})
+        if inner:
+            cut = [p if p is None else p[1:] for p in cut]
+            found = [None if p is None else list(map(get, p)) for p in cut]
+        else:
+            found = [None if p is None else [self._alone(p[0]), *map(get, p[1:])] for p in cut]
+        open_ = [k for k, v in enumerate(found) if v is not None and None in v]
+        new = list({w for k in open_ for w, x in zip(cut[k], found[k], strict=True) if x is None})
+        got = dict(zip(new, self.many(new), strict=True))
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-        self.known.update(zip(new, self.many(new), strict=True))
-        for p, v, at in zip(cut, found, absent, strict=True):
-            for i in at:
-                v[i] = self.known[p[i]]
-        return [[] if not t else self._runs(t) if v is None else v for t, v in zip(texts, found, strict=True)]
+        self.known.update((w, x) for w, x in got.items() if len(w) <= SHORT)
+        for k in open_:
+            found[k] = [got[w] if x is None else x for w, x in zip(cut[k], found[k], strict=True)]
+        return [self.join(()) if not t else self.join(self._runs(t) if v is None else v) for t, v in zip(texts, found, strict=True)]
+
+    def of(self, texts: list[str]) -> list:
+        """The value of each text; a long one is read in fragments."""
+        if max(map(len, texts), default=0) <= CHARS_AT_ONCE:
+            return self._values(texts)
+        out = []
+        for t in texts:
+            parts = fragments(t)
+            out.append(self.join([self._values([next(parts)])[0], *(self._values([f], True)[0] for f in parts)]))
+        return out
 
 
 def _split_at(ids: list[int], mark: int, n: int) -> list[bytes]:
@@ -139,8 +181,8 @@ def byte_level_ids(path: str):
                 got[w] = line_break + ids if w[0] == "\n" else ids
         return [got[w] for w in pieces]
 
-    pieces_ = pieces = Pieces(one, many)
-    _loaded["byte", path] = lambda texts: [b"".join(v) for v in pieces.of(texts)]
+    pieces_ = Pieces(one, many, b"".join)
+    _loaded["byte", path] = pieces_.of
     return _loaded["byte", path]
 
 
@@ -155,34 +197,42 @@ def word_level_ids(path: str):
     known: dict[str, bytes] = {"": b""}
     merge, signs = _merge(library, letters_of_bytes()), {c: one(c) for c in ".,"}
 
-    def encode(texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(known.get, p)) for p in cut]
-        absent = [[i for i, x in enumerate(v) if x is None] for v in found]
-        new = {p[i] for p, at in zip(cut, absent, strict=True) for i in at}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        plain = []
+    def values(new: set[str]) -> dict[str, bytes]:
+        got, plain = {}, []
         for w in new:
             base = w[:-1] if w[-1] in ".," else w
             if base.isalpha():
                 low = base.lower() if base.isascii() else library.normalizer.normalize_str(base)
                 if low.isalpha():  # one unit
-                    known[w] = (known.get(base) or merge(low)) + (signs[w[-1]] if base is not w else b"")
+                    got[w] = (known.get(base) or merge(low)) + (signs[w[-1]] if base is not w else b"")
                     continue
-            if "<|" in w or sign in w:
-                known[w] = one(w)
+            if "<|" in w or sign in w or len(w) > SHORT:
+                got[w] = one(w)
             else:
                 plain.append(w)
         for at in range(0, len(plain), 200):
             some = plain[at : at + 200]
             text = "".join(f" {sign} {w}" for w in some)
-            known.update(zip(some, _split_at(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, mark, len(some)), strict=True))
-        for p, v, at in zip(cut, found, absent, strict=True):
-            for i in at:
-                v[i] = known[p[i]]
+            got.update(zip(some, _split_at(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, mark, len(some)), strict=True))
+        return got
+
+    def of(texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(known.get, p)) for p in cut]
+        open_ = [k for k, v in enumerate(found) if None in v]
+        got = values({w for k in open_ for w, x in zip(cut[k], found[k], strict=True) if x is None})
+        if len(known) + len(got) > REMEMBERED:
+            known.clear()
+            known[""] = b""
+        known.update((w, x) for w, x in got.items() if len(w) <= SHORT)
+        for k in open_:
+            found[k] = [got[w] if x is None else x for w, x in zip(cut[k], found[k], strict=True)]
         return list(map(b"".join, found))
 
+    def encode(texts: list[str]) -> list[bytes]:
+        if max(map(len, texts), default=0) <= CHARS_AT_ONCE:
+            return of(texts)
+        return [b"".join(of([f])[0] for f in fragments(t)) for t in texts]
+
     _loaded["word", path] = encode
     return encode
