@@ -259,28 +259,37 @@ def codebook(x: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def reach_by_distance(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, enough: int) -> tuple[float, list[int]]:
-    """Centroid pairs (i, j) in the order of a[i] + b[j], by a heap, until they hold `enough` entries.
-
-    a, b: a query's squared distances to the centroids of each half; sizes[i, j]: entries of a pair.
-    Returns the sum at which it stops and the first halves of the pairs with entries.
-    """
-    ia, ib = np.argsort(a, kind="stable").tolist(), np.argsort(b, kind="stable").tolist()
-    x, y, rows = a[ia].tolist(), b[ib].tolist(), sizes[np.ix_(ia, ib)].tolist()
-    heap, firsts, total, last = [(x[0] + y[0], 0, 0)], set(), 0, -np.inf
-    while heap and total < enough:
-        last, i, j = heap[0]
-        if rows[i][j]:
-            firsts.add(ia[i])
-            total += rows[i][j]
-        # each pair has one predecessor: the one before it in its row, or the first of the row before
-        if j + 1 < len(y):
-            heapq.heapreplace(heap, (x[i] + y[j + 1], i, j + 1))
-        else:
-            heapq.heappop(heap)
-        if not j and i + 1 < len(x):
-            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
-    return last, list(firsts)
+class Pairs:
+    """The centroid pairs (i, j) that hold entries, by first half, and how many they hold. sizes[i, j]."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.first, self.second = np.nonzero(sizes)
+        self.n = sizes[self.first, self.second]
+        self.rows = np.unique(self.first)
+        self.starts = np.searchsorted(self.first, self.rows).tolist()
+        self.ends = [*self.starts[1:], len(self.first)]
+
+    def reach(self, a: np.ndarray, b: np.ndarray, enough: int) -> tuple[float, list[int]]:
+        """Traverses pairs in the order of a[i] + b[j], by a heap over first halves, until they hold `enough` entries.
+
+        a, b: a query's squared distances to the centroids of each half. Returns the sum at which it
+        stops, and the first halves of the pairs it has visited.
+        """
+        sums = a[self.first] + b[self.second]
+        order = np.lexsort((sums, self.first))
+        s, n = sums[order].tolist(), self.n[order].tolist()
+        heap = [(s[at], at, row) for row, at in enumerate(self.starts)]
+        heapq.heapify(heap)
+        seen, total, last = set(), 0, -np.inf
+        while heap and total < enough:
+            last, at, row = heap[0]
+            total += n[at]
+            seen.add(row)
+            if at + 1 < self.ends[row]:
+                heapq.heapreplace(heap, (s[at + 1], at + 1, row))
+            else:
+                heapq.heappop(heap)
+        return last, self.rows[sorted(seen)].tolist()
 
 
 def multi_index_search(vectors: DataFrame, is_query, k: int = 10, half_size: int | None = None, probe: float = 0.2, least: int = 1000, sample: int = 30_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -324,14 +333,14 @@ def multi_index_search(vectors: DataFrame, is_query, k: int = 10, half_size: int
         sizes[r[0]] = r[1]
     sizes = sizes.reshape(len(left), len(right))
     enough = max(least, int(probe * n)) + k
-    shared = real.sparkSession.sparkContext.broadcast((left, right, sizes))
+    shared = real.sparkSession.sparkContext.broadcast((left, right, Pairs(sizes)))
 
     def distances(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right, _ = shared.value
         return (left**2).sum(axis=1) - 2.0 * (q[:, :cut] @ left.T), (right**2).sum(axis=1) - 2.0 * (q[:, cut:] @ right.T)
 
     def look(q: np.ndarray) -> tuple[tuple, list[int]]:
-        stops, firsts = zip(*(reach_by_distance(x, y, shared.value[2], enough) for x, y in zip(*distances(q), strict=True)), strict=True)
+        stops, firsts = zip(*(shared.value[2].reach(x, y, enough) for x, y in zip(*distances(q), strict=True)), strict=True)
         return stops, sorted(set().union(*firsts))
 
     def visited(q: np.ndarray, stops: np.ndarray, cell: int, x: np.ndarray) -> np.ndarray:
