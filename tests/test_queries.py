@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__
 from tests.oracle import same_rows
-from tidemark.plans import registry
+from tidemark.plans import catalog as registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
@@ -22,5 +22,5 @@ def test_gives_rows(spark, name):
 
 def test_entry(spark):
     got = __spark_entry__.entry(spark)
-    assert got.columns == ["hour_utc", "n", "k", "wilson_lo"] and got.count() == registry.QUERIES["hourly_direction_report"](spark, SF).count() > 0
+    assert got.columns == ["hour_utc", "n", "k", "wilson_lo"] and got.count() == registry.QUERIES["hourly_direction_report"](spark, "/root/testdata/sf0.001").count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, t: str, value: str, out: str) -> DataFrame:
-    """left with the value of the last right row at or before t, by one sort of the union of both sides.
+def as_of(left: DataFrame, right: DataFrame, key: str, t: str, value: str, out: str, width: int = 86_400_000) -> DataFrame:
+    """left with the value of the last right row at or before t. A right row at the same time counts as before.
 
-    right needs (key, t, value). A right row at the same time counts as before.
+    Rows are sorted within buckets of `width`; what a bucket starts with is the last value of the buckets
+    before it, carried along a table of one row for each key and bucket. right needs (key, t, value).
     """
-    l = left.withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(right.schema[value].dataType))
-    r = right.select(key, t, F.col(value).alias("_value"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(key).orderBy(t, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    bucket = F.floor(F.col(t) / width)
+    l = left.withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(right.schema[value].dataType)).withColumn("_b", bucket)
+    r = right.select(key, t, F.col(value).alias("_value"), F.lit(0).alias("_side"), bucket.alias("_b"))
+    w = Window.partitionBy(key, "_b").orderBy(t, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = l.unionByName(r, allowMissingColumns=True).withColumn(out, F.last("_value", ignorenulls=True).over(w))
-    return both.filter("_side = 1").drop("_side", "_value")
+    ends = both.groupBy(key, "_b").agg(F.max_by(F.when(F.col("_side") == 0, F.col("_value")), F.when(F.col("_value").isNotNull(), F.col(t))).alias("_end"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    got = both.filter("_side = 1").join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")), "left")
+    return got.withColumn(out, F.coalesce(out, "_carried")).drop("_side", "_value", "_b", "_k", "_c", "_carried")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, key: str, t: str, target, tolerance: int, value: str, out: str, left_id: list[str]) -> DataFrame:

@@ -69,7 +69,7 @@ SELECT version, day, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, round(great
   round(greatest(0, {_W.format(z=1.96, s='-')}), 6) AS st2_lo, round({_W.format(z=1.96, s='+')}, 6) AS st4_hi, round(2.8016 * 0.5 / sqrt(n), 6) AS min_effect FROM g"""
 )
 def daily_intervals(spark, d):
-    """ST1 to ST5, ST10, AG24: the Wilson variants and the minimum detectable effect, by day."""
+    """ST1 to ST5, ST10: the Wilson variants and the minimum detectable effect, by day."""
     g = bets(spark, d).groupBy("version", F.floor(F.col("t") / 86_400_000).alias("day")).agg(F.count("*").alias("n"), F.count_if("win").alias("k"))
     one = stats.wilson_bounds(F.col("k"), F.col("n"), 1.959964, (0, 1))
     four = stats.wilson_bounds(F.col("k"), F.col("n"), 1.96, (None, None), clamp=False)
@@ -93,7 +93,7 @@ def calibration(spark, d):
 SELECT version, phase, count(*) AS n, count(*) FILTER (win) AS k, round(avg(pnl), 5) AS mean_pnl, CAST(grouping(version) * 2 + grouping(phase) AS INTEGER) AS level FROM x GROUP BY GROUPING SETS ((version, phase), (version), (phase), ())"""
 )
 def regime_phases(spark, d):
-    """AG1, AG2, AG4, AG5, AG14, AG33, SO1: versions and phases with their subtotals in one pass."""
+    """AG1, AG2, AG4, AG5, AG14: versions and phases with their subtotals in one pass."""
     b = bets(spark, d).withColumns({"phase": F.when(F.col("t") < 1_705_276_800_000, "before").otherwise("after"), "pnl": ev.realised(F.col("win"), F.col("entry"))})
     g = b.cube("version", "phase").agg(F.count("*").alias("n"), F.count_if("win").alias("k"), F.round(F.avg("pnl"), 5).alias("mean_pnl"), F.grouping_id().cast("int").alias("level"))
     return g.select("version", "phase", "n", "k", "mean_pnl", "level")

@@ -60,7 +60,7 @@ def live_profit_path(spark, d):
 
 
 @query(
-    f"""WITH {BARS_SQL}, g AS (SELECT series * 24 + CAST(bar_ts // 3600000 % 24 AS BIGINT) AS id, avg(ret) AS a, avg(o) - 0.5 AS b, avg(c) - 0.5 AS c, count(*) FILTER (outcome = 'UP') > count(*) FILTER (outcome = 'DOWN') AS up FROM bars GROUP BY 1),
+    f"""WITH {BARS_SQL}, g AS (SELECT series % 4 * 24 + CAST(bar_ts // 3600000 % 24 AS BIGINT) AS id, avg(ret) AS a, avg(o) - 0.5 AS b, avg(c) - 0.5 AS c, count(*) FILTER (outcome = 'UP') > count(*) FILTER (outcome = 'DOWN') AS up FROM bars GROUP BY 1),
 p AS (SELECT id, CASE WHEN up THEN 'UP' ELSE 'DOWN' END AS direction, id % 3 <> 0 AS has_vector, a, b, c, CASE WHEN b > 0 THEN 'high' ELSE 'low' END || '|' || CASE WHEN c > b THEN 'rise' ELSE 'fall' END AS mark FROM g),
 m AS (SELECT n.id, min(o.id) AS same_as FROM p n JOIN p o ON n.direction = o.direction AND o.id < n.id AND CASE WHEN n.has_vector AND o.has_vector
   THEN coalesce((n.a * o.a + n.b * o.b + n.c * o.c) / nullif(sqrt(n.a * n.a + n.b * n.b + n.c * n.c) * sqrt(o.a * o.a + o.b * o.b + o.c * o.c), 0), 0) >= 0.95 ELSE n.mark = o.mark END GROUP BY 1)
@@ -70,7 +70,7 @@ def repeated_patterns(spark, d):
     """AF34: for each pattern the first earlier one of its direction that it repeats: by cosine where both have
     a vector, else by equal fingerprints. The catalogue has one row for each series and hour, whatever the data."""
     b = src.bars(spark, d)
-    g = b.groupBy((F.col("series") * 24 + F.floor(F.col("bar_ts") / HOUR_MS) % 24).alias("id")).agg(
+    g = b.groupBy((F.col("series") % 4 * 24 + F.floor(F.col("bar_ts") / HOUR_MS) % 24).alias("id")).agg(
         F.avg("ret").alias("a"), (F.avg("o") - 0.5).alias("b"), (F.avg("c") - 0.5).alias("c"), (F.count_if(F.col("outcome") == "UP") > F.count_if(F.col("outcome") == "DOWN")).alias("up")
     )
     mark = F.concat_ws("|", F.when(F.col("b") > 0, "high").otherwise("low"), F.when(F.col("c") > F.col("b"), "rise").otherwise("fall"))

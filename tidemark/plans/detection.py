@@ -19,7 +19,7 @@ r AS (SELECT *, CAST(floor(bar_ts / 10800000) * 10800000 AS BIGINT) AS cycle_ts,
 SELECT series, cycle_ts, side, bar_ts, round(level, 6) AS level, (side = 'high' AND c < level) OR (side = 'low' AND c > level) AS fake FROM r WHERE rn = 1"""
 )
 def break_events(spark, d):
-    """DP1, DP5, DP27, WF3, WF22: the first break of a prior level in each cycle and side, and whether it failed."""
+    """DP1, DP5, WF3, WF22: the first break of a prior level in each cycle and side, and whether it failed."""
     p = W().rowsBetween(-24, -1)
     x = src.bars(spark, d).withColumns({"hi": F.max("c").over(p), "lo": F.min("c").over(p), "k": F.count("*").over(p)}).filter("k = 24")
     sides = F.array(
@@ -76,7 +76,7 @@ f AS (SELECT series, bar_ts, CASE WHEN h > l THEN (c - l) / (h - l) END AS cp, C
 SELECT series, bar_ts, round(cp, 6) AS close_pos, round(vr, 6) AS vol_ratio, CASE WHEN cp >= 0.85 AND vr >= 2 THEN 'bull_exhaust' WHEN cp <= 0.15 AND vr >= 2 THEN 'bear_exhaust' WHEN three_up AND cp >= 0.85 THEN 'momentum_fade' ELSE 'none' END AS pattern FROM f"""
 )
 def candle_patterns(spark, d):
-    """AF28, AF29, AF30, DP6: close position, volume ratio and pattern precedence."""
+    """AF28, AF29, AF30: close position, volume ratio and pattern precedence."""
     m = W().rowsBetween(-20, -1)
     sgn = F.signum(F.col("c") - F.col("o"))
     x = src.bars(spark, d).withColumns({"ma": F.avg("v").over(m), "k": F.count("*").over(m), "d0": sgn, "d1": F.lag(sgn).over(W()), "d2": F.lag(sgn, 2).over(W())})
@@ -93,7 +93,7 @@ def candle_patterns(spark, d):
   NOT (o_orderstatus = 'P' OR o_orderpriority LIKE '5%' OR o_totalprice / 500000 <= 0.2 OR o_orderkey % 10 < 2) AS passed FROM orders"""
 )
 def gate_reasons(spark, d):
-    """PF12, PF13, PF14, DP35, AF37: ordered rules of which the first failure names the reason."""
+    """PF12: ordered rules of which the first failure names the reason, over orders (`trade_gate` has the full gate)."""
     o = src.table(spark, d, "orders")
     reason = F.when(F.col("o_orderstatus") == "P", "switched_off").when(F.col("o_orderpriority").startswith("5"), "no_direction").when(F.col("o_totalprice") / 500000 <= 0.2, "low_confidence").when(F.col("o_orderkey") % 10 < 2, "few_samples").otherwise("ok")
     return o.select(F.col("o_orderkey").alias("id"), reason.alias("reason")).withColumn("passed", F.col("reason") == "ok")
@@ -111,13 +111,13 @@ def snapshot_tokens(spark, d):
 
 @query("SELECT o_orderpriority AS version, count(*) AS n, count(DISTINCT o_custkey) AS n_keys FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('F') GROUP BY 1")
 def official_versions(spark, d):
-    """PF7, SO2, AG3, AG44: rows whose status is null or not a shadow one, counted by version."""
+    """PF7: rows whose status is null or not a shadow one, counted by version."""
     o = src.table(spark, d, "orders").filter(F.col("o_orderstatus").isNull() | ~F.col("o_orderstatus").isin("F"))
     return o.groupBy(F.col("o_orderpriority").alias("version")).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("n_keys"))
 
 
 @query("SELECT o_orderkey AS id, o_totalprice AS amount FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def newest_listing(spark, d):
-    """PF3, PF4, PF5, PF6, PF9, PF10, WF34, SC8: optional filters, order and a bounded page (the limit is the feature)."""
+    """PF9, WF34: a filter, an order and a bounded page (the limit is the feature)."""
     o = src.table(spark, d, "orders").filter((F.col("o_orderdate") >= "1996-01-01") & (F.col("o_orderstatus") == "O"))
     return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))

@@ -29,17 +29,31 @@ def hour_lifts(spark, d):
     return x.select("version", "hour_utc", "n", F.round("l.lift", 5).alias("lift"), F.round("l.log_se", 5).alias("log_se"), F.round("l.lo", 5).alias("lo"), stats.verdict(F.col("l.lift"), F.col("l.lo")).alias("verdict"))
 
 
+def ranked(rows, value: str, out: str, cells: int = 4096):
+    """rows with the rank of a value in [0, 1] over all of them and m, how many there are.
+
+    Values are counted first. A cell of the unit interval starts at the offset that the counts of the cells
+    before it give (a table of at most `cells` rows), and only the distinct values of a cell are sorted together.
+    """
+    cell = F.least(F.floor(F.col(value) * cells), F.lit(cells - 1)).alias("cell")
+    values = rows.groupBy(value, cell).agg(F.count("*").alias("k"))
+    order = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = values.groupBy("cell").agg(F.sum("k").alias("k")).select("cell", (F.sum("k").over(order) - F.col("k")).alias("before"), F.sum("k").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"))
+    within = Window.partitionBy("cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    places = values.join(F.broadcast(offsets), "cell").withColumn(out, F.col("before") + F.sum("k").over(within) - F.col("k") + 1)
+    return rows.join(places.select(value, out, "m"), value)
+
+
 @query(
-    """WITH p AS (SELECT l_suppkey AS id, least(1.0, avg(l_discount) * 10 * avg(l_tax)) AS p FROM lineitem GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM p),
-k AS (SELECT max(rk) FILTER (p <= rk / m * 0.05) AS k FROM r) SELECT id, round(p, 8) AS p, rk AS rank, coalesce(rk <= k, false) AS significant FROM r, k"""
+    """WITH p AS (SELECT l_suppkey AS id, round(least(1.0, avg(l_discount) * 10 * avg(l_tax)), 10) AS p FROM lineitem GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM p),
+k AS (SELECT max(rk) FILTER (p <= rk / m * 0.05) AS k FROM r) SELECT id, p, rk AS rank, coalesce(rk <= k, false) AS significant FROM r, k"""
 )
 def false_discovery(spark, d):
     """WF36: step-up control of the false discovery rate; ranks come from counts by value, not one sorted partition."""
-    p = src.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.least(F.lit(1.0), F.avg("l_discount") * 10 * F.avg("l_tax")).alias("p"))
-    # one row for each hypothesis: the screened set, not the data, is ranked
-    r = p.withColumns({"rank": F.rank().over(Window.orderBy("p")), "m": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    p = src.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.round(F.least(F.lit(1.0), F.avg("l_discount") * 10 * F.avg("l_tax")), 10).alias("p"))
+    r = ranked(p, "p", "rank")
     k = r.filter(F.col("p") <= F.col("rank") / F.col("m") * 0.05).agg(F.max("rank").alias("k"))
-    return r.join(F.broadcast(k)).select("id", F.round("p", 8).alias("p"), "rank", F.coalesce(F.col("rank") <= F.col("k"), F.lit(False)).alias("significant"))
+    return r.join(F.broadcast(k)).select("id", "p", "rank", F.coalesce(F.col("rank") <= F.col("k"), F.lit(False)).alias("significant"))
 
 
 @query(
@@ -90,21 +104,21 @@ def stratified_sample(spark, d):
 
 
 @query(
-    """WITH v AS (SELECT vec_id, label, embedding AS e, sqrt(list_dot_product(embedding, embedding)) AS norm FROM embeddings), s AS (SELECT q.vec_id AS id, q.label, d.label AS other, d.vec_id AS d, list_dot_product(q.e, d.e) / (q.norm * d.norm) AS sim FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+    """WITH v AS (SELECT vec_id, label, embedding AS e, sqrt(list_dot_product(embedding, embedding)) AS norm FROM embeddings), s AS (SELECT q.vec_id AS id, q.label, d.label AS other, d.vec_id AS d, list_dot_product(q.e, d.e) / (q.norm * d.norm) AS sim FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 6) DESC, d) AS rn FROM s), k AS (SELECT id, any_value(label) AS label, other, count(*) AS votes FROM r WHERE rn <= 15 GROUP BY id, other), t AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY votes DESC) AS rk FROM k)
 SELECT id, any_value(label) AS label, CASE WHEN count(*) FILTER (rk = 1) = 1 THEN max(other) FILTER (rk = 1) END AS voted, CAST(max(votes) AS BIGINT) AS votes FROM t GROUP BY id"""
 )
 def neighbour_votes(spark, d):
-    """JN15, AF19: cosine neighbours vote, with abstention on a tie.
+    """JN15, AF19: cosine neighbours of every 20th id vote, with abstention on a tie.
 
-    Queries meet the table in blocks of rows: each task gets its rows once and all query blocks.
+    The stated query set meets the table in blocks of rows: of each pair of blocks a query keeps its 15 nearest.
     """
     v = src.table(spark, d, "embeddings")
 
     def blocks(df, by):
         return df.groupBy(by.alias("blk")).agg(F.collect_list(F.struct("vec_id", "label", "embedding")).alias("rows"))
 
-    q = blocks(v.filter(F.col("vec_id") % 100 == 0), F.floor(F.col("vec_id") / 25_600)).select(F.col("rows").alias("q"))
+    q = blocks(v.filter(F.col("vec_id") % 20 == 0), F.floor(F.col("vec_id") / 20_480)).select(F.col("rows").alias("q"))
     x = blocks(v, F.floor(F.col("vec_id") / 1024)).select(F.col("rows").alias("x"))
 
     def score(batches):
@@ -114,10 +128,12 @@ def neighbour_votes(spark, d):
                 a, c = (np.array([r["embedding"] for r in rows], np.float64) for rows in (qs, xs))
                 a, c = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (a, c))
                 sim, ids, labels = np.round(a @ c.T, 6), np.array([r["vec_id"] for r in xs]), np.array([r["label"] for r in xs])
-                for r, s in zip(qs, sim, strict=True):
-                    o = np.lexsort((ids, -s))
-                    o = o[ids[o] != r["vec_id"]][:15]
-                    out.append(pd.DataFrame({"id": r["vec_id"], "label": r["label"], "other": labels[o], "d": ids[o], "sim": s[o]}))
+                own = np.array([r["vec_id"] for r in qs])
+                sim[own[:, None] == ids[None, :]] = -np.inf
+                o = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :15]
+                best = np.take_along_axis(sim, o, 1)
+                row, col = np.nonzero(np.isfinite(best))
+                out.append(pd.DataFrame({"id": own[row], "label": np.array([r["label"] for r in qs])[row], "other": labels[o[row, col]], "d": ids[o[row, col]], "sim": best[row, col]}))
             yield pd.concat(out) if out else pd.DataFrame({"id": [], "label": [], "other": [], "d": [], "sim": []})
 
     s = q.join(x).mapInPandas(score, "id long, label int, other int, d long, sim double")
@@ -126,17 +142,24 @@ def neighbour_votes(spark, d):
     return t.groupBy("id", "label").agg(F.when(F.count_if(F.col("rk") == 1) == 1, F.max(F.when(F.col("rk") == 1, F.col("other")))).alias("voted"), F.max("votes").alias("votes"))
 
 
-@query()
+@query(
+    f"""WITH {BETS_SQL}, g AS (SELECT version, count(*) AS n, count(*) FILTER (win) AS k FROM bets GROUP BY 1),
+m AS (SELECT version, n, k, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5::DOUBLE)) AS mass FROM g, LATERAL (SELECT unnest(range(n + 1)) AS i)),
+a AS (SELECT version, mass AS at_k FROM m WHERE i = k)
+SELECT version, any_value(n) AS n, any_value(k) AS k, round(least(1.0, sum(mass) FILTER (mass <= at_k * (1 + 1e-9))), 7) AS p, round(sum(mass) FILTER (i <= k), 7) AS lower_p,
+  round(least(1.0, 2 * {stats.normal_cdf_sql("(-greatest((abs(any_value(k) - any_value(n) * 0.5) - 0.5) / sqrt(any_value(n) * 0.25), 0))")}), 7) AS normal_p, round({stats.normal_cdf_sql("((any_value(k) - any_value(n) * 0.5) / sqrt(any_value(n) * 0.25))")}, 7) AS phi FROM m JOIN a USING (version) GROUP BY 1"""
+)
 def binomial_tests(spark, d):
-    """ST6 to ST9: exact two-sided binomial p of each version's wins, and its normal score."""
+    """ST6 to ST9: exact two-sided and lower binomial p of each version's wins, the normal law's p and score."""
     g = bets(spark, d).groupBy("version").agg(F.count("*").alias("n"), F.count_if("win").alias("k"))
-    z = (F.col("k") - F.col("n") * 0.5) / F.sqrt(F.col("n") * 0.25)
-    return g.select("version", "n", "k", stats.binomial_p(F.col("k"), F.col("n"), F.lit(0.5)).alias("p"), stats.normal_cdf(z).alias("phi"))
+    z, half = (F.col("k") - F.col("n") * 0.5) / F.sqrt(F.col("n") * 0.25), F.lit(0.5)
+    k, n = F.col("k"), F.col("n")
+    return g.select("version", "n", "k", F.round(stats.binomial_p(k, n, half), 7).alias("p"), F.round(stats.binomial_lower(k, n, half), 7).alias("lower_p"), F.round(stats.normal_p(k, n, half), 7).alias("normal_p"), F.round(stats.normal_cdf(z), 7).alias("phi"))
 
 
 @query()
 def bootstrap_intervals(spark, d):
-    """ST19, EV13, WF33: 95 % interval of the mean profit by 2000 resamples of daily sums, seed 7.
+    """ST19: 95 % interval of the mean profit by 2000 resamples of daily sums, seed 7.
 
     Days are summed first, so one version's group is as long as its days and not as its bets.
     """

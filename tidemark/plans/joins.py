@@ -24,16 +24,22 @@ def last_view_before_purchase(spark, d):
 
 
 @query(
-    f"""WITH {SAMPLES_SQL}, p AS (SELECT event_id, series, t, CASE WHEN volume > 35 THEN 'UP' ELSE 'DOWN' END AS direction FROM samples WHERE event_type = 'click'), {BARS_SQL[len(SAMPLES_SQL) + 2 :]}
-SELECT p.event_id, p.direction, b.outcome, CASE WHEN p.direction = 'NO_TRADE' THEN coalesce(b.outcome = 'NOISE', false) ELSE coalesce(p.direction = b.outcome, false) END AS is_correct
-FROM p JOIN bars b ON p.series = b.series AND p.t >= b.bar_ts AND p.t < b.bar_ts + 3600000"""
+    f"""WITH {SAMPLES_SQL}, p AS (SELECT event_id, series, CASE WHEN event_id % 40 = 0 THEN t // 3600000 * 3600000 ELSE t END AS t, CASE WHEN volume > 50 THEN 'UP' WHEN volume > 25 THEN 'DOWN' ELSE 'NO_TRADE' END AS direction FROM samples WHERE event_type = 'click'), {BARS_SQL[len(SAMPLES_SQL) + 2 :]}
+SELECT p.event_id, p.direction, max(b.bar_ts) AS window_start, arg_max(b.outcome, b.bar_ts) AS outcome, count(*) AS n_covering, CASE WHEN p.direction = 'NO_TRADE' THEN coalesce(arg_max(b.outcome, b.bar_ts) = 'NOISE', false) ELSE coalesce(p.direction = arg_max(b.outcome, b.bar_ts), false) END AS is_correct
+FROM p JOIN bars b ON p.series = b.series AND p.t BETWEEN b.bar_ts AND b.bar_ts + 3600000 GROUP BY p.event_id, p.direction"""
 )
 def validated_predictions(spark, d):
-    """JN1, JN3, JN4, PF11, DP18: the half-open window that covers each prediction, by an equi-join on its bucket."""
+    """JN1, JN3, JN4, PF11, DP18: the windows that cover each prediction, both ends included, by an equi-join
+    on its bucket and, at a boundary, the one before; the one that ends last decides whether it was right."""
     s = src.samples(spark, d).filter("event_type = 'click'")
-    p = s.select("event_id", "series", src.bucket(F.col("t"), HOUR_MS).alias("bar_ts"), F.when(F.col("volume") > 35, "UP").otherwise("DOWN").alias("direction"))
+    t = F.when(F.col("event_id") % 40 == 0, src.bucket(F.col("t"), HOUR_MS)).otherwise(F.col("t"))  # some at the very boundary
+    p = s.select("event_id", "series", t.alias("t"), F.when(F.col("volume") > 50, "UP").when(F.col("volume") > 25, "DOWN").otherwise("NO_TRADE").alias("direction"))
+    at = src.bucket(F.col("t"), HOUR_MS)
+    p = p.withColumn("bar_ts", F.explode(F.when(F.col("t") == at, F.array(at, at - HOUR_MS)).otherwise(F.array(at))))
     j = p.join(src.bars(spark, d).select("series", "bar_ts", "outcome"), ["series", "bar_ts"])
-    return j.select("event_id", "direction", "outcome", F.coalesce(F.col("direction") == F.col("outcome"), F.lit(False)).alias("is_correct"))
+    j = j.groupBy("event_id", "direction").agg(F.max("bar_ts").alias("window_start"), F.max_by("outcome", "bar_ts").alias("outcome"), F.count("*").alias("n_covering"))
+    right = F.when(F.col("direction") == "NO_TRADE", F.col("outcome") == "NOISE").otherwise(F.col("direction") == F.col("outcome"))
+    return j.select("event_id", "direction", "window_start", "outcome", "n_covering", F.coalesce(right, F.lit(False)).alias("is_correct"))
 
 
 @query(
@@ -67,7 +73,7 @@ def local_baseline_pool(spark, d):
 SELECT outcome, CASE WHEN n1 - bar_ts = 3600000 THEN o1 END AS next_outcome, CASE WHEN n2 - bar_ts = 7200000 THEN o2 END AS second_outcome, count(*) AS n FROM x GROUP BY ALL"""
 )
 def adjacent_windows(spark, d):
-    """JN8, JN9, JN10, DP26: next and second-next window with exact adjacency."""
+    """JN8, JN9, DP26: next and second-next window with exact adjacency."""
     b = src.bars(spark, d)
     for k in (1, 2):
         b = b.withColumn(f"o{k}", F.when(F.lead("bar_ts", k).over(W()) - F.col("bar_ts") == k * HOUR_MS, F.lead("outcome", k).over(W())))
@@ -80,7 +86,7 @@ top AS (SELECT version, count(*) AS n_recent, round(avg(amount), 7) AS recent_me
 SELECT c.c_custkey AS version, r.id AS latest_id, coalesce(t.n_recent, 0) AS n_recent, t.recent_mean FROM customer c LEFT JOIN r ON r.version = c.c_custkey AND r.rn = 1 LEFT JOIN top t ON t.version = c.c_custkey"""
 )
 def latest_runs(spark, d):
-    """JN2, JN13, JN18, WF26, WF27: latest row and the ten most recent of each key, left joined with a default."""
+    """JN2, JN13, WF26, WF27: latest row and the ten most recent of each key, left joined with a default."""
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     r = src.table(spark, d, "orders").withColumn("rn", F.row_number().over(w)).filter("rn <= 10")
     g = r.groupBy(F.col("o_custkey").alias("version")).agg(F.max(F.when(F.col("rn") == 1, F.col("o_orderkey"))).alias("latest_id"), F.count("*").alias("n_recent"), F.round(F.avg("o_totalprice"), 7).alias("recent_mean"))

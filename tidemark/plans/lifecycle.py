@@ -48,13 +48,13 @@ def variance_ratios(spark, d, q: int = 4):
     return g.select("series", n.cast("long").alias("n"), F.round("vr", 4).alias("vr"), F.round(z, 3).alias("z_ref"), F.when(F.col("theta") > 0, F.round(F.sqrt(n) * (F.col("vr") - 1) / F.sqrt("theta"), 3)).alias("z_star_ref"))
 
 
-_PATTERNS_SQL = BETS_SQL + ", pats AS (SELECT version * 24 + CAST(t // 3600000 % 24 AS BIGINT) AS id, count(*) AS n, count(*) FILTER (win) / count(*) AS win_rate, count(*) FILTER (t >= 1705276800000 AND win) / nullif(count(*) FILTER (t >= 1705276800000), 0) AS recent FROM bets GROUP BY 1)"
+_PATTERNS_SQL = BETS_SQL + ", pats AS (SELECT version % 4 * 24 + CAST(t // 3600000 % 24 AS BIGINT) AS id, count(*) AS n, count(*) FILTER (win) / count(*) AS win_rate, count(*) FILTER (t >= 1705276800000 AND win) / nullif(count(*) FILTER (t >= 1705276800000), 0) AS recent FROM bets GROUP BY 1)"
 
 
 def patterns(b):
-    """Bets by version and hour as patterns, with all-time and recent win rate."""
+    """Bets by version (of four) and hour: a catalogue of 96 patterns, with all-time and recent win rate."""
     new = F.col("t") >= HALF
-    g = b.groupBy((F.col("version") * 24 + F.floor(F.col("t") / 3_600_000) % 24).alias("id")).agg(F.count("*").alias("n"), F.count_if("win").alias("k"), F.count_if(new).alias("n_new"), F.count_if(new & F.col("win")).alias("k_new"))
+    g = b.groupBy((F.col("version") % 4 * 24 + F.floor(F.col("t") / 3_600_000) % 24).alias("id")).agg(F.count("*").alias("n"), F.count_if("win").alias("k"), F.count_if(new).alias("n_new"), F.count_if(new & F.col("win")).alias("k_new"))
     return g.select("id", "n", (F.col("k") / F.col("n")).alias("win_rate"), (F.col("k_new") / F.nullif(F.col("n_new"), F.lit(0))).alias("recent"))
 
 
@@ -73,16 +73,16 @@ def retired_patterns(spark, d, cap: int = 30, least: int = 5):
 
 
 @query(
-    f"""WITH {BETS_SQL}, o AS (SELECT version * 24 + CAST(t // 3600000 % 24 AS BIGINT) AS id, count(*) AS n, count(*) FILTER (win) AS k FROM bets WHERE t < 1705276800000 GROUP BY 1), w AS (SELECT version * 24 + CAST(t // 3600000 % 24 AS BIGINT) AS id, count(*) AS n, count(*) FILTER (win) AS k FROM bets WHERE t >= 1705276800000 GROUP BY 1)
+    f"""WITH {BETS_SQL}, o AS (SELECT version % 4 * 24 + CAST(t // 3600000 % 24 AS BIGINT) AS id, count(*) AS n, count(*) FILTER (win) AS k FROM bets WHERE t < 1705276800000 GROUP BY 1), w AS (SELECT version % 4 * 24 + CAST(t // 3600000 % 24 AS BIGINT) AS id, count(*) AS n, count(*) FILTER (win) AS k FROM bets WHERE t >= 1705276800000 GROUP BY 1)
 SELECT id, CASE WHEN o.n IS NULL THEN 'CREATE' WHEN w.n IS NULL THEN 'RETIRE' ELSE 'UPDATE' END AS change, CASE WHEN o.n IS NOT NULL THEN '{{"n":' || o.n || ',"k":' || o.k || '}}' END AS before, CASE WHEN w.n IS NOT NULL THEN '{{"n":' || w.n || ',"k":' || w.k || '}}' END AS after
 FROM o FULL JOIN w USING (id) WHERE o.n IS DISTINCT FROM w.n OR o.k IS DISTINCT FROM w.k"""
 )
 def pattern_changes(spark, d):
-    """DP34, SO2: one row with both snapshots for each pattern that was created, updated or retired."""
+    """DP34: one row with both snapshots for each pattern that was created, updated or retired."""
     b = bets(spark, d)
 
     def snapshot(rows, name):
-        g = rows.groupBy((F.col("version") * 24 + F.floor(F.col("t") / 3_600_000) % 24).alias("id")).agg(F.count("*").alias("n"), F.count_if("win").alias("k"))
+        g = rows.groupBy((F.col("version") % 4 * 24 + F.floor(F.col("t") / 3_600_000) % 24).alias("id")).agg(F.count("*").alias("n"), F.count_if("win").alias("k"))
         return g.select("id", F.to_json(F.struct("n", "k")).alias(name))
 
     both = snapshot(b.filter(F.col("t") < HALF), "before").join(snapshot(b.filter(F.col("t") >= HALF), "after"), "id", "full")
@@ -95,7 +95,7 @@ _TILES_SQL = f"""{BARS_SQL}, sg AS (SELECT round(stddev_pop(ret) FILTER (ret <>
 quotes AS (SELECT s.event_id, s.series, b.bar_ts, s.q, b.o, b.outcome, 1 - (s.t - b.bar_ts) / 3600000.0::DOUBLE AS tau FROM samples s JOIN bars b ON s.series = b.series AND CAST(floor(s.t / 3600000) * 3600000 AS BIGINT) = b.bar_ts),
 zs AS (SELECT event_id, series, bar_ts, 1 - q AS down, outcome, CASE WHEN tau < 0.5 THEN 0 ELSE 1 END AS half, round((q / o - 1) / (sigma * sqrt(tau)), 9) AS z FROM quotes, sg WHERE tau > 0.03),
 tiles AS (SELECT *, {_ZBIN} AS zbin FROM zs),
-surf AS (SELECT half, zbin, median(down) AS price, count(DISTINCT (series, bar_ts)) FILTER (outcome <> 'NOISE') AS n, count(DISTINCT (series, bar_ts)) FILTER (outcome = 'DOWN') AS n_down FROM tiles GROUP BY 1, 2
+surf AS (SELECT half, zbin, median(round(down, 6)) AS price, count(DISTINCT (series, bar_ts)) FILTER (outcome <> 'NOISE') AS n, count(DISTINCT (series, bar_ts)) FILTER (outcome = 'DOWN') AS n_down FROM tiles GROUP BY 1, 2
   HAVING count(*) >= 15 AND count(DISTINCT (series, bar_ts)) FILTER (outcome <> 'NOISE') >= 15)"""
 
 
@@ -114,13 +114,15 @@ def surface(t):
     """AG35: median price and share of windows that fell, by half and bin; cells need 15 of each."""
     of_window = t.groupBy("half", "zbin", "series", "bar_ts").agg(F.first("outcome").alias("outcome"))
     cycles = of_window.groupBy("half", "zbin").agg(F.count_if(F.col("outcome") != "NOISE").alias("n"), F.count_if(F.col("outcome") == "DOWN").alias("n_down"))
-    prices = t.groupBy("half", "zbin").agg(F.percentile("down", 0.5).alias("price"), F.count("*").alias("m"))
+    # counts of values first: a cell's task gets at most a million distinct prices
+    values = t.groupBy("half", "zbin", F.round("down", 6).alias("down")).agg(F.count("*").alias("k"))
+    prices = values.groupBy("half", "zbin").agg(F.percentile("down", 0.5, F.col("k")).alias("price"), F.sum("k").alias("m"))
     return prices.join(cycles, ["half", "zbin"]).filter((F.col("m") >= CELL) & (F.col("n") >= CELL))
 
 
 @query(f"WITH {_TILES_SQL} SELECT half, zbin, round(price, 6) AS price, round(n_down / n, 6) AS freq, n FROM surf")
 def price_surface(spark, d):
-    """AG35, AG36: the surface of DOWN prices over time left and distance from the open."""
+    """AG35, AG37, AF27: the surface of DOWN prices over time left and distance from the open."""
     return surface(tiles(spark, d)).select("half", "zbin", r6("price").alias("price"), r6(F.col("n_down") / F.col("n")).alias("freq"), "n")
 
 

@@ -19,7 +19,7 @@ def r6(c):
 
 @query(f"WITH {SAMPLES_SQL} SELECT event_id, series, t, round(q, 6) AS q, round(pct, 6) AS pct, participants FROM samples WHERE q > 0.02 AND q < 0.98")
 def tradable_samples(spark, d):
-    """SC6, SC12: samples with a quote strictly inside (0.02, 0.98)."""
+    """SC6: samples with a quote strictly inside (0.02, 0.98)."""
     s = src.samples(spark, d).filter((F.col("q") > 0.02) & (F.col("q") < 0.98))
     return s.select("event_id", "series", "t", r6("q").alias("q"), r6("pct").alias("pct"), "participants")
 
@@ -75,7 +75,7 @@ SELECT series, bar_ts, CASE WHEN n16 = 16 THEN round(hi, 6) END AS roll_max, CAS
   CASE WHEN n_vol >= 10 AND vol_ma > 0 THEN round(v / vol_ma, 6) END AS vol_ratio FROM x"""
 )
 def rolling_levels(spark, d):
-    """WF1, WF3, WF4, WF5, WF6: rolling extremes and mean, prior levels, volume ratio, position in range."""
+    """WF1, WF3, WF5, WF6: rolling extremes and mean, prior levels, volume ratio, position in range."""
     f, p, m = W().rowsBetween(-15, 0), W().rowsBetween(-48, -1), W().rowsBetween(-20, -1)
     b = src.bars(spark, d).withColumns({"n16": F.count("*").over(f), "hi": F.max("h").over(f), "lo": F.min("l").over(f), "ma": F.avg("c").over(f)})
     b = b.withColumns({"prior_hi": F.max("c").over(p), "prior_lo": F.min("c").over(p), "n_prior": F.count("*").over(p), "vol_ma": F.avg("v").over(m), "n_vol": F.count("*").over(m)})
@@ -113,7 +113,7 @@ SELECT series, bar_ts, CAST(dir AS INTEGER) AS dir, round(po, 6) AS prev_o, roun
   coalesce(h < ph AND l > pl, false) AS inside_bar, coalesce(sign(c - o) * sign(pc - po) < 0 AND abs(c - o) > abs(pc - po), false) AS engulfing, coalesce(h > ph AND c < ph, false) AS sweep_fail FROM x"""
 )
 def neighbouring_bars(spark, d):
-    """WF10, WF11, WF12, WF23: previous and next bar, inside, engulfing and failed-sweep flags."""
+    """WF10, WF11, WF23: previous and next bar, inside, engulfing and failed-sweep flags."""
     b = src.bars(spark, d).withColumn("dir", F.signum(F.col("c") - F.col("o")).cast("int"))
     b = b.withColumns({f"p{x}": F.lag(x).over(W()) for x in "ohlc"} | {"next_dir": F.lead("dir").over(W()), "next_ts": F.lead("bar_ts").over(W())})
     c, body, before = F.col, F.col("c") - F.col("o"), F.col("pc") - F.col("po")
@@ -145,21 +145,31 @@ def rolling_statistics(spark, d):
 
 
 @query(
-    f"""WITH {BARS_SQL}, x AS (SELECT series, bar_ts, c, o, lag(c, 24) OVER w AS c24, first_value(o) OVER (PARTITION BY series, bar_ts // 14400000 ORDER BY bar_ts) AS open4h, lag(c) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY series ORDER BY bar_ts)),
-y AS (SELECT *, sum(abs(c - pc)) OVER r AS way, count(c - pc) OVER r AS steps, c - lag(c, 24) OVER w AS net FROM x WINDOW w AS (PARTITION BY series ORDER BY bar_ts), r AS (PARTITION BY series ORDER BY bar_ts ROWS 23 PRECEDING))
-SELECT series, bar_ts, CASE WHEN c24 IS NULL THEN NULL WHEN c / c24 - 1 > 0.01 THEN 'BULL' WHEN c / c24 - 1 < -0.01 THEN 'BEAR' ELSE 'FLAT' END AS trend24,
-  round(c - open4h, 6) AS move4h, CASE WHEN steps = 24 AND way > 0 THEN round(abs(net) / way, 5) END AS efficiency FROM y"""
+    f"""WITH {BARS_SQL}, x AS (SELECT series, bar_ts, c, o, ret, lag(c, 24) OVER w AS c24, lag(o, 24) OVER w AS o24, lag(c, 240) OVER w AS c240, first_value(o) OVER (PARTITION BY series, bar_ts // 14400000 ORDER BY bar_ts) AS open4h, lag(c) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY series ORDER BY bar_ts)),
+y AS (SELECT *, sum(abs(c - pc)) OVER r AS way, count(c - pc) OVER r AS steps, stddev_samp(ret) OVER v AS vol, count(ret) OVER v AS n_vol FROM x WINDOW r AS (PARTITION BY series ORDER BY bar_ts ROWS 23 PRECEDING), v AS (PARTITION BY series ORDER BY bar_ts ROWS 239 PRECEDING)),
+z AS (SELECT *, CASE WHEN steps = 24 AND way > 0 THEN round(abs(c - c24) / way, 5) END AS eff, CASE WHEN n_vol = 240 THEN vol END AS vol30 FROM y),
+q AS (SELECT series, quantile_cont(eff, 0.33) AS e33, quantile_cont(eff, 0.67) AS e67, median(round(vol30, 9)) AS mid FROM z WHERE bar_ts < 1705276800000 GROUP BY 1)
+SELECT z.series, bar_ts, CASE WHEN c24 IS NULL THEN NULL WHEN c / c24 - 1 > 0.01 THEN 'BULL' WHEN c / c24 - 1 < -0.01 THEN 'BEAR' ELSE 'FLAT' END AS trend24, CASE WHEN o24 IS NULL THEN NULL WHEN o / o24 - 1 > 0.003 THEN 'BULL' WHEN o / o24 - 1 < -0.003 THEN 'BEAR' ELSE 'FLAT' END AS open_trend,
+  round(c - open4h, 6) AS move4h, eff AS efficiency, CASE WHEN eff >= e67 THEN 'trend' WHEN eff <= e33 THEN 'range' WHEN eff IS NOT NULL THEN 'transition' END AS state, CASE WHEN c240 IS NOT NULL THEN c < c240 END AS long_bear, CASE WHEN vol30 IS NOT NULL THEN round(vol30, 9) > mid END AS long_volatile FROM z LEFT JOIN q ON z.series = q.series"""
 )
 def trend_regimes(spark, d):
-    """TB20, TB21, WF20, WF21, WF24: trailing trend, move in the 4-hour bucket, efficiency ratio."""
-    four = Window.partitionBy("series", F.floor(F.col("bar_ts") / 14_400_000)).orderBy("bar_ts")
-    b = src.bars(spark, d).withColumns({"c24": F.lag("c", 24).over(W()), "open4h": F.first("o").over(four), "step": F.abs(F.col("c") - F.lag("c").over(W()))})
-    r = W().rowsBetween(-23, 0)
-    b = b.withColumns({"way": F.sum("step").over(r), "steps": F.count("step").over(r)})
-    move = F.col("c") / F.col("c24") - 1
-    return b.select(
-        "series", "bar_ts", F.when(F.col("c24").isNull(), None).when(move > 0.01, "BULL").when(move < -0.01, "BEAR").otherwise("FLAT").alias("trend24"),
-        r6(F.col("c") - F.col("open4h")).alias("move4h"), F.when((F.col("steps") == 24) & (F.col("way") > 0), F.round(F.abs(F.col("c") - F.col("c24")) / F.col("way"), 5)).alias("efficiency"),
+    """TB20, TB21, WF20, WF21, WF24: trailing trend of closes (1 %) and of opens (0.3 %), move in the 4-hour bucket,
+    efficiency ratio with its state by the discovery part's terciles, long return and volatility flags."""
+    four, w = Window.partitionBy("series", F.floor(F.col("bar_ts") / 14_400_000)).orderBy("bar_ts"), W()
+    b = src.bars(spark, d).withColumns({"c24": F.lag("c", 24).over(w), "o24": F.lag("o", 24).over(w), "c240": F.lag("c", 240).over(w), "open4h": F.first("o").over(four), "step": F.abs(F.col("c") - F.lag("c").over(w))})
+    r, v = w.rowsBetween(-23, 0), w.rowsBetween(-239, 0)
+    b = b.withColumns({"way": F.sum("step").over(r), "steps": F.count("step").over(r), "vol": F.stddev_samp("ret").over(v), "n_vol": F.count("ret").over(v)})
+    eff = F.when((F.col("steps") == 24) & (F.col("way") > 0), F.round(F.abs(F.col("c") - F.col("c24")) / F.col("way"), 5))
+    b = b.withColumns({"eff": eff, "vol30": F.when(F.col("n_vol") == 240, F.round("vol", 9))})
+    q = b.filter("bar_ts < 1705276800000").groupBy("series").agg(F.percentile("eff", 0.33).alias("e33"), F.percentile("eff", 0.67).alias("e67"), F.percentile("vol30", 0.5).alias("mid"))
+
+    def tag(now, then, least):
+        return F.when(then.isNull(), None).when(now / then - 1 > least, "BULL").when(now / then - 1 < -least, "BEAR").otherwise("FLAT")
+
+    e = F.col("eff")
+    return b.join(q, "series", "left").select(
+        "series", "bar_ts", tag(F.col("c"), F.col("c24"), 0.01).alias("trend24"), tag(F.col("o"), F.col("o24"), 0.003).alias("open_trend"), r6(F.col("c") - F.col("open4h")).alias("move4h"), e.alias("efficiency"),
+        F.when(e >= F.col("e67"), "trend").when(e <= F.col("e33"), "range").when(e.isNotNull(), "transition").alias("state"), (F.col("c") < F.col("c240")).alias("long_bear"), (F.col("vol30") > F.col("mid")).alias("long_volatile"),
     )
 
 
@@ -180,7 +190,7 @@ y AS (SELECT *, row_number() OVER (PARTITION BY series, start, slot ORDER BY t,
 SELECT slot, CAST(least(9, floor(q * 10)) AS INTEGER) AS q_bin, count(*) AS n, round(avg(q), 9) AS mean_q FROM y WHERE rn = 1 GROUP BY 1, 2"""
 )
 def slot_cells(spark, d):
-    """TB6, TB7, AG24, AG26: first sample of each slot, cells of slot and quote bin."""
+    """TB6, TB7: first sample of each slot, cells of slot and quote bin."""
     s = src.samples(spark, d).withColumns({"start": src.bucket(F.col("t"), src.HOUR_MS), "slot": F.floor((F.col("t") % src.HOUR_MS) / 300_000).cast("int")})
     first = Window.partitionBy("series", "start", "slot").orderBy("t", "event_id")
     s = s.withColumn("rn", F.row_number().over(first)).filter("rn = 1")

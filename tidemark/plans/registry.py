@@ -1,8 +1,7 @@
-"""Every query of the library with its SQL, by name."""
+"""The queries of the library with their SQL, by name. `catalog` loads the modules that add to it."""
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-for _name in ("market", "windows", "joins", "accounting", "discovery", "detection", "lifecycle", "hypotheses", "momentum", "audits", "streams"):
-    importlib.import_module(f"tidemark.plans.{_name}")

@@ -8,14 +8,23 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
-from tidemark.sources.events import SAMPLES_SQL
+from tidemark.sources.events import BARS_SQL, SAMPLES_SQL
 from tidemark.streaming import windows
 
 
+def shared_root(spark) -> str:
+    """spark.checkpoint.dir, the folder that driver and executors share; a temporary one only for a session in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return root.rstrip("/")
+
+
 def run_to_end(spark, d, change, schema: str):
     """The rows that a file stream of the events gives through change, once it has read all."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    run = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(d)
     q = change(stream).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").outputMode("append").trigger(availableNow=True).start()
@@ -23,13 +32,47 @@ def run_to_end(spark, d, change, schema: str):
     return spark.read.schema(schema).parquet(f"{run}/out")
 
 
-@query()
+@query(
+    f"""WITH {BARS_SQL}, m AS (SELECT max(t) AS now FROM samples) SELECT series, bar_ts, n, round(c, 6) AS c FROM bars, m WHERE bar_ts + 3600000 <= now - 15000"""
+)
 def streamed_windows(spark, d):
-    """TS1, TS4, SC12: the hourly windows that the watermark has closed, from a file stream."""
+    """TS4: the hourly windows that the watermark has closed, from a file stream: all but those that end within its grace."""
     out = run_to_end(spark, d, windows.archive, "series long, bar_ts long, n long, o double, h double, l double, c double")
     return out.select("series", "bar_ts", "n", F.round("c", 6).alias("c"))
 
 
+@query(f"WITH {SAMPLES_SQL} SELECT series, CAST(floor(t / 3600000) * 3600000 AS BIGINT) AS start, CAST((t % 3600000) // 180000 AS INTEGER) AS tick, count(*) AS n, round(arg_max(q, (t, event_id)), 6) AS q FROM samples GROUP BY 1, 2, 3 HAVING max(t // 180000 * 180000 + 180000) <= (SELECT max(t) FROM samples) - 15000")
+def streamed_ticks(spark, d):
+    """TS1: the last quote of each aligned tick (three minutes of an hour stand for 15 seconds of five minutes); a restarted run goes on from its checkpoint."""
+    out = run_to_end(spark, d, windows.ticks, "series long, tick_ts long, n long, q double")
+    start = F.floor(F.col("tick_ts") / 3_600_000) * 3_600_000
+    return out.select("series", start.alias("start"), ((F.col("tick_ts") - start) / 180_000).cast("int").alias("tick"), "n", F.round("q", 6).alias("q"))
+
+
+@query(f"WITH {SAMPLES_SQL} SELECT series, CAST(floor(t / 10800000) * 10800000 AS BIGINT) AS cycle_ts, round(arg_min(q, (t, event_id)), 6) AS open_q FROM samples GROUP BY 1, 2 HAVING CAST(floor(min(t) / 10800000) * 10800000 AS BIGINT) + 10800000 <= (SELECT max(t) FROM samples) - 15000")
+def streamed_switches(spark, d):
+    """TS6: one snapshot of the opening quote for each cycle that has been switched from."""
+    return run_to_end(spark, d, windows.switches, "series long, cycle_ts long, open_q double").withColumn("open_q", F.round("open_q", 6))
+
+
+@query(f"WITH {SAMPLES_SQL} SELECT DISTINCT series, CAST(floor(t / 3600000) * 3600000 AS BIGINT) AS start FROM samples WHERE q >= 0.69 AND q < 0.75")
+def streamed_boxes(spark, d):
+    """TS11: the windows in which a quote entered the rule's box, each announced once."""
+    out = run_to_end(spark, d, lambda s: windows.fire_once(s, 0.69, 0.75).select("series", F.unix_millis("start").alias("start")), "series long, start long")
+    return out
+
+
+_COOLED_SQL = f"""{SAMPLES_SQL}, a AS (SELECT series, event_type AS code, CASE WHEN event_type = 'error' THEN 3600000 ELSE 21600000 END AS silence, t FROM samples WHERE q >= 0.6 AND event_type IN ('error', 'signup')),
+n AS (SELECT s.series, s.code, s.t, min(x.t) AS nt FROM a s LEFT JOIN a x ON s.series = x.series AND s.code = x.code AND x.t >= s.t + s.silence GROUP BY 1, 2, 3),
+f(series, code, t) AS (SELECT series, code, min(t) FROM a GROUP BY 1, 2 UNION SELECT f.series, f.code, n.nt FROM f JOIN n ON f.series = n.series AND f.code = n.code AND f.t = n.t WHERE n.nt IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_COOLED_SQL} SELECT series, code, t AS sent_ts FROM f")
+def streamed_alerts(spark, d):
+    """PF18, TS10: alerts of a code that are sent: those that come after the silence of its level, which a keyed state holds."""
+    return run_to_end(spark, d, windows.alerts, "series long, code string, sent_ts long")
+
+
 @query(f"WITH {SAMPLES_SQL} SELECT series, CAST(floor(t / 3600000) * 3600000 AS BIGINT) AS start FROM samples GROUP BY 1, 2 HAVING count(*) >= 10")
 def streamed_triggers(spark, d):
     """TS2, TS3: the windows that a stateful stream announced at their tenth sample."""

@@ -21,9 +21,10 @@ POINTS_SQL = CURVES_SQL + ", pts AS (SELECT series, start, len(v) AS n, unnest(v
 )
 def archived_windows(spark, d):
     """TB1, TS4: one archived window per series and bucket."""
-    w = src.curves(spark, d)
-    first, last = F.get("v", F.lit(0)), F.get("v", F.size("v") - 1)
-    return w.select("series", "start", "sample_count", r6("mean_participants").alias("mean_participants"), r6("mean_volume").alias("mean_volume"), r6(first).alias("entry"), r6(last).alias("exit"), src.outcome(last - first).alias("outcome"))
+    s = src.samples(spark, d).withColumn("start", src.bucket(F.col("t"), src.HOUR_MS))
+    at, first, last = F.struct("t", "event_id"), F.col("entry"), F.col("exit")
+    w = s.groupBy("series", "start").agg(F.min_by("pct", at).alias("entry"), F.max_by("pct", at).alias("exit"), F.count("*").alias("sample_count"), F.avg("participants").alias("people"), F.avg("volume").alias("mean"))
+    return w.select("series", "start", "sample_count", r6("people").alias("mean_participants"), r6("mean").alias("mean_volume"), r6(first).alias("entry"), r6(last).alias("exit"), src.outcome(last - first).alias("outcome"))
 
 
 @query(
@@ -54,7 +55,7 @@ SELECT p.series, p.start, CAST(count(*) FILTER (p.t - f.t0 <= 1800000) AS INTEGE
   arg_min(p.t - p.start, p.i) FILTER (p.y >= 15 AND p.y < 25 AND p.t - p.start >= 600000 AND p.t - p.start < 2400000) AS hit_ms FROM pts p JOIN f USING (series, start) GROUP BY 1, 2"""
 )
 def decision_points(spark, d):
-    """TB9, TB10, AF39, AF40, TB8: truncation at a decision point, last value, first hit in a box."""
+    """TB9, AF39, AF40, TB8: truncation at a decision point, last value, first hit in a box."""
     w = src.curves(spark, d)
     kept = F.filter("curve", lambda p: p["t"] - F.get("curve", F.lit(0))["t"] <= 1_800_000)
     hit = k.first_hit(F.col("curve"), F.col("start"), 600_000, 2_400_000, 15.0, 25.0)
@@ -88,7 +89,7 @@ def symbol_views(spark, d):
 
 @query(f"WITH {EDGES_SQL} SELECT series, s AS symbol, count(*) AS n FROM syms GROUP BY 1, 2")
 def symbol_counts(spark, d):
-    """AF5, AF6: five symbols by left-closed bins."""
+    """AF6: five symbols by left-closed bins."""
     return symbol_views(spark, d).select("series", F.explode("symbols").alias("symbol")).groupBy("series", "symbol").agg(F.count("*").alias("n"))
 
 
@@ -107,7 +108,7 @@ u AS (SELECT series, 'rise_then_dip' AS predicate, a AS h FROM hit UNION ALL SEL
 SELECT predicate, series, count(*) AS n, count(*) FILTER (h) AS hits FROM u GROUP BY 1, 2"""
 )
 def predicate_hits(spark, d):
-    """PF15, PF16, AF13, AF15, DP12, JN17, UD4: JSON predicates compiled to columns, then unpivoted."""
+    """PF15, PF16, AF13, AF15, UD4: JSON predicates compiled to columns, then unpivoted."""
     w = symbol_views(spark, d)
     w = w.select("series", *(compile_predicate(p, F.col("symbols"), F.col("v")).alias(name) for name, p in PREDICATES.items()))
     u = w.unpivot("series", list(PREDICATES), "predicate", "hit")

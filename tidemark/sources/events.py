@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
 BARS_OF_CYCLE = 3
+#: Users whose events make up one series: the number of series grows with the users, and a series does not.
+USERS_OF_SERIES = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.least(F.greatest(F.col("value") / 100, F.lit(0.01)), F.lit(0.99))
     return e.select(
         "event_id",
-        (F.col("user_id") % 4).alias("series"),
+        F.floor(F.col("user_id") / USERS_OF_SERIES).alias("series"),
         "event_type",
         F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
         q.alias("q"),
@@ -33,7 +35,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SAMPLES_SQL = """samples AS (
-  SELECT event_id, user_id % 4 AS series, event_type, epoch_us(ts) // 1000 AS t,
+  SELECT event_id, user_id // 40 AS series, event_type, epoch_us(ts) // 1000 AS t,
     least(greatest(value / 100, 0.01), 0.99) AS q, 100 * least(greatest(value / 100, 0.01), 0.99) AS pct,
     value AS volume, user_id % 1000 AS participants FROM events)"""
 
