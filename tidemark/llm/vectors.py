@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import shared_table, table
 
-#: Rows of a data block and of a query block, vectors of a cell that share a salt, and those whose queries do.
-DATA_ROWS, QUERY_ROWS, SALT_ROWS, ASKED_ROWS = 1024, 512, 8192, 32_768
+#: Rows of a data block and of a query block, vectors of a cell that share a salt, those whose queries do, and queries that share a group.
+DATA_ROWS, QUERY_ROWS, SALT_ROWS, ASKED_ROWS, ASKED = 1024, 512, 8192, 32_768, 96
 BLOCKS = "cell int, n long, reach double, ids binary, vecs binary"
-ASKED = "q_ids binary, q_vecs binary, stops binary, cells array<int>"
+ASKED_BLOCKS = "q_ids binary, q_vecs binary, stops binary, cells array<int>"
 PAIRS = ("q_ids", "q_vecs", "stops", "cell", "ids", "vecs")
 
 
@@ -170,18 +170,31 @@ def _salted(rows: DataFrame, sizes: dict[int, int], key: str, most: int) -> Data
     return rows.join(_parts(rows.sparkSession, sizes, most), "cell").withColumn("salt", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")).drop("parts")
 
 
-def met(queries: DataFrame, blocks: DataFrame, cell_of: Callable[[np.ndarray], np.ndarray], look: Callable[[np.ndarray], tuple], dim: int, sizes: dict[int, int]) -> DataFrame:
+def neighbourhoods(centres: np.ndarray, groups: int) -> np.ndarray:
+    """A group of each centre: equal shares of them along the direction in which they vary most."""
+    off = centres - centres.mean(axis=0)
+    along = off @ np.linalg.svd(off, full_matrices=False)[2][0]
+    rank = np.empty(len(centres), np.int64)
+    rank[np.argsort(along, kind="stable")] = np.arange(len(centres))
+    return rank * min(groups, len(centres)) // len(centres)
+
+
+def met(queries: DataFrame, blocks: DataFrame, cell_of: Callable[[np.ndarray], np.ndarray], look: Callable[[np.ndarray], tuple], dim: int, sizes: dict[int, int], centres: np.ndarray) -> DataFrame:
     """Pairs of query blocks and data blocks. sizes: vectors of each cell.
 
-    Queries of one cell share blocks, and hot cells are dealt by salt; of rows with one id the
-    smallest vector asks. look(q) gives where each query of a block stops and the cells that the
-    block needs; these become keys (block, cell, salt), one for each part of a cell.
+    Queries of near cells share blocks, about ASKED in each group or more where there are more of them
+    than cells; hot groups are dealt by salt. Of rows with one id the smallest vector asks. look(q) gives
+    where each query of a block stops and the cells that the block needs; these become keys
+    (block, cell, salt), one for each part of a cell.
     """
     spark = queries.sparkSession
+    once = shared_table(queries.groupBy("id").agg(F.min("v").alias("v")), "asking")
+    group = neighbourhoods(centres, max(1, -(-once.count() // ASKED)))
+    of_group = np.bincount(group, weights=[sizes.get(c, 0) for c in range(len(centres))]).astype(np.int64)
 
-    def to_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("cell", pa.array(cell_of(matrix(b.column("v"), dim)).astype(np.int32)))
+            yield b.append_column("cell", pa.array(group[cell_of(matrix(b.column("v"), dim))].astype(np.int32)))
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,9 +203,8 @@ def met(queries: DataFrame, blocks: DataFrame, cell_of: Callable[[np.ndarray], n
                 cols = [b.column("ids").slice(k, 1), b.column("vecs").slice(k, 1), pa.array([np.asarray(stops, "<f8").tobytes()], pa.binary()), pa.array([np.asarray(cells, np.int32)], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["q_ids", "q_vecs", "stops", "cells"])
 
-    once = queries.groupBy("id").agg(F.min("v").alias("v"))
-    placed = _salted(once.mapInArrow(to_cell, "id long, v array<double>, cell int"), sizes, "id", ASKED_ROWS)
-    made = in_blocks(placed.repartition("cell", "salt").select("id", "v", "cell"), None, dim, QUERY_ROWS).mapInArrow(asks, ASKED)
+    placed = _salted(once.mapInArrow(to_group, "id long, v array<double>, cell int"), {c: max(1, int(m)) for c, m in enumerate(of_group)}, "id", ASKED_ROWS)
+    made = in_blocks(placed.repartition("cell", "salt").select("id", "v", "cell"), None, dim, QUERY_ROWS).mapInArrow(asks, ASKED_BLOCKS)
     asked = shared_table(made.withColumn("block", F.sha2("q_ids", 256)), "queries")
     keys = asked.select("block", F.explode("cells").alias("cell")).join(_parts(spark, sizes, SALT_ROWS), "cell")
     keys = keys.select("block", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
@@ -244,7 +256,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0,
         return np.zeros(0), cells[(high >= sure[:, None]).any(axis=0)]
 
     sizes = {int(c): int(m) for c, m in zip(cells, count, strict=True)}
-    return solve(met(whole.filter(is_query), blocks, lambda v: nearest(v, p), look, dim, sizes), dim, k, True, exact_floats)
+    return solve(met(whole.filter(is_query), blocks, lambda v: nearest(v, p), look, dim, sizes, p), dim, k, True, exact_floats)
 
 
 def codebook(x: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
@@ -349,7 +361,7 @@ def multi_index_search(vectors: DataFrame, is_query, k: int = 10, half_size: int
         return da[:, cell, None] + db[:, second] <= stops[:, None]
 
     held = {c: int(m) for c, m in enumerate(sizes.sum(axis=1)) if m}
-    return solve(met(real.filter(is_query), blocks, first_half, look, dim, held), dim, k, False, visited=visited)
+    return solve(met(real.filter(is_query), blocks, first_half, look, dim, held, left), dim, k, False, visited=visited)
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
