@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import jaccard, mixing, packing, quality, secrets
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm.common import drop_path, dropped_after, shared_dir, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with confirmed secrets replaced in their texts."""
-    return secrets.redact(docs, secrets.train(secrets.rule_findings(spark)))
+    return secrets.redact(docs, secrets.train(secrets.rule_findings(spark), secrets.learn_words(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +43,18 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Tokenizers and classifiers can't be written in SQL; tests compare run() with a plain version.
+#: Tokenizers and classifiers can't be written in SQL; tests/llm/test_pipeline.py checks every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Each stage's table is deleted once the next one is written, as are the tables that the stage made."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
-        docs = spark.read.parquet(f"{root}/{k}")
+        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
+        with dropped_after(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            drop_path(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
