@@ -7,7 +7,8 @@ minified JSON, CSV, query strings and JWTs are scored piece by piece. The forest
 
 - its length and what it is made of,
 - its character transitions: the mean log-probability of its letter pairs, learned from all words
-  of the corpus (`learn_words`), and the share of its neighbours that are letter pairs,
+  of the corpus (`learn_words`; a fixed list of words counts half as much as the whole corpus), and
+  the share of its neighbours that are letter pairs,
 - dictionary coverage: how much of it frequent words of the corpus and of a fixed list cover,
 - the path it stands in, and the name that it is assigned to,
 - its neighbouring words, the name's pieces and the path's, hashed into WORD_BUCKETS features.
@@ -27,7 +28,9 @@ tables stay empty. `scan` adds an underscore to columns of its own that a key is
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,7 +104,7 @@ NAMED = rf"{SECRET_ASSIGN}[{K}]{{4,}}"
 #: Characters of context on each side of a run.
 AROUND = 80
 FEATURES = ("length", "digits", "upper", "lower", "signs", "turns", "distinct", "hexlike", "pairs", "likely", "known", "covered", "named", "named_key", "plain", "assigned", "path")
-TREES, DEPTH, EXAMPLES, THRESHOLD, WORD_BUCKETS = 40, 8, 6000, 0.5, 64
+TREES, DEPTH, EXAMPLES, THRESHOLD, WORD_BUCKETS = 30, 8, 3600, 0.5, 64
 #: Bits of the table of known words; a known word occurs so often and makes up such a share of all words, so there are at most 100,000.
 WORD_BITS, LEAST_COUNT, LEAST_SHARE = 1 << 17, 5, 1e-5
 
@@ -133,11 +136,13 @@ def learn_words(docs: DataFrame) -> Words:
     letters = words.select("w", "n", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i"))
     at = lambda i: F.ascii(F.substring("w", i, F.lit(1))) - 96
     sums = {(r[0], r[1]): r[2] for r in letters.groupBy(at(F.col("i")).alias("a"), at(F.col("i") + 1).alias("b")).agg(F.sum("n")).collect()}
+    fixed = Counter((ord(x) - 96, ord(y) - 96) for w in WORDS.split() for x, y in zip(w, w[1:]))
+    weight = {p: sums.get(p, 0) / max(1, sum(sums.values())) + 0.5 * fixed[p] / sum(fixed.values()) + 1e-6 for p in itertools.product(range(1, 27), repeat=2)}
     pairs = [0.0] * 27 * 27
     for a in range(1, 27):
-        of = sum(sums.get((a, b), 0) for b in range(1, 27))
+        of = sum(weight[a, b] for b in range(1, 27))
         for b in range(1, 27):
-            pairs[a * 27 + b] = math.log((sums.get((a, b), 0) + 0.5) / (of + 13))
+            pairs[a * 27 + b] = math.log(weight[a, b] / of)
     total = words.agg(F.sum("n")).first()[0] or 0
     bits = [0] * (WORD_BITS // 64)
     often = words.filter((F.length("w") >= 3) & (F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * total))
@@ -269,12 +274,16 @@ def rule_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFrame:
         (0, joined("2024-", F.lpad(F.pmod(i, F.lit(12)).cast("string"), 2, "0"), "-17T", F.substring(F.conv(F.substring(h, 1, 8), 16, 10), 1, 6), "Z"), pick(59, "at", "date:", "since", "time =")),
         (0, joined("v", F.pmod(i, F.lit(30)).cast("string"), ".", F.pmod(i, F.lit(7)).cast("string"), "-build", F.conv(F.substring(h, 1, 6), 16, 10)), pick(60, "version", "release", "build:", "tag")),
         (0, F.substring(h, 1, 24), pick(61, "object id", "trace_id:", "request-id:", "session", "etag =")),
+        # words that no dictionary has, made of halves of others
+        (0, joined(F.substring(word(63), 1, 4), F.substring(word(64), 4, 12)), pick(65, "password:", "the password:", "token =", "secret:", "auth:")),
+        (0, joined(F.substring(word(66), 1, 3), F.substring(word(67), 3, 12)), pick(68, "passwd:", "the secret:", "token:", "credential:", "password:")),
     ]
-    of = F.pmod(i, F.lit(len(kinds)))
-    word, before, label = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0)
-    for k, (y, w, b) in enumerate(kinds):
-        word, before, label = F.when(of == k, w).otherwise(word), F.when(of == k, b).otherwise(before), F.when(of == k, y).otherwise(label)
-    return spark.range(examples).select(word.alias("word"), before.alias("before"), pick(62, "the", "and", "was", "in", "then", "for").alias("after"), label.alias("label"))
+    # one small plan for each kind: a choice among all of them would be too long for one generated method
+    rows = None
+    for k, (label, word, before) in enumerate(kinds):
+        some = spark.range(k, examples, len(kinds), 1).select(word.alias("word"), before.alias("before"), pick(62, "the", "and", "was", "in", "then", "for").alias("after"), F.lit(label).alias("label"))
+        rows = some if rows is None else rows.union(some)
+    return rows.coalesce(4)
 
 
 def train(findings: DataFrame, words: Words, trees: int = TREES, depth: int = DEPTH) -> Scanner:
@@ -283,6 +292,7 @@ def train(findings: DataFrame, words: Words, trees: int = TREES, depth: int = DE
 
     texts = findings.select(F.concat_ws(" ", "before", "word", "after").alias("text"), F.col("label").alias("found_label"))
     rows = _vectors(features(candidates(texts, "found_label"), words)).select("secret_features", F.col("found_label").cast("double").alias("label"))
+    rows = shared_table(rows.coalesce(4), "findings")  # trees read it many times
     forest = RandomForestClassifier(featuresCol="secret_features", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="0.4", seed=17)
     return Scanner(words, forest.fit(rows))
 
