@@ -187,11 +187,11 @@ def calendar_report(spark, d):
 @query(
     f"""WITH {SAMPLES_SQL}, x AS (SELECT *, CAST(floor(t / 3600000) * 3600000 AS BIGINT) AS start, CAST((t % 3600000) // 300000 AS INTEGER) AS slot FROM samples),
 y AS (SELECT *, row_number() OVER (PARTITION BY series, start, slot ORDER BY t, event_id) AS rn FROM x)
-SELECT slot, CAST(least(9, floor(q * 10)) AS INTEGER) AS q_bin, count(*) AS n, round(avg(q), 9) AS mean_q FROM y WHERE rn = 1 GROUP BY 1, 2"""
+SELECT slot, CAST(least(9, floor(q * 10)) AS INTEGER) AS q_bin, count(*) AS n, round(avg(q), 12) AS mean_q FROM y WHERE rn = 1 GROUP BY 1, 2"""
 )
 def slot_cells(spark, d):
     """TB6, TB7: first sample of each slot, cells of slot and quote bin."""
     s = src.samples(spark, d).withColumns({"start": src.bucket(F.col("t"), src.HOUR_MS), "slot": F.floor((F.col("t") % src.HOUR_MS) / 300_000).cast("int")})
     first = Window.partitionBy("series", "start", "slot").orderBy("t", "event_id")
     s = s.withColumn("rn", F.row_number().over(first)).filter("rn = 1")
-    return s.groupBy("slot", F.least(F.lit(9), F.floor(F.col("q") * 10)).cast("int").alias("q_bin")).agg(F.count("*").alias("n"), F.round(F.avg("q"), 9).alias("mean_q"))
+    return s.groupBy("slot", F.least(F.lit(9), F.floor(F.col("q") * 10)).cast("int").alias("q_bin")).agg(F.count("*").alias("n"), F.round(F.avg("q"), 12).alias("mean_q"))

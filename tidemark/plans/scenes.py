@@ -133,7 +133,7 @@ def distance_surface(spark, d):
     f"""WITH {BARS_SQL}, x AS (SELECT s.series, s.t, s.event_id, s.q, s.volume, b.o, b.outcome, CAST((s.t - b.bar_ts) // 300000 AS INTEGER) AS minute, b.bar_ts FROM samples s JOIN bars b ON b.series = s.series AND b.bar_ts = CAST(floor(s.t / 3600000) * 3600000 AS BIGINT)),
 f AS (SELECT *, row_number() OVER (PARTITION BY series, bar_ts, minute ORDER BY t, event_id) AS rn FROM x),
 g AS (SELECT minute, CASE WHEN q > o THEN 'up' WHEN q < o THEN 'down' ELSE 'even' END AS state, CASE WHEN volume < 20 THEN 'thin' WHEN volume < 60 THEN 'mid' ELSE 'deep' END AS depth, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (outcome = 'UP') AS DOUBLE) AS k, avg(q) AS mean_q, sum(q * volume) / nullif(sum(volume), 0) AS blended FROM f WHERE rn = 1 AND outcome <> 'NOISE' GROUP BY 1, 2, 3)
-SELECT minute, state, depth, CAST(n AS BIGINT) AS n, round(k / n, 6) AS win_rate, round(mean_q, 6) AS mean_q, round(blended, 6) AS blended_q, round(k / n - mean_q, 6) AS dev, round(k / n * (0.98 / (mean_q + 0.01) - 1) - (1 - k / n), 6) AS ev,
+SELECT minute, state, depth, CAST(n AS BIGINT) AS n, round(k / n, 6) AS win_rate, round(mean_q, 12) AS mean_q, round(blended, 12) AS blended_q, round(k / n - mean_q, 12) AS dev, round(k / n * (0.98 / (mean_q + 0.01) - 1) - (1 - k / n), 10) AS ev,
   CASE WHEN n >= 50 THEN round(greatest(0, (k / n + 3.8416 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n)), 6) END AS wilson_lo FROM g"""
 )
 def decision_table(spark, d):
@@ -146,7 +146,7 @@ def decision_table(spark, d):
     depth = F.when(F.col("volume") < 20, "thin").when(F.col("volume") < 60, "mid").otherwise("deep")
     g = j.groupBy("minute", state.alias("state"), depth.alias("depth")).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "UP").alias("k"), F.avg("q").alias("mean_q"), (F.sum(F.col("q") * F.col("volume")) / F.nullif(F.sum("volume"), F.lit(0.0))).alias("blended"))
     p = F.col("k") / F.col("n")
-    return g.select("minute", "state", "depth", "n", r6(p).alias("win_rate"), r6("mean_q").alias("mean_q"), r6("blended").alias("blended_q"), r6(p - F.col("mean_q")).alias("dev"), r6(ev.expected(p, F.col("mean_q"))).alias("ev"), F.when(F.col("n") >= 50, r6(stats.wilson_lower(F.col("k"), F.col("n")))).alias("wilson_lo"))
+    return g.select("minute", "state", "depth", "n", r6(p).alias("win_rate"), F.round("mean_q", 12).alias("mean_q"), F.round("blended", 12).alias("blended_q"), F.round(p - F.col("mean_q"), 12).alias("dev"), F.round(ev.expected(p, F.col("mean_q")), 10).alias("ev"), F.when(F.col("n") >= 50, r6(stats.wilson_lower(F.col("k"), F.col("n")))).alias("wilson_lo"))
 
 
 _TIMES = (15, 30, 45)

@@ -26,13 +26,17 @@ def points(spark, d):
 
 
 _P = f"p AS (SELECT series, start, n, y, i, (t - start) / {SECOND}::DOUBLE AS sec FROM pts)"
-_W = Window.partitionBy(*KEYS).orderBy("i")
+
+
+def in_order():
+    return Window.partitionBy(*KEYS).orderBy("i")
+
 
 
 def changes(value: Column) -> Column:
     """Whether a sign that is not 0 differs from the last one that was not 0."""
     s = F.nullif(F.signum(value), F.lit(0.0))
-    return F.coalesce(s != F.last(s, ignorenulls=True).over(_W.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    return F.coalesce(s != F.last(s, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
 
 
 def _changes_sql(value: str) -> str:
@@ -50,8 +54,8 @@ SELECT series, start, round(last - first, 6) AS net, round(mean, 6) AS mean, rou
 )
 def shape_descriptors(spark, d):
     """AF20: what a curve's shape is, from its net move to its last slope."""
-    r = _W.rowsBetween(Window.unboundedPreceding, 0)
-    p = points(spark, d).filter("n >= 2").withColumns({"dl": F.col("y") - F.lag("y").over(_W), "fall": F.max("y").over(r) - F.col("y"), "rise": F.col("y") - F.min("y").over(r)})
+    r = in_order().rowsBetween(Window.unboundedPreceding, 0)
+    p = points(spark, d).filter("n >= 2").withColumns({"dl": F.col("y") - F.lag("y").over(in_order()), "fall": F.max("y").over(r) - F.col("y"), "rise": F.col("y") - F.min("y").over(r)})
     p = p.withColumns({"rev": changes(F.col("dl")), "cross": changes(F.col("y") - 50)})
     tail = F.max(F.when(F.col("i") == F.greatest(F.col("n") - 3, F.lit(0)), F.col("y")))
     g = p.groupBy(*KEYS, "n").agg(
@@ -72,7 +76,7 @@ SELECT series, start, round(slope * 300, 4) AS slope, chop, mono_up, mono_dn, tr
 )
 def line_features(spark, d):
     """AF21: least squares slope over time, chop, monotone, V and inverse V, close at the extremes; of four points or more."""
-    p = points(spark, d).filter("n >= 4").withColumn("dl", F.col("y") - F.lag("y").over(_W))
+    p = points(spark, d).filter("n >= 4").withColumn("dl", F.col("y") - F.lag("y").over(in_order()))
     p = p.withColumn("flip", changes(F.when(F.abs("dl") > 0.5, F.col("dl")).otherwise(0.0)))
     steps = F.col("n") - 1
     g = p.groupBy(*KEYS, "n").agg(
@@ -92,7 +96,7 @@ SELECT series, start, CASE WHEN way >= 3 THEN round(abs(last - y0) / way, 6) END
 )
 def path_features(spark, d):
     """AF22: path efficiency, moves of head and tail, shares of time high and low, first crossing of 50."""
-    p = points(spark, d).filter("n >= 4").withColumns({"dl": F.col("y") - F.lag("y").over(_W), "y0": F.first("y").over(_W)})
+    p = points(spark, d).filter("n >= 4").withColumns({"dl": F.col("y") - F.lag("y").over(in_order()), "y0": F.first("y").over(in_order())})
     upto = lambda s: F.max_by(F.when(F.col("sec") <= s, F.col("y")), F.when(F.col("sec") <= s, F.col("i")))
     crossed = (F.col("i") > 0) & ((F.col("y0") >= 50) != (F.col("y") >= 50))
     g = p.groupBy(*KEYS, "y0").agg(F.max_by("y", "i").alias("last"), F.sum(F.abs("dl")).alias("way"), upto(HEAD_S).alias("head"), upto(TAIL_S).alias("tail"), F.avg((F.col("y") >= 60).cast("double")).alias("hi_share"), F.avg((F.col("y") <= 40).cast("double")).alias("lo_share"), F.min(F.when(crossed, F.col("sec"))).alias("t_cross"))
@@ -117,10 +121,10 @@ def curve_structures(spark, d):
     whole = Window.partitionBy(*KEYS)
     i, y = F.col("i"), F.col("y")
     b = points(spark, d).filter("n >= 6").withColumns({"lo": F.min("y").over(whole), "hi": F.max("y").over(whole)})
-    b = b.withColumns({"im": F.min(F.when(y == F.col("lo"), i)).over(whole), "ix": F.min(F.when(y == F.col("hi"), i)).over(whole), "y0": F.first("y").over(_W)})
+    b = b.withColumns({"im": F.min(F.when(y == F.col("lo"), i)).over(whole), "ix": F.min(F.when(y == F.col("hi"), i)).over(whole), "y0": F.first("y").over(in_order())})
     up_to, on = lambda e: i <= F.col(e), lambda e: i >= F.col(e)
     over = lambda f, c: f(F.when(c, y)).over(whole)
-    b = b.withColumns({"dv": F.least(over(F.max, up_to("im")), over(F.max, on("im"))) - F.col("lo"), "div": F.col("hi") - F.greatest(over(F.min, up_to("ix")), over(F.min, on("ix"))), "y1": F.last("y").over(_W.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    b = b.withColumns({"dv": F.least(over(F.max, up_to("im")), over(F.max, on("im"))) - F.col("lo"), "div": F.col("hi") - F.greatest(over(F.min, up_to("ix")), over(F.min, on("ix"))), "y1": F.last("y").over(in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     move = F.col("y1") - F.col("y0")
     kind = F.when((F.col("dv") >= MIN_DEPTH) & (F.col("dv") >= F.col("div")), "V").when((F.col("div") >= MIN_DEPTH) & (F.col("div") > F.col("dv")), "INV_V").when(F.abs(move) >= TREND_PP, F.when(move > 0, "TREND_UP").otherwise("TREND_DN")).when(F.col("hi") - F.col("lo") <= FLAT_PP, "FLAT").otherwise("OTHER")
     b = b.withColumn("kind", kind).withColumns({"ext": F.when(F.col("kind") == "V", F.col("im")).when(F.col("kind") == "INV_V", F.col("ix")), "sign": F.when(F.col("kind") == "V", -1.0).otherwise(1.0)})
