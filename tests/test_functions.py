@@ -125,6 +125,22 @@ def test_redundancy_against_plain_numbers(spark):
     assert got.effective_rank == pytest.approx(float(np.exp(-(p * np.log(p)).sum())), abs=1e-3)
 
 
+def test_clusters_are_those_of_the_nearest_centre(spark):
+    from tidemark.plans import shapes
+    from tidemark.plans.lifecycle import HALF
+
+    rows = shapes.shape_descriptors(spark, "/root/testdata/sf0.01").withColumn("outcome", F.lit("UP"))
+    got = shapes.clusters(rows, k=4).select("series", "start", "cluster", *shapes.CLUSTER_ON).collect()
+    x = np.array([[float(r[c]) for c in shapes.CLUSTER_ON] for r in got])
+    early, of = np.array([r.start < HALF for r in got]), np.array([r.cluster for r in got])
+    z = (x - x[early].mean(axis=0)) / x[early].std(axis=0, ddof=1)
+    centres = np.array([z[early & (of == c)].mean(axis=0) for c in range(4)])
+    near = ((z[:, None] - centres) ** 2).sum(axis=2)
+    assert (near[np.arange(len(of)), of] <= near.min(axis=1) + 0.05 * near.mean()).mean() > 0.97
+    card = shapes.cluster_track(spark, "/root/testdata/sf0.01").collect()
+    assert all(0 <= r.right <= r.n_holdout for r in card) and sum(r.n_train for r in card) > 100
+
+
 def test_bootstrap_against_plain_draws(spark):
     from tidemark.functions import ev
     from tidemark.plans import accounting, discovery

@@ -5,8 +5,10 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import stats
 from tidemark.plans.registry import query
 from tidemark.sources import events as src
 from tidemark.sources.events import CYCLES_SQL
@@ -65,10 +67,30 @@ def tested(rows, conditions: dict[str, str]):
     return rows.agg(*counts).select(F.inline(cells))
 
 
-@query(f"WITH {FEATURES_SQL} " + " UNION ALL ".join(f"SELECT '{k}' AS hypothesis, count(*) FILTER ({e}) AS n, count(*) FILTER (({e}) AND next_d > 0) AS n_up FROM feats" for k, e in HYPOTHESES.items()))
+#: Cases that a hypothesis needs to be tested, and the rate of false discoveries.
+LEAST, FDR_Q = 5, 0.1
+_Z = "(-greatest((abs(n_up - n * base) - 0.5) / sqrt(n * base * (1 - base)), 0))"
+
+
+@query(
+    f"WITH {FEATURES_SQL}, b AS (SELECT count(*) FILTER (next_d > 0) / count(*) AS base FROM feats), c AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS hypothesis, count(*) FILTER ({e}) AS n, count(*) FILTER (({e}) AND next_d > 0) AS n_up FROM feats" for k, e in HYPOTHESES.items())
+    + f"""), t AS (SELECT c.*, base, CASE WHEN n >= {LEAST} THEN round(least(1.0, 2 * {stats.normal_cdf_sql(_Z)}), 9) END AS p FROM c, b), r AS (SELECT hypothesis, rank() OVER (ORDER BY p) AS rk, count(*) OVER () AS m, p FROM t WHERE p IS NOT NULL), k AS (SELECT max(rk) AS k FROM r WHERE p <= rk / m * {FDR_Q})
+SELECT t.hypothesis, n, n_up, round(base, 9) AS base_rate, CASE WHEN n_up > n * base THEN 'UP' WHEN n_up < n * base THEN 'DOWN' END AS direction, round(t.p, 7) AS p, coalesce(rk <= (SELECT k FROM k), false) AS significant FROM t LEFT JOIN r ON t.hypothesis = r.hypothesis"""
+)
 def bar_hypotheses(spark, d):
-    """DP22, DP23, DP24, AG30: every pre-declared hypothesis with its cases and how often the next cycle rose."""
-    return tested(features(spark, d), HYPOTHESES)
+    """DP22, AG30, AG31: every pre-declared hypothesis with its cases, how often the next cycle rose against the base rate, direction,
+    two-sided p and step-up discovery. `volatile` and `bear_week` look back 96 and 56 cycles, for the data span a month."""
+    rows = features(spark, d)
+    base = rows.agg((F.count_if(F.col("next_d") > 0) / F.count("*")).alias("base"))
+    t = tested(rows, HYPOTHESES).join(F.broadcast(base))  # one row
+    n, k, b = F.col("n"), F.col("n_up"), F.col("base")
+    t = t.withColumn("p", F.when(n >= LEAST, F.round(stats.normal_p(k, F.nullif(n, F.lit(0)), b), 9)))
+    # the catalogue of 56 is ranked, whatever the data
+    r = t.filter("p IS NOT NULL").select("hypothesis", F.rank().over(Window.orderBy("p")).alias("rk"), F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"), "p")
+    passed = r.filter(F.col("p") <= F.col("rk") / F.col("m") * FDR_Q).agg(F.max("rk").alias("k"))
+    found = r.join(F.broadcast(passed)).filter(F.col("rk") <= F.col("k")).select("hypothesis", F.lit(True).alias("significant"))
+    return t.join(found, "hypothesis", "left").select("hypothesis", "n", "n_up", F.round(b, 9).alias("base_rate"), F.when(k > n * b, "UP").when(k < n * b, "DOWN").alias("direction"), F.round("p", 7).alias("p"), F.coalesce("significant", F.lit(False)).alias("significant"))
 
 
 # Percentiles of the discovery part that become thresholds: feature, shares.

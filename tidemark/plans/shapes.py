@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import stats
+from tidemark.plans.lifecycle import HALF
 from tidemark.plans.market import r6
-from tidemark.plans.registry import query
-from tidemark.plans.windows import POINTS_SQL
+from tidemark.plans.registry import ORACLE_SQL, query
+from tidemark.plans.windows import POINTS_SQL, archived_windows
 from tidemark.sources import events as src
 from tidemark.sources.events import CURVES_SQL, HOUR_MS, SAMPLES_SQL
 
@@ -209,3 +211,57 @@ def lock_times(spark, d):
     k = on_grid(spark, d).filter("outcome <> 'NOISE'").groupBy(idx.alias("idx")).agg(F.count("*").alias("n"))
     q = k.agg(F.percentile(F.col("idx").cast("double"), list(_PCTS), F.col("n")).alias("q")).select(F.posexplode("q").alias("j", "x"))
     return q.select(F.get(F.array(*map(F.lit, _PCTS)), F.col("j")).alias("share"), r6("x").alias("lock_index"), F.round(F.col("x") / (GRID - 1) * 300, 4).alias("lock_seconds"))
+
+
+# Pre-declared hypotheses on a window's curve and wedge: condition, and the outcome that the next window should have.
+SENTIMENT = {
+    "monotone_up": ("mono_up", "UP"), "monotone_down": ("mono_dn", "DOWN"), "v_shape": ("v_shape", "UP"), "inverse_v": ("inv_v", "DOWN"), "closed_high": ("close_hi", "UP"), "closed_low": ("close_lo", "DOWN"), "steep_up": ("slope > 20", "UP"), "steep_down": ("slope < -20", "DOWN"),
+    "choppy": ("chop >= 2", "DOWN"), "straight_up": ("efficiency >= 0.6 AND d_tail > 0", "UP"), "straight_down": ("efficiency >= 0.6 AND d_tail < 0", "DOWN"), "late_rise": ("d_tail > 10", "UP"), "late_fall": ("d_tail < -10", "DOWN"), "early_rise": ("d_head > 10", "UP"), "early_fall": ("d_head < -10", "DOWN"),
+    "stayed_high": ("hi_share >= 0.8", "UP"), "stayed_low": ("lo_share >= 0.8", "DOWN"), "crossed_up_early": ("t_cross < 100 AND cross_dir = 'up'", "UP"), "crossed_down_late": ("t_cross > 200 AND cross_dir = 'dn'", "DOWN"),
+    "dear_token": ("wedge_end > 10", "DOWN"), "cheap_token": ("wedge_end < -10", "UP"), "wedge_opens": ("wedge_change > 10", "DOWN"), "wedge_closes": ("wedge_change < -10", "UP"),
+}
+
+
+@query(
+    f"WITH a AS ({ORACLE_SQL['archived_windows']}), l AS ({ORACLE_SQL['line_features']}), q AS ({ORACLE_SQL['path_features']}), w AS ({ORACLE_SQL['wedges']}), n AS (SELECT series, start, lead(start) OVER o AS next_start, lead(outcome) OVER o AS next_outcome FROM a WINDOW o AS (PARTITION BY series ORDER BY start)), "
+    + "x AS (SELECT * FROM n JOIN l USING (series, start) JOIN q USING (series, start) LEFT JOIN w USING (series, start) WHERE next_start - start = 3600000 AND next_outcome <> 'NOISE'), c AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS hypothesis, '{side}' AS expected, count(*) FILTER ({e}) AS n, count(*) FILTER (({e}) AND next_outcome = '{side}') AS k FROM x" for k, (e, side) in SENTIMENT.items())
+    + f") SELECT hypothesis, expected, n, k, CASE WHEN n > 0 THEN round(least(1.0, 2 * {stats.normal_cdf_sql('(-greatest((abs(k - n * 0.5) - 0.5) / sqrt(n * 0.25), 0))')}), 7) END AS p FROM c"
+)
+def sentiment_hypotheses(spark, d):
+    """DP23, DP24: hypotheses on a window's line, path and wedge against the outcome of the window right after it, counted in one pass."""
+    w = Window.partitionBy("series").orderBy("start")
+    n = archived_windows(spark, d).select(*KEYS, F.lead("start").over(w).alias("next_start"), F.lead("outcome").over(w).alias("next_outcome"))
+    n = n.filter((F.col("next_start") - F.col("start") == HOUR_MS) & (F.col("next_outcome") != "NOISE"))
+    x = n.join(line_features(spark, d), list(KEYS)).join(path_features(spark, d), list(KEYS)).join(wedges(spark, d), list(KEYS), "left")
+    aggs, cells = [], []
+    for i, (name, (e, side)) in enumerate(SENTIMENT.items()):
+        aggs += [F.count_if(F.expr(e)).alias(f"n{i}"), F.count_if(F.expr(e) & (F.col("next_outcome") == side)).alias(f"k{i}")]
+        cells.append(F.struct(F.lit(name).alias("hypothesis"), F.lit(side).alias("expected"), F.col(f"n{i}").alias("n"), F.col(f"k{i}").alias("k")))
+    c = x.agg(*aggs).select(F.inline(F.array(*cells)))
+    return c.withColumn("p", F.when(F.col("n") > 0, F.round(stats.normal_p(F.col("k"), F.nullif(F.col("n"), F.lit(0)), F.lit(0.5)), 7)))
+
+
+CLUSTER_ON = ["net", "mean", "std", "peak_pos", "trough_pos", "reversals", "monotonicity", "end_slope"]
+
+
+def clusters(rows, k: int = 6, seed: int = 17):
+    """The rows with their cluster: k-means on standardised features, both fitted on the rows of the first half."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    steps = [VectorAssembler(inputCols=CLUSTER_ON, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster")]
+    return Pipeline(stages=steps).fit(rows.filter(F.col("start") < HALF)).transform(rows)
+
+
+@query()
+def cluster_track(spark, d):
+    """DP16, AG20: clusters of shapes from the first half vote with their majority on the windows of the second: a scorecard for each."""
+    rows = shape_descriptors(spark, d).join(archived_windows(spark, d).select(*KEYS, "outcome").filter("outcome <> 'NOISE'"), list(KEYS))
+    x = clusters(rows)
+    early, up = F.col("start") < HALF, F.col("outcome") == "UP"
+    g = x.groupBy("cluster").agg(F.count_if(early).alias("n_train"), F.count_if(early & up).alias("up_train"), F.count_if(~early).alias("n_holdout"), F.count_if(~early & up).alias("up_holdout"))
+    vote = F.when(2 * F.col("up_train") >= F.col("n_train"), "UP").otherwise("DOWN")
+    right = F.when(vote == "UP", F.col("up_holdout")).otherwise(F.col("n_holdout") - F.col("up_holdout"))
+    return g.select("cluster", "n_train", vote.alias("vote"), "n_holdout", right.alias("right"), r6(stats.wilson_lower(right, F.col("n_holdout"))).alias("wilson_lo"))
