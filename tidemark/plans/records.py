@@ -12,6 +12,7 @@ from tidemark.plans import detection
 from tidemark.plans.evolution import _HITS_SQL, hits
 from tidemark.plans.lifecycle import HALF
 from tidemark.plans.market import W, r6
+from tidemark.plans.prediction import CHANNELS, WHOLE_MS, views, views_sql
 from tidemark.plans.registry import ORACLE_SQL, query
 from tidemark.plans.streams import shared_root
 from tidemark.plans.windows import archived_windows
@@ -335,3 +336,43 @@ def quota_summary(spark, d, target: int = 25):
     picks = q.withColumn("i", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.floor(j * F.col("m") / F.col("k")))))
     p = r.join(picks, ["series", "outcome", "i"])
     return p.groupBy("series", "outcome").agg(F.count("*").alias("picked"), F.first("m").alias("available"), r6(F.avg(F.abs("ret"))).alias("mean_size"), r6(F.max(F.abs("ret"))).alias("max_size"))
+
+
+@query(
+    f"""WITH {SAMPLES_SQL}, x AS (SELECT series, CAST(floor(t / 3600000) * 3600000 AS BIGINT) AS start, t, event_id, pct FROM samples), o AS (SELECT *, row_number() OVER (PARTITION BY series, start ORDER BY t, event_id) AS i FROM x)
+SELECT series, start, count(*) AS kept, round(arg_max(pct, i), 6) AS decision_pct, count(*) FILTER (t - start > 900000) AS kept_late FROM o WHERE t - start <= 900000 OR i <= 2 GROUP BY 1, 2"""
+)
+def bench_truncation(spark, d):
+    """TB10: windows cut at a decision point, of which the first two points stay in any case."""
+    s = src.samples(spark, d).withColumn("start", src.bucket(F.col("t"), HOUR_MS))
+    late = F.col("t") - F.col("start") > 900_000
+    o = s.withColumn("i", F.row_number().over(Window.partitionBy("series", "start").orderBy("t", "event_id"))).filter(~late | (F.col("i") <= 2))
+    return o.groupBy("series", "start").agg(F.count("*").alias("kept"), r6(F.max_by("pct", "i")).alias("decision_pct"), F.count_if(late).alias("kept_late"))
+
+
+@query(
+    f"""WITH {CYCLES_SQL}, n AS (SELECT series, cycle_ts, lead(cycle_ts) OVER w AS nts, lead(o) OVER w AS no, lead(c) OVER w AS nc FROM cycles WINDOW w AS (PARTITION BY series ORDER BY cycle_ts))
+SELECT n.series, n.cycle_ts, nc < no AS next_down, round(a.c / no - 1, 6) AS z5, round(b.c / no - 1, 6) AS z10 FROM n LEFT JOIN bars a ON a.series = n.series AND a.bar_ts = nts LEFT JOIN bars b ON b.series = n.series AND b.bar_ts = nts + 3600000 WHERE nts - cycle_ts = 10800000"""
+)
+def next_cycles(spark, d):
+    """WF12: whether the next cycle falls, and where its first and second bar close against its opening."""
+    b = src.bars(spark, d)
+    w = Window.partitionBy("series").orderBy("cycle_ts")
+    inner = b.withColumn("cycle_ts", src.bucket(F.col("bar_ts"), CYCLE_MS)).groupBy("series", "cycle_ts").agg(*(F.max(F.when(F.col("bar_ts") == F.col("cycle_ts") + k * HOUR_MS, F.col("c"))).alias(f"c{k}") for k in (0, 1)))
+    c = src.cycles(b).join(inner, ["series", "cycle_ts"])
+    n = c.select("series", "cycle_ts", *(F.lead(x).over(w).alias(f"n_{x}") for x in ("cycle_ts", "o", "c", "c0", "c1"))).filter(F.col("n_cycle_ts") - F.col("cycle_ts") == CYCLE_MS)
+    return n.select("series", "cycle_ts", (F.col("n_c") < F.col("n_o")).alias("next_down"), r6(F.col("n_c0") / F.col("n_o") - 1).alias("z5"), r6(F.col("n_c1") / F.col("n_o") - 1).alias("z10"))
+
+
+@query("""SELECT fingerprint, count(*) AS parts, min(p_partkey) AS first_part FROM (SELECT p_partkey, lower(trim(p_brand)) || '|' || lower(trim(coalesce(p_type, ''))) || '|' || CAST(p_size // 10 AS VARCHAR) AS fingerprint FROM part) GROUP BY 1""")
+def fingerprints(spark, d):
+    """AF33: a pattern's fingerprint from its trimmed, lower-cased fields, missing ones empty, and the first that bears it."""
+    mark = F.concat_ws("|", F.lower(F.trim("p_brand")), F.lower(F.trim(F.coalesce("p_type", F.lit("")))), F.floor(F.col("p_size") / 10).cast("string"))
+    return src.table(spark, d, "part").groupBy(mark.alias("fingerprint")).agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first_part"))
+
+
+@query(f"WITH {views_sql(WHOLE_MS)}, l AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY start DESC) AS back FROM views) SELECT series, start, m, {', '.join(f'{c}_{s}' for c in CHANNELS for s in ('flat', 'rise'))}, {', '.join(f'{c}_peaks' for c in CHANNELS)} FROM l WHERE back = 1")
+def current_views(spark, d):
+    """DP37: the newest window of each series, whole or not, as the three-channel view that a prediction reads."""
+    v = views(spark, d).withColumn("back", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("start")))).filter("back = 1")
+    return v.select("series", "start", "m", *(f"{c}_{s}" for c in CHANNELS for s in ("flat", "rise")), *(f"{c}_peaks" for c in CHANNELS))
