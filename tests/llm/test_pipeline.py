@@ -88,8 +88,6 @@ def test_each_stage_against_a_plain_version(spark, docs):
 
     pieces = stages["packing"](spark, spark.createDataFrame(mixed, SCHEMA), SF).collect()
     check_pieces(pieces, mixed)
-    run = corpus_pipeline.run  # the whole chain on the same documents
-    assert run.__module__ == "corpus_pipeline"
 
 
 def check_pieces(pieces, rows):
@@ -125,7 +123,7 @@ def test_the_whole_run(spark, docs, tmp_path):
     check_pieces(pieces.collect(), plain(rows))
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None, 1, "x")], [(None, "", None, None, 0, 1, "x")] * 2])
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None, 1, "x"), (None, "", None, None, 0, 1, "x"), (None, "", None, None, 0, 1, "x")]])
 def test_runs_without_anything_to_keep(spark, tmp_path, rows):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

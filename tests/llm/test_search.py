@@ -156,6 +156,8 @@ def test_repeated_ids_with_different_near_texts(spark, parts):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked_groups(df).collect())
     assert got == [(4, 59, 4), (5, 58, 4), (5, 58, 5), (5, 58, 5), (7, 59, 4), (9, 59, 5)]
+    kept = [(r.doc_id, r.text.lower()) for r in jaccard.keep_one(df, 3, 90).collect()]
+    assert sorted(kept) == [(4, b + " more"), (5, a)]  # of doc 5 one text is the first of its group, the other is not
 
 
 def test_components_of_a_hub_and_a_chain(spark):

@@ -313,30 +313,40 @@ def verified_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, n: int,
     return met.select("id", "text", "side", *keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def linked_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
+def _labelled(docs: DataFrame, n: int, percent: int, texts: bool) -> DataFrame:
+    """doc_id, text_hash, n and first of every row: the smallest doc_id of its component, or with `texts` the
+    smallest (doc_id, text_hash); null where the row takes no part in links."""
     known = shared_table(summaries(docs, n, percent, gram_counts(docs, n)), "sets")
     named = known.filter("n > 0 AND doc_id IS NOT NULL")
     reps = named.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), *(F.first(c).alias(c) for c in ("n", "prefix", "slices", "sig")))
     reps = shared_table(reps.select(F.monotonically_increasing_id().alias("id"), "key", "row.*", "n", "prefix", "slices", "sig"), "representatives")
     near = connected_components(candidate_links(reps, percent))
     linked = connected_components(verified_links(docs, near, reps, n, percent)).withColumnRenamed("node", "id")
-    linked = linked.join(reps.select("id", "key", "doc_id"), "id")
-    linked = with_totals(linked, "component", F.col("key"), {"least_id": F.min("doc_id")}, {"least_id": F.min("least_id")})
-    linked = shared_table(linked.select("key", "least_id"), "labels")
-    rows = with_totals(named.select("key", "doc_id", "n"), "key", F.col("doc_id"), {"low": F.min("doc_id")}, {"low": F.min("low")}, lambda classes: classes.join(linked, "key", "left"))
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least_id", "low").alias("component_id"))
-    return rows.unionByName(known.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    name = F.struct("doc_id", "text_hash") if texts else F.col("doc_id")
+    linked = linked.join(reps.select("id", "key", "doc_id", "text_hash"), "id")
+    linked = with_totals(linked, "component", F.col("key"), {"least": F.min(name)}, {"least": F.min("least")})
+    linked = shared_table(linked.select("key", "least"), "labels")
+    rows = named.select("key", "doc_id", "text_hash", "n")
+    rows = with_totals(rows, "key", F.col("doc_id"), {"low": F.min(name)}, {"low": F.min("low")}, lambda classes: classes.join(linked, "key", "left"))
+    rows = rows.select("doc_id", "text_hash", "n", F.coalesce("least", "low").alias("first"))
+    return rows.unionByName(known.filter("n = 0 OR doc_id IS NULL").select("doc_id", "text_hash", "n"), allowMissingColumns=True)
+
+
+def linked_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
+    return _labelled(docs, n, percent, False).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near copies: that of the smallest doc_id.
+    """docs with one document of each group of near copies: that of the smallest doc_id (and text hash).
 
-    Of rows with equal doc_id and text one stays; a null doc_id always stays.
+    Of rows with equal doc_id and text one stays; other texts of a doc_id are documents of their own. A null
+    doc_id always stays.
     """
-    gone, same = free_name(docs, "gone"), free_name(docs, "same_text")
-    groups = linked_groups(docs, n, percent).filter("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    kept = docs.join(groups, F.col("doc_id") == F.col(gone), "left_anti")
+    gone, gone_hash, same = free_name(docs, "gone"), free_name(docs, "gone_hash"), free_name(docs, "same_text")
+    rows = _labelled(docs, n, percent, True).filter(F.col("first").isNotNull() & (F.struct("doc_id", "text_hash") != F.col("first")))
+    rows = rows.select(F.col("doc_id").alias(gone), F.col("text_hash").alias(gone_hash)).distinct()
+    kept = docs.join(rows, (F.col("doc_id") == F.col(gone)) & (F.xxhash64("text") == F.col(gone_hash)), "left_anti")
     once = kept.filter("doc_id IS NOT NULL").withColumn(same, F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc_id", same]).drop(same)
     return once.unionByName(docs.filter("doc_id IS NULL"))
 
