@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a task holds as Python objects at once.
-ROWS_AT_ONCE = 256
+#: Rows that a task holds as Python objects at once, and bytes of a text that are cut into words at once.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,29 @@ def small_slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) ->
             yield batch.slice(at, rows)
 
 
+# Letters and digits stay, A-Z become small, every other ASCII character separates words.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def word_parts(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in parts of bounded size, cut between words."""
+    begin = 0
+    while begin < len(text):
+        end = min(len(text), begin + BYTES_AT_ONCE)
+        part = text[begin:end].translate(WORD_BYTES)
+        cut = len(part)
+        if end < len(text):
+            cut = part.rfind(b" ") + 1
+            while not cut and end < len(text):  # one word longer than a part
+                more = text[end : end + BYTES_AT_ONCE].translate(WORD_BYTES)
+                end += len(more)
+                part, cut = part + more, more.rfind(b" ") + 1
+                cut = cut and len(part) - len(more) + cut
+            cut = cut or len(part)
+        yield part[:cut].split()
+        begin += cut
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links between nodes of any ordered type -> (node, component) with the smallest node reachable.
 
