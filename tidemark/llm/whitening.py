@@ -5,8 +5,9 @@ y = x - shift, and adds up n, S = sum(y) and XtX = sum(y yT) as whole numbers of
 split in limbs of 20 bits whose products and sums stay below 2^53, where the matrix product of doubles
 is exact; a task adds its batches as Python integers; Spark adds up the tasks by cell in signed digits
 of 30 bits, so no sum overflows. n * XtX - S ST is then n^2 times the covariance, without an error,
-and only now becomes doubles for `eigh`. The variance along each vector found is computed once more
-from the whole numbers, so that small components beside large ones keep their digits.
+and only now becomes doubles for `eigh`. What is small beside the largest variance is projected in whole
+numbers and decomposed again, and the variance along each vector found is computed from the whole numbers,
+so that small components keep their digits.
 
 A vector that is null or holds null or non-finite entries is dropped. Shorter vectors count as padded
 with entries of 0, an empty one too; more than MOST_DIMS dimensions are an error. floor(scale * c) beyond
@@ -31,8 +32,8 @@ from tidemark.llm.common import table
 
 #: Rows of a product, bits of a limb (2 * LIMB + log2(ROWS) <= 53), bits of a digit, and dimensions.
 ROWS, LIMB, DIGIT, MOST_DIMS = 8192, 20, 30, 2048
-#: Share of the largest variance below which a direction has none.
-TINY = 1e-20
+#: Share of the largest variance below which a direction has none, and below which it is decomposed anew.
+TINY, STEP = 1e-22, 1e-6
 _END = float(1 << 62)
 
 
@@ -175,6 +176,33 @@ class Whitener:
         return (away.astype(np.float64) / self.scatter.n) @ self.vectors / np.sqrt(self.variance)
 
 
+def _floats(whole: np.ndarray) -> np.ndarray:
+    """Python integers as doubles, all scaled down by one power of 2 where they are out of range."""
+    low = max(0, max((int(x).bit_length() for x in whole.ravel()), default=0) - 1000)
+    return np.array([[float(int(x) >> low) for x in row] for row in whole], np.float64).reshape(whole.shape)
+
+
+def directions(exact: np.ndarray, most: int) -> np.ndarray:
+    """Unit eigenvectors (columns) of a matrix of Python integers by falling eigenvalue, `most` of them.
+
+    `eigh` knows small eigenvalues only to the rounding of the largest, so where some are below STEP of it,
+    the matrix is projected on the rest, in whole numbers, and decomposed again.
+    """
+    dim = len(exact)
+    basis, projected, found = np.eye(dim), exact, []
+    while basis.shape[1] and sum(f.shape[1] for f in found) < most:
+        e, v = np.linalg.eigh(_floats(projected))
+        e, v = e[::-1], v[:, ::-1]
+        known = e > STEP * e[0]
+        if e[0] <= 0:
+            break
+        found.append(basis @ v[:, known])
+        basis = basis @ v[:, ~known]
+        grid = np.rint(basis * 2.0**52).astype(np.int64).astype(object)
+        projected = grid.T @ exact @ grid if grid.size else exact[:0, :0]
+    return np.concatenate([np.zeros((dim, 0)), *found], axis=1)[:, :most]
+
+
 def fit(rows: DataFrame, scale: float = 64.0, most: int = 32) -> Whitener:
     """The whitener of usable rows; only dims^2 numbers reach the driver."""
     s = scatter(rows, scale)
@@ -183,11 +211,7 @@ def fit(rows: DataFrame, scale: float = 64.0, most: int = 32) -> Whitener:
     if not trace:
         return Whitener(s, scale, np.zeros((len(s.total), 0)), np.zeros(0), np.zeros(0))
     unit = Fraction(s.n * s.n)
-    low = max(0, trace.bit_length() - 1000)  # a scale at which doubles hold every entry
-    as_floats = np.array([[float(int(x) >> low) if low else float(int(x)) for x in row] for row in exact])
-    e, v = np.linalg.eigh(as_floats)
-    order = np.argsort(-e, kind="stable")[:most]
-    v = v[:, order]
+    v = directions(exact, most)
     # the variance along each vector, from whole numbers: vectors on a grid of 2^-52
     grid = np.rint(v * 2.0**52).astype(np.int64).astype(object)
     along = exact @ grid
@@ -195,8 +219,7 @@ def fit(rows: DataFrame, scale: float = 64.0, most: int = 32) -> Whitener:
     again = np.argsort(-variance, kind="stable")
     v, variance = v[:, again], variance[again]
     keep = variance > TINY * variance[0]
-    whole = float(Fraction(trace) / unit)
-    return Whitener(s, scale, v[:, keep], variance[keep], variance[keep] / whole)
+    return Whitener(s, scale, v[:, keep], variance[keep], variance[keep] / float(Fraction(trace) / unit))
 
 
 def identity_error(rows: DataFrame, whitener: Whitener) -> float:
