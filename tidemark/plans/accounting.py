@@ -6,11 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ev, stats
+from tidemark.operators.bootstrap import draws_sql, ratio_intervals
 from tidemark.plans.market import r6
 from tidemark.plans.registry import query
 from tidemark.sources import events as src
 from tidemark.sources.events import SAMPLES_SQL
 
+#: Resamples of bets for an interval.
+COST_DRAWS = 2000
 # A settled bet per click: version by series, entry by quote, won if the volume is over 35.
 BETS_SQL = SAMPLES_SQL + ", bets AS (SELECT event_id, series AS version, t, least(greatest(q, 0.05), 0.95) AS entry, volume > 35 AS win FROM samples WHERE event_type = 'click')"
 _PNL = "CASE WHEN win THEN 0.98 / least(greatest(entry + 0.01, 0.01), 0.99) - 1 ELSE -1 END"
@@ -34,16 +37,27 @@ def bet_values(spark, d):
     )
 
 
+# Cost scenarios by name, fee and premium.
+COSTS = (("real", 0.02, 0.01), ("cheap", 0.0, 0.0), ("dear", 0.04, 0.02))
+
+
 @query(
-    f"""WITH {BETS_SQL}, s(name, fee, premium) AS (VALUES ('real', 0.02, 0.01), ('cheap', 0.0, 0.0), ('dear', 0.04, 0.02))
-SELECT name, version, count(*) AS n, round(avg(CASE WHEN win THEN (1 - fee) / least(greatest(entry + premium, 0.01), 0.99) - 1 ELSE -1 END), 5) AS mean_pnl FROM bets JOIN s ON true GROUP BY 1, 2"""
+    f"""WITH {BETS_SQL}, s(place, name, fee, premium) AS (VALUES {', '.join(f"({k}, '{n}', {f}, {p})" for k, (n, f, p) in enumerate(COSTS))}),
+paid AS (SELECT place, name, version, event_id, CASE WHEN win THEN (1 - fee) / least(greatest(entry + premium, 0.01), 0.99) - 1 ELSE -1 END AS pnl, 1 AS one FROM bets JOIN s ON true),
+{draws_sql('paid', ['event_id'], COST_DRAWS)}, means AS (SELECT place, version, r, sum(w * pnl) / nullif(sum(w), 0) AS mean FROM paid JOIN drawn USING (event_id) GROUP BY 1, 2, 3),
+ends AS (SELECT place, version, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM means GROUP BY 1, 2), g AS (SELECT place, name, version, count(*) AS n, avg(pnl) AS mean FROM paid GROUP BY 1, 2, 3)
+SELECT name, version, n, round(mean, 5) AS mean_pnl, round(lo, 5) AS lo, round(hi, 5) AS hi FROM g JOIN ends USING (place, version)"""
 )
 def cost_scenarios(spark, d):
-    """EV8, EV16: three cost scenarios exploded over every bet."""
-    cases = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(f).alias("fee"), F.lit(p).alias("premium")) for n, f, p in (("real", 0.02, 0.01), ("cheap", 0.0, 0.0), ("dear", 0.04, 0.02))))
-    b = bets(spark, d).withColumn("s", F.explode(cases))
-    cost = F.least(F.greatest(F.col("entry") + F.col("s.premium"), F.lit(0.01)), F.lit(0.99))
-    return b.groupBy("s.name", "version").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("win"), (1 - F.col("s.fee")) / cost - 1).otherwise(-1.0)), 5).alias("mean_pnl"))
+    """EV8, EV16: three cost scenarios over every bet, with the 95 % bootstrap interval of what a bet gives; a bet has one
+    weight in all scenarios."""
+    cases = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(n).alias("name"), F.lit(f).alias("fee"), F.lit(p).alias("premium")) for k, (n, f, p) in enumerate(COSTS)))
+    b = bets(spark, d).select("event_id", "version", "entry", "win", F.inline(cases))
+    cost = F.least(F.greatest(F.col("entry") + F.col("premium"), F.lit(0.01)), F.lit(0.99))
+    b = b.withColumns({"pnl": F.when(F.col("win"), (1 - F.col("fee")) / cost - 1).otherwise(-1.0), "one": F.lit(1), "grp": F.col("version") * len(COSTS) + F.col("place")})
+    g = b.groupBy("grp", "name", "version").agg(F.count("*").alias("n"), F.round(F.avg("pnl"), 5).alias("mean_pnl"))
+    ends = ratio_intervals(b, "grp", ["event_id"], "pnl", "one", COST_DRAWS)
+    return g.join(ends, "grp").select("name", "version", "n", "mean_pnl", F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"))
 
 
 @query(

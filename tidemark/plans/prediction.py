@@ -10,6 +10,8 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import curves, ev, stats
+from tidemark.operators.bootstrap import draws_sql, ratio_intervals
+from tidemark.operators.shared import written
 from tidemark.plans.lifecycle import HALF
 from tidemark.plans.market import r6
 from tidemark.plans.registry import query
@@ -19,8 +21,8 @@ from tidemark.sources.events import HOUR_MS, SAMPLES_SQL
 CHANNELS, SEGMENTS, SYMBOLS = ("crowd", "quote", "volume"), ("early", "mid", "late"), curves.SYMBOLS
 _UP, _DOWN = ("surge", "rise"), ("dip", "drop")
 _VALUES = {"crowd": "CAST(participants AS DOUBLE)", "quote": "pct", "volume": "volume"}
-# Reach of the local baseline, least hits, list length, false discovery rate, least bets, decision point, least live samples.
-BASE_MS, MIN_HITS, MOST_HINTS, FDR_Q, MIN_FIRES, DECISION_MS, MIN_LIVE = 3 * 24 * HOUR_MS, 5, 60, 0.1, 10, 1_800_000, 20
+# Reach of the local baseline, least hits, list length, false discovery rate, least bets, decision point, least live samples, resamples.
+BASE_MS, MIN_HITS, MOST_HINTS, FDR_Q, MIN_FIRES, DECISION_MS, MIN_LIVE, DRAWS = 3 * 24 * HOUR_MS, 5, 60, 0.1, 10, 1_800_000, 20, 2000
 PAIRS = list(permutations(CHANNELS, 2))
 WHOLE_MS = HOUR_MS
 
@@ -190,33 +192,59 @@ def entry_price(direction: str) -> tuple[Column, Column]:
     return F.coalesce(of(F.col("real_q")), of(F.col("last_q"))), F.when(F.col("real_q").isNotNull(), "real").when(F.col("last_q").isNotNull(), "proxy").otherwise("missing")
 
 
+_GAIN = "CASE WHEN win THEN 0.98 / least(greatest(price + 0.01, 0.01), 0.99) - 1 ELSE -1 END"
+
+
 def _fires_sql() -> str:
-    pnl = "CASE WHEN win THEN 0.98 / least(greatest(price + 0.01, 0.01), 0.99) - 1 ELSE -1 END"
-    return f"""fired AS (SELECT predicate, side, outcome = side AS win, CASE WHEN side = 'UP' THEN coalesce(real_q, last_q) ELSE 1 - coalesce(real_q, last_q) END AS price, real_q IS NOT NULL AS is_real
+    return f"""fired AS (SELECT predicate, series, start, side, outcome = side AS win, CASE WHEN side = 'UP' THEN coalesce(real_q, last_q) ELSE 1 - coalesce(real_q, last_q) END AS price, real_q IS NOT NULL AS is_real
   FROM flags JOIN (SELECT series, start, real_q, last_q FROM views) USING (series, start), (VALUES ('UP'), ('DOWN')) s(side) WHERE hit AND outcome <> 'NOISE'),
-gate AS (SELECT CAST(predicate AS INTEGER) AS predicate, side, count(*) AS fires, count(*) FILTER (is_real) AS n_real, avg(CASE WHEN win THEN 1.0 ELSE 0.0 END) AS win_rate, avg(price) AS mean_price, avg(pnl) AS ev, avg(pnl) - 1.96 * stddev_samp(pnl) / sqrt(count(*)) AS ev_low
-  FROM (SELECT *, {pnl} AS pnl FROM fired) GROUP BY 1, 2)"""
+gate AS (SELECT CAST(predicate AS INTEGER) AS predicate, side, count(*) AS fires, count(*) FILTER (is_real) AS n_real, avg(CASE WHEN win THEN 1.0 ELSE 0.0 END) AS win_rate, avg(price) AS mean_price, avg(pnl) AS ev, avg(pnl) - 1.96 * stddev_samp(pnl) / sqrt(count(*)) AS normal_low
+  FROM (SELECT *, {_GAIN} AS pnl FROM fired) GROUP BY 1, 2)"""
 
 
-def fires(v, when: Column):
-    """EV10, EV13: bets at the decision point on every window that a predicate hits and that moved, by direction."""
-    flags = F.array(*(F.coalesce(F.expr(c), F.lit(False)) for c in CONDITIONS))
+def _drawn_gate_sql() -> str:
+    """`gate` with the bootstrap's ends as ev_low and ev_high, null below MIN_FIRES bets."""
+    return f"""{_fires_sql()}, pair AS (SELECT predicate, series, start // {HOUR_MS} AS hour, max({_GAIN}) FILTER (side = 'UP') AS up, max({_GAIN}) FILTER (side = 'DOWN') AS down FROM fired GROUP BY 1, 2, 3),
+{draws_sql('pair', ['series', 'hour'], DRAWS)}, sums AS (SELECT predicate, r, sum(w * up) / nullif(sum(w), 0) AS up, sum(w * down) / nullif(sum(w), 0) AS down FROM pair JOIN drawn USING (series, hour) GROUP BY 1, 2),
+ends AS (SELECT CAST(predicate AS INTEGER) AS predicate, 'UP' AS side, quantile_cont(up, 0.025) AS lo, quantile_cont(up, 0.975) AS hi FROM sums GROUP BY 1 UNION ALL SELECT CAST(predicate AS INTEGER), 'DOWN', quantile_cont(down, 0.025), quantile_cont(down, 0.975) FROM sums GROUP BY 1),
+drawn_gate AS (SELECT gate.*, CASE WHEN fires >= {MIN_FIRES} THEN lo END AS ev_low, CASE WHEN fires >= {MIN_FIRES} THEN hi END AS ev_high FROM gate JOIN ends ON gate.predicate = ends.predicate AND gate.side = ends.side)"""
+
+
+def placed_bets(v, when: Column):
+    """EV10: a bet at the decision point, by direction, on every window that a predicate hits and that moved."""
+    flags = F.array(*(F.when(F.coalesce(F.expr(c), F.lit(False)), F.lit(k)) for k, c in enumerate(CONDITIONS)))
     rows = v.filter(when & (F.col("outcome") != "NOISE"))
     sides = F.array(*(F.struct(F.lit(x).alias("side"), (F.col("outcome") == x).alias("win"), entry_price(x)[0].alias("price"), (entry_price(x)[1] == "real").alias("is_real")) for x in ("UP", "DOWN")))
-    rows = rows.select(F.posexplode(flags).alias("predicate", "hit"), sides.alias("sides")).filter("hit").select("predicate", F.inline("sides"))
-    rows = rows.withColumn("pnl", ev.realised(F.col("win"), F.col("price")))
+    hits = F.filter(flags, lambda x: x.isNotNull())
+    rows = rows.select("series", "start", F.explode(hits).alias("predicate"), sides.alias("sides")).select("series", "start", "predicate", F.inline("sides"))
+    return rows.withColumn("pnl", ev.realised(F.col("win"), F.col("price")))
+
+
+def fires(bets):
+    """EV13: what the bets of each predicate and direction give."""
     low = F.avg("pnl") - 1.96 * F.stddev_samp("pnl") / F.sqrt(F.count("*"))
-    return rows.groupBy("predicate", "side").agg(F.count("*").alias("fires"), F.count_if("is_real").alias("n_real"), F.avg(F.col("win").cast("double")).alias("win_rate"), F.avg("price").alias("mean_price"), F.avg("pnl").alias("ev"), low.alias("ev_low"))
+    return bets.groupBy("predicate", "side").agg(F.count("*").alias("fires"), F.count_if("is_real").alias("n_real"), F.avg(F.col("win").cast("double")).alias("win_rate"), F.avg("price").alias("mean_price"), F.avg("pnl").alias("ev"), low.alias("normal_low"))
 
 
-_SCREEN_SQL = f"""{views_sql(DECISION_MS)}, {judged_sql(f'start >= {HALF}')}, {_fires_sql()},
+def drawn_fires(bets):
+    """EV13: fires with the ends of the bootstrap's interval, null below MIN_FIRES bets. A window has one weight for all
+    predicates that it fires, and the sums of all replicates of all 588 hypotheses come from one pass over the bets."""
+    g = fires(bets)
+    keyed = bets.select((F.col("predicate") * 2 + (F.col("side") == "DOWN").cast("int")).alias("hypothesis"), "series", F.floor(F.col("start") / HOUR_MS).alias("hour"), "pnl", F.lit(1).alias("one"))
+    ends = ratio_intervals(keyed, "hypothesis", ["series", "hour"], "pnl", "one", DRAWS)
+    ends = ends.select(F.floor(F.col("hypothesis") / 2).cast("int").alias("predicate"), F.when(F.col("hypothesis") % 2 == 1, "DOWN").otherwise("UP").alias("side"), "lo", "hi")
+    enough = F.col("fires") >= MIN_FIRES
+    return g.join(ends, ["predicate", "side"]).select(*g.columns, F.when(enough, F.col("lo")).alias("ev_low"), F.when(enough, F.col("hi")).alias("ev_high"))
+
+
+_SCREEN_SQL = f"""{views_sql(DECISION_MS)}, {judged_sql(f'start >= {HALF}')}, {_drawn_gate_sql()},
 h AS (SELECT predicate, 'UP' AS side, hits, up_hits AS k, base, up_base AS b FROM judged UNION ALL SELECT predicate, 'DOWN', hits, down_hits, base, down_base FROM judged),
 t AS (SELECT *, {lift_sql('k', 'hits', 'b', 'base')[0]} AS lift, {lift_sql('k', 'hits', 'b', 'base')[1]} AS se FROM h),
 u AS (SELECT *, CASE WHEN hits < {MIN_HITS} THEN NULL WHEN lift > 0 THEN round(1 - {stats.normal_cdf_sql('(ln(lift) / se)')}, 9) ELSE 1.0 END AS p FROM t),
 r AS (SELECT *, rank() OVER (ORDER BY p) AS rk, count(*) OVER () AS tests FROM u WHERE p IS NOT NULL),
 cut AS (SELECT max(rk) AS k FROM r WHERE p <= rk / tests * {FDR_Q}),
 s AS (SELECT u.*, coalesce(r.rk <= (SELECT k FROM cut), false) AS fdr, CASE WHEN u.lift >= {stats.STRONG} THEN CASE WHEN exp(ln(u.lift) - 1.96 * u.se) > 1 THEN 'ACTIVE' ELSE 'REJECT' END WHEN u.lift >= {stats.WEAK} THEN 'OBSERVE' ELSE 'REJECT' END AS track FROM u LEFT JOIN r ON u.predicate = r.predicate AND u.side = r.side),
-g AS (SELECT s.*, coalesce(fires, 0) AS fires, coalesce(n_real, 0) AS n_real, ev, coalesce(fires >= {MIN_FIRES} AND ev_low > 0, false) AS pays FROM s LEFT JOIN gate ON s.predicate = gate.predicate AND s.side = gate.side),
+g AS (SELECT s.*, coalesce(fires, 0) AS fires, coalesce(n_real, 0) AS n_real, ev, coalesce(fires >= {MIN_FIRES} AND ev_low > 0, false) AS pays FROM s LEFT JOIN drawn_gate g ON s.predicate = g.predicate AND s.side = g.side),
 screened AS (SELECT *, CASE WHEN hits < {MIN_HITS} THEN 'REJECT' WHEN track = 'ACTIVE' AND fdr AND pays THEN 'ACTIVE' WHEN track IN ('ACTIVE', 'OBSERVE') THEN 'OBSERVE' ELSE 'REJECT' END AS verdict FROM g)"""
 
 
@@ -233,7 +261,7 @@ def screened(v):
     tests = h.filter("p IS NOT NULL").withColumns({"rk": F.rank().over(Window.orderBy("p")), "tests": F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     cut = tests.filter(F.col("p") <= F.col("rk") / F.col("tests") * FDR_Q).agg(F.max("rk").alias("cut"))
     passed = tests.join(F.broadcast(cut)).filter(F.col("rk") <= F.col("cut")).select("predicate", "side", F.lit(True).alias("fdr"))
-    h = h.join(passed, ["predicate", "side"], "left").join(fires(v, F.col("start") >= HALF), ["predicate", "side"], "left")
+    h = h.join(passed, ["predicate", "side"], "left").join(drawn_fires(placed_bets(v, F.col("start") >= HALF)), ["predicate", "side"], "left")
     h = h.withColumns({"fdr": F.coalesce("fdr", F.lit(False)), "track": stats.verdict(F.col("l.lift"), F.col("l.lo")), "fires": F.coalesce("fires", F.lit(0)), "n_real": F.coalesce("n_real", F.lit(0)), "pays": F.coalesce((F.col("fires") >= MIN_FIRES) & (F.col("ev_low") > 0), F.lit(False))})
     verdict = F.when(~tested, "REJECT").when((F.col("track") == "ACTIVE") & F.col("fdr") & F.col("pays"), "ACTIVE").when(F.col("track").isin("ACTIVE", "OBSERVE"), "OBSERVE").otherwise("REJECT")
     return h.withColumn("verdict", verdict)
@@ -245,15 +273,26 @@ def screened(v):
 )
 def screened_predicates(spark, d):
     """DP14, DP15, EV10, EV13, ST13, ST14, ST18, WF36: hypotheses on views cut at the decision point: hits, lift over the
-    local baseline, one-sided p, step-up discovery, both tracks, whether bets pay (the lower end of the mean's normal
-    interval stands for the bootstrap's, which `bootstrap_intervals` has), verdict, reason and admission."""
-    s = screened(views(spark, d, DECISION_MS))
+    local baseline, one-sided p, step-up discovery, both tracks, whether bets pay (by the lower end of the bootstrap's
+    interval, which `gate_intervals` shows), verdict, reason and admission."""
+    s = screened(written(views(spark, d, DECISION_MS), "views"))
     active = F.col("track") == "ACTIVE"
     reason = F.when(F.col("hits") < MIN_HITS, "insufficient_hits").when(F.col("verdict") == "REJECT", "weak_lift").when((F.col("verdict") == "OBSERVE") & active & ~F.col("fdr"), "not_discovered").when((F.col("verdict") == "OBSERVE") & active, "does_not_pay")
     admitted = F.when(F.col("verdict") == "ACTIVE", "ACTIVE").when(F.col("verdict") == "OBSERVE", "EVOLVING")
     return s.select("predicate", "side", "hits", "k", "base", F.round("l.lift", 5).alias("lift"), F.round("p", 7).alias("p"), "fdr", "track", "fires", "n_real", F.round("ev", 5).alias("ev"), "pays", "verdict", reason.alias("reason"), admitted.alias("admitted_as"))
 
 
+@query(
+    f"""WITH {views_sql(DECISION_MS)}, {judged_sql(f'start >= {HALF}')}, {_drawn_gate_sql()}
+SELECT predicate, side, fires, n_real, round(win_rate, 6) AS win_rate, round(mean_price, 8) AS mean_price, round(ev, 5) AS ev, round(ev_low, 5) AS ev_low, round(ev_high, 5) AS ev_high, round(normal_low, 5) AS normal_low, coalesce(ev_low > 0, false) AS passed FROM drawn_gate"""
+)
+def gate_intervals(spark, d):
+    """EV13: bets, real prices, win rate, mean entry and value of every hypothesis with the bootstrap's 95 % interval beside the
+    normal one's lower end, and whether the gate lets it pass."""
+    g = drawn_fires(placed_bets(written(views(spark, d, DECISION_MS), "views"), F.col("start") >= HALF))
+    return g.select("predicate", "side", "fires", "n_real", r6("win_rate").alias("win_rate"), F.round("mean_price", 8).alias("mean_price"), *(F.round(c, 5).alias(c) for c in ("ev", "ev_low", "ev_high", "normal_low")), F.coalesce(F.col("ev_low") > 0, F.lit(False)).alias("passed"))
+
+
 _PATTERNS_SQL = f"pats AS (SELECT predicate, direction, hits AS n, CASE WHEN direction = 'UP' THEN up_hits ELSE down_hits END / hits AS win_rate, 0.5 + least(lift - 1, 0.4) / 2 AS prior FROM hints WHERE lift >= {stats.WEAK})"
 RESOLVED_SQL = f"""{_HINTS_SQL}, {_PATTERNS_SQL}, f2 AS (SELECT series, start, outcome, unnest([{', '.join(f'coalesce({c}, false)' for c in CONDITIONS)}]) AS hit, unnest(range({len(CONDITIONS)})) AS predicate FROM views WHERE start >= {HALF}),
 hit AS (SELECT f2.*, p.direction, p.n, p.win_rate, p.prior, row_number() OVER (PARTITION BY series, start ORDER BY p.win_rate DESC, p.n DESC, f2.predicate) AS place FROM f2 JOIN pats p ON f2.predicate = p.predicate WHERE hit),
@@ -328,7 +367,7 @@ UNION ALL SELECT * FROM (WITH {views_sql(DECISION_MS)}, {judged_sql('true')}, {_
 def predicate_bench(spark, d):
     """DP29, TB9: what betting on each predicate's hits gives on whole windows (which see the future) and on those cut at the decision point."""
     def bench(until: int, name: str):
-        g = fires(views(spark, d, until), F.lit(True))
+        g = fires(placed_bets(views(spark, d, until), F.lit(True)))
         return g.select("predicate", "side", F.lit(name).alias("views"), "fires", r6("win_rate").alias("win_rate"), F.round("mean_price", 8).alias("mean_price"), F.round("ev", 5).alias("ev"))
 
     return bench(WHOLE_MS, "whole").unionByName(bench(DECISION_MS, "cut"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from tidemark.plans.lifecycle import HALF
 from tidemark.plans.market import W, r6
 from tidemark.plans.prediction import CHANNELS, WHOLE_MS, views, views_sql
 from tidemark.plans.registry import ORACLE_SQL, query
-from tidemark.plans.streams import shared_root
+from tidemark.operators.shared import new_path
 from tidemark.plans.windows import archived_windows
 from tidemark.sources import events as src
 from tidemark.sources.events import BARS_SQL, CYCLES_SQL, HOUR_MS, SAMPLES_SQL
@@ -180,7 +179,7 @@ def merged_bars(spark, d):
 )
 def retained_samples(spark, d, sample_hours: int = 240, health_days: int = 10):
     """SC14, SC15: what retention of samples by hours and of health rows by days keeps; the kept rows are written by type anew."""
-    root = f"{shared_root(spark)}/retained-{uuid.uuid4().hex}"
+    root = new_path(spark, "retained")
     s = src.samples(spark, d)
     now = s.agg(F.max("t").alias("now"))
     age = F.when(F.col("event_type") == "error", health_days * 86_400_000).otherwise(sample_hours * HOUR_MS)
@@ -194,7 +193,7 @@ def retained_samples(spark, d, sample_hours: int = 240, health_days: int = 10):
 @query(f"WITH a AS ({ORACLE_SQL['archived_windows']}) SELECT series, start, sample_count, entry, outcome FROM a")
 def loaded_windows(spark, d):
     """SC7: windows written as lines of JSON and loaded with a fixed schema; a line that does not fit it fails the load."""
-    root = f"{shared_root(spark)}/windows-{uuid.uuid4().hex}"
+    root = new_path(spark, "windows")
     archived_windows(spark, d).select(F.to_json(F.struct("series", "start", "sample_count", "entry", "outcome")).alias("value")).write.text(root)
     return spark.read.schema("series long, start long, sample_count long, entry double, outcome string").json(root, mode="FAILFAST")
 
@@ -202,7 +201,7 @@ def loaded_windows(spark, d):
 @query(f"WITH a AS ({ORACLE_SQL['archived_windows']}) SELECT series, start, sample_count, outcome FROM a")
 def sunk_windows(spark, d):
     """SC9, SC12, SC13, TS7, TS14: overlapping and repeated batches into a sink that appends only new keys, partitioned by day."""
-    root = f"{shared_root(spark)}/sink-{uuid.uuid4().hex}"
+    root = new_path(spark, "sink")
     a = archived_windows(spark, d).select("series", "start", "sample_count", "outcome", F.floor(F.col("start") / 86_400_000).alias("day"))
     write = append_new(root, ["series", "start"], "day")
     write(a.filter(F.col("start") < HALF), 0)

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from tidemark.operators.shared import new_path
 from tidemark.plans.registry import query
 from tidemark.sources.events import BARS_SQL, SAMPLES_SQL
 from tidemark.streaming import windows
 
 
-def shared_root(spark) -> str:
-    """spark.checkpoint.dir, the folder that driver and executors share; a temporary one only for a session in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return root.rstrip("/")
-
-
 def run_to_end(spark, d, change, schema: str):
     """The rows that a file stream of the events gives through change, once it has read all."""
-    run = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    run = new_path(spark, "stream")
     events = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(d)
     q = change(stream).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").outputMode("append").trigger(availableNow=True).start()
