@@ -32,6 +32,13 @@ def test_language_on_held_out_texts(spark, corpus):
     assert n > 20 and right >= 0.95 * n
 
 
+def test_texts_without_a_letter(spark, corpus):
+    rows = [(k, t) for k, t in enumerate(["\u00bd \u2461", "\u00b2", "\u2167", "12 _ 3", "\u0661\u0662", "", None, " \u20ac "])]
+    got = language_id.identify(spark.createDataFrame([*rows, (99, "\u00bd Wort")], "doc_id long, text string"), language_id.train(corpus)).collect()
+    assert {r.doc_id for r in got if r.lang_pred == "und" and r.score == 0} == set(range(len(rows)))
+    assert language_id._letters("\u00bdab\u2167 c\u00e9 4x") == " ab c\u00e9 x "
+
+
 def test_language_against_plain_bayes(spark, corpus, monkeypatch):
     """The same model by plain counting: every run of one to three characters, its bucket, and Laplace's rule."""
     rows = [(r.doc_id, r.text, r.lang) for r in corpus.limit(60).collect()]

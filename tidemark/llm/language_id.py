@@ -27,15 +27,18 @@ from tidemark.llm.common import table
 BUCKETS, LONGEST = 1 << 15, 3
 #: Labelled texts for each language that are expected in the training sample, and its partitions.
 SAMPLE, PARTS = 10_000, 32
-#: Characters of a batch that are hashed at once, numbers that are gathered at once, and languages.
-CHARS_AT_ONCE, CELLS, MOST_LANGS = 4_000_000, 8_000_000, 4096
+#: Characters of a batch that are hashed at once, numbers that are gathered at once, and languages (134 MB of numbers).
+CHARS_AT_ONCE, CELLS, MOST_LANGS = 4_000_000, 8_000_000, 512
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 # Fixed odd multipliers that mix the characters of a run.
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
 def _letters(text: str | None) -> str:
-    return f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} " if text else "  "
+    clean = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    if not clean.isascii() and not clean.replace(" ", "a").isalpha():  # numerals that are no digits, as in "\u00bd \u2167"
+        clean = " ".join("".join(c if c.isalpha() else " " for c in clean).split())
+    return f" {clean} "
 
 
 def hashed_runs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
