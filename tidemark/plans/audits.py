@@ -13,8 +13,8 @@ from tidemark.plans.market import r6
 from tidemark.plans.registry import ORACLE_SQL, query
 from tidemark.sources import events as src
 from tidemark.sources.events import BARS_SQL, CYCLES_SQL, HOUR_MS, SAMPLES_SQL
+from tidemark.streaming.detectors import CONFIRM_MS, COOL_DOWN_MS, CYCLE_MS, DAILY_CAP, DAY_MS, TRIES
 
-CYCLE_MS = 3 * HOUR_MS
 # Paths that give a pattern, the rise that adds the second half, quotes where none was seen.
 PATHS = {"UUU": "bull_exhaust", "DDD": "bear_exhaust", "DUU": "momentum_fade"}
 ADD_RISE, OPEN_QUOTE, ADD_QUOTE = 1.001, 0.50, 0.27
@@ -22,8 +22,6 @@ ADD_RISE, OPEN_QUOTE, ADD_QUOTE = 1.001, 0.50, 0.27
 QUOTED_VOLUME = 300.0
 #: Cosine from which two patterns of a direction are one.
 SAME_COSINE = 0.95
-#: Least time between two signals of a series and side, and signals of a day that are sent on.
-COOL_DOWN_MS, DAILY_CAP = 6 * HOUR_MS, 8
 
 
 @query(
@@ -101,6 +99,34 @@ def breaks_at_boundary(spark, d):
     return detection.break_events(spark, d).join(n, ["series", "cycle_ts"]).select("series", "cycle_ts", "side", status.alias("status"))
 
 
+@query(
+    f"""WITH {SAMPLES_SQL}, b AS ({ORACLE_SQL["break_events"]}), x AS (SELECT series, CAST(floor(t / {CYCLE_MS}) * {CYCLE_MS} AS BIGINT) AS cycle_ts, t, event_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY series, floor(t / {CYCLE_MS}) ORDER BY t, event_id) AS i FROM samples),
+c AS (SELECT series, cycle_ts, min(t) AS first_t, min(t) FILTER (t > cycle_ts + {CONFIRM_MS}) AS late_t, count(*) FILTER (i <= {TRIES} AND t <= cycle_ts + {CONFIRM_MS}) AS tried, min(i) FILTER (i <= {TRIES} AND t <= cycle_ts + {CONFIRM_MS} AND NOT failed) AS ok,
+  list(t ORDER BY t, event_id) FILTER (i <= {TRIES}) AS ts FROM x GROUP BY 1, 2), n AS (SELECT series, cycle_ts, lead(cycle_ts) OVER w AS next_ts, lead(first_t) OVER w AS next_t, lead(late_t) OVER w AS late_t, lead(tried) OVER w AS tried, lead(ok) OVER w AS ok, lead(ts) OVER w AS ts, lead(first_t, 2) OVER w AS after_t FROM c WINDOW w AS (PARTITION BY series ORDER BY cycle_ts)),
+d AS (SELECT b.series, b.cycle_ts, b.side, CASE WHEN next_ts IS NULL THEN 'PENDING' WHEN next_ts - b.cycle_ts > {CYCLE_MS} THEN 'DISCARD' WHEN ok IS NOT NULL THEN 'CONFIRM' WHEN tried = {TRIES} OR late_t IS NOT NULL OR after_t IS NOT NULL THEN 'TIMEOUT' ELSE 'PENDING' END AS status, n.* EXCLUDE (series, cycle_ts) FROM b JOIN n ON b.series = n.series AND b.cycle_ts = n.cycle_ts)
+SELECT series, cycle_ts, side, status, CAST(CASE status WHEN 'CONFIRM' THEN ok WHEN 'TIMEOUT' THEN tried WHEN 'DISCARD' THEN 0 END AS INTEGER) AS tries, CASE status WHEN 'CONFIRM' THEN ts[ok] WHEN 'DISCARD' THEN next_t WHEN 'TIMEOUT' THEN CASE WHEN tried = {TRIES} THEN ts[{TRIES}] ELSE coalesce(late_t, after_t) END END AS decided_ts FROM d"""
+)
+def confirmed_breaks(spark, d):
+    """TS8, TS9: what becomes of a pending break: discarded if a cycle was missed, else tried at the next cycle's samples, five
+    at most and for two hours after the boundary, of which one with code 'error' fails. `streamed_confirmations` is the stream."""
+    s = src.samples(spark, d).withColumn("cycle_ts", src.bucket(F.col("t"), CYCLE_MS))
+    soon = F.col("t") <= F.col("cycle_ts") + CONFIRM_MS
+    late = F.min(F.when(~soon, F.col("t"))).alias("late_t")
+    tries = F.slice(F.array_sort(F.collect_list(F.when(soon, F.struct("t", "event_id", (F.col("event_type") == "error").alias("failed"))))), 1, TRIES)
+    c = s.groupBy("series", "cycle_ts").agg(F.min("t").alias("first_t"), late, tries.alias("tries"))
+    w = src.by_time(order="cycle_ts")
+    n = c.select("series", "cycle_ts", *(F.lead(x, k).over(w).alias(name) for x, k, name in (("cycle_ts", 1, "next_ts"), ("first_t", 1, "next_t"), ("late_t", 1, "late_t"), ("tries", 1, "tries"), ("first_t", 2, "after_t"))))
+    ok = F.array_position(F.transform("tries", lambda x: x["failed"]), False)
+    full = F.size("tries") == TRIES
+    status = F.when(F.col("next_ts").isNull(), "PENDING").when(F.col("next_ts") - F.col("cycle_ts") > CYCLE_MS, "DISCARD").when(ok > 0, "CONFIRM").when(full | F.coalesce("late_t", "after_t").isNotNull(), "TIMEOUT").otherwise("PENDING")
+    x = detection.break_events(spark, d).select("series", "cycle_ts", "side").join(n, ["series", "cycle_ts"]).withColumns({"status": status, "ok": ok})
+    is_ = lambda name: F.col("status") == name
+    place = F.when(is_("CONFIRM"), F.col("ok")).when(is_("TIMEOUT") & full, TRIES)
+    decided = F.when(place.isNotNull(), F.try_element_at("tries", place.cast("int"))["t"]).when(is_("DISCARD"), F.col("next_t")).when(is_("TIMEOUT"), F.coalesce("late_t", "after_t"))
+    count = F.when(is_("CONFIRM"), F.col("ok")).when(is_("TIMEOUT"), F.size("tries")).when(is_("DISCARD"), 0)
+    return x.select("series", "cycle_ts", "side", "status", count.cast("int").alias("tries"), decided.alias("decided_ts"))
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def cooled(times: pd.Series) -> pd.Series:
     """Of ascending times those that are COOL_DOWN_MS or more after the last one kept."""
@@ -118,12 +144,12 @@ def cooled(times: pd.Series) -> pd.Series:
 @query(
     f"""WITH RECURSIVE b AS ({ORACLE_SQL["break_events"]}), nx AS (SELECT s.series, s.side, s.bar_ts AS t, min(n.bar_ts) AS nt FROM b s LEFT JOIN b n ON s.series = n.series AND s.side = n.side AND n.bar_ts >= s.bar_ts + 21600000 GROUP BY 1, 2, 3),
 f(series, side, t) AS (SELECT series, side, min(bar_ts) FROM b GROUP BY 1, 2 UNION SELECT f.series, f.side, nx.nt FROM f JOIN nx ON f.series = nx.series AND f.side = nx.side AND f.t = nx.t WHERE nx.nt IS NOT NULL)
-SELECT series, side, t AS signal_ts, row_number() OVER (PARTITION BY t // 86400000 ORDER BY t, series, side) > 8 AS over_cap FROM f"""
+SELECT series, side, t AS signal_ts, rank() OVER (PARTITION BY series, t // 86400000 ORDER BY t) > 8 AS over_cap FROM f"""
 )
 def cooled_signals(spark, d):
-    """TS10: signals of breaks that outlast the cool-down of their series and side; those over the cap of a UTC
-    day are kept and marked. One array of times per series and side: at most two breaks a cycle."""
+    """TS10: signals of breaks that outlast the cool-down of their series and side; those over the cap of their series' UTC
+    day, both sides together, are kept and marked. One array of times per series and side: at most two breaks a cycle."""
     b = detection.break_events(spark, d).groupBy("series", "side").agg(F.array_sort(F.collect_list("bar_ts")).alias("ts"))
     f = b.select("series", "side", F.explode(cooled("ts")).alias("signal_ts"))
-    day = Window.partitionBy(F.floor(F.col("signal_ts") / (24 * HOUR_MS))).orderBy("signal_ts", "series", "side")
-    return f.withColumn("over_cap", F.row_number().over(day) > DAILY_CAP)
+    day = Window.partitionBy("series", F.floor(F.col("signal_ts") / DAY_MS)).orderBy("signal_ts")
+    return f.withColumn("over_cap", F.rank().over(day) > DAILY_CAP)
