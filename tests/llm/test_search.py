@@ -143,6 +143,7 @@ def test_jaccard_groups(spark):
 def test_jaccard_groups_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "MEETING", 3)
     monkeypatch.setattr(jaccard, "GROUP", 4)
+    monkeypatch.setattr(jaccard, "WALKED", 5)
     texts = near_copies()
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_groups(df).collect()}
@@ -166,9 +167,40 @@ def test_components_of_a_hub_and_a_chain(spark):
     assert got == {k: 0 for k in range(400)} | {k: 1000 for k in range(1000, 1091)}
 
 
-def test_suffix_filter_counts_what_follows(spark):
-    sig = np.array([[2, 255] + [0] * 126], np.uint8)
-    assert jaccard._suffixes(sig, [bytes([0, 1, 1])]).tolist() == [[1, 255] + [0] * 126]
+def test_suffix_filter_counts_what_follows():
+    sig = bytes([2, 255] + [0] * 126)
+    assert jaccard._suffixes([np.array([2])], [bytes([0, 1, 1, 0])], [sig]).tolist() == [[1, 255] + [0] * 126]
+    rng = np.random.default_rng(3)
+    places, slices, sigs, want = [], [], [], []
+    for _ in range(5):
+        all_ = rng.integers(0, 128, 400).astype(np.uint8)
+        at = np.sort(rng.choice(100, 30, replace=False))
+        sig = np.bincount(all_, minlength=128).astype(np.uint8)
+        places, slices, sigs = [*places, at], [*slices, all_[:100].tobytes()], [*sigs, sig.tobytes()]
+        want += [np.bincount(all_[p + 1 :], minlength=128).tolist() for p in at]
+    assert jaccard._suffixes(places, slices, sigs).tolist() == want
+    used, begin, got = np.zeros(128, np.int64), 0, []
+    for lo in range(0, 30, 7):  # one set in parts
+        part = places[0][lo : lo + 7]
+        got += jaccard._suffixes([part], slices[:1], sigs[:1], begin, used).tolist()
+        begin = int(part[-1]) + 1
+    assert got == want[:30]
+
+
+def test_two_near_copies_of_a_million_words(spark):
+    rng = np.random.default_rng(4)
+    w = [f"w{k}" for k in rng.integers(0, 2_000_000, 1_000_000)]
+    other = list(w)
+    for at in rng.choice(len(w), 5_000, replace=False):
+        other[at] = "changed"
+    rows = [(1, " ".join(w)), (2, " ".join(other)), (3, " ".join(w[:900_002])), (4, "a short text of some words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    size = jaccard.SLICES + 40
+    known = jaccard.summaries(df, 3, 90, jaccard.gram_counts(df, 3)).filter("doc_id < 4")
+    reps = known.select(F.monotonically_increasing_id().alias("id"), "n", "prefix", "slices", "sig")
+    got = jaccard.prefix_rows(reps).agg(F.count("*").alias("rows"), F.max(F.length("sig")).alias("sig")).first()
+    assert got["sig"] == jaccard.SLICES and got["rows"] * size < 100_000_000  # in proportion to the words
+    assert {r.doc_id: r.component_id for r in jaccard.linked_groups(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
 def test_blocks_test_each_pair_once():

@@ -20,7 +20,8 @@ Meetings and groups over a bounded number of rows are cut in blocks, and each tw
 (pairs of one block are tested where it meets itself), so no task holds an unbounded group and no
 link is lost. Copies of one set, links of one node and members of one group are dealt by a salt.
 
-A null or empty text has an empty set and is linked with nothing. A row is a node: rows with equal
+The rows, bytes and time of a text grow in proportion to its length, of whatever length it is: a pair of texts of
+a million words is tested. A null or empty text has an empty set and is linked with nothing. A row is a node: rows with equal
 doc_id and different texts can lie in different components, each under the smallest doc_id of its
 own; the result is the same for any partitioning. A null doc_id is reported with its own null
 component and takes no part in links.
@@ -42,6 +43,8 @@ from tidemark.llm.common import connected_components, free_name, shared_table, s
 COUNTERS, SLICES = 1 << 22, 128
 #: Rows that share an n-gram and texts of a group that meet at once, and the n-grams of such texts.
 MEETING, GROUP, GROUP_GRAMS = 1024, 1024, 4_000_000
+#: Prefix n-grams whose slice counts are made at once.
+WALKED = 8192
 #: Members of groups that are sent to all tasks (of 40 bytes each); more are joined by a shuffle.
 FEW = 1_000_000
 _PARTS = 64  # of the counter table
@@ -221,32 +224,81 @@ def _side(t: pa.Table, a: int, b: int) -> np.ndarray | None:
     return t.column("side").slice(a, b - a).to_numpy()
 
 
-def _suffixes(sig: np.ndarray, seen: list[bytes]) -> np.ndarray:
-    """Slice counts of each set's suffix: those of the set less the slices of its n-grams up to here; 255 stays."""
-    out = sig.copy()
-    row = np.repeat(np.arange(len(seen)), [len(x) for x in seen])
-    at = row * SLICES + np.frombuffer(b"".join(seen), np.uint8)
-    used = np.bincount(at, minlength=out.size).astype(np.uint8).reshape(out.shape)
-    full = sig == 255
-    out -= np.where(full, 0, used).astype(np.uint8)
-    return out
+def _suffixes(places: list[np.ndarray], slices: list[bytes], sigs: list[bytes], begin: int = 0, used: np.ndarray | None = None) -> np.ndarray:
+    """Slice counts of sets after each of their ascending prefix places; a count of 255 may be more and stays.
+
+    begin, used: for a part of one set's places, where the part before ended and the counts up to there.
+    """
+    sizes = np.array([len(x) for x in places])
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    cells = [(first[k] + np.searchsorted(p, np.arange(begin, p[-1] + 1))) * SLICES + np.frombuffer(s, np.uint8, p[-1] + 1 - begin, begin) for k, (p, s) in enumerate(zip(places, slices, strict=True)) if p[-1] >= begin]
+    count = np.bincount(np.concatenate(cells) if cells else np.zeros(0, np.int64), minlength=first[-1] * SLICES).reshape(-1, SLICES)
+    total = np.cumsum(count, axis=0)
+    total -= np.repeat(total[first[:-1]] - count[first[:-1]], sizes, axis=0)  # what the sets before have used
+    if used is not None:
+        total += used
+        used[:] = total[-1]
+    sig = np.repeat(np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, SLICES), sizes, axis=0)
+    return np.where(sig == 255, 255, sig - total).astype(np.uint8)
+
+
+def prefix_rows(reps: DataFrame) -> DataFrame:
+    """id, n, pos, gram and df of every prefix n-gram that sets share, with the slice counts after it (`sig`).
+
+    Rows of a set come together to walk its prefix once, so they take 128 bytes each however long the text is.
+    An n-gram that more than a 4096th of all rows hold is joined by a broadcast of such n-grams, of which there are
+    fewer than 4096, so no task gets all rows of one.
+    """
+    rows = reps.select("id", F.posexplode("prefix").alias("pos", "gram"))
+    often = shared_table(rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "shared_grams")
+    most = max(MEETING, (reps.agg(F.sum(F.size("prefix"))).first()[0] or 0) // 4096)
+    hot = F.broadcast(often.filter(F.col("df") > most))
+    rest = rows.join(hot.select("gram"), "gram", "left_anti").join(often.filter(F.col("df") <= most), "gram")
+    of_set = rest.unionByName(rows.join(hot, "gram")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "gram", "df"))).alias("shared"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shared = b.column("shared")
+            ends = (shared.offsets.to_numpy() - shared.offsets[0].as_py()).tolist()
+            pos, gram, df = (shared.flatten().field(c) for c in range(3))
+            places, sigs, slices = pos.to_numpy(), b.column("sig"), b.column("slices")
+
+            def rows_of(first: int, last: int, at: int, end: int, sig: np.ndarray, b=b, ends=ends, pos=pos, gram=gram, df=df) -> pa.RecordBatch:
+                size = np.diff(np.clip(ends[first : last + 1], at, end))
+                cols = [pa.array(np.repeat(b.column(c).slice(first, last - first).to_numpy(), size)) for c in ("id", "n")]
+                cols += [c.slice(at, end - at) for c in (pos, gram, df)]
+                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SLICES), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))])
+                return pa.RecordBatch.from_arrays([*cols, fixed.cast(pa.binary())], names=["id", "n", "pos", "gram", "df", "sig"])
+
+            first = 0
+            while first < b.num_rows:
+                last = first + 1
+                while last < b.num_rows and ends[last + 1] - ends[first] <= WALKED:
+                    last += 1
+                if last == first + 1:  # one set, in parts
+                    begin, used = 0, np.zeros(SLICES, np.int64)
+                    for at in range(ends[first], ends[last], WALKED):
+                        end = min(ends[last], at + WALKED)
+                        yield rows_of(first, last, at, end, _suffixes([places[at:end]], [slices[first].as_py()], [sigs[first].as_py()], begin, used))
+                        begin = int(places[end - 1]) + 1
+                else:
+                    sets = range(first, last)
+                    sig = _suffixes([places[ends[k] : ends[k + 1]] for k in sets], [slices[k].as_py() for k in sets], [sigs[k].as_py() for k in sets])
+                    yield rows_of(first, last, ends[first], ends[last], sig)
+                first = last
+
+    return of_set.join(reps.select("id", "n", "sig", "slices"), "id").mapInArrow(run, "id long, n long, pos int, gram long, df long, sig binary")
 
 
 def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
     """Links that connect all pairs which share a prefix n-gram and pass the filters."""
-    rows = reps.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
-    often = rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    met = shared_table(rows.join(often, "gram"), "met")
-    met = met.join(reps.select("id", "sig", "slices"), "id").withColumn("seen", F.substring("slices", F.lit(1), F.col("pos") + 1)).drop("slices")
     keys = ["gram", "bi", "bj"]
-    met = _blocks(met, "df", MEETING).repartition(*keys).sortWithinPartitions(*keys)
+    met = _blocks(prefix_rows(reps), "df", MEETING).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_runs(batches, keys):
             ids, n, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "pos"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SLICES)
-            seen = t.column("seen").to_pylist()
-            sig = np.concatenate([_suffixes(sig[at : at + 8192], seen[at : at + 8192]) for at in range(0, len(seen), 8192)])
             bounds = _run_bounds(t, keys)
             sizes = np.diff(bounds)
 
@@ -271,7 +323,7 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield _edges(found)
 
-    return met.select("id", "n", "pos", "sig", "seen", "side", *keys).mapInArrow(run, "a long, b long").distinct()
+    return met.select("id", "n", "pos", "sig", "side", *keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def verified_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
