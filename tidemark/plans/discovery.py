@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
+from tidemark.operators.neighbours import most_similar, voted
 from tidemark.plans.accounting import BETS_SQL, bets
 from tidemark.plans.market import r6
 from tidemark.plans.registry import query
@@ -109,37 +110,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 6) DESC,
 SELECT id, any_value(label) AS label, CASE WHEN count(*) FILTER (rk = 1) = 1 THEN max(other) FILTER (rk = 1) END AS voted, CAST(max(votes) AS BIGINT) AS votes FROM t GROUP BY id"""
 )
 def neighbour_votes(spark, d):
-    """JN15, AF19: cosine neighbours of every 20th id vote, with abstention on a tie.
-
-    The stated query set meets the table in blocks of rows: of each pair of blocks a query keeps its 15 nearest.
-    """
-    v = src.table(spark, d, "embeddings")
-
-    def blocks(df, by):
-        return df.groupBy(by.alias("blk")).agg(F.collect_list(F.struct("vec_id", "label", "embedding")).alias("rows"))
-
-    q = blocks(v.filter(F.col("vec_id") % 20 == 0), F.floor(F.col("vec_id") / 20_480)).select(F.col("rows").alias("q"))
-    x = blocks(v, F.floor(F.col("vec_id") / 1024)).select(F.col("rows").alias("x"))
-
-    def score(batches):
-        for b in batches:
-            out = []
-            for qs, xs in zip(b["q"], b["x"], strict=True):
-                a, c = (np.array([r["embedding"] for r in rows], np.float64) for rows in (qs, xs))
-                a, c = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (a, c))
-                sim, ids, labels = np.round(a @ c.T, 6), np.array([r["vec_id"] for r in xs]), np.array([r["label"] for r in xs])
-                own = np.array([r["vec_id"] for r in qs])
-                sim[own[:, None] == ids[None, :]] = -np.inf
-                o = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :15]
-                best = np.take_along_axis(sim, o, 1)
-                row, col = np.nonzero(np.isfinite(best))
-                out.append(pd.DataFrame({"id": own[row], "label": np.array([r["label"] for r in qs])[row], "other": labels[o[row, col]], "d": ids[o[row, col]], "sim": best[row, col]}))
-            yield pd.concat(out) if out else pd.DataFrame({"id": [], "label": [], "other": [], "d": [], "sim": []})
-
-    s = q.join(x).mapInPandas(score, "id long, label int, other int, d long, sim double")
-    r = s.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "d"))).filter("rn <= 15")
-    t = r.groupBy("id", "label", "other").agg(F.count("*").alias("votes")).withColumn("rk", F.rank().over(Window.partitionBy("id").orderBy(F.desc("votes"))))
-    return t.groupBy("id", "label").agg(F.when(F.count_if(F.col("rk") == 1) == 1, F.max(F.when(F.col("rk") == 1, F.col("other")))).alias("voted"), F.max("votes").alias("votes"))
+    """JN15, AF19: the 15 most similar vectors of every 20th id, against all, vote, with abstention on a tie. The join prunes by
+    pivots; unusable vectors take no part."""
+    v = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    dim = v.agg(F.max(F.size("v"))).first()[0] or 1
+    found = most_similar(v.filter(F.col("id") % 20 == 0), v, 15, dim)
+    votes = voted(found, v.groupBy(F.col("id").alias("other")).agg(F.min("label").alias("label")))
+    return votes.join(v.groupBy("id").agg(F.min("label").alias("label")), "id").select("id", "label", "voted", "votes")
 
 
 @query(

@@ -8,6 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ev, stats
+from tidemark.operators.neighbours import most_similar, voted
+from tidemark.operators.shared import written
 from tidemark.plans import detection
 from tidemark.plans.hypotheses import FEATURES_SQL, HYPOTHESES, features
 from tidemark.plans.lifecycle import _TILES_SQL, HALF, tiles
@@ -152,23 +154,49 @@ def decision_table(spark, d):
 _TIMES = (15, 30, 45)
 
 
+# Numbers of a curve up to the decision: both engines read the text.
+CURVE = ("min_by(q, struct(t, event_id))", "max_by(q, struct(t, event_id))", "max(q)", "min(q)", "avg(q)", "CAST(count(*) AS DOUBLE)")
+NEIGHBOURS = 3
+_CURVE_SQL = ", ".join(e.replace("min_by", "arg_min").replace("max_by", "arg_max").replace("struct(t, event_id)", "(t, event_id)") for e in CURVE)
+
+
 @query(
-    f"""WITH {BARS_SQL}, x AS (SELECT s.series, b.bar_ts, b.outcome, b.o, m.minute, arg_max(s.q, (s.t, s.event_id)) FILTER (s.t - b.bar_ts <= m.minute * 60000) AS q FROM samples s JOIN bars b ON b.series = s.series AND b.bar_ts = CAST(floor(s.t / 3600000) * 3600000 AS BIGINT), (SELECT unnest({list(_TIMES)}) AS minute) m WHERE b.outcome <> 'NOISE' GROUP BY 1, 2, 3, 4, 5),
-u AS (SELECT minute, 'naive' AS strategy, q, outcome, CASE WHEN q > 0.5 THEN 'UP' WHEN q < 0.5 THEN 'DOWN' END AS bet FROM x UNION ALL SELECT minute, 'fade', q, outcome, CASE WHEN q > 0.5 THEN 'DOWN' WHEN q < 0.5 THEN 'UP' END FROM x UNION ALL SELECT minute, 'trend', q, outcome, CASE WHEN q > o * 1.2 THEN 'UP' WHEN q < o * 0.8 THEN 'DOWN' END FROM x),
-v AS (SELECT *, bet = outcome AS win, CASE WHEN bet = 'UP' THEN q ELSE 1 - q END AS price FROM u)
+    f"""WITH {BARS_SQL}, m AS (SELECT unnest({list(_TIMES)}) AS minute), w AS (SELECT series, bar_ts, outcome, o FROM bars),
+c AS (SELECT s.series, w.bar_ts, m.minute, [{_CURVE_SQL}] AS v FROM samples s JOIN w ON w.series = s.series AND w.bar_ts = CAST(floor(s.t / 3600000) * 3600000 AS BIGINT), m WHERE s.t - w.bar_ts <= m.minute * 60000 GROUP BY 1, 2, 3),
+e AS (SELECT series, bar_ts, minute, unnest(v) AS x, unnest(range(len(v))) AS i FROM c), sc AS (SELECT minute, i, avg(x) AS mu, stddev_pop(x) AS sd FROM e WHERE bar_ts < {HALF} GROUP BY 1, 2),
+z AS (SELECT series, bar_ts, minute, list((x - mu) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END ORDER BY i) AS z FROM e JOIN sc USING (minute, i) GROUP BY 1, 2, 3), u AS (SELECT *, series * 1048576 + bar_ts // 3600000 AS id, sqrt(list_dot_product(z, z)) AS norm FROM z),
+n AS (SELECT q.minute, q.id, d.id AS other, row_number() OVER (PARTITION BY q.minute, q.id ORDER BY round(list_dot_product(q.z, d.z) / (q.norm * d.norm), 6) DESC, d.id) AS rn FROM u q JOIN u d ON q.minute = d.minute AND q.bar_ts >= {HALF} AND d.bar_ts < {HALF} AND q.norm > 0 AND d.norm > 0),
+vt AS (SELECT minute, n.id, outcome, count(*) AS votes FROM n JOIN (SELECT series * 1048576 + bar_ts // 3600000 AS other, outcome FROM w) l USING (other) WHERE rn <= {NEIGHBOURS} AND outcome <> 'NOISE' GROUP BY 1, 2, 3), pl AS (SELECT *, rank() OVER (PARTITION BY minute, id ORDER BY votes DESC) AS place FROM vt),
+k AS (SELECT minute, id, CASE WHEN count(*) FILTER (place = 1) = 1 THEN max(outcome) FILTER (place = 1) END AS voted FROM pl GROUP BY 1, 2),
+x AS (SELECT w.series, w.bar_ts, w.outcome, w.o, m.minute, c.v[2] AS q, k.voted FROM w JOIN m ON true LEFT JOIN c ON c.series = w.series AND c.bar_ts = w.bar_ts AND c.minute = m.minute LEFT JOIN k ON k.minute = m.minute AND k.id = w.series * 1048576 + w.bar_ts // 3600000 WHERE w.outcome <> 'NOISE' AND w.bar_ts >= {HALF}),
+y AS (SELECT minute, 'naive' AS strategy, q, outcome, CASE WHEN q > 0.5 THEN 'UP' WHEN q < 0.5 THEN 'DOWN' END AS bet FROM x UNION ALL SELECT minute, 'fade', q, outcome, CASE WHEN q > 0.5 THEN 'DOWN' WHEN q < 0.5 THEN 'UP' END FROM x UNION ALL SELECT minute, 'trend', q, outcome, CASE WHEN q > o * 1.2 THEN 'UP' WHEN q < o * 0.8 THEN 'DOWN' END FROM x UNION ALL SELECT minute, 'neighbours', q, outcome, voted FROM x),
+v AS (SELECT *, bet = outcome AS win, CASE WHEN bet = 'UP' THEN q ELSE 1 - q END AS price FROM y)
 SELECT minute, strategy, count(*) AS windows, count(q) AS quoted, count(bet) AS bets, round(avg(CASE WHEN win THEN 1.0 ELSE 0.0 END) FILTER (bet IS NOT NULL), 6) AS win_rate, round(avg(CASE WHEN win THEN 0.98 / least(greatest(price + 0.01, 0.01), 0.99) - 1 ELSE -1 END) FILTER (bet IS NOT NULL), 5) AS ev FROM v GROUP BY 1, 2"""
 )
 def strategies(spark, d):
-    """EV17: following the quote, fading it and following a large move at three times, each of which can abstain
-    (`neighbour_votes` has the vote of neighbours)."""
+    """EV17, JN15: following the quote, fading it, following a large move and the vote of the nearest curves at three times over the
+    windows of the second half, each of which can abstain. Curves up to the decision are standardised by the first half, of
+    which the most similar by cosine vote; a join that prunes by pivots finds them."""
     s = src.samples(spark, d).withColumn("bar_ts", src.bucket(F.col("t"), HOUR_MS))
-    at = F.struct("t", "event_id")
-    cut = lambda m: F.col("t") - F.col("bar_ts") <= m * 60_000
-    q = s.groupBy("series", "bar_ts").agg(*(F.max_by(F.when(cut(m), F.col("q")), F.when(cut(m), at)).alias(f"q{m}") for m in _TIMES))
-    x = q.join(src.bars(spark, d).filter("outcome <> 'NOISE'").select("series", "bar_ts", "outcome", "o"), ["series", "bar_ts"])
-    x = x.select("outcome", "o", F.inline(F.array(*(F.struct(F.lit(m).alias("minute"), F.col(f"q{m}").alias("q")) for m in _TIMES))))
+    s = s.withColumn("minute", F.explode(F.array(*map(F.lit, _TIMES)))).filter(F.col("t") - F.col("bar_ts") <= F.col("minute") * 60_000)
+    key = (F.col("series") * 1_048_576 + F.floor(F.col("bar_ts") / HOUR_MS)).alias("id")
+    c = written(s.groupBy("series", "bar_ts", "minute").agg(F.array(*(F.expr(e).cast("double") for e in CURVE)).alias("v")).select("series", "bar_ts", "minute", key, "v"), "curves")
+    w = src.bars(spark, d).select("series", "bar_ts", "outcome", "o")
+    early = F.col("bar_ts") < HALF
+    labels = w.filter(early & (F.col("outcome") != "NOISE")).select(key.alias("other"), F.col("outcome").alias("label"))
+    votes = []
+    for m in _TIMES:
+        at = c.filter(F.col("minute") == m)
+        scale = at.filter(early).agg(*(F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(len(CURVE))), *(F.stddev_pop(F.get("v", F.lit(i))).alias(f"s{i}") for i in range(len(CURVE)))).first()
+        z = F.array(*((F.get("v", F.lit(i)) - F.lit(scale[f"m{i}"])) / F.lit(scale[f"s{i}"] if (scale[f"s{i}"] or 0) > 1e-12 else 1.0) for i in range(len(CURVE))))
+        rows = at.select("bar_ts", "id", z.alias("v"))
+        found = most_similar(rows.filter(~early), rows.filter(early), NEIGHBOURS, len(CURVE))
+        votes.append(voted(found, labels).select(F.lit(m).alias("minute"), "id", "voted"))
+    k = votes[0].unionByName(votes[1]).unionByName(votes[2])
+    x = w.filter((F.col("outcome") != "NOISE") & ~early).select("*", key, F.explode(F.array(*map(F.lit, _TIMES))).alias("minute"))
+    x = x.join(c.select("id", "minute", F.get("v", F.lit(1)).alias("q")), ["id", "minute"], "left").join(k, ["id", "minute"], "left")
     q, o = F.col("q"), F.col("o")
-    bets = {"naive": F.when(q > 0.5, "UP").when(q < 0.5, "DOWN"), "fade": F.when(q > 0.5, "DOWN").when(q < 0.5, "UP"), "trend": F.when(q > o * 1.2, "UP").when(q < o * 0.8, "DOWN")}
+    bets = {"naive": F.when(q > 0.5, "UP").when(q < 0.5, "DOWN"), "fade": F.when(q > 0.5, "DOWN").when(q < 0.5, "UP"), "trend": F.when(q > o * 1.2, "UP").when(q < o * 0.8, "DOWN"), "neighbours": F.col("voted")}
     v = x.select("minute", "q", "outcome", F.inline(F.array(*(F.struct(F.lit(k).alias("strategy"), b.alias("bet")) for k, b in bets.items()))))
     win = F.col("bet") == F.col("outcome")
     price = F.when(F.col("bet") == "UP", F.col("q")).otherwise(1 - F.col("q"))
