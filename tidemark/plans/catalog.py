@@ -1,7 +1,7 @@
 """All registered queries: importing this module loads every module of queries."""
 
-from tidemark.plans import accounting, audits, detection, discovery, evolution, hypotheses, joins, lifecycle, market, momentum, prediction, records, resampling, scenes, shapes, streams, windows
+from tidemark.plans import accounting, audits, detection, discovery, evolution, hypotheses, joins, lifecycle, market, momentum, prediction, records, resampling, scenes, shapes, snapshots, streams, windows
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
-MODULES = (market, windows, joins, accounting, discovery, detection, lifecycle, hypotheses, momentum, audits, prediction, evolution, records, resampling, scenes, shapes, streams)
+MODULES = (market, windows, joins, accounting, discovery, detection, lifecycle, hypotheses, momentum, audits, prediction, evolution, records, resampling, scenes, shapes, snapshots, streams)
 __all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]

@@ -324,7 +324,7 @@ def resolved(spark, d):
 
 @query(f"WITH {RESOLVED_SQL} SELECT * FROM resolved")
 def resolved_hits(spark, d):
-    """WF29, AF37, DP17, PF9, AF5: strongest hit, agreement or conflict of patterns mined before, live confidence or prior."""
+    """WF29, AF37, DP17, PF9: strongest hit, agreement or conflict of patterns mined before, live confidence or prior."""
     return resolved(spark, d)
 
 

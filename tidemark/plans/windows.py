@@ -75,7 +75,7 @@ syms AS (SELECT d.series, d.start, d.i, CASE WHEN dl < e[1] THEN 'drop' WHEN dl
 
 @query(f"WITH {EDGES_SQL} SELECT series, n, round(e[1], 5) AS e20, round(e[2], 5) AS e40, round(e[3], 5) AS e60, round(e[4], 5) AS e80 FROM edges")
 def binning_snapshots(spark, d):
-    """AF3, AF4, DP33: bin edges of changes."""
+    """AF3, AF4: bin edges of changes."""
     e = bin_edges(src.curves(spark, d))
     return e.select("series", "n", *(F.round(F.get("edges", F.lit(i)), 5).alias(f"e{20 * i + 20}") for i in range(4)))
 
