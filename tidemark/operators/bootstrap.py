@@ -60,6 +60,42 @@ def weights(seed: np.ndarray, replicates: int) -> np.ndarray:
     return np.searchsorted(np.array(STEPS, np.uint32), h, side="right").astype(np.float64)
 
 
+def _bounds(replicates: int) -> list[tuple[int, int]]:
+    return [(b, min(replicates, b + BLOCK)) for b in range(0, replicates, BLOCK)]
+
+
+def passed_schema(values: int) -> str:
+    return "grp long, block int, " + ", ".join(f"s{k} binary" for k in range(values))
+
+
+def passed_on(held: dict[int, np.ndarray], replicates: int) -> Iterator[pa.RecordBatch]:
+    """A task's sums, group -> (values, replicates), in blocks of replicates."""
+    bounds = _bounds(replicates)
+    keys = [(g, k) for g in held for k in range(len(bounds))]
+    n = len(next(iter(held.values())))
+    sums = [[held[g][v, bounds[k][0] : bounds[k][1]].astype("<f8").tobytes() for g, k in keys] for v in range(n)]
+    columns = [pa.array([g for g, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int32()), *(pa.array(s, pa.binary()) for s in sums)]
+    yield pa.RecordBatch.from_arrays(columns, names=["grp", "block", *(f"s{v}" for v in range(n))])
+
+
+def added(partial: DataFrame, values: int, replicates: int) -> DataFrame:
+    """grp, replicate and the sums of all tasks' blocks, which are dealt by group and block and added as they come."""
+    bounds, names = _bounds(replicates), [f"s{k}" for k in range(values)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for g, k, *sums in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                new = np.stack([np.frombuffer(s, "<f8") for s in sums])
+                total[g, k] = total[g, k] + new if (g, k) in total else new
+        for (g, k), sums in total.items():
+            first, end = bounds[k]
+            cols = [pa.array(np.full(end - first, g)), pa.array(np.arange(first + 1, end + 1), pa.int32()), *(pa.array(s) for s in sums)]
+            yield pa.RecordBatch.from_arrays(cols, names=["grp", "replicate", *names])
+
+    return partial.repartition("grp", "block").mapInArrow(run, "grp long, replicate int, " + ", ".join(f"{n} double" for n in names))
+
+
 def replicate_sums(rows: DataFrame, group: str, ids: list[str], values: list[str], replicates: int = 2000) -> DataFrame:
     """group, replicate and the weighted sum of each value: a row of `rows` is what a unit (`ids`) gives to a group (a long).
 
@@ -67,13 +103,6 @@ def replicate_sums(rows: DataFrame, group: str, ids: list[str], values: list[str
     at most, then it passes them on; the adding tasks hold those of their keys.
     """
     names = [f"s{k}" for k in range(len(values))]
-    blocks = [(b, min(replicates, b + BLOCK)) for b in range(0, replicates, BLOCK)]
-    schema = "grp long, block int, " + ", ".join(f"{n} binary" for n in names)
-
-    def passed_on(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys = [(g, k) for g in held for k in range(len(blocks))]
-        sums = [[held[g][v, blocks[k][0] : blocks[k][1]].tobytes() for g, k in keys] for v in range(len(values))]
-        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int32()), *(pa.array(s, pa.binary()) for s in sums)], names=["grp", "block", *names])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -96,24 +125,13 @@ def replicate_sums(rows: DataFrame, group: str, ids: list[str], values: list[str
                         got = np.stack([p[k] for p in products])
                         held[g] = held[g] + got if g in held else got
                 if len(held) > HELD:
-                    yield from passed_on(held)
+                    yield from passed_on(held, replicates)
                     held = {}
         if held:
-            yield from passed_on(held)
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            for g, k, *sums in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                new = np.stack([np.frombuffer(s, "<f8") for s in sums])
-                total[g, k] = total[g, k] + new if (g, k) in total else new
-        for (g, k), sums in total.items():
-            first, end = blocks[k]
-            cols = [pa.array(np.full(end - first, g)), pa.array(np.arange(first + 1, end + 1), pa.int32()), *(pa.array(s) for s in sums)]
-            yield pa.RecordBatch.from_arrays(cols, names=["grp", "replicate", *names])
+            yield from passed_on(held, replicates)
 
     flat = rows.select(F.col(group).cast("long").alias("grp"), *(F.col(c).cast("long").alias(c) for c in ids), *(F.col(v).cast("double").alias(n) for v, n in zip(values, names, strict=True)))
-    summed = flat.mapInArrow(partial, schema).repartition("grp", "block").mapInArrow(added, "grp long, replicate int, " + ", ".join(f"{n} double" for n in names))
+    summed = added(flat.mapInArrow(partial, passed_schema(len(values))), len(values), replicates)
     return summed.select(F.col("grp").alias(group), "replicate", *(F.col(n).alias(v) for n, v in zip(names, values, strict=True)))
 
 
