@@ -82,7 +82,7 @@ def most_similar(queries: DataFrame, data: DataFrame, k: int, dim: int, prune: b
     spark = data.sparkSession
     points, asked = written(units(data, dim), "points"), units(queries, dim)
     n = points.count()
-    want = min(MOST_PIVOTS, max(4, int(n**0.5 / 4)))
+    want = min(MOST_PIVOTS, max(16, int(n**0.5)))
     p = np.array([r["v"] for r in points.orderBy(F.xxhash64("id"), "id").limit(want).collect()], np.float64).reshape(-1, dim)
     p = np.unique(p, axis=0) if len(p) else np.zeros((1, dim))
 

@@ -19,15 +19,16 @@ class Snapshots:
     def __init__(self, path: str, key: str = "series", channels: int = 3):
         self.path, self.key, self.channels, self.versions = path, key, channels, []
 
-    def table(self, spark: SparkSession) -> DataFrame | None:
-        """key, channel, n, edges, created and version of every snapshot made."""
-        if not self.versions:
+    def table(self, spark: SparkSession, but: str | None = None) -> DataFrame | None:
+        """key, channel, n, edges, created and version of every snapshot made, but those of one version."""
+        versions = [v for v in self.versions if v != but]
+        if not versions:
             return None
-        return spark.read.option("basePath", self.path).schema(f"{self.key} long, channel string, n long, edges array<double>, created long, version string").parquet(*(f"{self.path}/version={v}" for v in self.versions))
+        return spark.read.option("basePath", self.path).schema(f"{self.key} long, channel string, n long, edges array<double>, created long, version string").parquet(*(f"{self.path}/version={v}" for v in versions))
 
-    def latest(self, spark: SparkSession) -> DataFrame | None:
+    def latest(self, spark: SparkSession, but: str | None = None) -> DataFrame | None:
         """The newest snapshot of each key."""
-        made = self.table(spark)
+        made = self.table(spark, but)
         if made is None:
             return None
         newest = F.max("created").over(Window.partitionBy(self.key))
@@ -37,7 +38,7 @@ class Snapshots:
         """changes: (key, channel, dl) that were known at `now`. A key without a snapshot, with a channel missing, or whose snapshot
         is 30 days old is computed again; where its changes are too few the old one stays in force."""
         spark, version = changes.sparkSession, f"v{now}"
-        before = self.latest(spark)
+        before = self.latest(spark, version)  # a run that is repeated makes its version again
         if before is not None:
             kept = before.groupBy(self.key).agg(F.count("*").alias("have"), F.max("created").alias("made")).filter((F.col("have") >= self.channels) & (now - F.col("made") < FREEZE_MS))
             changes = changes.join(kept.select(self.key), self.key, "left_anti")
