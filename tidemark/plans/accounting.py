@@ -66,7 +66,7 @@ z AS (SELECT *, greatest(max(equity) OVER (PARTITION BY version ORDER BY t, even
 SELECT version, event_id, CAST(n AS INTEGER) AS n, round(k / n, 6) AS win_rate, round(equity, 4) AS equity, round(peak - equity, 4) AS drawdown FROM z"""
 )
 def cumulative_curves(spark, d):
-    """WF13, WF14, WF15: cumulative win rate, equity curve and drawdown from a peak of at least 0."""
+    """WF13, WF15: cumulative win rate, equity curve and drawdown from a peak of at least 0."""
     w = Window.partitionBy("version").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     b = bets(spark, d).withColumn("pnl", ev.realised(F.col("win"), F.col("entry")))
     b = b.withColumns({"n": F.count("*").over(w).cast("int"), "k": F.sum(F.col("win").cast("int")).over(w), "equity": F.sum("pnl").over(w)})
@@ -95,7 +95,7 @@ def daily_intervals(spark, d):
 SELECT bucket, count(*) AS n, round(avg(entry), 6) AS mean_confidence, round(avg(CASE WHEN win THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(CASE WHEN win THEN 1.0 ELSE 0.0 END) - avg(entry), 6) AS gap FROM x GROUP BY 1"""
 )
 def calibration(spark, d):
-    """AG7, AG23: confidence buckets with hit rate and gap; empty buckets are left out."""
+    """AG7: confidence buckets with hit rate and gap; empty buckets are left out."""
     e = F.col("entry")
     b = F.when(e < 0.5, 0).when(e < 0.6, 1).when(e < 0.7, 2).when(e < 0.8, 3).when(e < 0.9, 4).otherwise(5)
     hit = F.avg(F.col("win").cast("double"))
@@ -107,7 +107,7 @@ def calibration(spark, d):
 SELECT version, phase, count(*) AS n, count(*) FILTER (win) AS k, round(avg(pnl), 5) AS mean_pnl, CAST(grouping(version) * 2 + grouping(phase) AS INTEGER) AS level FROM x GROUP BY GROUPING SETS ((version, phase), (version), (phase), ())"""
 )
 def regime_phases(spark, d):
-    """AG1, AG2, AG4, AG5, AG14: versions and phases with their subtotals in one pass."""
+    """AG1: versions and phases with their subtotals in one pass."""
     b = bets(spark, d).withColumns({"phase": F.when(F.col("t") < 1_705_276_800_000, "before").otherwise("after"), "pnl": ev.realised(F.col("win"), F.col("entry"))})
     g = b.cube("version", "phase").agg(F.count("*").alias("n"), F.count_if("win").alias("k"), F.round(F.avg("pnl"), 5).alias("mean_pnl"), F.grouping_id().cast("int").alias("level"))
     return g.select("version", "phase", "n", "k", "mean_pnl", "level")
@@ -121,7 +121,7 @@ SELECT version, CAST(n AS BIGINT) AS n, round(k / n, 6) AS win_rate, round(k / n
   n_last >= 10 AND k_last / n_last < 0.5 AS decayed FROM w"""
 )
 def version_tiers(spark, d):
-    """AG16, AG17, AG40, EV7, TB15: tiers by Wilson bound, and decay in the newest quarter."""
+    """AG40, EV7, TB15: tiers by Wilson bound, and decay in the newest quarter (`reevaluated_patterns` demotes by it)."""
     w = Window.partitionBy("version")
     b = bets(spark, d).withColumns({"rn": F.row_number().over(w.orderBy("t", "event_id")), "all": F.count("*").over(w)})
     last = F.col("rn") > F.floor(0.75 * F.col("all"))
@@ -149,7 +149,7 @@ SELECT phase, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) A
   CASE WHEN avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) < 0.3 THEN 'CRITICAL' WHEN avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) < 0.5 THEN 'WARN' ELSE 'OK' END AS level FROM x, m GROUP BY 1"""
 )
 def phase_health(spark, d):
-    """AG8, AG11, AG39, AG41, DP30, DP32: success, duration, cost, age and alert level of each phase."""
+    """AG11: success, duration, cost, age and level of each kind of event that occurs (`phase_report` and `alert_rows` have the fixed phases)."""
     s = src.samples(spark, d).withColumn("ok", F.col("volume") > 30)
     now = s.agg(F.max("t").alias("now"))
     g = s.groupBy(F.col("event_type").alias("phase")).agg(F.count("*").alias("n"), F.avg(F.col("ok").cast("double")).alias("rate"), F.avg("volume").alias("mean"), F.sum(F.col("volume") * 0.5 / 1_000_000).alias("cost"), F.max(F.when(F.col("ok"), F.col("t"))).alias("last_ok"))

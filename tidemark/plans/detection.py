@@ -93,7 +93,7 @@ def candle_patterns(spark, d):
   NOT (o_orderstatus = 'P' OR o_orderpriority LIKE '5%' OR o_totalprice / 500000 <= 0.2 OR o_orderkey % 10 < 2) AS passed FROM orders"""
 )
 def gate_reasons(spark, d):
-    """PF12: ordered rules of which the first failure names the reason, over orders (`trade_gate` has the full gate)."""
+    """Ordered rules of which the first failure names the reason, over orders (`trade_gate` has the full gate)."""
     o = src.table(spark, d, "orders")
     reason = F.when(F.col("o_orderstatus") == "P", "switched_off").when(F.col("o_orderpriority").startswith("5"), "no_direction").when(F.col("o_totalprice") / 500000 <= 0.2, "low_confidence").when(F.col("o_orderkey") % 10 < 2, "few_samples").otherwise("ok")
     return o.select(F.col("o_orderkey").alias("id"), reason.alias("reason")).withColumn("passed", F.col("reason") == "ok")

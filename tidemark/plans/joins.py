@@ -73,7 +73,7 @@ def local_baseline_pool(spark, d):
 SELECT outcome, CASE WHEN n1 - bar_ts = 3600000 THEN o1 END AS next_outcome, CASE WHEN n2 - bar_ts = 7200000 THEN o2 END AS second_outcome, count(*) AS n FROM x GROUP BY ALL"""
 )
 def adjacent_windows(spark, d):
-    """JN8, JN9, DP26: next and second-next window with exact adjacency."""
+    """JN8, JN9: next and second-next window with exact adjacency."""
     b = src.bars(spark, d)
     for k in (1, 2):
         b = b.withColumn(f"o{k}", F.when(F.lead("bar_ts", k).over(W()) - F.col("bar_ts") == k * HOUR_MS, F.lead("outcome", k).over(W())))

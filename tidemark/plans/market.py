@@ -101,7 +101,7 @@ y AS (SELECT *, sum(brk) OVER (PARTITION BY series ORDER BY bar_ts ROWS UNBOUNDE
 SELECT series, bar_ts, outcome, CAST(row_number() OVER (PARTITION BY series, run ORDER BY bar_ts) AS INTEGER) AS streak FROM y"""
 )
 def outcome_streaks(spark, d):
-    """WF7, WF8, WF9: streak of equal outcomes that a time gap resets (gaps and islands)."""
+    """WF7, WF8: streak of equal outcomes that a time gap resets (gaps and islands)."""
     b = src.bars(spark, d)
     same = F.col("outcome").eqNullSafe(F.lag("outcome").over(W())) & (F.col("bar_ts") - F.lag("bar_ts").over(W())).eqNullSafe(F.lit(src.HOUR_MS))
     return streaks(b.withColumn("brk", ~same), F.col("brk")).select("series", "bar_ts", "outcome", "streak")

@@ -200,7 +200,7 @@ def loaded_windows(spark, d):
 
 @query(f"WITH a AS ({ORACLE_SQL['archived_windows']}) SELECT series, start, sample_count, outcome FROM a")
 def sunk_windows(spark, d):
-    """SC9, SC12, SC13, TS7, TS14: overlapping and repeated batches into a sink that appends only new keys, partitioned by day."""
+    """SC9, SC12, SC13, TS14: overlapping and repeated batches into a sink that appends only new keys, partitioned by day."""
     root = new_path(spark, "sink")
     a = archived_windows(spark, d).select("series", "start", "sample_count", "outcome", F.floor(F.col("start") / 86_400_000).alias("day"))
     write = append_new(root, ["series", "start"], "day")
@@ -216,7 +216,7 @@ y AS (SELECT *, sum(CASE WHEN up IS DISTINCT FROM pup OR cycle_ts - pts IS DISTI
 SELECT series, min(cycle_ts) AS first_cycle, any_value(up) AS up, count(*) AS cycles, round(sum(v), 4) AS v FROM y GROUP BY series, run"""
 )
 def run_blocks(spark, d):
-    """WF33: adjacent cycles of one direction merged into runs, the units that `bootstrap_intervals` and its kind draw from."""
+    """Adjacent cycles of one direction merged into runs (`run_block_intervals` draws runs of hits)."""
     w = Window.partitionBy("series").orderBy("cycle_ts")
     x = src.cycles(src.bars(spark, d)).withColumn("up", F.col("c") > F.col("o"))
     new = ~(F.col("up").eqNullSafe(F.lag("up").over(w)) & (F.col("cycle_ts") - F.lag("cycle_ts").over(w)).eqNullSafe(F.lit(CYCLE_MS)))

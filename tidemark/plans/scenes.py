@@ -82,7 +82,7 @@ def settled_scenes(spark, d):
 SELECT pattern, {_WEEK} AS week, count(*) AS n, count(*) FILTER (win) AS wins, round(avg(CASE WHEN win THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(sum(pnl), 6) AS pnl, round(count(*) FILTER (NOT win) / count(*), 6) AS loss_rate FROM w GROUP BY 1, 2"""
 )
 def scene_weeks(spark, d):
-    """DP10, AG33: settled scenes of each pattern by the Monday of their week."""
+    """DP10: settled scenes of each pattern by the Monday of their week."""
     s = settled_scenes(spark, d).filter("win IS NOT NULL")
     week = F.date_format(F.date_trunc("week", F.timestamp_millis(F.col("cycle_ts") + CYCLE_MS)), "yyyy-MM-dd")
     return s.groupBy("pattern", week.alias("week")).agg(F.count("*").alias("n"), F.count_if("win").alias("wins"), r6(F.avg(F.col("win").cast("double"))).alias("win_rate"), r6(F.sum("pnl")).alias("pnl"), r6(F.count_if(~F.col("win")) / F.count("*")).alias("loss_rate"))
@@ -121,7 +121,7 @@ def price_guards(spark, d):
 SELECT tau_bin, d_bin, count(*) AS n, round(median(round(down, 6)), 6) AS price, round(count(*) FILTER (outcome = 'DOWN') / nullif(count(*) FILTER (outcome <> 'NOISE'), 0), 6) AS freq FROM x GROUP BY 1, 2 HAVING count(*) >= 20"""
 )
 def distance_surface(spark, d):
-    """AG36, JN11: price and frequency by six parts of the time left and five of the distance from the open, with 20 rows or more."""
+    """AG36: price and frequency by six parts of the time left and five of the distance from the open, with 20 rows or more."""
     t = tiles(spark, d).join(src.samples(spark, d).select("event_id", "t"), "event_id")
     left = 1 - (F.col("t") - F.col("bar_ts")) / HOUR_MS
     z = F.col("z")
@@ -212,7 +212,7 @@ v(off_bars, broke, reclaim) AS (VALUES {', '.join(f'({a}, {b}, {c})' for a, b, c
 SELECT off_bars, CAST(broke AS DOUBLE) AS broke, CAST(reclaim AS DOUBLE) AS reclaim, count(*) AS n, round(avg(CASE WHEN final < entry THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(avg(CASE WHEN final < entry THEN 0.98 / least(greatest(1 - entry + 0.01, 0.01), 0.99) - 1 ELSE -1 END), 5) AS ev FROM y WHERE wait = 3600000 * (off_bars + 1) AND final <> entry GROUP BY 1, 2, 3"""
 )
 def break_variants(spark, d):
-    """DP27, DP28: false breaks of a level under each combination of entry offset, size of the break and reclaim, with the value of fading them."""
+    """DP28: false breaks of a level under each combination of entry offset, size of the break and reclaim, with the value of fading them."""
     w, p = src.by_time(), src.by_time().rowsBetween(-24, -1)
     x = src.bars(spark, d).withColumns({"hi": F.max("c").over(p), "k": F.count("*").over(p)} | {f"c{i}": F.lead("c", i).over(w) for i in (1, 2)} | {f"t{i}": F.lead("bar_ts", i).over(w) for i in (1, 2)}).filter("k = 24")
     cases = F.array(*(F.struct(F.lit(a).alias("off_bars"), F.lit(float(b)).alias("broke"), F.lit(float(c)).alias("reclaim")) for a, b, c in _VARIANTS))
