@@ -27,9 +27,11 @@ from tidemark.llm.common import shared_table, table
 
 #: Rows of a data block and of a query block, vectors of a cell that share a salt, those whose queries do, and queries that share a group.
 DATA_ROWS, QUERY_ROWS, SALT_ROWS, ASKED_ROWS, ASKED = 1024, 512, 8192, 32_768, 96
+#: Entries of a cell of the multi-index.
+LISTED = 4096
 BLOCKS = "cell int, n long, reach double, ids binary, vecs binary"
 ASKED_BLOCKS = "q_ids binary, q_vecs binary, stops binary, cells array<int>"
-PAIRS = ("q_ids", "q_vecs", "stops", "cell", "ids", "vecs")
+PAIRS = ("q_ids", "q_vecs", "stops", "ids", "vecs", "codes")
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFrame:
@@ -107,18 +109,19 @@ def _best(q: np.ndarray, i: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
     return order[rank < k]
 
 
-def solve(pairs: DataFrame, dim: int, k: int, products: bool, exact_floats: bool = True, visited: Callable | None = None) -> DataFrame:
-    """pairs (q_ids, q_vecs, stops, cell, ids, vecs) -> query_id, rank, vec_id, score over all pairs.
+def solve(pairs: DataFrame, dim: int, k: int, products: bool, exact_floats: bool = True, parts: Callable | None = None) -> DataFrame:
+    """pairs (q_ids, q_vecs, stops, ids, vecs, codes) -> query_id, rank, vec_id, score over all pairs.
 
     products: largest inner product of whole numbers; else smallest Euclidean distance.
-    visited(q, stops, cell, x): which rows of x each query of q looks at (all without it).
+    parts(q, stops, codes): places of queries, slices of rows and which of these rows each of those queries looks at;
+    only they are multiplied (without it each query looks at every row).
     """
     kind = "long" if products else "double"
 
-    def pair(q_ids, q, stops, cell, ids, x) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pair(q_ids, q, ids, x, seen=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out = q_ids[:, None] == ids[None, :]
-        if visited is not None:
-            out |= ~visited(q, stops, cell, x)
+        if seen is not None:
+            out |= ~seen
         if products:
             score = (q @ x.T).astype(np.int64) if exact_floats else q.astype(np.int64) @ x.astype(np.int64).T
             rough, slack = np.where(out, np.inf, -score.astype(np.float64)), 0.0
@@ -142,10 +145,14 @@ def solve(pairs: DataFrame, dim: int, k: int, products: bool, exact_floats: bool
             return q[at], i[at], key[at]
 
         for b in batches:
-            for q_ids, q_vecs, stops, cell, ids, vecs in zip(*(b.column(n).to_pylist() for n in PAIRS), strict=True):
-                got = pair(np.frombuffer(q_ids, "<i8"), np.frombuffer(q_vecs, "<f8").reshape(-1, dim), np.frombuffer(stops, "<f8"), cell, np.frombuffer(ids, "<i8"), np.frombuffer(vecs, "<f8").reshape(-1, dim))
-                held.append(got)
-                count += len(got[0])
+            for q_ids, q_vecs, stops, ids, vecs, codes in zip(*(b.column(n).to_pylist() for n in PAIRS), strict=True):
+                q_ids, q, ids, x = np.frombuffer(q_ids, "<i8"), np.frombuffer(q_vecs, "<f8").reshape(-1, dim), np.frombuffer(ids, "<i8"), np.frombuffer(vecs, "<f8").reshape(-1, dim)
+                if parts is None:
+                    got = [pair(q_ids, q, ids, x)]
+                else:
+                    got = [pair(q_ids[a], q[a], ids[c], x[c], seen) for a, c, seen in parts(q, np.frombuffer(stops, "<f8"), np.frombuffer(codes, "<i4").reshape(-1, 2))]
+                held += got
+                count += sum(len(g[0]) for g in got)
                 if count > 400_000:
                     held = [best()]
                     count = len(held[0][0])
@@ -209,7 +216,7 @@ def met(queries: DataFrame, blocks: DataFrame, cell_of: Callable[[np.ndarray], n
     keys = asked.select("block", F.explode("cells").alias("cell")).join(_parts(spark, sizes, SALT_ROWS), "cell")
     keys = keys.select("block", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     data = _salted(blocks, sizes, "ids", SALT_ROWS).select("cell", "salt", "ids", "vecs")
-    return keys.join(asked.drop("cells"), "block").join(data, ["cell", "salt"])
+    return keys.join(asked.drop("cells"), "block").join(data, ["cell", "salt"]).withColumn("codes", F.lit(b""))
 
 
 def pivots_of(df: DataFrame, dim: int, most: int, n: int) -> np.ndarray:
@@ -272,96 +279,173 @@ def codebook(x: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
 
 
 class Pairs:
-    """The centroid pairs (i, j) that hold entries, by first half, and how many they hold. sizes[i, j]."""
+    """The centroid pairs (i, j) and how many entries they hold. sizes[i, j]; far: how far an entry lies from its pair at most."""
 
-    def __init__(self, sizes: np.ndarray):
-        self.first, self.second = np.nonzero(sizes)
-        self.n = sizes[self.first, self.second]
-        self.rows = np.unique(self.first)
-        self.starts = np.searchsorted(self.first, self.rows).tolist()
-        self.ends = [*self.starts[1:], len(self.first)]
+    def __init__(self, sizes: np.ndarray, far: float = np.inf):
+        self.sizes, self.far = sizes, far
 
-    def reach(self, a: np.ndarray, b: np.ndarray, enough: int) -> tuple[float, list[int]]:
+    def reach(self, a: np.ndarray, b: np.ndarray, enough: int, k: int = 0) -> tuple[float, list[int]]:
         """Traverses pairs in the order of a[i] + b[j], by a heap over first halves, until they hold `enough` entries.
 
-        a, b: a query's squared distances to the centroids of each half. Returns the sum at which it
-        stops, and the first halves of the pairs it has visited.
+        a, b: a query's squared distances to the centroids of each half. Only these two lists are sorted. A first half
+        enters the heap when its nearest pair could be next, and pairs without entries are passed over. Where entries
+        lie near their centroids it stops sooner: when no later pair can hold one of the k nearest. Returns the sum at
+        which it stops, and the first halves of the pairs it has visited.
         """
-        sums = a[self.first] + b[self.second]
-        order = np.lexsort((sums, self.first))
-        s, n = sums[order].tolist(), self.n[order].tolist()
-        heap = [(s[at], at, row) for row, at in enumerate(self.starts)]
-        heapq.heapify(heap)
-        seen, total, last = set(), 0, -np.inf
-        while heap and total < enough:
-            last, at, row = heap[0]
-            total += n[at]
+        by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+        sorted_a, sorted_b = a[by_a], b[by_b]
+        heap: list[tuple[float, int, int]] = []
+        lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        seen: set[int] = set()
+        opened, total, last, bound = 0, 0, -np.inf, np.inf
+        while total < enough:
+            while opened < len(a) and (not heap or sorted_a[opened] + sorted_b[0] <= heap[0][0]):
+                row = int(by_a[opened])
+                held = self.sizes[row, by_b]
+                some = np.flatnonzero(held)
+                if len(some):
+                    lists[row] = sorted_a[opened] + sorted_b[some], held[some]
+                    heapq.heappush(heap, (float(lists[row][0][0]), row, 0))
+                opened += 1
+            if not heap:
+                break
+            s, row, at = heap[0]
+            if s > bound:
+                break
+            last = s
+            sums, held = lists[row]
+            total += int(held[at])
             seen.add(row)
-            if at + 1 < self.ends[row]:
-                heapq.heapreplace(heap, (s[at + 1], at + 1, row))
+            if bound == np.inf and 0 < k <= total:
+                # k entries lie within sqrt(s) + far of the query, and later ones beyond sqrt(sum) - far
+                bound = (max(s, 0.0) ** 0.5 + 2 * self.far) ** 2
+            if at + 1 < len(sums):
+                heapq.heapreplace(heap, (float(sums[at + 1]), row, at + 1))
             else:
                 heapq.heappop(heap)
-        return last, self.rows[sorted(seen)].tolist()
+        return last, sorted(seen)
+
+
+class MultiIndex:
+    """An inverted multi-index of vectors: codebooks of both halves, and lists of entries by neighbouring first halves.
+
+    The codebooks are fitted on at most `sample` vectors; every vector is indexed. Each half has `half_size` centroids, by
+    default n / 20 up to 512 and the root of n beyond, up to 1024. First halves that lie near each other share a cell of about
+    LISTED entries, whose blocks are ordered by pair.
+    """
+
+    def __init__(self, real: DataFrame, half_size: int | None = None, sample: int = 30_000):
+        stats = real.agg(F.max(F.size("v")), F.count("*")).first()
+        self.dim, self.n = max(2, stats[0] or 2), stats[1]
+        dim, n, cut = self.dim, self.n, self.dim // 2
+        size = half_size or min(max(8, n // 20), max(512, int(n**0.5)), 1024)
+        rows = real.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toPandas()["v"].tolist() if n else []
+        x = np.zeros((len(rows), dim))
+        for r, v in enumerate(rows):
+            x[r, : len(v)] = v
+        self.left, self.right = left, right = codebook(x[:, :cut], size), codebook(x[:, cut:], size)
+        self.cell = cell = neighbourhoods(left, max(1, -(-n // LISTED)))
+
+        def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for ids, vecs in zip(b.column("ids").to_pylist(), b.column("vecs").to_pylist(), strict=True):
+                    ids, v = np.frombuffer(ids, "<i8"), np.frombuffer(vecs, "<f8").reshape(-1, dim)
+                    i, j = nearest(v[:, :cut], left), nearest(v[:, cut:], right)
+                    order = np.lexsort((j, i))
+                    off = ((v - np.concatenate([left[i], right[j]], axis=1)) ** 2).sum(axis=1)
+                    out.append((ids[order].tobytes(), v[order].tobytes(), np.stack([i, j], axis=1)[order].astype("<i4").tobytes(), float(np.sqrt(off.max()))))
+                cols = [b.column("cell"), b.column("n"), *(pa.array([r[c] for r in out], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.binary(), pa.float64())))]
+                yield pa.RecordBatch.from_arrays(cols, names=["cell", "n", "ids", "vecs", "codes", "far"])
+
+        made = in_blocks(real, lambda v: cell[nearest(v[:, :cut], left)], dim, DATA_ROWS)
+        self.blocks = shared_table(made.mapInArrow(coded, "cell int, n long, ids binary, vecs binary, codes binary, far double"), "lists")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(len(left) * len(right), np.int64)
+            for b in batches:
+                for codes in b.column("codes").to_pylist():
+                    at = np.frombuffer(codes, "<i4").reshape(-1, 2).astype(np.int64)
+                    held += np.bincount(at[:, 0] * len(right) + at[:, 1], minlength=len(held))
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["pair", "n"])
+
+        sizes = np.zeros(len(left) * len(right), np.int64)
+        for r in self.blocks.select("codes").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():
+            sizes[r[0]] = r[1]  # at most one row for each pair of centroids
+        far = self.blocks.agg(F.max("far")).first()[0]
+        self.pairs = Pairs(sizes.reshape(len(left), len(right)), 0.0 if far is None else far)
+
+    def distances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of queries to the centroids of each half."""
+        cut = self.dim // 2
+        square = lambda x, c: np.maximum(0.0, (x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2.0 * (x @ c.T))
+        return square(q[:, :cut], self.left), square(q[:, cut:], self.right)
+
+    def parts(self, q: np.ndarray, stops: np.ndarray, codes: np.ndarray) -> Iterator[tuple]:
+        """Of a block ordered by pair: for each first half the queries that visit any of its pairs there, its rows, and which
+        of them each query visits."""
+        a, b = self.distances(q)
+        cuts = [0, *(np.flatnonzero(codes[1:, 0] != codes[:-1, 0]) + 1).tolist(), len(codes)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            seen = a[:, codes[lo, 0], None] + b[:, codes[lo:hi, 1]] <= stops[:, None]
+            mine = np.flatnonzero(seen.any(axis=1))
+            if len(mine):
+                yield mine, slice(lo, hi), seen[mine]
+
+    def asked(self, queries: DataFrame, enough: int, need: int) -> DataFrame:
+        """Blocks of queries (cell, q_ids, q_vecs, stops, read) for each cell that they visit; read: how many entries the first halves
+        hold that a query visits, over all cells. Of rows with one id the smallest vector asks."""
+        once = shared_table(queries.groupBy("id").agg(F.min("v").alias("v")), "asking")
+        shared = queries.sparkSession.sparkContext.broadcast((self.pairs, self.cell, self.left, self.right, self.dim))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs, cell, left, right, dim = shared.value
+            bare = object.__new__(MultiIndex)
+            bare.left, bare.right, bare.dim = left, right, dim
+            of_first = pairs.sizes.sum(axis=1)
+            for b in batches:
+                for at in range(0, b.num_rows, QUERY_ROWS):
+                    part = b.slice(at, QUERY_ROWS)
+                    ids, q = part.column("id").to_numpy(), matrix(part.column("v"), dim)
+                    stops, firsts = zip(*(pairs.reach(x, y, enough, need) for x, y in zip(*bare.distances(q), strict=True)), strict=True)
+                    # a hair more, as a product of another shape rounds otherwise
+                    stops, cells = np.array(stops) * (1 + 1e-9), [np.unique(cell[f]) for f in firsts]
+                    read = np.array([of_first[f].sum() for f in firsts])
+                    for c in np.unique(np.concatenate(cells)).tolist():
+                        who = np.array([c in x for x in cells])
+                        cols = ([c], [ids[who].astype("<i8").tobytes()], [q[who].astype("<f8").tobytes()], [stops[who].astype("<f8").tobytes()], [read[who].astype("<i8").tobytes()])
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int32(), *(pa.binary(),) * 4), strict=True)], names=["cell", "q_ids", "q_vecs", "stops", "read"])
+
+        return shared_table(once.mapInArrow(run, "cell int, q_ids binary, q_vecs binary, stops binary, read binary"), "queries")
+
+    def search(self, queries: DataFrame, k: int, enough: int, need: int) -> DataFrame:
+        """The k nearest of each query among the entries it visits, of which `need` hold k that are not its own. A cell's blocks are dealt by a salt, and only queries travel."""
+        spark = queries.sparkSession
+        held = np.bincount(self.cell, weights=self.pairs.sizes.sum(axis=1)).astype(np.int64)
+        sizes = {c: int(m) for c, m in enumerate(held) if m}
+        if not sizes:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        asked = self.asked(queries, enough, need).join(_parts(spark, sizes, SALT_ROWS), "cell")
+        asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "q_ids", "q_vecs", "stops")
+        data = _salted(self.blocks, sizes, "ids", SALT_ROWS).select("cell", "salt", "ids", "vecs", "codes")
+        bare = object.__new__(MultiIndex)
+        bare.left, bare.right, bare.dim = self.left, self.right, self.dim
+        return solve(asked.join(data, ["cell", "salt"]), self.dim, k, False, parts=bare.parts)
 
 
 def multi_index_search(vectors: DataFrame, is_query, k: int = 10, half_size: int | None = None, probe: float = 0.2, least: int = 1000, sample: int = 30_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest of every query among the entries of the centroid pairs it visits, by exact distance.
 
-    The codebooks are fitted on at most `sample` vectors; every vector is indexed. Each half has
-    `half_size` centroids, by default n / 20 up to 512 and the root of n beyond, up to 1024. A query
-    visits pairs until they hold max(least, probe * all) entries, and only these are ranked. On
-    uniform directions without structure 0.2 gives a recall of 0.9; vectors with structure need less.
-    Pairs with one first half are stored together, and a block of queries meets those it needs.
+    A query visits pairs until they hold max(least, probe * all) entries, or until no later pair can hold one of its k nearest;
+    only these entries are ranked. On uniform directions without structure 0.2 gives a recall of 0.9; there all but few cells are
+    visited. Where vectors lie in clusters a query reads the entries of few first halves.
     """
     real = usable(vectors, id_col, vec_col, False)
-    stats = real.agg(F.max(F.size("v")), F.count("*")).first()
-    dim, n = max(2, stats[0] or 2), stats[1]
-    cut = dim // 2
-    size = half_size or min(max(8, n // 20), max(512, int(n**0.5)), 1024)
-    rows = real.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toPandas()["v"].tolist() if n else []
-    x = np.zeros((len(rows), dim))
-    for r, v in enumerate(rows):
-        x[r, : len(v)] = v
-    left, right = codebook(x[:, :cut], size), codebook(x[:, cut:], size)
-
-    def pair_of(v: np.ndarray) -> np.ndarray:
-        return nearest(v[:, :cut], left) * len(right) + nearest(v[:, cut:], right)
-
-    def first_half(v: np.ndarray) -> np.ndarray:
-        return nearest(v[:, :cut], left)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(left) * len(right), np.int64)
-        for b in batches:
-            for vecs in b.column("vecs").to_pylist():
-                held += np.bincount(pair_of(np.frombuffer(vecs, "<f8").reshape(-1, dim)), minlength=len(held))
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["pair", "n"])
-
-    blocks = shared_table(in_blocks(real, first_half, dim, DATA_ROWS), "lists")
-    counts = blocks.select("vecs").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    sizes = np.zeros(len(left) * len(right), np.int64)
-    for r in counts.toLocalIterator():  # at most one row for each pair of centroids
-        sizes[r[0]] = r[1]
-    sizes = sizes.reshape(len(left), len(right))
-    enough = max(least, int(probe * n)) + k
-    shared = real.sparkSession.sparkContext.broadcast((left, right, Pairs(sizes)))
-
-    def distances(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right, _ = shared.value
-        return (left**2).sum(axis=1) - 2.0 * (q[:, :cut] @ left.T), (right**2).sum(axis=1) - 2.0 * (q[:, cut:] @ right.T)
-
-    def look(q: np.ndarray) -> tuple[tuple, list[int]]:
-        stops, firsts = zip(*(shared.value[2].reach(x, y, enough) for x, y in zip(*distances(q), strict=True)), strict=True)
-        return stops, sorted(set().union(*firsts))
-
-    def visited(q: np.ndarray, stops: np.ndarray, cell: int, x: np.ndarray) -> np.ndarray:
-        da, db = distances(q)
-        second = nearest(x[:, cut:], shared.value[1])
-        return da[:, cell, None] + db[:, second] <= stops[:, None]
-
-    held = {c: int(m) for c, m in enumerate(sizes.sum(axis=1)) if m}
-    return solve(met(real.filter(is_query), blocks, first_half, look, dim, held, left), dim, k, False, visited=visited)
+    index = MultiIndex(real, half_size, sample)
+    # rows of a query's own id are no neighbours, so as many more entries must be seen
+    own = real.filter(is_query).groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    return index.search(real.filter(is_query), k, max(least, int(probe * index.n)) + k + own, k + own)
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
