@@ -229,7 +229,7 @@ SENTIMENT = {
     + f") SELECT hypothesis, expected, n, k, CASE WHEN n > 0 THEN round(least(1.0, 2 * {stats.normal_cdf_sql('(-greatest((abs(k - n * 0.5) - 0.5) / sqrt(n * 0.25), 0))')}), 7) END AS p FROM c"
 )
 def sentiment_hypotheses(spark, d):
-    """DP23, DP24: hypotheses on a window's line, path and wedge against the outcome of the window right after it, counted in one pass."""
+    """AF21, AF22, AF24: hypotheses on a window's line, path and wedge against the outcome of the window right after it, counted in one pass."""
     w = Window.partitionBy("series").orderBy("start")
     n = archived_windows(spark, d).select(*KEYS, F.lead("start").over(w).alias("next_start"), F.lead("outcome").over(w).alias("next_outcome"))
     n = n.filter((F.col("next_start") - F.col("start") == HOUR_MS) & (F.col("next_outcome") != "NOISE"))
