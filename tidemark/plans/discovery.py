@@ -30,6 +30,10 @@ def hour_lifts(spark, d):
     return x.select("version", "hour_utc", "n", F.round("l.lift", 5).alias("lift"), F.round("l.log_se", 5).alias("log_se"), F.round("l.lo", 5).alias("lo"), stats.verdict(F.col("l.lift"), F.col("l.lo")).alias("verdict"))
 
 
+#: Tasks over which the rows of one value are dealt.
+DEALT = 8
+
+
 def ranked(rows, value: str, out: str, cells: int = 4096):
     """rows with the rank of a value in [0, 1] over all of them and m, how many there are.
 
@@ -42,7 +46,10 @@ def ranked(rows, value: str, out: str, cells: int = 4096):
     offsets = values.groupBy("cell").agg(F.sum("k").alias("k")).select("cell", (F.sum("k").over(order) - F.col("k")).alias("before"), F.sum("k").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"))
     within = Window.partitionBy("cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     places = values.join(F.broadcast(offsets), "cell").withColumn(out, F.col("before") + F.sum("k").over(within) - F.col("k") + 1)
-    return rows.join(places.select(value, out, "m"), value)
+    # a value that very many rows have is dealt over tasks
+    every = F.sequence(F.lit(0), F.lit(DEALT - 1))
+    places = places.select(value, out, "m", F.explode(every).alias("deal"))
+    return rows.withColumn("deal", F.pmod(F.xxhash64(*rows.columns), F.lit(DEALT)).cast("int")).join(places, [value, "deal"]).drop("deal")
 
 
 @query(

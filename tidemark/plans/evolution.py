@@ -95,16 +95,23 @@ def evolution_report(spark, d):
     """AG3, AG6, DP31: decisive predictions overall, by UTC day, by older and newer half, by discovery method: win rate, lower
     bound, excess over chance, and whether the newer half's bound is above the older half's rate.
 
-    The halves are cut at a place in time order: counts by hour give the place where an hour starts, and only rows of
-    one hour are sorted together.
+    A prediction that is no decision counts nothing; every tenth hit stands for one. The halves are cut at a place in time
+    order: counts by second give the place where a second starts, and only the rows of the second at the cut are sorted.
     """
     method = F.when(F.col("event_id") % 13 == 0, "UNMATCHED").otherwise(F.element_at(F.array(*map(F.lit, METHODS)), (F.col("pattern") % 3 + 1).cast("int")))
-    r = hits(spark, d).filter(F.col("event_id") % 10 != 0).withColumns({"hour": F.floor(F.col("t") / HOUR_MS), "day": F.date_format(F.timestamp_millis("t"), "yyyy-MM-dd"), "method": method})
+    r = hits(spark, d).filter(F.col("event_id") % 10 != 0).withColumns({"hour": F.floor(F.col("t") / HOUR_MS), "second": F.floor(F.col("t") / 1000), "day": F.date_format(F.timestamp_millis("t"), "yyyy-MM-dd"), "method": method})
     per_hour = r.groupBy("hour").agg(F.count("*").alias("c"))  # one row an hour
     before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     starts = per_hour.select("hour", (F.sum("c").over(before) - F.col("c")).alias("before"), F.sum("c").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("hour").orderBy("t", "event_id"))
-    r = r.join(F.broadcast(starts), "hour").withColumn("half", F.when(place <= F.floor(F.col("total") / 2), "older").otherwise("newer"))
+    # the hour at the cut, one row; in it the second, one row; in that the last row of the older half
+    half = F.floor(F.col("total") / 2)
+    at_hour = starts.join(per_hour, "hour").filter((F.col("before") < half) & (F.col("before") + F.col("c") >= half)).select(F.col("hour").alias("cut_hour"), F.col("before").alias("hour_before"), half.alias("cut"))
+    seconds = r.join(F.broadcast(at_hour), F.col("hour") == F.col("cut_hour")).groupBy("second", "hour_before", "cut").agg(F.count("*").alias("c"))
+    so_far = F.col("hour_before") + F.sum("c").over(Window.orderBy("second").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")  # at most 3600 rows
+    at_second = seconds.withColumn("so_far", so_far).filter((F.col("so_far") < F.col("cut")) & (F.col("so_far") + F.col("c") >= F.col("cut"))).select(F.col("second").alias("cut_second"), (F.col("cut") - F.col("so_far")).alias("left"))
+    inside = r.join(F.broadcast(at_second), F.col("second") == F.col("cut_second"))
+    last = inside.withColumn("rn", F.row_number().over(Window.partitionBy("cut_second").orderBy("t", "event_id"))).filter(F.col("rn") == F.col("left")).select(F.col("t").alias("last_t"), F.col("event_id").alias("last_id"))
+    r = r.join(F.broadcast(last), how="left").withColumn("half", F.when(F.struct("t", "event_id") <= F.struct("last_t", "last_id"), "older").otherwise("newer"))  # one row
     sections = F.array(*(F.struct(F.lit(s).alias("section"), F.col(k).alias("key") if k else F.lit("all").alias("key")) for s, k in (("overall", None), ("daily", "day"), ("half", "half"), ("method", "method"))))
     g = r.select("win", F.inline(sections)).groupBy("section", "key").agg(F.count("*").alias("n"), F.count_if("win").alias("k"))
     rate, low = F.col("k") / F.col("n"), stats.wilson_lower(F.col("k"), F.col("n"))

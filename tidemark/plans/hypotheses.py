@@ -93,21 +93,27 @@ def bar_hypotheses(spark, d):
     return t.join(found, "hypothesis", "left").select("hypothesis", "n", "n_up", F.round(b, 9).alias("base_rate"), F.when(k > n * b, "UP").when(k < n * b, "DOWN").alias("direction"), F.round("p", 7).alias("p"), F.coalesce("significant", F.lit(False)).alias("significant"))
 
 
-# Percentiles of the discovery part that become thresholds: feature, shares.
-FACTORS = {"ret": (0.25, 0.5, 0.75), "close_pos": (0.25, 0.5, 0.75), "v": (0.33, 0.66)}
-_CUTS = [(f"{f}_{round(100 * p)}", f, p) for f, ps in FACTORS.items() for p in ps]
-_SIDES = {f"{name}_{word}": f"{f} {op} {name}" for name, f, _ in _CUTS for word, op in (("low", "<="), ("high", ">="))}
+# Percentiles of the discovery part that become thresholds: feature, digits that it is read to (so that a percentile holds a bounded
+# number of values), shares.
+FACTORS = {"ret": (3, (0.25, 0.5, 0.75)), "close_pos": (4, (0.25, 0.5, 0.75)), "v": (0, (0.33, 0.66))}
+_CUTS = [(f"{f}_{round(100 * p)}", f, digits, p) for f, (digits, ps) in FACTORS.items() for p in ps]
+_SIDES = {f"{name}_{word}": f"round({f}, {digits}) {op} {name}" for name, f, digits, _ in _CUTS for word, op in (("low", "<="), ("high", ">="))}
 
 
 @query(
-    f"WITH {FEATURES_SQL}, cut AS (SELECT {', '.join(f'quantile_cont({f}, {p}) AS {name}' for name, f, p in _CUTS)} FROM feats WHERE cycle_ts < 1705276800000), late AS (SELECT * FROM feats, cut WHERE cycle_ts >= 1705276800000) "
+    f"WITH {FEATURES_SQL}, cut AS (SELECT {', '.join(f'quantile_cont(round({f}, {digits}), {p}) AS {name}' for name, f, digits, p in _CUTS)} FROM feats WHERE cycle_ts < 1705276800000), late AS (SELECT * FROM feats, cut WHERE cycle_ts >= 1705276800000), b AS (SELECT count(*) FILTER (next_d > 0) / nullif(count(*), 0) AS base FROM late), c AS ("
     + " UNION ALL ".join(f"SELECT '{k}' AS hypothesis, count(*) FILTER ({e}) AS n, count(*) FILTER (({e}) AND next_d > 0) AS n_up FROM late" for k, e in _SIDES.items())
+    + f") SELECT hypothesis, n, n_up, round(base, 6) AS base_rate, CASE WHEN n_up > n * base THEN 'UP' WHEN n_up < n * base THEN 'DOWN' END AS direction, CASE WHEN n >= {LEAST} THEN round(least(1.0, 2 * {stats.normal_cdf_sql(_Z)}), 7) END AS p FROM c, b"
 )
 def percentile_factors(spark, d):
-    """DP25: factors from the discovery part's percentiles, tested on the later part."""
+    """DP25: factors from the discovery part's percentiles, tested on the later part: cases, rises, base rate, direction and two-sided p."""
     rows = features(spark, d)
-    cut = rows.filter("cycle_ts < 1705276800000").agg(*(F.percentile(f, p).alias(name) for name, f, p in _CUTS))
-    return tested(rows.filter("cycle_ts >= 1705276800000").join(F.broadcast(cut)), _SIDES)  # one row
+    cut = rows.filter("cycle_ts < 1705276800000").agg(*(F.percentile(F.round(f, digits), p).alias(name) for name, f, digits, p in _CUTS))
+    late = rows.filter("cycle_ts >= 1705276800000")
+    base = late.agg((F.count_if(F.col("next_d") > 0) / F.nullif(F.count("*"), F.lit(0))).alias("base"))
+    t = tested(late.join(F.broadcast(cut)), _SIDES).join(F.broadcast(base))  # one row each
+    n, k, b = F.col("n"), F.col("n_up"), F.col("base")
+    return t.select("hypothesis", "n", "n_up", F.round(b, 6).alias("base_rate"), F.when(k > n * b, "UP").when(k < n * b, "DOWN").alias("direction"), F.when(n >= LEAST, F.round(stats.normal_p(k, F.nullif(n, F.lit(0)), b), 7)).alias("p"))
 
 
 @query()

@@ -304,7 +304,7 @@ resolved AS (SELECT v.series, v.start, v.outcome, coalesce(n_hits, 0) AS n_hits,
 def resolved(spark, d):
     """DP17: what the hints of the first half say on each window of the second: none, one, several that agree (the
     strongest speaks), or a conflict, which is not traded."""
-    v = views(spark, d)
+    v = written(views(spark, d), "views")
     h = hints(v).filter(F.col("lift") >= stats.WEAK)
     own = F.when(F.col("direction") == "UP", F.col("up_hits")).otherwise(F.col("down_hits"))
     patterns = h.select("predicate", "direction", F.col("hits").alias("n"), (own / F.col("hits")).alias("win_rate"), (0.5 + F.least(F.col("lift") - 1, F.lit(0.4)) / 2).alias("prior"))
