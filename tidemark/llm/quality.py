@@ -73,8 +73,9 @@ class Words(dict):
             if len(counts) > len(self.flags):
                 self._make_room(len(counts))
         rows = np.fromiter(map(self.__getitem__, counts), np.int64, len(counts))
-        share = np.fromiter(counts.values(), np.float64, len(counts)) / n
-        upper, odd, bars, ends = (share @ self.flags[rows]).tolist()
+        often = np.fromiter(counts.values(), np.float64, len(counts))
+        share = often / n
+        upper, odd, bars, ends = (often @ self.flags[rows] / n).tolist()  # whole numbers first: a share at a threshold is exact
         same = sum(map(eq, words, words[1:])) / n
         few = len(counts) / n**0.75
         votes = (
