@@ -55,7 +55,7 @@ SELECT p.series, p.start, CAST(count(*) FILTER (p.t - f.t0 <= 1800000) AS INTEGE
   arg_min(p.t - p.start, p.i) FILTER (p.y >= 15 AND p.y < 25 AND p.t - p.start >= 600000 AND p.t - p.start < 2400000) AS hit_ms FROM pts p JOIN f USING (series, start) GROUP BY 1, 2"""
 )
 def decision_points(spark, d):
-    """TB9, AF39, AF40, TB8: truncation at a decision point, last value, first hit in a box."""
+    """TB9, AF39, AF40: truncation at a decision point, last value, first hit in a box (`cell_events` has it with its context)."""
     w = src.curves(spark, d)
     kept = F.filter("curve", lambda p: p["t"] - F.get("curve", F.lit(0))["t"] <= 1_800_000)
     hit = k.first_hit(F.col("curve"), F.col("start"), 600_000, 2_400_000, 15.0, 25.0)
