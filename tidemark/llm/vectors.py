@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import shared_table, table
 
 #: Rows of a data block and of a query block, vectors of a cell that share a salt, those whose queries do, and queries that share a group.
-DATA_ROWS, QUERY_ROWS, SALT_ROWS, ASKED_ROWS, ASKED = 1024, 512, 8192, 32_768, 96
+DATA_ROWS, QUERY_ROWS, SALT_ROWS, ASKED_ROWS, ASKED = 1024, 512, 8192, 32_768, 512
 #: Entries of a cell of the multi-index.
 LISTED = 4096
 BLOCKS = "cell int, n long, reach double, ids binary, vecs binary"
