@@ -127,3 +127,21 @@ def test_the_whole_run(spark, docs, tmp_path):
 def test_runs_without_anything_to_keep(spark, tmp_path, rows):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_texts_go_through_every_stage(spark, docs):
+    """Two near copies of 200,000 words of a good text: one stays, whole, and every id of it is packed."""
+    good = [r for r in docs.collect() if r.text and 60 < len(r.text.split()) < 400 and r.text.rstrip().endswith(".")][:40]
+    words = " ".join(r.text for r in good).split()
+    long = " ".join(words[(k * 7919) % len(words)] for k in range(200_000))
+    rows = [(900_001, long, "en", "long", len(long)), (900_002, long + " and one more sentence.", "en", "long", len(long) + 23)]
+    stage, now = dict(corpus_pipeline.STAGES), docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {}
+    for name in list(stage)[:-2]:
+        now = spark.createDataFrame(stage[name](spark, now, SF).collect(), now.schema)
+        kept[name] = sorted(r.doc_id for r in now.filter("doc_id > 900000").collect())
+    assert kept["quality classifier"] in ([900_001, 900_002], []) and kept["n-gram jaccard join"] == kept["quality classifier"][:1] == kept["secret scans"]
+    one = spark.createDataFrame(rows[:1], now.schema)
+    library = Tokenizer.from_file(tokens.tokenizer_path("word_bpe_49k.json"))
+    pieces = stage["packing"](spark, one, SF).collect()
+    assert sum(p.length for p in pieces) == len(library.encode(long, add_special_tokens=False).ids) + 1 and len({p.sequence_id for p in pieces}) > 40

@@ -40,9 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, which `dropped_after` removes."""
+    """A new path in the shared folder, which `dropped_after` removes, or else the end of the driver."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _written.append(path)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return path
 
 
