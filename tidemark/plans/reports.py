@@ -12,7 +12,7 @@ from tidemark.plans.lifecycle import HALF
 from tidemark.plans.market import W, r6
 from tidemark.plans.registry import ORACLE_SQL, query
 from tidemark.sources import events as src
-from tidemark.sources.events import BARS_SQL, CYCLES_SQL, HOUR_MS, SAMPLES_SQL
+from tidemark.sources.events import BARS_SQL, CYCLES_SQL, HOUR_MS
 
 CYCLE_MS, DAY_MS = 3 * HOUR_MS, 24 * HOUR_MS
 #: Rows that a month needs to count, least share of a weak month.

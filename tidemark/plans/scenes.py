@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ev, stats
@@ -16,7 +15,7 @@ from tidemark.plans.lifecycle import _TILES_SQL, HALF, tiles
 from tidemark.plans.market import r6
 from tidemark.plans.registry import ORACLE_SQL, query
 from tidemark.sources import events as src
-from tidemark.sources.events import BARS_SQL, CYCLES_SQL, HOUR_MS, SAMPLES_SQL
+from tidemark.sources.events import BARS_SQL, HOUR_MS
 
 CYCLE_MS = 3 * HOUR_MS
 # Seconds of five minutes are twelve of the clock's here: delay and latest moment of an entry quote, of the later one.
