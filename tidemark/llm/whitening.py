@@ -18,7 +18,6 @@ alone, or copies of one, give no rows; nor does an empty table. Other columns ar
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
