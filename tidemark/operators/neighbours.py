@@ -115,7 +115,8 @@ def most_similar(queries: DataFrame, data: DataFrame, k: int, dim: int, prune: b
                     use = cells
                 yield pa.RecordBatch.from_arrays([b.column("ids").slice(j, 1), b.column("vecs").slice(j, 1), pa.array([use.astype(np.int32)], pa.list_(pa.int32()))], names=["q_ids", "q_vecs", "cells"])
 
-    groups = asked.mapInArrow(place, schema).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
+    # queries come from where the data are dense, so a large cell's are dealt as its rows are
+    groups = asked.mapInArrow(place, schema).join(parts, "cell", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
     questions = written(_blocks(groups, dim, ASKED).mapInArrow(needs, "q_ids binary, q_vecs binary, cells array<int>"), "questions")
     keys = questions.select("q_ids", "q_vecs", F.explode("cells").alias("cell")).join(parts, "cell")
     keys = keys.select("q_ids", "q_vecs", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
