@@ -110,7 +110,8 @@ def backtest_layers(spark, d):
     rows = written(features(spark, d), "features")
     w = Window.partitionBy("series").orderBy("cycle_ts")
     pairs = rows.select("ret", F.lag("ret").over(w).alias("r1")).filter("r1 IS NOT NULL")
-    walk = pairs.agg((1 + F.corr("ret", "r1")).alias("vr"), (F.sqrt(F.count("r1")) * F.corr("ret", "r1")).alias("z"))
+    corr = stats.correlation(F.col("ret"), F.col("r1"))
+    walk = pairs.agg((1 + corr).alias("vr"), (F.sqrt(F.count("r1")) * corr).alias("z"))
     # a range in [0, 1) has 10,000 values at four digits, which bounds what the percentile holds
     cuts = rows.agg(F.percentile(F.round("rng", 4), [0.333, 0.667]).alias("cuts"))
     flags = F.array(*(F.coalesce(F.expr(c), F.lit(False)) for c in _CONDITIONS))
