@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import stats
+
 # How long a snapshot stays frozen, changes that edges need, shares at which they lie.
 FREEZE_MS, LEAST, SHARES = 30 * 86_400_000, 10, (0.2, 0.4, 0.6, 0.8)
 
@@ -42,7 +44,8 @@ class Snapshots:
         if before is not None:
             kept = before.groupBy(self.key).agg(F.count("*").alias("have"), F.max("created").alias("made")).filter((F.col("have") >= self.channels) & (now - F.col("made") < FREEZE_MS))
             changes = changes.join(kept.select(self.key), self.key, "left_anti")
-        fresh = changes.groupBy(self.key, "channel").agg(F.count("dl").alias("n"), F.percentile("dl", list(SHARES)).alias("edges")).filter(F.col("n") >= LEAST)
+        fresh = changes.groupBy(self.key, "channel").agg(F.count("dl").alias("n"), F.sort_array(F.collect_list("dl")).alias("all")).filter(F.col("n") >= LEAST)
+        fresh = fresh.select(self.key, "channel", "n", stats.quantiles(F.col("all"), SHARES).alias("edges"))
         fresh.withColumn("created", F.lit(now).cast("long")).write.mode("overwrite").parquet(f"{self.path}/version={version}")
         if version not in self.versions:
             self.versions.append(version)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import stats
 from tidemark.operators import asof
 from tidemark.plans import detection
 from tidemark.plans.evolution import _HITS_SQL, hits
@@ -263,7 +264,7 @@ SELECT series, tercile, count(*) AS n, count(*) FILTER (outcome = 'UP') AS n_up,
 def volatility_terciles(spark, d):
     """AG38: bars by terciles of their amplitude."""
     b = src.bars(spark, d).withColumn("amp", F.round(F.col("h") - F.col("l"), 9))
-    q = b.groupBy("series").agg(F.percentile("amp", [0.333, 0.667]).alias("cuts"))
+    q = b.groupBy("series").agg(F.sort_array(F.collect_list("amp")).alias("all")).select("series", stats.quantiles(F.col("all"), (0.333, 0.667)).alias("cuts"))
     t = F.when(F.col("amp") <= F.get("cuts", F.lit(0)), "low").when(F.col("amp") <= F.get("cuts", F.lit(1)), "mid").otherwise("high")
     return b.join(q, "series").groupBy("series", t.alias("tercile")).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "UP").alias("n_up"), r6(F.avg(F.col("h") - F.col("l"))).alias("mean_amplitude"))
 

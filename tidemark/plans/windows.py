@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import curves as k
+from tidemark.functions import stats
 from tidemark.operators.predicates import compile_predicate
 from tidemark.plans.market import r6
 from tidemark.plans.registry import query
@@ -65,7 +66,8 @@ def decision_points(spark, d):
 def bin_edges(w):
     """AF3, AF4: the 20, 40, 60 and 80 % points of all changes of each series with at least ten."""
     dl = w.select("series", F.explode(k.deltas(F.col("v"))).alias("dl"))
-    return dl.groupBy("series").agg(F.count("*").alias("n"), F.percentile("dl", [0.2, 0.4, 0.6, 0.8]).alias("edges")).filter("n >= 10")
+    dl = dl.groupBy("series").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("dl")).alias("all")).filter("n >= 10")
+    return dl.select("series", "n", stats.quantiles(F.col("all"), (0.2, 0.4, 0.6, 0.8)).alias("edges"))
 
 
 EDGES_SQL = POINTS_SQL + """, dls AS (SELECT series, start, i, y - lag(y) OVER (PARTITION BY series, start ORDER BY i) AS dl FROM pts),
