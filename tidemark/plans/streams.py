@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ev
 from tidemark.operators.shared import new_path
-from tidemark.plans import audits  # noqa: F401  its SQL is that of the streams
+from tidemark.plans import audits
 from tidemark.plans.registry import ORACLE_SQL, query
 from tidemark.sources import events as src
 from tidemark.sources.events import BARS_SQL, SAMPLES_SQL
@@ -111,7 +111,7 @@ def streamed_confirmations(spark, d):
         return run_to_end(spark, d, detectors.confirmations, "series long, cycle_ts long, side string, status string, tries int, decided_ts long")
 
 
-@query(f"WITH {BARS_SQL}, x AS ({ORACLE_SQL['cooled_signals']}), m AS (SELECT max(t) - 15000 AS mark FROM samples) SELECT x.* FROM x, m WHERE signal_ts + 3600000 <= mark")
+@query(f"WITH {BARS_SQL}, x AS ({audits.COOLED_SQL}), m AS (SELECT max(t) - 15000 AS mark FROM samples) SELECT x.* FROM x, m WHERE signal_ts + 3600000 <= mark")
 def streamed_cooled(spark, d):
     """TS10: signals with their cool-down and the daily cap over both sides of a series, from a keyed state; here those of bars
     that the watermark has passed."""
