@@ -238,7 +238,7 @@ def four_gates(spark, d, hypotheses: int = 4):
     """AG34, ST10, ST11, AF36: four hypotheses (entry floors) in two scenes: sample size, gain over the base by base * root of
     the number of hypotheses, worst week, power for the gain claimed in a note; the last three only where a scene is affected."""
     notes = F.array(*map(F.lit, ("base | claimed: 3.0pp", "close | claimed: 2.5pp", "volume | claimed: 9.0pp", "same")))
-    b = bets(spark, d).withColumn("hypothesis", F.explode(F.array(*map(F.lit, range(hypotheses))))).filter(F.col("entry") >= 0.1 * F.col("hypothesis"))
+    b = bets(spark, d).withColumn("hypothesis", F.explode(F.array(*map(F.lit, range(hypotheses))))).filter(F.col("entry") >= F.col("hypothesis") / 10)  # 3 * 0.1 is above 0.3 in doubles, 3 / 10 is not
     w = b.groupBy("hypothesis", (F.col("version") % 2).cast("int").alias("scene"), F.floor(F.col("t") / (7 * DAY_MS)).alias("week")).agg(F.count("*").alias("n"), F.count_if("win").alias("k"))
     g = w.groupBy("hypothesis", "scene").agg(F.sum("n").alias("n"), (F.sum("k") / F.sum("n")).alias("p"), F.min(F.when(F.col("n") >= 10, F.col("k") / F.col("n"))).alias("worst"))
     base = g.filter("hypothesis = 0").select("scene", F.col("p").alias("base_p"), F.col("worst").alias("base_worst"))
