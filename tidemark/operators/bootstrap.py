@@ -142,6 +142,28 @@ def ratio_intervals(rows: DataFrame, group: str, ids: list[str], value: str, siz
     return cuts.select(group, F.get("cuts", F.lit(0)).alias("lo"), F.get("cuts", F.lit(1)).alias("hi"))
 
 
+def intervals_within(rows: DataFrame, whole: str, group: str, ids: list[str], value: str, size: str, replicates: int = 2000, ends: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """ratio_intervals for groups of which each lies in one value of `whole`, as many and as small as series: only the rows are
+    shuffled, by `whole`, and a task holds its groups' replicates until it has their ends."""
+
+    def cuts(t: pa.Table) -> pa.Table:
+        units, unit_of = np.unique(seeds(*(t.column(c).to_numpy() for c in ids)), return_inverse=True)
+        groups, place = np.unique(t.column("grp").to_numpy(), return_inverse=True)
+        order = np.argsort(unit_of, kind="stable")
+        bounds = np.searchsorted(unit_of[order], np.arange(0, len(units) + UNITS, UNITS))
+        data, total = [t.column(c).to_numpy() for c in ("s0", "s1")], np.zeros((2, len(groups), replicates))
+        for first, a, z in zip(range(0, len(units), UNITS), bounds[:-1], bounds[1:], strict=False):
+            at, w = order[a:z], weights(units[first : first + UNITS], replicates)
+            cell = place[at] * len(w) + unit_of[at] - first
+            for k, v in enumerate(data):
+                total[k] += np.bincount(cell, v[at], len(groups) * len(w)).reshape(-1, len(w)) @ w
+        got = [np.percentile(top[size != 0] / size[size != 0], [100 * p for p in ends]) if size.any() else (None, None) for top, size in zip(*total, strict=True)]
+        return pa.table({"grp": pa.array(groups, pa.int64()), "lo": pa.array([x[0] for x in got], pa.float64()), "hi": pa.array([x[1] for x in got], pa.float64())})
+
+    flat = rows.select(F.col(whole).alias("whole"), F.col(group).cast("long").alias("grp"), *(F.col(c).cast("long").alias(c) for c in ids), F.col(value).cast("double").alias("s0"), F.col(size).cast("double").alias("s1"))
+    return flat.groupBy("whole").applyInArrow(cuts, "grp long, lo double, hi double").withColumnRenamed("grp", group)
+
+
 def draws_sql(rows: str, ids: list[str], replicates: int = 2000) -> str:
     """Common table expressions up to `drawn` (ids, replicate r, weight w) of the units of the table `rows` for DuckDB."""
     h = f"(seed + r * {_STEP}) % {_U32}"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ev, stats
-from tidemark.operators.bootstrap import draws_sql, ratio_intervals
+from tidemark.operators.bootstrap import draws_sql, intervals_within
 from tidemark.plans.market import r6
 from tidemark.plans.registry import query
 from tidemark.sources import events as src
@@ -56,7 +56,7 @@ def cost_scenarios(spark, d):
     cost = F.least(F.greatest(F.col("entry") + F.col("premium"), F.lit(0.01)), F.lit(0.99))
     b = b.withColumns({"pnl": F.when(F.col("win"), (1 - F.col("fee")) / cost - 1).otherwise(-1.0), "one": F.lit(1), "grp": F.col("version") * len(COSTS) + F.col("place")})
     g = b.groupBy("grp", "name", "version").agg(F.count("*").alias("n"), F.round(F.avg("pnl"), 5).alias("mean_pnl"))
-    ends = ratio_intervals(b, "grp", ["event_id"], "pnl", "one", COST_DRAWS)
+    ends = intervals_within(b, "version", "grp", ["event_id"], "pnl", "one", COST_DRAWS)
     return g.join(ends, "grp").select("name", "version", "n", "mean_pnl", F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"))
 
 
