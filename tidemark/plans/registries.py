@@ -144,9 +144,10 @@ cut AS (SELECT quantile_cont(round(size, 3), {LARGE}) AS large FROM w2 WHERE sta
 def windows(spark, d):
     """One row a window with everything that the registries look at."""
     s = src.samples(spark, d).withColumn("start", src.bucket(F.col("t"), HOUR_MS))
-    w = s.groupBy("series", "start").agg(*(F.expr(e).alias(k) for k, e in BASE.items())).selectExpr("*", *(f"{e} AS {k}" for k, e in OWN.items()))
+    mean = stats.sum_in_order("pct", "event_id") / F.count("pct")
+    w = s.groupBy("series", "start").agg(*((mean if k == "f_mean" else F.expr(e)).alias(k) for k, e in BASE.items())).selectExpr("*", *(f"{e} AS {k}" for k, e in OWN.items()))
     w = w.selectExpr("*", *(f"{e} AS {k}" for k, e in PAST.items()))
-    cut = w.filter(F.col("start") < HALF).agg(F.percentile(F.round("size", 3), LARGE).alias("large"))
+    cut = stats.percentiles(w.filter(F.col("start") < HALF), {"size": F.round("size", 3)}, {"large": ("size", LARGE)})
     return w.join(F.broadcast(cut))  # one row
 
 
@@ -196,7 +197,7 @@ def declared_hypotheses(spark, d):
     shares = [(F.count_if(F.col(t) == "UP") / F.nullif(F.count_if(F.col(t).isin("UP", "DOWN")), F.lit(0))).alias(f"up_{t}") for t in _TARGETS]
     a = w.agg(*aggs, *shares).select(F.inline(F.array(*cells)))
     c = features(spark, d)
-    large = c.filter(F.col("cycle_ts") < HALF).agg(F.percentile(F.round(F.abs("ret"), 3), LARGE).alias("large"))
+    large = stats.percentiles(c.filter(F.col("cycle_ts") < HALF), {"ret": F.round(F.abs("ret"), 3)}, {"large": ("ret", LARGE)})
     c = c.join(F.broadcast(large))  # one row
     aggs, cells = [], []
     for i, (name, (condition, bet)) in enumerate(CYCLES.items()):
