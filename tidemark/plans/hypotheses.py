@@ -108,7 +108,7 @@ _SIDES = {f"{name}_{word}": f"round({f}, {digits}) {op} {name}" for name, f, dig
 def percentile_factors(spark, d):
     """DP25: factors from the discovery part's percentiles, tested on the later part: cases, rises, base rate, direction and two-sided p."""
     rows = features(spark, d)
-    cut = rows.filter("cycle_ts < 1705276800000").agg(*(F.percentile(F.round(f, digits), p).alias(name) for name, f, digits, p in _CUTS))
+    cut = stats.percentiles(rows.filter("cycle_ts < 1705276800000"), {f: F.round(f, digits) for f, (digits, _) in FACTORS.items()}, {name: (f, p) for name, f, _, p in _CUTS})
     late = rows.filter("cycle_ts >= 1705276800000")
     base = late.agg((F.count_if(F.col("next_d") > 0) / F.nullif(F.count("*"), F.lit(0))).alias("base"))
     t = tested(late.join(F.broadcast(cut)), _SIDES).join(F.broadcast(base))  # one row each

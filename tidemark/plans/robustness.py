@@ -113,10 +113,10 @@ def backtest_layers(spark, d):
     corr = stats.correlation(F.col("ret"), F.col("r1"))
     walk = pairs.agg((1 + corr).alias("vr"), (F.sqrt(F.count("r1")) * corr).alias("z"))
     # a range in [0, 1) has 10,000 values at four digits, which bounds what the percentile holds
-    cuts = rows.agg(F.percentile(F.round("rng", 4), [0.333, 0.667]).alias("cuts"))
+    cuts = stats.percentiles(rows, {"rng": F.round("rng", 4)}, {"cut_low": ("rng", 0.333), "cut_high": ("rng", 0.667)})
     flags = F.array(*(F.coalesce(F.expr(c), F.lit(False)) for c in _CONDITIONS))
     size = F.round("rng", 4)
-    tercile = F.when(size <= F.get("cuts", F.lit(0)), 0).when(size <= F.get("cuts", F.lit(1)), 1).otherwise(2)
+    tercile = F.when(size <= F.col("cut_low"), 0).when(size <= F.col("cut_high"), 1).otherwise(2)
     cyc = rows.withColumns({"flags": flags}).join(F.broadcast(cuts))  # one row
     cyc = written(cyc.select("series", F.floor(F.col("cycle_ts") / BLOCK_MS).alias("block"), F.floor(F.col("cycle_ts") / HOUR_MS).alias("hour"), (F.col("next_d") > 0).alias("up"), F.col("c").alias("close"), tercile.alias("tercile"), (F.col("cycle_ts") >= HALF).alias("later"), "flags"), "cycles")
     hit = F.filter(F.transform("flags", lambda x, i: F.when(x, i)), lambda x: x.isNotNull())
