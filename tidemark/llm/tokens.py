@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +63,15 @@ def fragments(text: str) -> Iterator[str]:
     yield text[begin:]
 
 
+def _forget(known: dict, new: list[str]) -> None:
+    """Leaves out pieces too long to be remembered, and all of them once they are too many."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in new:
+        if len(w) > SHORT:
+            known.pop(w, None)
+
+
 class Pieces:
     """Values of the pieces of texts. A piece starts with the blank or line break before it.
 
@@ -92,21 +102,16 @@ class Pieces:
     def _values(self, texts: list[str], inner: bool = False) -> list:
         """The values of texts; inner: they begin with a blank or line break after other characters."""
         cut = [None if not t or _irregular(t[1:] if inner else t) else t.replace("\n", " \n").split(" ") for t in texts]
-        get = self.known.get
-        if inner:
-            cut = [p if p is None else p[1:] for p in cut]
-            found = [None if p is None else list(map(get, p)) for p in cut]
-        else:
-            found = [None if p is None else [self._alone(p[0]), *map(get, p[1:])] for p in cut]
-        open_ = [k for k, v in enumerate(found) if v is not None and None in v]
-        new = list({w for k in open_ for w, x in zip(cut[k], found[k], strict=True) if x is None})
-        got = dict(zip(new, self.many(new), strict=True))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self.known.update((w, x) for w, x in got.items() if len(w) <= SHORT)
-        for k in open_:
-            found[k] = [got[w] if x is None else x for w, x in zip(cut[k], found[k], strict=True)]
-        return [self.join(()) if not t else self.join(self._runs(t) if v is None else v) for t, v in zip(texts, found, strict=True)]
+        first = [None if p is None else p.pop(0) for p in cut]
+        new = list(set().union(*filter(None, cut)).difference(self.known))
+        self.known.update(zip(new, self.many(new), strict=True))
+        get = self.known.__getitem__
+        out = []
+        for t, p, w in zip(texts, cut, first, strict=True):
+            values = () if not t else self._runs(t) if p is None else map(get, p) if inner else [self._alone(w), *map(get, p)]
+            out.append(self.join(list(values)))
+        _forget(self.known, new)
+        return out
 
     def of(self, texts: list[str]) -> list:
         """The value of each text; a long one is read in fragments."""
@@ -141,11 +146,16 @@ def letters_of_bytes() -> dict[int, str]:
 
 def _merge(library, letters: dict[int, str]):
     """Ids of text that the library merges as one, by its model alone: no splitting, no offsets."""
-    tokenize = library.model.tokenize
+    tokenize, blank = library.model.tokenize, letters[32]
+    packed = [struct.Struct(f"<{n}I").pack for n in range(SHORT)]
 
     def ids(text: str) -> bytes:
-        shown = text.encode().decode("latin-1").translate(letters)
-        return np.array([t.id for t in tokenize(shown)], "<u4").tobytes()
+        if text.isascii() and text.lstrip(" ").isalpha():  # ASCII letters stand for themselves
+            shown = text.replace(" ", blank)
+        else:
+            shown = text.encode().decode("latin-1").translate(letters)
+        found = [t.id for t in tokenize(shown)]
+        return packed[len(found)](*found) if len(found) < SHORT else np.array(found, "<u4").tobytes()
 
     return ids
 
@@ -197,12 +207,18 @@ def word_level_ids(path: str):
     known: dict[str, bytes] = {"": b""}
     merge, signs = _merge(library, letters_of_bytes()), {c: one(c) for c in ".,"}
 
-    def values(new: set[str]) -> dict[str, bytes]:
+    def normalized(words: list[str]) -> dict[str, str]:
+        """Many words at once: a blank between two of them keeps them apart."""
+        lows = library.normalizer.normalize_str(" ".join(words)).split(" ") if words else []
+        return dict(zip(words, lows if len(lows) == len(words) else map(library.normalizer.normalize_str, words), strict=True))
+
+    def values(new: list[str]) -> dict[str, bytes]:
         got, plain = {}, []
-        for w in new:
-            base = w[:-1] if w[-1] in ".," else w
+        bases = {w: w[:-1] if w[-1] in ".," else w for w in new}
+        lows = normalized(list({b for b in bases.values() if not b.isascii() and b.isalpha()}))
+        for w, base in bases.items():
             if base.isalpha():
-                low = base.lower() if base.isascii() else library.normalizer.normalize_str(base)
+                low = base.lower() if base.isascii() else lows[base]
                 if low.isalpha():  # one unit
                     got[w] = (known.get(base) or merge(low)) + (signs[w[-1]] if base is not w else b"")
                     continue
@@ -218,16 +234,12 @@ def word_level_ids(path: str):
 
     def of(texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(known.get, p)) for p in cut]
-        open_ = [k for k, v in enumerate(found) if None in v]
-        got = values({w for k in open_ for w, x in zip(cut[k], found[k], strict=True) if x is None})
-        if len(known) + len(got) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        known.update((w, x) for w, x in got.items() if len(w) <= SHORT)
-        for k in open_:
-            found[k] = [got[w] if x is None else x for w, x in zip(cut[k], found[k], strict=True)]
-        return list(map(b"".join, found))
+        new = list(set().union(*cut).difference(known))
+        known.update(values(new))
+        out = [b"".join(map(known.__getitem__, p)) for p in cut]
+        _forget(known, new)
+        known[""] = b""
+        return out
 
     def encode(texts: list[str]) -> list[bytes]:
         if max(map(len, texts), default=0) <= CHARS_AT_ONCE:
